@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, mixing, topk
+from . import ann, bpe, html, mixing, quality, secret_scan, topk
 from .common import table
 
 
@@ -21,10 +21,19 @@ def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -33,7 +42,9 @@ QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_html_main_text": op2_html_main_text,
     "op3_inverted_multi_index": op3_inverted_multi_index,
+    "op4_secrets": op4_secrets,
     "op8_bpe": op8_bpe,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 
