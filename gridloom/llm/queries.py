@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, mixing, quality, secret_scan, topk
+from . import ann, bpe, html, mixing, ngram_join, quality, secret_scan, topk
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op2_html_main_text": op2_html_main_text,
     "op3_inverted_multi_index": op3_inverted_multi_index,
     "op4_secrets": op4_secrets,
+    "op5_ngram_join": op5_ngram_join,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
@@ -50,5 +55,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_topk": topk.SQL,
+    "op5_ngram_join": ngram_join.SQL,
     "op10_mixing": mixing.SQL.replace("SELECT doc_id, size, source_size", "SELECT doc_id, source, size, source_size").replace("SELECT d.doc_id, d.size", "SELECT d.doc_id, d.source, d.size"),
 }
