@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, mixing, ngram_join, quality, secret_scan, topk
+from . import ann, bpe, chunk_dedup, html, mixing, ngram_join, pii, quality, secret_scan, topk
 from .common import table
 
 
@@ -29,6 +29,14 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,8 @@ QUERIES = {
     "op3_inverted_multi_index": op3_inverted_multi_index,
     "op4_secrets": op4_secrets,
     "op5_ngram_join": op5_ngram_join,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
