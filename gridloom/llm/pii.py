@@ -243,9 +243,10 @@ def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans."""
     joined = lambda of: F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda test, name: F.size(F.filter("spans", test)).cast("long").alias(name)
+    of_kind = lambda k: lambda s: s["kind"] == k
     return find(docs).select(
         "doc_id",
-        *[count(lambda s, k=k: s["kind"] == k, f"n_{k}") for k in BASE],
+        *[count(of_kind(k), f"n_{k}") for k in BASE],
         count(lambda s: ~s["base"], "n_added"),
         F.sha2(joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
