@@ -1,4 +1,505 @@
-"""Names of the library's own queries, with their SQL."""
+"""The library's own queries over the fixture tables, each with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import vectors
+from ..operators import boxes, merging, models, pixels, regions
+from ..operators import vectors as sequences
+from ..sources import images, results
+from . import fixtures as fx
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, more: str = "", recursive: bool = False):
+    """Register a function under its name; sql: a SELECT over the fixtures' CTEs and `more` of them."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{fx.SQL}{',' + more if more else ''}\n{sql}"
+        return f
+
+    return add
+
+
+# boxes
+
+
+def _relation_sql(bias: tuple[int, int]) -> str:
+    return f"""
+pairs AS (
+  SELECT a.image_id, a.box_id AS a_box_id, b.box_id AS b_box_id, (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ab,
+         greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1) + {2 * bias[0]}) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1) + {2 * bias[1]}) AS c,
+         a.category AS ca, b.category AS cb, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2
+  FROM categorised a JOIN categorised b ON a.image_id = b.image_id AND a.box_id < b.box_id),
+related AS (
+  SELECT *, CASE WHEN c = 0 THEN 0 WHEN c >= aa THEN -1 WHEN c >= ab THEN 1
+    WHEN c / (aa + ab - c) >= 0.02 OR c / aa > 0.2 OR c / ab > 0.2 THEN 2 ELSE 0 END AS relation FROM pairs)"""
+
+
+_RELATED = _relation_sql((0, 0))
+_COUNTS = "SELECT image_id, relation, COUNT(*) AS n_pairs FROM related GROUP BY ALL"
+
+
+@query(_COUNTS, _RELATED)
+def box_relation(spark, sf_dir):
+    return boxes.relation_counts(fx.boxes(spark, sf_dir))
+
+
+@query(_COUNTS, _relation_sql((4, 2)))
+def box_relation_bias(spark, sf_dir):
+    return boxes.relation_counts(fx.boxes(spark, sf_dir), (4, 2))
+
+
+@query(
+    """SELECT image_id, CASE WHEN ax1 > bx1 AND ay1 > by1 AND ax2 < bx2 AND ay2 < by2 THEN -1 WHEN ax1 < bx1 AND ay1 < by1 AND ax2 > bx2 AND ay2 > by2 THEN 1
+    WHEN ax1 > bx2 OR ay1 > by2 OR bx1 > ax2 OR by1 > ay2 THEN 0 ELSE 2 END AS relation, COUNT(*) AS n_pairs FROM pairs GROUP BY ALL""",
+    _RELATED,
+)
+def box_relation_strict(spark, sf_dir):
+    return boxes.strict_relation_counts(fx.boxes(spark, sf_dir))
+
+
+@query("SELECT image_id, MIN(x1) AS x1, MIN(y1) AS y1, MAX(x2) AS x2, MAX(y2) AS y2 FROM boxes GROUP BY image_id")
+def box_union_by_image(spark, sf_dir):
+    return boxes.union_by_image(fx.boxes(spark, sf_dir))
+
+
+@query("SELECT image_id, a_box_id, b_box_id, least(ax1, bx1) AS x1, least(ay1, by1) AS y1, greatest(ax2, bx2) AS x2, greatest(ay2, by2) AS y2 FROM related WHERE relation = 2", _RELATED)
+def box_merge_pairs(spark, sf_dir):
+    return boxes.merged_pairs(fx.boxes(spark, sf_dir))
+
+
+@query(
+    "SELECT image_id, box_id, x1 + x0 AS x1, y1 + y0 AS y1, x2 + x0 AS x2, y2 + y0 AS y2 FROM boxes JOIN (SELECT image_id, MIN(x1) AS x0, MIN(y1) AS y0 FROM boxes GROUP BY image_id) o USING (image_id)",
+)
+def box_translate(spark, sf_dir):
+    b = fx.boxes(spark, sf_dir)
+    return boxes.translate(b, b.groupBy("image_id").agg(F.min("x1").alias("x0"), F.min("y1").alias("y0")))
+
+
+@query("SELECT image_id, box_id, greatest(x1 - 5, 0) AS x1, greatest(y1 - 5, 0) AS y1, least(x2 + 5, 760) AS x2, least(y2 + 5, 540) AS y2 FROM boxes")
+def box_pad(spark, sf_dir):
+    return boxes.pad(fx.boxes(spark, sf_dir), 5, 760, 540)
+
+
+@query("SELECT image_id, box_id, round(x1 / 800.0::DOUBLE, 6) AS nx1, round(y1 / 600.0::DOUBLE, 6) AS ny1, round(x2 / 800.0::DOUBLE, 6) AS nx2, round(y2 / 600.0::DOUBLE, 6) AS ny2 FROM boxes")
+def box_normalize(spark, sf_dir):
+    n = boxes.normalize(fx.boxes(spark, sf_dir), fx.WIDTH, fx.HEIGHT)
+    return n.select("image_id", "box_id", *[F.round(c, 6).alias(c) for c in ("nx1", "ny1", "nx2", "ny2")])
+
+
+@query(
+    """SELECT image_id, box_id, COUNT(*) AS n, MIN(i) AS first, MAX(i) AS last FROM (
+    SELECT image_id, CASE WHEN relation = -1 THEN b_box_id ELSE a_box_id END AS box_id, CASE WHEN relation = -1 THEN a_box_id ELSE b_box_id END AS i
+    FROM related WHERE relation IN (-1, 1)) GROUP BY ALL""",
+    _RELATED,
+)
+def box_containment(spark, sf_dir):
+    c = boxes.containment(fx.boxes(spark, sf_dir))
+    return c.select("image_id", "box_id", F.size("contain").cast("long").alias("n"), F.array_min("contain").alias("first"), F.array_max("contain").alias("last"))
+
+
+@query(
+    """SELECT image_id, box_id, category FROM categorised WHERE (image_id, box_id) NOT IN (
+    SELECT (image_id, a_box_id) FROM related WHERE relation = -1 AND cb <> 'Block' UNION ALL SELECT (image_id, b_box_id) FROM related WHERE relation = 1 AND ca <> 'Block')""",
+    _RELATED,
+)
+def box_drop_contained(spark, sf_dir):
+    return boxes.drop_contained(fx.categorised(spark, sf_dir)).select("image_id", "box_id", "category")
+
+
+@query("SELECT image_id, a_box_id, b_box_id FROM pairs WHERE least(ay2, by2) > greatest(ay1, by1) AND least(abs(ax1 - bx2), abs(bx1 - ax2)) < 20", _RELATED)
+def box_close_pairs(spark, sf_dir):
+    return boxes.close_pairs(fx.boxes(spark, sf_dir), 20)
+
+
+@query(
+    """SELECT image_id, box_id, w AS width, h AS height FROM (SELECT image_id, box_id, x2 - x1 + 1 AS w, y2 - y1 + 1 AS h FROM boxes)
+    WHERE w * h >= 500 AND h <= 0.8 * 70 AND w / h <= 50 AND h / w <= 40 AND NOT (least(w, h) < 8 AND greatest(w / h, h / w) > 10)""",
+)
+def box_filter(spark, sf_dir):
+    b = fx.boxes(spark, sf_dir).withColumn("width", F.col("x2") - F.col("x1") + 1).withColumn("height", F.col("y2") - F.col("y1") + 1)
+    return boxes.keep_plausible(b, 500, 70).select("image_id", "box_id", "width", "height")
+
+
+@query("SELECT image_id, box_id FROM boxes WHERE NOT (y2 < 600 * 0.045 OR y1 > 500 * 0.94)")
+def box_top_bottom(spark, sf_dir):
+    return boxes.drop_bars(fx.boxes(spark, sf_dir), 600, 0.045, 500 * 0.94 / 600).select("image_id", "box_id")
+
+
+@query("SELECT image_id, box_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY y1, x1, box_id) AS INTEGER) AS nth FROM boxes")
+def box_ids(spark, sf_dir):
+    return boxes.number(fx.boxes(spark, sf_dir), ["y1", "x1", "box_id"]).select("image_id", "box_id", "nth")
+
+
+@query("SELECT image_id, box_id, category FROM categorised WHERE category <> 'Noise'")
+def box_drop_noise(spark, sf_dir):
+    return boxes.drop_noise(fx.categorised(spark, sf_dir)).select("image_id", "box_id", "category")
+
+
+@query(
+    """SELECT image_id, box_id, category FROM categorised WHERE (image_id, box_id) NOT IN (
+    SELECT (image_id, CASE WHEN relation = -1 THEN a_box_id ELSE b_box_id END) FROM related
+    WHERE relation = -1 AND cb = 'Image' OR relation = 1 AND ca = 'Image')""",
+    _RELATED,
+)
+def box_drop_inside_images(spark, sf_dir):
+    b = fx.categorised(spark, sf_dir)
+    held = b.join(boxes.containment(b), ["image_id", "box_id"], "left")
+    return boxes.drop_inside_images(held).select("image_id", "box_id", "category")
+
+
+def _merged(merged: DataFrame) -> DataFrame:
+    return merged.select("image_id", "box_id", "x1", "y1", "x2", "y2", F.size("members").alias("n_members"))
+
+
+@query()
+def box_merge_greedy(spark, sf_dir):
+    return _merged(merging.merge_meeting(fx.boxes(spark, sf_dir)))
+
+
+@query()
+def box_merge_close(spark, sf_dir):
+    return _merged(merging.merge_close(fx.boxes(spark, sf_dir)))
+
+
+@query()
+def box_merge_corners(spark, sf_dir):
+    return _merged(merging.merge_corners(fx.boxes(spark, sf_dir), True, (2, 2)))
+
+
+@query()
+def text_merge(spark, sf_dir):
+    return _merged(merging.merge_text(fx.boxes(spark, sf_dir)))
+
+
+# pixels
+
+
+@query("SELECT image_id, y, x, (299 * v + 587 * (v * 3 % 256) + 114 * (v * 7 % 256) + 500) // 1000 AS v FROM raster")
+def px_gray(spark, sf_dir):
+    p = fx.raster(spark, sf_dir)
+    return pixels.gray(p.select("image_id", "y", "x", F.col("v").alias("r"), (F.col("v") * 3 % 256).alias("g"), (F.col("v") * 7 % 256).alias("b")))
+
+
+_STEPS = """
+steps AS (
+  SELECT image_id, y, x, v, abs(COALESCE(lead(v) OVER r, lag(v) OVER r, v) - v) + abs(COALESCE(lead(v) OVER c, lag(v) OVER c, v) - v) AS g
+  FROM raster WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y))"""
+
+
+@query("SELECT image_id, y, x, g % 256 AS v FROM steps", _STEPS)
+def px_gradient(spark, sf_dir):
+    return pixels.gradient(fx.raster(spark, sf_dir))
+
+
+@query("SELECT image_id, y, x, least(g, 255) AS v FROM steps", _STEPS)
+def px_gradient_saturated(spark, sf_dir):
+    return pixels.gradient(fx.raster(spark, sf_dir), saturate=True)
+
+
+@query("SELECT image_id, y, x, CASE WHEN g % 256 > 10 THEN 255 ELSE 0 END AS v FROM steps", _STEPS)
+def px_threshold(spark, sf_dir):
+    return pixels.threshold(pixels.gradient(fx.raster(spark, sf_dir)), 10)
+
+
+@query("SELECT image_id, y, x, CASE WHEN v <= 1 THEN 255 ELSE 0 END AS v FROM raster")
+def px_invert(spark, sf_dir):
+    return pixels.invert(fx.raster(spark, sf_dir))
+
+
+@query(
+    """SELECT image_id, y, x, MIN(v) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS v FROM (
+    SELECT image_id, y, x, MAX(v) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS v FROM stripes)""",
+)
+def px_close(spark, sf_dir):
+    return pixels.close_gaps(fx.stripes(spark, sf_dir))
+
+
+_VALID = """
+holes AS (
+  SELECT image_id, y, x, v, CASE WHEN v > 0 THEN x - max(CASE WHEN v > 0 THEN x END) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 END AS hole FROM stripes),
+valid AS (SELECT image_id, y, COUNT(CASE WHEN v > 0 THEN 1 END) > 0.95 * COUNT(*) AND COALESCE(MAX(hole), 0) <= 5 AS valid FROM holes GROUP BY ALL)"""
+
+
+@query("SELECT image_id, y, valid FROM valid", _VALID)
+def px_valid_rows(spark, sf_dir):
+    return pixels.valid_rows(fx.stripes(spark, sf_dir))
+
+
+@query(
+    "SELECT s.image_id, s.y, s.x, CASE WHEN b.y0 IS NULL THEN s.v ELSE 0 END AS v FROM stripes s LEFT JOIN bands b ON s.image_id = b.image_id AND s.y BETWEEN b.y0 AND b.y1",
+    _VALID
+    + """,
+bands AS (
+  SELECT image_id, MIN(y) AS y0, MAX(y) AS y1 FROM (SELECT image_id, y, y - row_number() OVER (PARTITION BY image_id ORDER BY y) AS run FROM valid WHERE valid)
+  GROUP BY image_id, run HAVING COUNT(*) < 8)""",
+)
+def px_rm_line_simple(spark, sf_dir):
+    return pixels.erase_lines_simple(fx.stripes(spark, sf_dir))
+
+
+@query()
+def px_rm_line_exact(spark, sf_dir):
+    return pixels.erase_lines(fx.stripes(spark, sf_dir))
+
+
+_RUNS = """
+{0}_runs AS (
+  SELECT image_id, {2} AS line, MIN({1}) AS lo, MAX({1}) AS hi FROM (
+    SELECT image_id, y, x, {1} - row_number() OVER (PARTITION BY image_id, {2} ORDER BY {1}) AS run FROM stripes WHERE v > 0)
+  GROUP BY image_id, {2}, run HAVING COUNT(*) > 0.6 * 32),
+{0}_lines AS (SELECT image_id, line, arg_min(lo, lo) AS lo, arg_min(hi, lo) AS hi FROM {0}_runs GROUP BY ALL),
+{0}_bands AS (
+  SELECT image_id, line, lo, hi, COUNT(*) OVER b AS n, MAX(line) OVER b AS last FROM (
+    SELECT *, line - row_number() OVER (PARTITION BY image_id ORDER BY line) AS band FROM {0}_lines) WINDOW b AS (PARTITION BY image_id, band))"""
+
+
+@query(
+    """SELECT s.image_id, s.y, s.x, CASE WHEN r.line IS NULL AND c.line IS NULL THEN s.v ELSE 0 END AS v FROM stripes s
+    LEFT JOIN row_bands r ON r.image_id = s.image_id AND r.line = s.y AND s.x BETWEEN r.lo AND r.hi AND r.n < 8 AND r.last < 31
+    LEFT JOIN column_bands c ON c.image_id = s.image_id AND c.line = s.x AND c.n < 8 AND c.last < 31""",
+    _RUNS.format("row", "x", "y") + "," + _RUNS.format("column", "y", "x"),
+)
+def px_rm_line_v_h(spark, sf_dir):
+    return pixels.erase_lines_both(fx.stripes(spark, sf_dir))
+
+
+@query("SELECT r.image_id, f.box_id, r.y, r.x, r.v FROM raster r JOIN frames f ON r.image_id = f.image_id AND r.x >= f.x1 - 1 AND r.x < f.x2 + 1 AND r.y >= f.y1 - 1 AND r.y < f.y2 + 1")
+def px_clip(spark, sf_dir):
+    return pixels.clip(fx.raster(spark, sf_dir), fx.frames(spark, sf_dir), 1)
+
+
+# regions
+
+#: From each pixel to all that it reaches through lesser pixels' steps; the least of them names the region.
+_REGIONS = """
+edges AS (
+  SELECT a.image_id, a.y * 1048576 + a.x AS p, b.y * 1048576 + b.x AS q FROM {0} a JOIN {0} b ON a.image_id = b.image_id
+    AND (abs(a.x - b.x) + abs(a.y - b.y)) = 1 AND abs(a.v - b.v) <= {1}),
+reach(image_id, p, root) AS (
+  SELECT image_id, y * 1048576 + x, y * 1048576 + x FROM {0}
+  UNION SELECT r.image_id, e.q, r.root FROM reach r JOIN edges e ON r.image_id = e.image_id AND r.p = e.p AND r.root < e.q),
+labels AS (SELECT image_id, p // 1048576 AS y, p % 1048576 AS x, MIN(root) AS comp FROM reach GROUP BY ALL)"""
+_BITS = _REGIONS.format("bits", 0)
+
+
+def _labels(spark, sf_dir):
+    return regions.label(fx.bits(spark, sf_dir))
+
+
+@query("SELECT image_id, y, x, comp FROM labels", _BITS, recursive=True)
+def cc_label(spark, sf_dir):
+    return _labels(spark, sf_dir).select("image_id", "y", "x", "comp")
+
+
+_MEASURES = "SELECT image_id, comp, MIN(x) AS x1, MIN(y) AS y1, MAX(x) AS x2, MAX(y) AS y2, COUNT(*) AS n_pixels, MAX(x) - MIN(x) + 1 AS width, MAX(y) - MIN(y) + 1 AS height FROM labels GROUP BY ALL"
+
+
+@query(_MEASURES, _BITS, recursive=True)
+def cc_bbox(spark, sf_dir):
+    return regions.measure(_labels(spark, sf_dir))
+
+
+_SIDES = "SELECT image_id, comp, 'column' AS side, x AS at, MIN(y) AS lo, MAX(y) AS hi FROM labels GROUP BY ALL UNION ALL SELECT image_id, comp, 'row', y, MIN(x), MAX(x) FROM labels GROUP BY image_id, comp, y"
+
+
+@query(_SIDES, _BITS, recursive=True)
+def cc_boundary(spark, sf_dir):
+    return regions.boundary(_labels(spark, sf_dir))
+
+
+@query(
+    f"SELECT image_id, comp, MAX(thin) > 0.93 AS is_line FROM (SELECT image_id, comp, side, AVG(CASE WHEN hi - lo <= 8 THEN 1.0::DOUBLE ELSE 0 END) AS thin FROM ({_SIDES}) GROUP BY ALL) GROUP BY ALL",
+    _BITS,
+    recursive=True,
+)
+def cc_line(spark, sf_dir):
+    return regions.lines(_labels(spark, sf_dir))
+
+
+@query("SELECT image_id, comp, COUNT(*) AS n_pixels FROM labels GROUP BY ALL HAVING COUNT(*) >= 4", _BITS, recursive=True)
+def cc_size(spark, sf_dir):
+    return regions.large(_labels(spark, sf_dir), 4)
+
+
+@query("SELECT image_id, comp, MIN(y * 100 + x) // 100 AS seed_y, MIN(y * 100 + x) % 100 AS seed_x FROM labels WHERE y % 5 = 0 AND x >= y % 2 AND (x - y % 2) % 2 = 0 GROUP BY ALL", _BITS, recursive=True)
+def cc_seeded(spark, sf_dir):
+    return regions.seeded(_labels(spark, sf_dir))
+
+
+@query()
+def cc_rectangle(spark, sf_dir):
+    return regions.rectangles(_labels(spark, sf_dir), fx.SIDE)
+
+
+@query(_MEASURES + " HAVING COUNT(*) >= 6", _REGIONS.format("raster", 5), recursive=True)
+def nested_regions(spark, sf_dir):
+    return regions.even_areas(fx.raster(spark, sf_dir), 5, 6)
+
+
+@query(
+    """SELECT f.image_id, f.box_id, COALESCE(MAX(s.n), 0) <= 2 AS is_block FROM frames f LEFT JOIN (
+      SELECT image_id, box_id, side, COUNT(*) AS n FROM lines WHERE n_on > 0.15 * length GROUP BY ALL) s USING (image_id, box_id) GROUP BY ALL""",
+    """
+inner_pixels AS (
+  SELECT f.image_id, f.box_id, p.y - f.y1 AS dy, p.x - f.x1 AS dx, f.y2 - f.y1 AS h, f.x2 - f.x1 AS w FROM frames f JOIN stripes p
+    ON p.image_id = f.image_id AND p.v > 0 AND p.x >= f.x1 AND p.x < f.x2 AND p.y >= f.y1 AND p.y < f.y2),
+lines AS (
+  SELECT image_id, box_id, 1 AS side, dy AS at, w AS length, COUNT(*) AS n_on FROM inner_pixels WHERE dy BETWEEN 5 AND 8 GROUP BY ALL
+  UNION ALL SELECT image_id, box_id, 2, dy, w, COUNT(*) FROM inner_pixels WHERE dy BETWEEN h - 8 AND h - 5 GROUP BY ALL
+  UNION ALL SELECT image_id, box_id, 3, dx, h, COUNT(*) FROM inner_pixels WHERE dx BETWEEN 5 AND 8 GROUP BY ALL
+  UNION ALL SELECT image_id, box_id, 4, dx, h, COUNT(*) FROM inner_pixels WHERE dx BETWEEN w - 8 AND w - 5 GROUP BY ALL)""",
+)
+def block_flag(spark, sf_dir):
+    return regions.blocks(fx.stripes(spark, sf_dir), fx.frames(spark, sf_dir), fx.SIDE, fx.SIDE)
+
+
+# vectors
+
+
+def _parts(rows: DataFrame, vec, *keep: str) -> DataFrame:
+    return rows.select(*keep, F.posexplode(vec).alias("i", "y")).select(*keep, F.col("i").cast("long").alias("i"), (F.round("y", 6) + 0.0).alias("y"))
+
+
+@query("SELECT p.vec_id, p.i, round(p.x / sqrt(n.m + 1e-6), 6) + 0.0 AS y FROM parts p JOIN (SELECT vec_id, SUM(x * x) / COUNT(*) AS m FROM parts GROUP BY ALL) n USING (vec_id)")
+def vec_rmsnorm(spark, sf_dir):
+    return _parts(fx.vectors(spark, sf_dir), vectors.rms_norm(F.col("vec")), "vec_id")
+
+
+@query("SELECT vec_id, (i + 32) % 64 AS i, round(CASE WHEN i >= 32 THEN -x ELSE x END, 6) + 0.0 AS y FROM parts")
+def vec_rotate_half(spark, sf_dir):
+    return _parts(fx.vectors(spark, sf_dir), vectors.rotate_half(F.col("vec")), "vec_id")
+
+
+_TURN = """SELECT a.vec_id, a.i, round(a.x * cos(t.t) + CASE WHEN a.i < 32 THEN -b.x ELSE b.x END * sin(t.t), 6) + 0.0 AS y
+  FROM parts a JOIN parts b ON a.vec_id = b.vec_id AND b.i = (a.i + 32) % 64 JOIN turn t ON t.vec_id = a.vec_id AND t.i = a.i"""
+
+
+@query(_TURN, "\nturn AS (SELECT vec_id, i, pos % 64 * pow(1e6::DOUBLE, -2.0::DOUBLE * (i % 32) / 64) AS t FROM parts)")
+def vec_rope_1d(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir)
+    return _parts(v, vectors.rotate(F.col("vec"), vectors.angles_1d(F.col("pos") % 64, 64, 1e6)), "vec_id")
+
+
+@query(_TURN, "\nturn AS (SELECT vec_id, i, CASE WHEN i < 32 THEN pos // 16 % 16 ELSE pos % 16 END * pow(1e4::DOUBLE, -2.0::DOUBLE * (i % 16) / 32) AS t FROM parts)")
+def vec_rope_2d(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir)
+    angles = vectors.angles_2d(F.floor(F.col("pos") / 16) % 16, F.col("pos") % 16, 64)
+    return _parts(v, vectors.rotate(F.col("vec"), angles), "vec_id")
+
+
+_W = "((o * 31 + i * 17 + {0} * 7) % 13 - 6) / 64.0::DOUBLE"
+
+
+@query(f"SELECT vec_id, o AS i, round(SUM(x * {_W.format(1)}), 6) + 0.0 AS y FROM parts, (SELECT range AS o FROM range(16)) GROUP BY vec_id, o")
+def vec_linear(spark, sf_dir):
+    return _parts(fx.vectors(spark, sf_dir), vectors.linear(F.col("vec"), 16, 1), "vec_id")
+
+
+@query(
+    f"SELECT vec_id, o AS i, round(SUM(z * {_W.format(3)}), 6) + 0.0 AS y FROM hidden, (SELECT range AS o FROM range(8)) GROUP BY vec_id, o",
+    f"""
+gates AS (SELECT vec_id, o, SUM(x * {_W.format(1)}) AS g, SUM(x * {_W.format(2)}) AS u FROM parts, (SELECT range AS o FROM range(24)) GROUP BY vec_id, o),
+hidden AS (SELECT vec_id, o AS i, g / (1 + exp(-g)) * u AS z FROM gates)""",
+)
+def vec_swiglu(spark, sf_dir):
+    return _parts(fx.vectors(spark, sf_dir), vectors.swiglu(F.col("vec"), 8, 24), "vec_id")
+
+
+@query(
+    """SELECT image_id, box_id, r.range * 16 + c.range AS patch FROM boxes JOIN range(16) r ON r.range * 600 >= y1 * 15 AND r.range * 600 <= y2 * 15
+    JOIN range(16) c ON c.range * 800 >= x1 * 15 AND c.range * 800 <= x2 * 15""",
+)
+def box_mask(spark, sf_dir):
+    return sequences.box_mask(fx.boxes(spark, sf_dir), 16, fx.WIDTH, fx.HEIGHT)
+
+
+def _attention_sql(kv_heads: int) -> str:
+    return f"""
+scores AS (
+  SELECT q.seq, q.pos AS qpos, k.pos AS kpos, q.i // 16 AS head, SUM(q.x * k.x) / 4 AS s FROM parts q JOIN parts k
+    ON q.seq = k.seq AND k.pos <= q.pos AND k.i = q.i // 16 // (4 // {kv_heads}) * 16 + q.i % 16 GROUP BY ALL),
+shares AS (SELECT seq, qpos, kpos, head, exp(s - MAX(s) OVER w) AS e FROM scores WINDOW w AS (PARTITION BY seq, qpos, head)),
+outs AS (
+  SELECT s.seq, s.qpos AS pos, s.head, v.i % 16 AS i, SUM(s.e * v.x) / SUM(s.e) AS o FROM shares s JOIN parts v
+    ON v.seq = s.seq AND v.pos = s.kpos AND v.i // 16 = s.head // (4 // {kv_heads}) GROUP BY ALL)"""
+
+
+_OUT = "SELECT seq, pos, CAST(head AS INTEGER) AS head, i, round(o, 6) + 0.0 AS y FROM outs"
+
+
+@query(_OUT, _attention_sql(4))
+def attn_masked(spark, sf_dir):
+    return _parts(sequences.attention(fx.vectors(spark, sf_dir), 4), F.col("out"), "seq", "pos", "head")
+
+
+@query(_OUT, _attention_sql(2))
+def attn_gqa(spark, sf_dir):
+    return _parts(sequences.attention(fx.vectors(spark, sf_dir), 4, 2), F.col("out"), "seq", "pos", "head")
+
+
+@query(
+    """SELECT v.label AS image_id, v.vec_id AS box_idx, CAST(s.range AS INTEGER) AS slot, CASE s.range WHEN 0 THEN v.vec_id WHEN 1 THEN e.lo ELSE e.hi END AS source
+    FROM vectors v JOIN (SELECT label, MIN(vec_id) AS lo, MAX(vec_id) AS hi FROM vectors GROUP BY ALL) e USING (label) CROSS JOIN range(3) s""",
+)
+def triples(spark, sf_dir):
+    t = _triples(spark, sf_dir)
+    return t.select("image_id", "box_idx", "slot", F.col("vec.source").alias("source"))
+
+
+def _triples(spark, sf_dir) -> DataFrame:
+    """A triple for each vector: itself, its label's first and its label's last vector."""
+    e = fx.table(spark, sf_dir, "embeddings")
+    one = F.struct(F.col("vec_id").alias("source"), vectors.doubles(F.col("embedding")).alias("x"))
+    rows = e.select(F.col("label").cast("long").alias("image_id"), F.col("vec_id").alias("box_idx"), one.alias("vec"))
+    ends = rows.groupBy("image_id").agg(F.min_by("vec", "box_idx").alias("lo"), F.max_by("vec", "box_idx").alias("hi"))
+    return sequences.triples(rows, ends.select("image_id", F.col("lo").alias("vec")), ends.select("image_id", F.col("hi").alias("vec")))
+
+
+@query()
+def vec_gelu_projector(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir).select("vec_id", "vec")
+    return _parts(models.project_vectors(v, "vec_id", 32, 8), F.col("vec"), "vec_id")
+
+
+@query()
+def encoder_forward(spark, sf_dir):
+    """Each label's first 16 vectors as the patches of an image, with two boxes."""
+    v = fx.vectors(spark, sf_dir).filter("pos < 16").groupBy(F.col("label").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "vec"))).alias("p"))
+    two = F.array(F.array(*map(F.lit, (0.1, 0.1, 0.7, 0.4))), F.array(*map(F.lit, (0.0, 0.0, 1.0, 1.0))))
+    images_ = v.filter(F.size("p") == 16).select("image_id", F.col("p.vec").alias("patches"), two.alias("boxes"))
+    return _parts(models.encode_images(images_), F.col("vec"), "image_id", "tok")
+
+
+@query()
+def fuser_forward(spark, sf_dir):
+    t = _triples(spark, sf_dir).select("image_id", "box_idx", "slot", F.col("vec.x").alias("vec"))
+    return _parts(models.fuse_triples(t), F.col("vec"), "image_id", "box_idx")
+
+
+# results
+
+
+@query('SELECT image_id, box_id AS id, category, x1 AS column_min, y1 AS row_min, x2 AS column_max, y2 AS row_max, x2 - x1 AS width, y2 - y1 AS height FROM categorised')
+def result_json_roundtrip(spark, sf_dir):
+    return results.from_documents(results.to_documents(fx.categorised(spark, sf_dir), fx.WIDTH, fx.HEIGHT))
+
+
+@query(
+    """SELECT r.image_id, CAST(y.range AS BIGINT) AS y, CAST(x.range AS BIGINT) AS x, r.v FROM raster r JOIN range(20) y ON r.y = y.range * 32 // 20 JOIN range(20) x ON r.x = x.range * 32 // 20""",
+)
+def px_resize(spark, sf_dir):
+    return images.resize(fx.raster(spark, sf_dir), fx.SIDE, fx.SIDE, 20)
+
+
+__all__ = ["QUERIES", "ORACLE_SQL"]
