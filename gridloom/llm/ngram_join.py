@@ -10,21 +10,24 @@ differ in floor(|A| / 4) = H places at most; so, whichever segments A looks at,
 if the differences allowed in them (0 for an equal subset, 1 if one-deletion
 neighbourhoods are compared too) sum up, each plus one, to H + 1 or more, then
 one segment at least keeps within what it is allowed.  A set is therefore
-indexed by the subsets of all segments of its own band's partition and of that
-one below; and it looks, in its own band's, at the cheapest segments that
-reach H + 1.  The cost is the expected length of the list: empty subsets and
-those found often in a sample come last; before them, one-deletion
-neighbourhoods (which all sets index for the first few segments of a
-partition) raise what other segments are allowed.  The allocation never
-changes the result, only the work.
+indexed by the subsets of all segments of its own band's partition and of the
+one below, and for the first few segments by their one-deletion neighbourhoods
+too.  A partition has more segments than H + 1, so a set need not look at all.
+
+What a look costs is known once the lists are gathered: short lists are free,
+so every set looks at them.  The long ones (empty subsets, boilerplate) are
+told to the sets that are in them; a set whose short lists reach H + 1 leaves
+its long ones alone, others add their shortest ones until they reach it.  The
+allocation never changes the result, only the work.
 
 Entries travel packed, some bytes each, to buckets of bounded size; an entry's
-subset that is known to be frequent is dealt over several buckets.  In a list,
-all members are compared with one pivot; where the members are still in
-different components after that, all pairs across components are compared.  So
-no link between components is lost, and a list of near copies costs no more
-than its length.  Every comparison is exact, on the whole sets.  Documents
-with equal sets are one class, compared once if there are many of them.
+subset that is expected in very many sets is dealt over several buckets.  In a
+list, all members are compared with one pivot; where members are still in
+different components after that, all pairs across components are compared,
+but those whose counts of shingles by hash bin already differ by more than a
+link allows.  So no link between components is lost, and a list of near copies
+costs no more than its length.  Every comparison is exact, on the whole sets.
+Documents with equal sets are one class, compared once if there are many.
 
 Defined cases: null and empty texts, and those without words, have no set and
 link with nothing; fewer than five words make one shingle; rows with one
@@ -41,6 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import words as w
 from .common import cut, shuffle_partitions, small
@@ -48,18 +52,22 @@ from .graph import components
 
 WORDS = 5
 SIMILARITY = (80, 100)
-#: Segments beyond H + 1, as a share, and segments with one-deletion neighbourhoods.
-SLACK, DELETIONS = 0.12, 0.03
-#: Documents of the cost sample; a subset is frequent if so many of them hold it; frequent subsets known at most.
-SAMPLE, FREQUENT, FREQUENT_MOST = 10_000, 12, 100_000
+#: Segments beyond H + 1, as a share and a number; share of segments with one-deletion neighbourhoods.
+SLACK, MORE, DELETIONS = 0.12, 3, 0.03
+#: A list of more sets is long, and one of empty subsets always.
+LONG = 16
+#: Bins of the counts that tell sets apart; looking members of a long list that are compared together.
+BINS, TOGETHER = 128, 2000
+#: Documents of the sample that tells which lists are dealt over several buckets, of so many entries each.
+SAMPLE, SPREAD, SPREAD_MOST = 10_000, 50_000, 100_000
 #: Classes of equal sets that are compared through one document: the largest ones, of so many documents at least.
 CLASSES, CLASS_LEAST = 100_000, 4
-#: Entries of a bucket, about; a frequent subset is dealt over as many buckets as hold so many of its entries each.
+#: Entries of a bucket, about.
 BUCKET = 1_500_000
-SPREAD = 50_000
 IDS_BROADCAST = 500_000
-_EXACT, _DELETED, _LOOKS = np.uint64(0), np.uint64(2), np.uint64(1)
-_FLAGS = np.uint64(3)
+#: Flags in a signature's low bits: its set may look here; a neighbourhood, not the subset; a subset that has neighbourhoods; the empty subset.
+_LOOKS, _DELETED, _RAISED, _EMPTY = np.uint64(1), np.uint64(2), np.uint64(4), np.uint64(8)
+_FLAGS = np.uint64(15)
 
 
 # sets
@@ -96,16 +104,35 @@ def _sums(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 
 def _describe(batches):
-    """doc_id, n, and two sums over the set that tell it from others."""
+    """doc_id, n, two sums over the set that tell it from others, weights to spare, and the counts of its shingles by bin."""
     for batch in batches:
-        n, one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        made = [[] for _ in range(5)]
         for _, raw, ends in w.pieces(batch["text"]):
             of, s = shingles(raw, ends)
-            n.append(np.bincount(of, minlength=len(ends) - 1))
-            one.append(_sums(w.mix(s ^ np.uint64(0x1111)), of, len(ends) - 1))
-            two.append(_sums(w.mix(s ^ np.uint64(0x2222)), of, len(ends) - 1))
-        n, one, two = (np.concatenate(x) for x in (n, one, two))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "n", "one", "two"])
+            texts = len(ends) - 1
+            n = np.bincount(of, minlength=texts)
+            counts = np.bincount(of * BINS + (w.mix(s ^ np.uint64(0x3333)) >> np.uint64(57)).astype(np.int64), minlength=texts * BINS)
+            counts = np.minimum(counts, 255).astype(np.uint8).reshape(texts, BINS)
+            made[0].append(n)
+            made[1].append(_sums(w.mix(s ^ np.uint64(0x1111)), of, texts).view(np.int64))
+            made[2].append(_sums(w.mix(s ^ np.uint64(0x2222)), of, texts).view(np.int64))
+            made[3].append(_spare(s, of, n))
+            made[4] += [c.tobytes() for c in counts]
+        arrays = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)) for x in made[:4]]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays, pa.array(made[4], pa.binary())], ["doc_id", "n", "one", "two", "spare", "bins"])
+
+
+def _spare(s, of, n):
+    """Weights that a set has in its own band's partition beyond those that it needs."""
+    least = bands(int(n.max(initial=0)))
+    band = np.searchsorted(least, np.maximum(n, 1), side="right") - 1
+    m, deletions = segments(band, least)
+    first = np.concatenate([[0], np.cumsum(m)])
+    at = first[of] + _places(s, band[of], m[of])
+    size = np.bincount(at, minlength=int(first[-1]))
+    text = np.repeat(np.arange(len(n)), m)
+    raised = (np.arange(len(text)) - first[text] < deletions[text]) & (size > 1)
+    return m + np.bincount(text, weights=raised, minlength=len(n)).astype(np.int64) - (n // 4 + 1)
 
 
 def _sets(batches):
@@ -133,17 +160,21 @@ def bands(largest: int) -> np.ndarray:
 def segments(band: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of segments, number of them with one-deletion neighbourhoods) of the bands' partitions."""
     need = (least[band + 1] - 1) // 4 + 1
-    m = np.where(need > 1, np.ceil(need * (1 + SLACK)).astype(np.int64) + 1, 1)
+    m = np.where(need > 1, np.ceil(need * (1 + SLACK)).astype(np.int64) + MORE, 1)
     return m, np.where(need > 1, np.ceil(m * DELETIONS).astype(np.int64) + 1, 0)
 
 
+def _places(s, band, m):
+    """The segment of each shingle in its band's partition of m segments."""
+    seed = w.mix(band.astype(np.uint64) + np.uint64(77))
+    return (((w.mix(s ^ seed) >> np.uint64(32)) * m.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+
+
 def _subsets(s, of, band, least):
     """Of each text's partition of `band`: (segment of each shingle, first segment of each text, sizes and signatures of the subsets, band and place of each segment, its text)."""
     m, _ = segments(band, least)
     first = np.concatenate([[0], np.cumsum(m)])
-    seed = w.mix(band.astype(np.uint64) + np.uint64(77))
-    place = ((w.mix(s ^ seed[of]) >> np.uint64(32)) * m[of].astype(np.uint64)) >> np.uint64(32)
-    at = first[of] + place.astype(np.int64)
+    at = first[of] + _places(s, band[of], m[of])
     total = int(first[-1])
     size = np.bincount(at, minlength=total)
     sums = _sums(w.mix(s), at, total)
@@ -156,8 +187,8 @@ def _signature(sums, salt):
     return w.mix(sums + salt) & ~_FLAGS
 
 
-def entries(s: np.ndarray, of: np.ndarray, n: np.ndarray, least: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(signature with flags, text) of everything that texts index and look for; n: sizes of their sets."""
+def entries(s: np.ndarray, of: np.ndarray, n: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signature with flags, text) of everything that texts index; n: sizes of their sets."""
     band = np.searchsorted(least, n, side="right") - 1
     large = n > 3  # smaller sets link with equal ones only
     out_sig, out_text = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -172,52 +203,28 @@ def entries(s: np.ndarray, of: np.ndarray, n: np.ndarray, least: np.ndarray, fre
         b = band[texts] - below
         at, first, size, sums, salt, text = _subsets(ss, oo, b, least)
         _, deletions = segments(b, least)
-        place = np.arange(len(text)) - first[text]
-        neighbours = (place < deletions[text]) & (size > 1)
-        sig = _signature(sums, salt)
-        looks, raised = np.zeros(len(sig), bool), np.zeros(len(sig), bool)
-        if not below:
-            often = np.zeros(len(sig), np.int64)
-            if len(frequent[0]):
-                k = np.minimum(np.searchsorted(frequent[0], sig), len(frequent[0]) - 1)
-                often = np.where(frequent[0][k] == sig, frequent[1][k], 0)
-            cost = np.where(often > 0, 1000 * often, np.where(size == 0, 1 << 50, np.maximum(1, 4 - size)))
-            need = n[texts] // 4 + 1
-            order = np.lexsort((cost, text))  # the segments of a text, cheap ones first
-            rank = np.empty_like(order)
-            rank[order] = np.arange(len(order))
-            rank -= first[text]
-            fair = cost < 1000
-            n_fair = np.bincount(text, weights=fair, minlength=len(texts)).astype(np.int64)
-            missing = np.maximum(0, need - n_fair)
-            # one more difference allowed in so many segments as are missing
-            can = neighbours & fair
-            nth = np.cumsum(can) - can
-            nth -= np.maximum.accumulate(np.where(place == 0, nth, 0))
-            raised = can & (nth < missing[text])
-            missing -= np.bincount(text, weights=raised, minlength=len(texts)).astype(np.int64)
-            looks = rank < np.where(n_fair < need, n_fair + missing, need)[text]
-        out_sig.append(sig | np.where(looks, _LOOKS, np.uint64(0)))
+        raised = (np.arange(len(text)) - first[text] < deletions[text]) & (size > 1)
+        looks = np.uint64(0) if below else _LOOKS
+        out_sig.append(_signature(sums, salt) | looks | np.where(raised, _RAISED, np.uint64(0)) | np.where(size == 0, _EMPTY, np.uint64(0)))
         out_text.append(texts[text])
-        deleted = neighbours[at]
+        deleted = raised[at]
         a = at[deleted]
-        gone = _signature(sums[a] - w.mix(ss[deleted]), salt[a])
-        out_sig.append(gone | _DELETED | np.where(raised[a], _LOOKS, np.uint64(0)))
+        out_sig.append(_signature(sums[a] - w.mix(ss[deleted]), salt[a]) | _DELETED | looks)
         out_text.append(texts[text[a]])
     return np.concatenate(out_sig), np.concatenate(out_text)
 
 
-def _index(least, frequent, spread, classes, n_buckets, sampling=False):
-    """Batches of (bucket, packed signatures, packed doc_ids); with `sampling`, of the signatures looked for."""
+def _index(least, dealt, classes, n_buckets, sampling=False):
+    """Batches of (bucket, packed signatures, packed doc_ids); with `sampling`, of the signatures."""
 
     def flush(held):
         sig, ids = (np.concatenate(x) for x in zip(*held))
         plain = sig & ~_FLAGS
-        bucket = (plain >> np.uint64(2)) % np.uint64(n_buckets)
-        if len(frequent[0]):
-            k = np.minimum(np.searchsorted(frequent[0], plain), len(frequent[0]) - 1)
-            salt = w.mix(ids.view(np.uint64)) % spread[k].astype(np.uint64)
-            bucket = np.where(frequent[0][k] == plain, (bucket + salt) % np.uint64(n_buckets), bucket)
+        bucket = (plain >> np.uint64(4)) % np.uint64(n_buckets)
+        if len(dealt[0]):
+            k = np.minimum(np.searchsorted(dealt[0], plain), len(dealt[0]) - 1)
+            salt = w.mix(ids.view(np.uint64)) % dealt[1][k].astype(np.uint64)
+            bucket = np.where(dealt[0][k] == plain, (bucket + salt) % np.uint64(n_buckets), bucket)
         order = np.argsort(bucket.astype(np.int32), kind="stable")
         bucket, sig, ids = bucket[order], sig[order], ids[order]
         there, at = np.unique(bucket, return_index=True)
@@ -239,7 +246,7 @@ def _index(least, frequent, spread, classes, n_buckets, sampling=False):
                     keep = ~own[of]
                     s, of = s[keep], of[keep]
                     n = np.where(own, 0, n)
-                sig, text = entries(s, of, n, least, frequent)
+                sig, text = entries(s, of, n, least)
                 if sampling:
                     yield pa.RecordBatch.from_arrays([pa.array((sig & ~_FLAGS).view(np.int64))], ["sig"])
                     continue
@@ -257,9 +264,9 @@ def _index(least, frequent, spread, classes, n_buckets, sampling=False):
 # candidates
 
 
-def _lists(frequent):
-    """From a bucket's entries: pairs with the pivot (kind 0: a, b), lists of three and more (1: list, members), pivots of lists dealt over buckets (2: list, a)."""
-    schema = pa.schema([("kind", pa.int32()), ("list", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("members", pa.list_(pa.int64()))])
+def _lists(dealt):
+    """From a bucket's entries: pairs with the pivots of short lists (kind 0: a, b), short lists of three and more (1: list, members), long lists (2: list, members, looks: 0 may not look, 1 subset, 2 subset with neighbourhoods, 3 neighbourhood)."""
+    schema = pa.schema([("kind", pa.int32()), ("list", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("members", pa.list_(pa.int64())), ("looks", pa.list_(pa.int32()))])
 
     def run(table: pa.Table) -> pa.Table:
         sig = np.concatenate([np.frombuffer(x, np.uint64) for x in table["sigs"].to_pylist()])
@@ -267,47 +274,72 @@ def _lists(frequent):
         plain = sig & ~_FLAGS
         order = np.argsort(plain, kind="stable")
         sig, ids, plain = sig[order], ids[order], plain[order]
-        new = np.concatenate([[True], plain[1:] != plain[:-1]])
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(np.concatenate([[True], plain[1:] != plain[:-1]]))
         length = np.diff(np.append(first, len(plain)))
-        looked = np.add.reduceat((sig & _LOOKS).astype(np.int64), first) > 0
-        dealt = np.isin(plain[first], frequent[0])
-        kind, of, a, b, members = [], [], [], [], []
+        several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+        subset = np.maximum.reduceat(((sig & _DELETED) == 0).astype(np.int8), first) > 0
+        empty = (sig[first] & _EMPTY) > 0  # so many that each counts as long
+        split = np.isin(plain[first], dealt[0])
+        kind, of, members, looks = [], [], [], []
         pairs = [np.zeros((0, 2), np.int64)]
-        for at in np.flatnonzero((length > 1) & looked | dealt):
+        for at in np.flatnonzero(several & subset | split):
             part = slice(first[at], first[at] + length[at])
-            own, flags = ids[part], sig[part] & _FLAGS
-            looking = flags & _LOOKS > 0
-            exact = looking & (flags & _DELETED == 0)
-            name = int(plain[part.start].view(np.int64))
-            if dealt[at]:
-                pivots = own[exact] if exact.any() else own
-                kind.append(2), of.append(name), a.append(int(pivots.min())), b.append(0), members.append(None)
-            elif not looking.any():
+            own, flags = ids[part], sig[part]
+            if split[at] or empty[at] or length[at] > LONG:
+                code = np.where(flags & _LOOKS == 0, 0, np.where(flags & _DELETED > 0, 3, np.where(flags & _RAISED > 0, 2, 1)))
+                kind.append(2), of.append(int(plain[part.start].view(np.int64))), members.append(own), looks.append(code.astype(np.int32))
                 continue
-            else:
-                pivots = own[exact] if exact.any() else own[looking]
-            pivot = pivots.min()
+            pivot = own[flags & _DELETED == 0].min()
             others = np.unique(own[own != pivot])
-            if not len(others):
-                if dealt[at]:
-                    kind.append(1), of.append(name), a.append(0), b.append(0), members.append([int(pivot)])
-                continue
             pairs.append(np.stack([np.full(len(others), pivot), others], axis=1))
-            if len(others) > 1 or dealt[at]:
-                everyone = np.append(others, pivot)
-                if not dealt[at]:  # lists with the same members count once
-                    name = int(_sums(w.mix(everyone.view(np.uint64)), np.zeros(len(everyone), int), 1).view(np.int64)[0])
-                kind.append(1), of.append(name), a.append(0), b.append(0), members.append(everyone)
-        both = np.unique(np.concatenate(pairs), axis=0)
-        both.sort(axis=1)
-        n = len(both)
-        arrays = [np.concatenate([np.zeros(n, int), np.array(kind, dtype=int)]), np.concatenate([np.zeros(n, int), np.array(of, dtype=np.int64)]), np.concatenate([both[:, 0], np.array(a, dtype=np.int64)]), np.concatenate([both[:, 1], np.array(b, dtype=np.int64)])]
-        return pa.table([*(pa.array(x, f.type) for x, f in zip(arrays, schema)), pa.array([None] * n + members, schema.field("members").type)], schema=schema)
+            if len(others) > 1:  # lists with the same members count once
+                everyone = np.sort(np.append(others, pivot))
+                name = int(_sums(w.mix(everyone.view(np.uint64)), np.zeros(len(everyone), int), 1).view(np.int64)[0])
+                kind.append(1), of.append(name), members.append(everyone), looks.append(None)
+        both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+        n, more = len(both), np.zeros(len(kind), np.int64)
+        arrays = [np.concatenate([np.zeros(n, int), np.array(kind, dtype=int)]), np.concatenate([np.zeros(n, int), np.array(of, dtype=np.int64)]), np.concatenate([both[:, 0], more]), np.concatenate([both[:, 1], more])]
+        return pa.table([*(pa.array(x, f.type) for x, f in zip(arrays, schema)), pa.array([None] * n + members, schema.field("members").type), pa.array([None] * n + looks, schema.field("looks").type)], schema=schema)
 
     return run
 
 
+def allocate(long: DataFrame, known: DataFrame) -> DataFrame:
+    """(list, doc) of the looks at long lists that sets need: long (list, doc, look, size), known (doc_id, spare)."""
+    may = long.filter("look > 0").select("list", "doc", "size", (F.col("look") == 3).alias("neighbour"), F.when(F.col("look") == 2, 2).otherwise(1).alias("weight"))
+    order = Window.partitionBy("doc").orderBy("neighbour", "size", "list")
+    whole = Window.partitionBy("doc")
+    may = may.withColumn("nth", F.row_number().over(order)).withColumn("lost", F.sum("weight").over(whole)).withColumn("subsets", F.sum((~F.col("neighbour")).cast("int")).over(whole))
+    may = may.join(known.groupBy("doc_id").agg(F.min("spare").alias("spare")), F.col("doc") == F.col("doc_id"))
+    missing = F.col("lost") - F.col("spare")
+    return may.filter((missing > 0) & ((F.col("nth") <= missing) | (F.col("subsets") < missing))).select("list", "doc").distinct()
+
+
+def _apart(table: pa.Table) -> pa.Table:
+    """For each of many lists: pairs of members in different components, one of which looks, that sizes and counts by bin don't tell apart."""
+    table = table.sort_by([("list", "ascending"), ("part", "ascending")])
+    lists, parts, docs, cs, ns = (table[x].to_numpy() for x in ("list", "part", "doc", "c", "n"))
+    look = table["looks"].to_numpy(zero_copy_only=False)
+    counts = np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
+    new = np.concatenate([[True], (lists[1:] != lists[:-1]) | (parts[1:] != parts[:-1])])
+    first = np.flatnonzero(new)
+    out = [np.zeros((0, 2), np.int64)]
+    for a, b in zip(first, np.append(first[1:], len(lists))):
+        doc, c, n, bins = docs[a:b], cs[a:b], ns[a:b], counts[a:b].astype(np.int16)
+        looks = np.flatnonzero(look[a:b])
+        step = max(1, 2_000_000 // (b - a) // BINS)
+        for at in range(0, len(looks), step):
+            x = looks[at : at + step]
+            gap = np.abs(bins[x][:, None, :] - bins[None, :, :]).sum(axis=2, dtype=np.int32)
+            # |A ^ B| is at least the gap, and at most (|A| + |B|) / 9 if they link
+            both = n[x][:, None] + n
+            near = (gap * 9 <= both) & (c[x][:, None] != c) & (5 * np.minimum(n[x][:, None], n) >= 4 * np.maximum(n[x][:, None], n))
+            i, j = np.nonzero(near)
+            out.append(np.stack([doc[x[i]], doc[j]], axis=1))
+    pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
 def _agree(batches):
     """The pairs whose sets are alike enough."""
     for batch in batches:
@@ -334,11 +366,27 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(both.mapInArrow(_agree, "a long, b long").distinct())
 
 
+def _dealt(docs: DataFrame, n_docs: int, least, many) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, number of buckets) of lists that a bounded sample expects to hold more than SPREAD entries."""
+    share = min(1.0, SAMPLE / n_docs)
+    if n_docs <= SPREAD:  # no list can be as long
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    expected = max(3, SPREAD * share)
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
+    often = sample.mapInArrow(_index(least, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), many, 1, sampling=True), "sig long").groupBy("sig").count().filter(F.col("count") >= expected)
+    often = often.orderBy(F.desc("count"), "sig").limit(SPREAD_MOST).toArrow()
+    sigs, counts = often["sig"].to_numpy().view(np.uint64), often["count"].to_numpy()
+    parts = np.ceil(counts / share / SPREAD).astype(np.int64)
+    sigs, parts = sigs[parts > 1], parts[parts > 1]
+    order = np.argsort(sigs, kind="stable")
+    return sigs[order], parts[order]
+
+
 def join(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each document."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = cut(docs.mapInArrow(_describe, "doc_id long, n long, one long, two long"))
+    known = cut(docs.mapInArrow(_describe, "doc_id long, n long, one long, two long, spare long, bins binary"))
     identified = known.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     totals = identified.agg(F.max("n").alias("largest"), F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("docs")).first()
     result = known.select("doc_id", F.col("n").alias("n_shingles"))
@@ -350,41 +398,37 @@ def join(documents: DataFrame) -> DataFrame:
     large = classes.filter(F.col("copies") >= CLASS_LEAST).orderBy(F.desc("copies"), "least").limit(CLASSES).select("one", "n", "least").toArrow().sort_by("one")
     many = tuple(large[c].to_numpy() for c in ("one", "n", "least"))
     least = bands(int(totals["largest"]))
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    # what subsets a bounded sample of the documents often holds
     identifiable = docs.filter(F.col("doc_id").isNotNull())
-    share = min(1.0, SAMPLE / totals["docs"])
-    sample = identifiable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
-    often = sample.mapInArrow(_index(least, none, none[1], many, 1, sampling=True), "sig long").groupBy("sig").count().filter(F.col("count") >= FREQUENT)
-    often = often.orderBy(F.desc("count"), "sig").limit(FREQUENT_MOST).toArrow()
-    sigs = often["sig"].to_numpy().view(np.uint64)
-    order = np.argsort(sigs, kind="stable")
-    frequent = (sigs[order], often["count"].to_numpy()[order])
-    spread = np.maximum(1, np.ceil(frequent[1] / share / SPREAD).astype(np.int64))
     n_buckets = max(shuffle_partitions(spark), math.ceil(totals["shingles"] * 0.75 / BUCKET))
-    packed = identifiable.mapInArrow(_index(least, frequent, spread, many, n_buckets), "bucket int, sigs binary, ids binary")
-    wide = frequent[0][spread > 1]
-    found = cut(packed.groupBy("bucket").applyInArrow(_lists((wide,)), "kind int, list long, a long, b long, members array<long>"))
-    lists = found.filter("kind = 1").select("list", "members")
-    pivots = found.filter("kind = 2").select("list", "a").distinct()
-    across = pivots.join(pivots.groupBy("list").agg(F.min("a").alias("b")), "list").select("a", "b").filter("a != b")
+    dealt = _dealt(identifiable, totals["docs"], least, many)
+    packed = identifiable.mapInArrow(_index(least, dealt, many, n_buckets), "bucket int, sigs binary, ids binary")
+    found = cut(packed.groupBy("bucket").applyInArrow(_lists(dealt), "kind int, list long, a long, b long, members array<long>, looks array<int>"))
+    # long lists: who needs to look at which
+    long = found.filter("kind = 2")
+    sizes = long.groupBy("list").agg(F.sum(F.size("members")).alias("size")).select(F.col("list").alias("l"), "size")
+    each = long.select("list", F.explode(F.arrays_zip("members", "looks")).alias("x")).select("list", F.col("x.members").alias("doc"), F.col("x.looks").alias("look"))
+    looks = cut(allocate(each.join(sizes, F.col("list") == F.col("l")).select("list", "doc", "look", "size"), identified))
+    pivots = looks.groupBy("list").agg(F.min("doc").alias("pivot")).select(F.col("list").alias("l"), "pivot")
+    seen_long = cut(each.join(pivots, F.col("list") == F.col("l")).select("list", "doc", "pivot").distinct())
     ordered = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = cut(ordered(found.filter("kind = 0").select("a", "b").union(across)))
+    star = seen_long.filter("doc != pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
+    pairs = cut(ordered(found.filter("kind = 0").select("a", "b").union(star)))
     links = cut(copies.union(verify(identifiable, pairs)))
     found_components = cut(components(links))
-    # lists whose members are still apart: all pairs across components that haven't been compared
-    seen = lists.dropDuplicates(["list", "members"]).select("list", F.explode("members").alias("doc")).distinct()
-    own = found_components.select(F.col("node"), F.col("component"))
-    seen = cut(seen.join(own, F.col("doc") == F.col("node"), "left").select("list", "doc", F.coalesce("component", "doc").alias("c")))
-    apart = seen.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select(F.col("list").alias("l"))
-    seen = cut(seen.join(apart, F.col("list") == F.col("l"), "left_semi"))
-    sizes = identified.groupBy("doc_id").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
-    seen = seen.join(sizes, F.col("doc") == F.col("doc_id")).select("list", "doc", "c", "n_lo", "n_hi")
-    x, y = (seen.select(*[F.col(c).alias(f"{c}_{s}") for c in seen.columns]) for s in "xy")
-    alike = (F.col("n_hi_x") * SIMILARITY[1] >= F.col("n_lo_y") * SIMILARITY[0]) & (F.col("n_hi_y") * SIMILARITY[1] >= F.col("n_lo_x") * SIMILARITY[0])
-    more = x.join(y, (F.col("list_x") == F.col("list_y")) & (F.col("c_x") != F.col("c_y")) & (F.col("doc_x") < F.col("doc_y")) & alike)
-    more = more.select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(more)
+    # lists whose members are still apart: pairs across components that haven't been compared
+    short = found.filter("kind = 1").dropDuplicates(["list", "members"]).select("list", F.explode("members").alias("doc"))
+    seen = short.withColumn("looks", F.lit(True)).union(seen_long.select("list", "doc").join(looks.withColumn("looks", F.lit(True)), ["list", "doc"], "left").select("list", "doc", F.coalesce("looks", F.lit(False))))
+    seen = cut(seen.join(found_components, F.col("doc") == F.col("node"), "left").select("list", "doc", "looks", F.coalesce("component", "doc").alias("c")))
+    apart = seen.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(F.col("looks").cast("int")).alias("n_looks")).filter("lo != hi")
+    # many looking members are dealt over parts, each with all members
+    apart = apart.select(F.col("list").alias("l"), F.ceil(F.col("n_looks") / TOGETHER).cast("int").alias("parts"))
+    seen = seen.join(apart, F.col("list") == F.col("l")).select("list", "doc", "looks", "c", "parts")
+    plain = identified.select("doc_id", "n", "bins").distinct()
+    seen = seen.join(plain, F.col("doc") == F.col("doc_id")).select("list", "doc", "looks", "c", "n", "bins", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    own = F.col("looks") & (F.pmod(F.xxhash64("doc"), F.col("parts")) == F.col("part"))
+    some = F.pmod(F.xxhash64("list", "part"), F.lit(n_buckets * 4))  # lists are small; a task takes many
+    more = seen.withColumn("looks", own).groupBy(some.alias("some")).applyInArrow(_apart, "a long, b long")
+    more = cut(more.distinct().join(pairs, ["a", "b"], "left_anti"))
     if more.count():
         more = verify(identifiable, more)
         if more.count():
