@@ -184,7 +184,8 @@ def _subsets(s, of, band, least):
 
 
 def _signature(sums, salt):
-    return w.mix(sums + salt) & ~_FLAGS
+    """44 bits of hash above the flags' four; two subsets that share one by chance cost a comparison."""
+    return (w.mix(sums + salt) >> np.uint64(16)) & ~_FLAGS
 
 
 def entries(s: np.ndarray, of: np.ndarray, n: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,12 +226,17 @@ def _index(least, dealt, classes, n_buckets, sampling=False):
             k = np.minimum(np.searchsorted(dealt[0], plain), len(dealt[0]) - 1)
             salt = w.mix(ids.view(np.uint64)) % dealt[1][k].astype(np.uint64)
             bucket = np.where(dealt[0][k] == plain, (bucket + salt) % np.uint64(n_buckets), bucket)
-        order = np.argsort(bucket.astype(np.int32), kind="stable")
-        bucket, sig, ids = bucket[order], sig[order], ids[order]
-        there, at = np.unique(bucket, return_index=True)
-        at = np.append(at, len(bucket))
-        pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pack(sig), pack(ids)], ["bucket", "sigs", "ids"])
+        # by bucket and doc_id, so that each doc_id is written once for a bucket
+        there, place = np.unique(ids, return_inverse=True)
+        order = np.argsort(bucket.astype(np.int64) * len(there) + place, kind="stable")
+        bucket, sig, place = bucket[order], sig[order], place[order]
+        short = sig.view(np.uint8).reshape(-1, 8)[:, :6]
+        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (bucket[1:] != bucket[:-1])]))
+        times = np.diff(np.append(new, len(place))).astype(np.uint32)
+        names, at = np.unique(bucket, return_index=True)
+        cut_at, cut_new = np.append(at, len(bucket)), np.append(np.searchsorted(new, at), len(new))
+        pack = lambda x, c: pa.array([x[a:b].tobytes() for a, b in zip(c, c[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pack(short, cut_at), pack(there[place[new]], cut_new), pack(times, cut_new)], ["bucket", "sigs", "ids", "times"])
 
     def run(batches):
         held, size = [], 0
@@ -269,8 +275,12 @@ def _lists(dealt):
     schema = pa.schema([("kind", pa.int32()), ("list", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("members", pa.list_(pa.int64())), ("looks", pa.list_(pa.int32()))])
 
     def run(table: pa.Table) -> pa.Table:
-        sig = np.concatenate([np.frombuffer(x, np.uint64) for x in table["sigs"].to_pylist()])
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table["ids"].to_pylist()])
+        short = np.concatenate([np.frombuffer(x, np.uint8) for x in table["sigs"].to_pylist()]).reshape(-1, 6)
+        sig = np.zeros((len(short), 8), np.uint8)
+        sig[:, :6] = short
+        sig = sig.view(np.uint64)[:, 0]
+        ids, times = (np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()]) for c, kind in (("ids", np.int64), ("times", np.uint32)))
+        ids = np.repeat(ids, times)
         plain = sig & ~_FLAGS
         order = np.argsort(plain, kind="stable")
         sig, ids, plain = sig[order], ids[order], plain[order]
@@ -331,15 +341,25 @@ def _apart(table: pa.Table) -> pa.Table:
         for at in range(0, len(looks), step):
             x = looks[at : at + step]
             gap = np.abs(bins[x][:, None, :] - bins[None, :, :]).sum(axis=2, dtype=np.int32)
-            # |A ^ B| is at least the gap, and at most (|A| + |B|) / 9 if they link
-            both = n[x][:, None] + n
-            near = (gap * 9 <= both) & (c[x][:, None] != c) & (5 * np.minimum(n[x][:, None], n) >= 4 * np.maximum(n[x][:, None], n))
-            i, j = np.nonzero(near)
+            i, j = np.nonzero(_gap_fits(gap, n[x][:, None], n) & (c[x][:, None] != c))
             out.append(np.stack([doc[x[i]], doc[j]], axis=1))
     pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def _gap_fits(gap, n_x, n_y):
+    """|A ^ B| is at least the gap of the counts by bin, and at most (|A| + |B|) / 9 if they link; and sizes are near."""
+    return (gap * 9 <= n_x + n_y) & (5 * np.minimum(n_x, n_y) >= 4 * np.maximum(n_x, n_y))
+
+
+def _not_far(batches):
+    """The pairs that sizes and counts by bin don't tell apart."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("bins_x", "bins_y"))
+        keep = _gap_fits(np.abs(x - y).sum(axis=1, dtype=np.int32), batch["n_x"].to_numpy(), batch["n_y"].to_numpy())
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _agree(batches):
     """The pairs whose sets are alike enough."""
     for batch in batches:
@@ -401,7 +421,7 @@ def join(documents: DataFrame) -> DataFrame:
     identifiable = docs.filter(F.col("doc_id").isNotNull())
     n_buckets = max(shuffle_partitions(spark), math.ceil(totals["shingles"] * 0.75 / BUCKET))
     dealt = _dealt(identifiable, totals["docs"], least, many)
-    packed = identifiable.mapInArrow(_index(least, dealt, many, n_buckets), "bucket int, sigs binary, ids binary")
+    packed = identifiable.mapInArrow(_index(least, dealt, many, n_buckets), "bucket int, sigs binary, ids binary, times binary")
     found = cut(packed.groupBy("bucket").applyInArrow(_lists(dealt), "kind int, list long, a long, b long, members array<long>, looks array<int>"))
     # long lists: who needs to look at which
     long = found.filter("kind = 2")
@@ -413,7 +433,11 @@ def join(documents: DataFrame) -> DataFrame:
     ordered = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     star = seen_long.filter("doc != pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
     pairs = cut(ordered(found.filter("kind = 0").select("a", "b").union(star)))
-    links = cut(copies.union(verify(identifiable, pairs)))
+    plain = identified.select("doc_id", "n", "bins").distinct()
+    x, y = (plain.select(*[F.col(c).alias(f"{c}_{k}") for c in plain.columns]) for k in "xy")
+    near = pairs.join(x, F.col("a") == F.col("doc_id_x")).join(y, F.col("b") == F.col("doc_id_y")).select("a", "b", "n_x", "n_y", "bins_x", "bins_y")
+    near = cut(near.mapInArrow(_not_far, "a long, b long").distinct())
+    links = cut(copies.union(verify(identifiable, near)))
     found_components = cut(components(links))
     # lists whose members are still apart: pairs across components that haven't been compared
     short = found.filter("kind = 1").dropDuplicates(["list", "members"]).select("list", F.explode("members").alias("doc"))
@@ -423,7 +447,6 @@ def join(documents: DataFrame) -> DataFrame:
     # many looking members are dealt over parts, each with all members
     apart = apart.select(F.col("list").alias("l"), F.ceil(F.col("n_looks") / TOGETHER).cast("int").alias("parts"))
     seen = seen.join(apart, F.col("list") == F.col("l")).select("list", "doc", "looks", "c", "parts")
-    plain = identified.select("doc_id", "n", "bins").distinct()
     seen = seen.join(plain, F.col("doc") == F.col("doc_id")).select("list", "doc", "looks", "c", "n", "bins", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     own = F.col("looks") & (F.pmod(F.xxhash64("doc"), F.col("parts")) == F.col("part"))
     some = F.pmod(F.xxhash64("list", "part"), F.lit(n_buckets * 4))  # lists are small; a task takes many
