@@ -464,9 +464,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs, with all columns, less all but the least document of each component; of rows with one doc_id one stays, those without doc_id all do."""
     found = cut(join(docs))
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = cut(gone)
+    kept = docs.join(small(gone, gone.count(), IDS_BROADCAST), F.col("doc_id") == F.col("__gone"), "left_anti")
     repeated = cut(found.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__again")).count().filter("count > 1").select("__again"))
-    if repeated.count():
+    if n := repeated.count():
+        repeated = small(repeated, n, IDS_BROADCAST)
         once = kept.join(repeated, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
         kept = kept.join(repeated, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(once)
     return kept
