@@ -152,7 +152,7 @@ def _sets(batches):
 def bands(largest: int) -> np.ndarray:
     """The least size of each band, and one beyond."""
     out = [1]
-    while out[-1] <= largest:
+    while out[-1] <= max(1, largest):
         out.append(max(out[-1] + 1, math.ceil(out[-1] * 1.25)))
     return np.array(out)
 

@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                     made.append(own.astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array(made, pa.binary())], ["id", "label", "bag"])
 
-    rows = docs.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("id", F.col("label").cast("int").alias("label"), "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("id", F.col("label").cast("int").alias("label"), "text")
     found = rows.mapInArrow(run, "id long, label int, bag binary").dropDuplicates(["id"]).toArrow().sort_by("id")
     bags = [np.frombuffer(b, np.float16).reshape(-1, FEATURES).astype(np.float32) for b in found["bag"].to_pylist()]
     return fit(bags, found["label"].to_numpy())
