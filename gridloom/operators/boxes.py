@@ -144,3 +144,14 @@ def drop_inside_images(boxes: DataFrame) -> DataFrame:
     """Without boxes that an Image box lists in its `contain` (ids)."""
     listed = boxes.filter(F.col("category") == "Image").select("image_id", F.explode("contain").alias("box_id")).distinct()
     return boxes.join(listed, ["image_id", "box_id"], "left_anti")
+
+
+def sizes(boxes: DataFrame) -> DataFrame:
+    """With width, height and area as distances of the corners, as after a merge."""
+    x = boxes.withColumn("width", F.col("x2") - F.col("x1")).withColumn("height", F.col("y2") - F.col("y1"))
+    return x.withColumn("area", F.col("width") * F.col("height"))
+
+
+def numbered_clippings(boxes: DataFrame) -> DataFrame:
+    """With nth: a running index within (image_id, category), as clippings are named."""
+    return boxes.withColumn("nth", F.row_number().over(Window.partitionBy("image_id", "category").orderBy("box_id")))

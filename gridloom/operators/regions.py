@@ -105,3 +105,51 @@ def blocks(pixels: DataFrame, boxes: DataFrame, width: int, height: int, share:
 def even_areas(pixels: DataFrame, tolerance: int = 5, least: int = 500) -> DataFrame:
     """Regions of a gray raster whose neighbours differ by the tolerance at most, measured, of so many pixels at least."""
     return measure(label(pixels, tolerance)).filter(F.col("n_pixels") >= least)
+
+
+def outlines(labels: DataFrame) -> DataFrame:
+    """image_id, comp, y, x, v = 255: the pixels of the regions' borders, each once."""
+    sides = boundary(labels)
+    ends = sides.withColumn("end", F.explode(F.array("lo", "hi")))
+    column = F.col("side") == "column"
+    y, x = F.when(column, F.col("end")).otherwise(F.col("at")), F.when(column, F.col("at")).otherwise(F.col("end"))
+    return ends.select("image_id", "comp", y.alias("y"), x.alias("x")).distinct().withColumn("v", F.lit(255).cast("long"))
+
+
+def nested_areas(images: DataFrame, tolerance: int = 5, least: int = 500, least_height: int = 30) -> DataFrame:
+    """image_id, x1, y1, x2, y2, replaces: rectangular even areas of gray pixel tables, by the order of their seeds."""
+    schema = pa.schema([*((n, pa.int64()) for n in ("image_id", "x1", "y1", "x2", "y2")), ("replaces", pa.bool_())])
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x, v = (table[c].to_numpy() for c in ("y", "x", "v"))
+        gray = np.zeros((int(y.max()) + 1, int(x.max()) + 1), np.int64)
+        gray[y, x] = v
+        image = table["image_id"][0].as_py()
+        found = kernels.nested_regions(gray, tolerance, least, least_height)
+        return pa.Table.from_pylist([dict(zip(schema.names, (image, *r.box, whole))) for r, whole in found], schema=schema)
+
+    whole = [F.col(c).cast("long").alias(c) for c in ("image_id", "y", "x", "v")]
+    return images.select(*whole).groupBy("image_id").applyInArrow(run, "image_id long, x1 long, y1 long, x2 long, y2 long, replaces boolean")
+
+
+def rectangles_in_images(clips: DataFrame, min_area: int = 50, least: int = 20, share: float = 0.8) -> DataFrame:
+    """image_id, box_id, x1, y1, x2, y2: rectangular regions of the inverted binary map inside Image boxes.
+
+    clips: pixels (image_id, box_id, x1, y1, x2, y2 of the box, y, x, v); a
+    region counts if it is over `least` pixels wide and high and covers less
+    than the share of its box; positions are those of the image.
+    """
+    names = ("image_id", "box_id", "x1", "y1", "x2", "y2")
+    schema = pa.schema([(n, pa.int64()) for n in names])
+
+    def run(table: pa.Table) -> pa.Table:
+        image, box, x1, y1, x2, y2 = (table[n][0].as_py() for n in names)
+        off = np.zeros((y2 - y1, x2 - x1), bool)
+        off[table["y"].to_numpy() - y1, table["x"].to_numpy() - x1] = table["v"].to_numpy() <= 1
+        found = [r for r in kernels.detect_regions(off, min_area, 10, 10) if r.is_rectangle(y2 - y1)]
+        area = (x2 - x1) * (y2 - y1)
+        kept = [r for r in found if (r.x2 - r.x1) * (r.y2 - r.y1) < share * area and min(r.x2 - r.x1, r.y2 - r.y1) > least]
+        return pa.Table.from_pylist([dict(zip(names, (image, box, r.x1 + x1, r.y1 + y1, r.x2 + x1, r.y2 + y1))) for r in kept], schema=schema)
+
+    columns = [F.col(c).cast("long").alias(c) for c in (*names, "y", "x", "v")]
+    return clips.select(*columns).groupBy("image_id", "box_id").applyInArrow(run, ", ".join(f"{n} long" for n in names))

@@ -63,6 +63,29 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("x2", F.col("x1") + 12 + k * 3 % 8).withColumn("y2", F.col("y1") + 12 + k * 11 % 8)
 
 
+def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, y, x, v: a dark rectangle on a checkered ground, 64 x 64, for each raster."""
+    k, side = F.col("image_id"), F.sequence(F.lit(0).cast("long"), F.lit(2 * SIDE - 1).cast("long"))
+    x = raster(spark, sf_dir).select("image_id").distinct().withColumn("y", F.explode(side)).withColumn("x", F.explode(side))
+    inside = F.col("y").between(4 + k % 5, 50 + k % 7) & F.col("x").between(5 + k % 3, 52 + k % 6)
+    return x.withColumn("v", F.when(inside, 0).otherwise(100 + 100 * ((F.col("x") + F.col("y")) % 2)))
+
+
+def images(spark: SparkSession, sf_dir: str, scale: int = 8) -> DataFrame:
+    """image_id, height, width, channels, data: the stripes as gray images, each pixel as a scale x scale square."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(table: pa.Table) -> pa.Table:
+        a = np.zeros((SIDE, SIDE), np.uint8)
+        a[table["y"].to_numpy(), table["x"].to_numpy()] = table["v"].to_numpy()
+        a = np.kron(a, np.ones((scale, scale), np.uint8))
+        side = pa.array([SIDE * scale], pa.int32())
+        return pa.table({"image_id": table["image_id"].slice(0, 1), "height": side, "width": side, "channels": pa.array([1], pa.int32()), "data": [a.tobytes()]})
+
+    return stripes(spark, sf_dir).groupBy("image_id").applyInArrow(run, "image_id long, height int, width int, channels int, data binary")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label, pos (in the label, by vec_id), seq (label and SEQUENCE positions), vec ARRAY<DOUBLE>."""
     pos = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1

@@ -11,6 +11,7 @@ from ..functions import vectors
 from ..operators import boxes, merging, models, pixels, regions
 from ..operators import vectors as sequences
 from ..sources import images, results
+from . import detect, embed
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +142,16 @@ def box_ids(spark, sf_dir):
     return boxes.number(fx.boxes(spark, sf_dir), ["y1", "x1", "box_id"]).select("image_id", "box_id", "nth")
 
 
+@query("SELECT image_id, box_id, x2 - x1 AS width, y2 - y1 AS height, (x2 - x1) * (y2 - y1) AS area FROM boxes")
+def box_sizes(spark, sf_dir):
+    return boxes.sizes(fx.boxes(spark, sf_dir)).select("image_id", "box_id", "width", "height", "area")
+
+
+@query("SELECT image_id, box_id, category, CAST(row_number() OVER (PARTITION BY image_id, category ORDER BY box_id) AS INTEGER) AS nth FROM categorised")
+def box_clipping_index(spark, sf_dir):
+    return boxes.numbered_clippings(fx.categorised(spark, sf_dir)).select("image_id", "box_id", "category", "nth")
+
+
 @query("SELECT image_id, box_id, category FROM categorised WHERE category <> 'Noise'")
 def box_drop_noise(spark, sf_dir):
     return boxes.drop_noise(fx.categorised(spark, sf_dir)).select("image_id", "box_id", "category")
@@ -337,6 +348,27 @@ def cc_seeded(spark, sf_dir):
     return regions.seeded(_labels(spark, sf_dir))
 
 
+@query(
+    f"SELECT DISTINCT image_id, comp, CASE side WHEN 'column' THEN e ELSE \"at\" END AS y, CASE side WHEN 'column' THEN \"at\" ELSE e END AS x, 255::BIGINT AS v FROM (SELECT *, unnest([lo, hi]) AS e FROM ({_SIDES}))",
+    _BITS,
+    recursive=True,
+)
+def cc_outline(spark, sf_dir):
+    return regions.outlines(_labels(spark, sf_dir))
+
+
+@query()
+def nested_areas(spark, sf_dir):
+    return regions.nested_areas(fx.panels(spark, sf_dir))
+
+
+@query()
+def image_rectangles(spark, sf_dir):
+    p = fx.panels(spark, sf_dir)
+    whole = {"box_id": 1, "x1": 0, "y1": 0, "x2": 2 * fx.SIDE, "y2": 2 * fx.SIDE}
+    return regions.rectangles_in_images(p.select("image_id", "y", "x", "v", *[F.lit(v).cast("long").alias(k) for k, v in whole.items()]))
+
+
 @query()
 def cc_rectangle(spark, sf_dir):
     return regions.rectangles(_labels(spark, sf_dir), fx.SIDE)
@@ -487,6 +519,24 @@ def fuser_forward(spark, sf_dir):
     return _parts(models.fuse_triples(t), F.col("vec"), "image_id", "box_idx")
 
 
+@query()
+def embed_boxes(spark, sf_dir):
+    """Images, boxes and texts to one vector per box: the rasters as 16 patches of 8 x 8, two of their frames, the labels' first vectors as texts."""
+    p = embed.patches(fx.raster(spark, sf_dir), 8, fx.SIDE)
+    f = fx.frames(spark, sf_dir).filter("box_id < 2").withColumn("box", F.array(*[F.least(F.col(c) / F.lit(float(fx.SIDE)), F.lit(1.0)) for c in ("x1", "y1", "x2", "y2")]))
+    two = f.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_id", "box"))).alias("b")).select("image_id", F.col("b.box").alias("boxes"))
+    texts = fx.vectors(spark, sf_dir).filter("pos = 0").select(F.col("label").alias("image_id"), "vec")
+    small = models.EncoderConfig(side=4, patch=64, dim=32, heads=4, depth=1)
+    return _parts(embed.embed(p.join(two, "image_id"), texts, small, models.FuserConfig(layers=1), 48), F.col("vec"), "image_id", "box_idx")
+
+
+@query()
+def detect_boxes(spark, sf_dir):
+    """The detector over the stripes as images, each pixel as an 8 x 8 square."""
+    found = detect.detect(fx.images(spark, sf_dir))
+    return found.select("image_id", "box_idx", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
 # results
 
 

@@ -74,3 +74,22 @@ def test_shapes(spark):
     assert len(fused) == 5 and all(len(r.vec) == 64 for r in fused)
     assert models.project_text(np.ones((1, 8)), 8).tolist() == np.ones((1, 8)).tolist()
     assert np.allclose(kernels.gelu(np.array([0.0, 100.0])), [0, 100])
+
+
+def test_weight_tables(spark, tmp_path):
+    from gridloom.sources import weights
+
+    found = {("proj", 0): np.arange(6.0).reshape(2, 3), ("proj", 1): np.eye(2), ("other", 0): np.ones((1, 1))}
+    weights.write(found, spark, str(tmp_path / "w"))
+    back = weights.matrices(weights.read(spark, str(tmp_path / "w"), ["proj"]))
+    assert set(back) == {("proj", 0), ("proj", 1)} and all((back[k] == found[k]).all() for k in back)
+    take = weights.by_layer(back, "proj")
+    assert (take(2, 3, 0) == found["proj", 0]).all()
+    assert models.project(np.ones((1, 3)), 2, 2, take).shape == (1, 2)
+
+
+def test_patches(spark):
+    from gridloom.plans import embed
+
+    df = spark.createDataFrame([(1, y, x, y * 4 + x) for y in range(4) for x in range(4)], "image_id long, y long, x long, v long")
+    assert embed.patches(df, 2, 4).first().patches == [[0, 1, 4, 5], [2, 3, 6, 7], [8, 9, 12, 13], [10, 11, 14, 15]]
