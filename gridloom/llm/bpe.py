@@ -21,18 +21,22 @@ encoded whole, however long; the result holds one row per row.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
 import struct
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .memory import lean, text_batches
+
 VOCABULARY = "word_bpe_49k.json"
-#: Words and fragments that a worker remembers, at most.
-REMEMBER = 400_000
+#: Words, and fragments of either kind, that a worker remembers, at most.
+REMEMBER, FRAGMENTS = 400_000, 200_000
 #: From here on words take the library's normalizer.
 COMPOSED = "\u0300"
 COMPOSED_FROM = re.compile("[\u0300-\U0010ffff]")
@@ -62,24 +66,22 @@ def byte_symbols() -> list[str]:
 
 
 class Words(dict):
-    """word -> (ids as little-endian 32-bit integers, tokens joined by spaces), made when first asked for."""
+    """word -> ids as little-endian 32-bit integers, made when first asked for."""
 
     def __init__(self, codec: "Codec"):
         super().__init__()
         self.codec = codec
 
-    def __missing__(self, word: str) -> tuple[bytes, str]:
-        ids = self.codec.word_ids(word)
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBER:
             self.clear()
-        self[word] = made = (struct.pack(f"<{len(ids)}I", *ids), " ".join([self.codec.token_of[i] for i in ids]))
+        self[word] = made = self.codec.word_ids(word)
         return made
 
 
 class Codec:
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
-
+        self.file = file
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -88,14 +90,27 @@ class Codec:
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(self.special, key=len, reverse=True)))
-        self.token_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = np.full(max([*self.vocab.values(), *self.special.values()]) + 1, "", dtype=object)
+        for t, i in (self.vocab | self.special).items():
+            self.tokens[i] = t
+        self.packed = {t: struct.pack("<I", i) for t, i in self.vocab.items()}
         self.symbol = dict(enumerate(byte_symbols()))
         bodies = [t.removesuffix(END) for t in self.vocab]
         self.joined = {pair for body in bodies for pair in zip(body, body[1:])}
         self.fragments: tuple[dict, dict] = ({}, {})
-        self.library = Tokenizer.from_file(file)
         self.words = Words(self)
 
+    @functools.cached_property
+    def library(self):
+        """The library's tokenizer, for its tables of code points; few texts need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
+    def forget(self) -> None:
+        for known in (self.words, *self.fragments):
+            known.clear()
+
     # words
 
     def pieces(self, word: str) -> list[str]:
@@ -105,18 +120,18 @@ class Codec:
         normal = self.library.normalizer.normalize_str(word)
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def word_ids(self, word: str) -> list[int]:
+    def word_ids(self, word: str) -> bytes:
         if "<|" not in word:
-            return [i for p in self.pieces(word) for i in self.piece_ids(p)]
+            return b"".join([self.piece_ids(p) for p in self.pieces(word)])
         out, at = [], 0
         for m in self.special_at.finditer(word):
             if m.start() > at:
-                out += [i for p in self.pieces(word[at : m.start()]) for i in self.piece_ids(p)]
-            out.append(self.special[m[0]])
+                out += [self.piece_ids(p) for p in self.pieces(word[at : m.start()])]
+            out.append(struct.pack("<I", self.special[m[0]]))
             at = m.end()
         if at < len(word):
-            out += [i for p in self.pieces(word[at:]) for i in self.piece_ids(p)]
-        return out
+            out += [self.piece_ids(p) for p in self.pieces(word[at:])]
+        return b"".join(out)
 
     # fragments
 
@@ -126,20 +141,20 @@ class Codec:
         at = [k for k, pair in enumerate(zip(piece, piece[1:]), 1) if pair not in joined]
         return [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)])] if at else [piece]
 
-    def piece_ids(self, piece: str) -> list[int]:
-        out: list[int] = []
+    def piece_ids(self, piece: str) -> bytes:
+        out = b""
         fragments = self.cut(piece)
         for k, fragment in enumerate(fragments, 1):
             known = self.fragments[k == len(fragments)]
             ids = known.get(fragment)
             if ids is None:
-                if len(known) >= REMEMBER:
+                if len(known) >= FRAGMENTS:
                     known.clear()
                 known[fragment] = ids = self.merge(fragment, k == len(fragments))
             out += ids
         return out
 
-    def merge(self, fragment: str, ends: bool) -> list[int]:
+    def merge(self, fragment: str, ends: bool) -> bytes:
         """Merge the best-ranked pair, at all its places, until no pair has a rank."""
         parts = list(fragment)
         if ends:
@@ -156,9 +171,9 @@ class Codec:
                 ranks[k - 1] = rank((parts[k - 1], parts[k]), never)
             if k < len(ranks):
                 ranks[k] = rank((parts[k], parts[k + 1]), never)
-        return [self.vocab[p] for p in parts if p in self.vocab]
+        return b"".join([self.packed.get(p, b"") for p in parts])
 
-    def merge_long(self, parts: list[str]) -> list[int]:
+    def merge_long(self, parts: list[str]) -> bytes:
         """The same with a heap of pairs and a linked list, for fragments of any length."""
         import heapq
 
@@ -179,27 +194,27 @@ class Codec:
             for a, b in ((before[k], k), (k, after[k])):
                 if a >= 0 and b >= 0 and (r := rank.get((token[a], token[b]))) is not None:
                     heapq.heappush(heap, (r, a, (token[a], token[b])))
-        return [self.vocab[p] for p in token if p is not None and p in self.vocab]
+        return b"".join([self.packed.get(p, b"") for p in token if p is not None])
 
     # texts
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """(ids as little-endian 32-bit integers, the decoded text)."""
+    def pack(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian 32-bit integers."""
         if not text:
-            return b"", ""
+            return b""
         if not COMPOSED_FROM.search(text):
             text = text.lower()  # word by word it would be the same
         split = [w for w in SPACE.split(text) if w] if SEPARATORS.search(text) else text.split()
-        found = [self.words[w] for w in split]
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])
+        words = self.words
+        return b"".join([words[w] for w in split])
 
     def ids(self, text: str | None) -> list[int]:
-        packed = self.encode(text)[0]
-        return list(struct.unpack(f"<{len(packed) // 4}I", packed))
+        return np.frombuffer(self.pack(text), "<u4").tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        """The tokens of known ids, joined by spaces (the vocabulary file names no decoder)."""
-        return " ".join([self.token_of[i] for i in ids if i in self.token_of])
+    def decode(self, ids) -> str:
+        """The tokens of ids (a sequence or packed), joined by spaces (the vocabulary file names no decoder)."""
+        ids = np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else np.asarray(ids, dtype=np.int64)
+        return " ".join(self.tokens[ids].tolist())
 
 
 _codecs: dict[str, Codec] = {}
@@ -213,18 +228,18 @@ def codec(file: str | None = None) -> Codec:
 
 
 def _per_batch(file: str | None, keep: list[str], fields: list[tuple[str, pa.DataType]], of):
-    """Batches of the kept columns and what `of` makes of (ids, decoded) for each field."""
+    """Batches of the kept columns and what `of` makes of the codec and a text's packed ids for each field."""
 
     def run(batches):
         own = codec(file)
         for batch in batches:
             out: list[list] = [[] for _ in fields]
             for scalar in batch["text"]:
-                for values, made in zip(out, of(*own.encode(scalar.as_py()))):
+                for values, made in zip(out, of(own, own.pack(scalar.as_py()))):
                     values.append(made)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array(v, t) for v, (_, t) in zip(out, fields))], [*keep, *(n for n, _ in fields)])
 
-    return run
+    return lean(run, lambda: codec(file).forget())
 
 
 def _schema(docs: DataFrame, keep: list[str]) -> str:
@@ -236,11 +251,10 @@ def encode(docs: DataFrame, keep: list[str], file: str | None = None, decoded: b
     """The kept columns, n_tokens, token_ids array<int> and, if asked for, the decoded text of docs' column text."""
     fields = [("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), *([("decoded", pa.string())] if decoded else [])]
 
-    def of(ids: bytes, text: str):
-        import numpy as np
-
-        return (len(ids) // 4, np.frombuffer(ids, "<i4"), text)[: len(fields)]
+    def of(own: Codec, ids: bytes):
+        return len(ids) // 4, np.frombuffer(ids, "<i4"), *((own.decode(ids),) if decoded else ())
 
+    text_batches(docs.sparkSession)
     rows = docs.select(*keep, "text")
     return rows.mapInArrow(_per_batch(file, keep, fields, of), _schema(docs, keep) + ", n_tokens long, token_ids array<int>" + ", decoded string" * decoded)
 
@@ -249,5 +263,6 @@ def digests(docs: DataFrame, file: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each document."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    text_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(_per_batch(file, ["doc_id"], fields, lambda ids, text: (len(ids) // 4, sha(ids), sha(text.encode()))), _schema(docs, ["doc_id"]) + ", n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(_per_batch(file, ["doc_id"], fields, lambda own, ids: (len(ids) // 4, sha(ids), sha(own.decode(ids).encode()))), _schema(docs, ["doc_id"]) + ", n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -32,6 +32,7 @@ from pyspark.sql.window import Window
 
 from . import words as w
 from .common import cut, shuffle_partitions
+from .memory import lean, text_batches
 
 #: Bytes of a chunk; a cut falls where CUT_BITS top bits of the rolling hash are zero.
 MIN, MAX, CUT_BITS = 8, 240, 4
@@ -144,7 +145,7 @@ def _pack(n_buckets: int):
         if size:
             yield flush(held)
 
-    return run
+    return lean(run)
 
 
 def _repeated(table: pa.Table) -> pa.Table:
@@ -161,6 +162,7 @@ def _repeated(table: pa.Table) -> pa.Table:
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """hi, lo (digest), doc_id, start, end, words of every occurrence of a chunk that two documents or more hold."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    text_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(shuffle_partitions(docs.sparkSession), math.ceil(size / BYTES_A_CHUNK / BUCKET))
     packed = rows.mapInArrow(_pack(n_buckets), "bucket int, hi binary, lo binary, doc binary, start binary, size binary, words binary, known binary")

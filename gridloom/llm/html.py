@@ -22,6 +22,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .memory import lean, text_batches
+
 #: Tags that end a block, tags without content, and tags whose content is no article text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -212,4 +214,5 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    text_batches(pages.sparkSession)
+    return rows.mapInArrow(lean(run), f"page_id {kinds['page_id']}, url string, text string, n_chars long")

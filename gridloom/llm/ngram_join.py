@@ -49,6 +49,7 @@ from pyspark.sql.window import Window
 from . import words as w
 from .common import cut, shuffle_partitions, small
 from .graph import components
+from .memory import lean, text_batches
 
 WORDS = 5
 SIMILARITY = (80, 100)
@@ -264,7 +265,7 @@ def _index(least, dealt, classes, n_buckets, sampling=False):
         if size:
             yield flush(held)
 
-    return run
+    return lean(run)
 
 
 # candidates
@@ -380,10 +381,10 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) that link, compared on their whole sets."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     wanted = docs.join(small(ids, ids.count(), IDS_BROADCAST), F.col("doc_id") == F.col("id"), "left_semi")
-    sets = cut(wanted.select("doc_id", "text").mapInArrow(_sets, "doc_id long, set binary"))
+    sets = cut(wanted.select("doc_id", "text").mapInArrow(lean(_sets), "doc_id long, set binary"))
     x, y = (sets.select(F.col("doc_id").alias(f"{c}_id"), F.col("set").alias(c)) for c in "xy")
     both = pairs.join(x, F.col("a") == F.col("x_id")).select("a", "b", "x").join(y, F.col("b") == F.col("y_id")).select("a", "b", "x", "y")
-    return cut(both.mapInArrow(_agree, "a long, b long").distinct())
+    return cut(both.mapInArrow(lean(_agree), "a long, b long").distinct())
 
 
 def _dealt(docs: DataFrame, n_docs: int, least, many) -> tuple[np.ndarray, np.ndarray]:
@@ -405,8 +406,9 @@ def _dealt(docs: DataFrame, n_docs: int, least, many) -> tuple[np.ndarray, np.nd
 def join(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each document."""
     spark = documents.sparkSession
+    text_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = cut(docs.mapInArrow(_describe, "doc_id long, n long, one long, two long, spare long, bins binary"))
+    known = cut(docs.mapInArrow(lean(_describe), "doc_id long, n long, one long, two long, spare long, bins binary"))
     identified = known.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     totals = identified.agg(F.max("n").alias("largest"), F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("docs")).first()
     result = known.select("doc_id", F.col("n").alias("n_shingles"))
@@ -436,7 +438,7 @@ def join(documents: DataFrame) -> DataFrame:
     plain = identified.select("doc_id", "n", "bins").distinct()
     x, y = (plain.select(*[F.col(c).alias(f"{c}_{k}") for c in plain.columns]) for k in "xy")
     near = pairs.join(x, F.col("a") == F.col("doc_id_x")).join(y, F.col("b") == F.col("doc_id_y")).select("a", "b", "n_x", "n_y", "bins_x", "bins_y")
-    near = cut(near.mapInArrow(_not_far, "a long, b long").distinct())
+    near = cut(near.mapInArrow(lean(_not_far), "a long, b long").distinct())
     links = cut(copies.union(verify(identifiable, near)))
     found_components = cut(components(links))
     # lists whose members are still apart: pairs across components that haven't been compared

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
+from .memory import lean, text_batches
 
 PASSAGE = 32
 SAMPLE, TRAINING_PASSAGES = 4000, 48
@@ -167,8 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                     made.append(own.astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array(made, pa.binary())], ["id", "label", "bag"])
 
+    text_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("id", F.col("label").cast("int").alias("label"), "text")
-    found = rows.mapInArrow(run, "id long, label int, bag binary").dropDuplicates(["id"]).toArrow().sort_by("id")
+    found = rows.mapInArrow(lean(run), "id long, label int, bag binary").dropDuplicates(["id"]).toArrow().sort_by("id")
     bags = [np.frombuffer(b, np.float16).reshape(-1, FEATURES).astype(np.float32) for b in found["bag"].to_pylist()]
     return fit(bags, found["label"].to_numpy())
 
@@ -191,8 +193,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(of(batch["text"]), pa.float64())], ["doc_id", "score"])
 
+    text_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
-    scored = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
+    scored = rows.mapInArrow(lean(run), f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -204,4 +207,5 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array(of(batch["text"]) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    text_batches(docs.sparkSession)
+    return docs.mapInArrow(lean(run), docs.schema)

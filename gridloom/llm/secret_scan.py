@@ -27,6 +27,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean, text_batches
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed patterns; the order is that of kinds at one place.
 KINDS = ("assign", "access", "hex", "random")
@@ -59,6 +61,10 @@ def _encoding():
 _made: dict = {}
 
 
+def _forget() -> None:
+    _made.clear()
+
+
 def chars_per_token(run: str) -> float:
     if "encoding" not in _made:
         _made["encoding"] = _encoding()
@@ -146,7 +152,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 made[k] = [dict(zip(("kind", "start", "end"), s)) for s in spans(texts[k].as_py())]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(made, _SPANS)], ["doc_id", "spans"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, spans array<struct<kind: string, start: bigint, end: bigint>>")
+    text_batches(docs.sparkSession)
+    return rows.mapInArrow(lean(run, _forget), f"doc_id {dict(rows.dtypes)['doc_id']}, spans array<struct<kind: string, start: bigint, end: bigint>>")
 
 
 def joined(of: Column) -> Column:
@@ -187,4 +194,5 @@ def redact(docs: DataFrame) -> DataFrame:
                     batch = batch.set_column(batch.schema.get_field_index("n_chars"), "n_chars", new)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    text_batches(docs.sparkSession)
+    return docs.mapInArrow(lean(run, _forget), docs.schema)
