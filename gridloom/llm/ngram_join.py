@@ -318,12 +318,15 @@ def _lists(dealt):
 def allocate(long: DataFrame, known: DataFrame) -> DataFrame:
     """(list, doc) of the looks at long lists that sets need: long (list, doc, look, size), known (doc_id, spare)."""
     may = long.filter("look > 0").select("list", "doc", "size", (F.col("look") == 3).alias("neighbour"), F.when(F.col("look") == 2, 2).otherwise(1).alias("weight"))
-    order = Window.partitionBy("doc").orderBy("neighbour", "size", "list")
-    whole = Window.partitionBy("doc")
-    may = may.withColumn("nth", F.row_number().over(order)).withColumn("lost", F.sum("weight").over(whole)).withColumn("subsets", F.sum((~F.col("neighbour")).cast("int")).over(whole))
-    may = may.join(known.groupBy("doc_id").agg(F.min("spare").alias("spare")), F.col("doc") == F.col("doc_id"))
+    # most sets can spare what their long lists weigh; only the others choose among them
+    lost = may.groupBy("doc").agg(F.sum("weight").alias("lost"), F.sum((~F.col("neighbour")).cast("int")).alias("subsets"))
+    spare = known.groupBy("doc_id").agg(F.min("spare").alias("spare"))
     missing = F.col("lost") - F.col("spare")
-    return may.filter((missing > 0) & ((F.col("nth") <= missing) | (F.col("subsets") < missing))).select("list", "doc").distinct()
+    needy = cut(lost.join(spare, F.col("doc") == F.col("doc_id")).filter(missing > 0).select(F.col("doc").alias("d"), missing.alias("missing"), "subsets"))
+    may = may.join(small(needy, needy.count(), IDS_BROADCAST), F.col("doc") == F.col("d"))
+    order = Window.partitionBy("doc").orderBy("neighbour", "size", "list")
+    may = may.withColumn("nth", F.row_number().over(order))
+    return may.filter((F.col("nth") <= F.col("missing")) | (F.col("subsets") < F.col("missing"))).select("list", "doc").distinct()
 
 
 def _apart(table: pa.Table) -> pa.Table:
@@ -425,13 +428,16 @@ def join(documents: DataFrame) -> DataFrame:
     dealt = _dealt(identifiable, totals["docs"], least, many)
     packed = identifiable.mapInArrow(_index(least, dealt, many, n_buckets), "bucket int, sigs binary, ids binary, times binary")
     found = cut(packed.groupBy("bucket").applyInArrow(_lists(dealt), "kind int, list long, a long, b long, members array<long>, looks array<int>"))
-    # long lists: who needs to look at which
-    long = found.filter("kind = 2")
-    sizes = long.groupBy("list").agg(F.sum(F.size("members")).alias("size")).select(F.col("list").alias("l"), "size")
-    each = long.select("list", F.explode(F.arrays_zip("members", "looks")).alias("x")).select("list", F.col("x.members").alias("doc"), F.col("x.looks").alias("look"))
-    looks = cut(allocate(each.join(sizes, F.col("list") == F.col("l")).select("list", "doc", "look", "size"), identified))
-    pivots = looks.groupBy("list").agg(F.min("doc").alias("pivot")).select(F.col("list").alias("l"), "pivot")
-    seen_long = cut(each.join(pivots, F.col("list") == F.col("l")).select("list", "doc", "pivot").distinct())
+    # long lists: who needs to look at which; those dealt over buckets are counted together
+    long = found.filter("kind = 2").select("list", "members", "looks", F.size("members").cast("long").alias("size"))
+    if len(dealt[0]):
+        sizes = cut(long.groupBy("list").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select(F.col("list").alias("l"), F.col("size").alias("all")))
+        long = long.join(small(sizes, sizes.count()), F.col("list") == F.col("l"), "left").select("list", "members", "looks", F.coalesce("all", "size").alias("size"))
+    each = long.select("list", "size", F.explode(F.arrays_zip("members", "looks")).alias("x")).select("list", "size", F.col("x.members").alias("doc"), F.col("x.looks").alias("look"))
+    looks = cut(allocate(each, identified))
+    pivots = cut(looks.groupBy("list").agg(F.min("doc").alias("pivot")).select(F.col("list").alias("l"), "pivot"))
+    looked = long.join(small(pivots, pivots.count(), IDS_BROADCAST), F.col("list") == F.col("l"))
+    seen_long = cut(looked.select("list", "pivot", F.explode("members").alias("doc")).select("list", "doc", "pivot").distinct())
     ordered = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     star = seen_long.filter("doc != pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
     pairs = cut(ordered(found.filter("kind = 0").select("a", "b").union(star)))
