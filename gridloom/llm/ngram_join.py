@@ -57,8 +57,10 @@ SIMILARITY = (80, 100)
 SLACK, MORE, DELETIONS = 0.12, 3, 0.03
 #: A list of more sets is long, and one of empty subsets always.
 LONG = 16
-#: Bins of the counts that tell sets apart; looking members of a long list that are compared together.
-BINS, TOGETHER = 128, 2000
+#: Bins of the counts that tell sets apart, at least; larger sets have a bin for some PER_BIN shingles, a power of two.
+BINS, PER_BIN = 128, 16
+#: Looking members of a long list that are compared together.
+TOGETHER = 2000
 #: Documents of the sample that tells which lists are dealt over several buckets, of so many entries each.
 SAMPLE, SPREAD, SPREAD_MOST = 10_000, 50_000, 100_000
 #: Classes of equal sets that are compared through one document: the largest ones, of so many documents at least.
@@ -112,17 +114,45 @@ def _describe(batches):
             of, s = shingles(raw, ends)
             texts = len(ends) - 1
             n = np.bincount(of, minlength=texts)
-            counts = np.bincount(of * BINS + (w.mix(s ^ np.uint64(0x3333)) >> np.uint64(57)).astype(np.int64), minlength=texts * BINS)
-            counts = np.minimum(counts, 255).astype(np.uint8).reshape(texts, BINS)
+            bins = n_bins(n)
+            begin = np.concatenate([[0], np.cumsum(bins)])
+            bin_of = ((w.mix(s ^ np.uint64(0x3333)) >> np.uint64(32)) * bins[of].astype(np.uint64)) >> np.uint64(32)
+            counts = np.minimum(np.bincount(begin[of] + bin_of.astype(np.int64), minlength=int(begin[-1])), 255).astype(np.uint8)
             made[0].append(n)
             made[1].append(_sums(w.mix(s ^ np.uint64(0x1111)), of, texts).view(np.int64))
             made[2].append(_sums(w.mix(s ^ np.uint64(0x2222)), of, texts).view(np.int64))
             made[3].append(_spare(s, of, n))
-            made[4] += [c.tobytes() for c in counts]
+            made[4] += [counts[a:b].tobytes() for a, b in zip(begin, begin[1:])]
         arrays = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)) for x in made[:4]]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays, pa.array(made[4], pa.binary())], ["doc_id", "n", "one", "two", "spare", "bins"])
 
 
+def n_bins(n: np.ndarray) -> np.ndarray:
+    """Bins for sets of these sizes: powers of two, so that neighbouring bins of a larger set add up to those of a smaller one."""
+    return np.maximum(BINS, 1 << np.ceil(np.log2(np.maximum(n, 1) / PER_BIN)).astype(np.int64).clip(0)).astype(np.int64)
+
+
+def folded(counts: np.ndarray, bins: int) -> np.ndarray:
+    """Counts (sets, bins) in fewer bins; a full count of 255 may stand for more, so such a set has no counts (-1)."""
+    if counts.shape[1] == bins:
+        return counts.astype(np.int32)
+    out = counts.reshape(len(counts), bins, -1).sum(axis=2, dtype=np.int32)
+    out[(counts == 255).any(axis=1)] = -1
+    return out
+
+
+def gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sum of the differences of counts over the last axis, 0 where one has none.
+
+    Counts that both stop at 255 differ by no more than the whole ones do; a
+    folded one is whole, so where the other may have stopped, 0 again.
+    """
+    stopped = lambda c: (c == 255).any(axis=-1)
+    mixed = ((x > 255).any(axis=-1) & stopped(y)) | ((y > 255).any(axis=-1) & stopped(x))
+    none = (x[..., 0] < 0) | (y[..., 0] < 0) | mixed
+    return np.where(none, 0, np.abs(x - y).sum(axis=-1, dtype=np.int32))
+
+
 def _spare(s, of, n):
     """Weights that a set has in its own band's partition beyond those that it needs."""
     least = bands(int(n.max(initial=0)))
@@ -334,17 +364,19 @@ def _apart(table: pa.Table) -> pa.Table:
     table = table.sort_by([("list", "ascending"), ("part", "ascending")])
     lists, parts, docs, cs, ns = (table[x].to_numpy() for x in ("list", "part", "doc", "c", "n"))
     look = table["looks"].to_numpy(zero_copy_only=False)
-    counts = np.frombuffer(b"".join(table["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
+    counts = table["bins"].to_pylist()
     new = np.concatenate([[True], (lists[1:] != lists[:-1]) | (parts[1:] != parts[:-1])])
     first = np.flatnonzero(new)
     out = [np.zeros((0, 2), np.int64)]
     for a, b in zip(first, np.append(first[1:], len(lists))):
-        doc, c, n, bins = docs[a:b], cs[a:b], ns[a:b], counts[a:b].astype(np.int16)
+        doc, c, n = docs[a:b], cs[a:b], ns[a:b]
+        least = min(map(len, counts[a:b]))
+        bins = np.concatenate([folded(np.frombuffer(x, np.uint8)[None, :], least) for x in counts[a:b]])
         looks = np.flatnonzero(look[a:b])
-        step = max(1, 2_000_000 // (b - a) // BINS)
+        step = max(1, 2_000_000 // (b - a) // least)
         for at in range(0, len(looks), step):
             x = looks[at : at + step]
-            gap = np.abs(bins[x][:, None, :] - bins[None, :, :]).sum(axis=2, dtype=np.int32)
+            gap = gaps(bins[x][:, None, :], bins[None, :, :])
             i, j = np.nonzero(_gap_fits(gap, n[x][:, None], n) & (c[x][:, None] != c))
             out.append(np.stack([doc[x[i]], doc[j]], axis=1))
     pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
@@ -359,8 +391,16 @@ def _gap_fits(gap, n_x, n_y):
 def _not_far(batches):
     """The pairs that sizes and counts by bin don't tell apart."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("bins_x", "bins_y"))
-        keep = _gap_fits(np.abs(x - y).sum(axis=1, dtype=np.int32), batch["n_x"].to_numpy(), batch["n_y"].to_numpy())
+        xs, ys = batch["bins_x"].to_pylist(), batch["bins_y"].to_pylist()
+        sizes = np.array([(len(x), len(y)) for x, y in zip(xs, ys)], dtype=np.int64).reshape(-1, 2)
+        gap = np.zeros(len(xs), np.int32)
+        for a, b in np.unique(sizes, axis=0):
+            at = np.flatnonzero((sizes == (a, b)).all(axis=1))
+            for part in np.array_split(at, max(1, len(at) * max(a, b) // 4_000_000)):
+                x = np.frombuffer(b"".join([xs[k] for k in part]), np.uint8).reshape(-1, a)
+                y = np.frombuffer(b"".join([ys[k] for k in part]), np.uint8).reshape(-1, b)
+                gap[part] = gaps(folded(x, min(a, b)), folded(y, min(a, b)))
+        keep = _gap_fits(gap, batch["n_x"].to_numpy(), batch["n_y"].to_numpy())
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
