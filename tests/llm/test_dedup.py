@@ -181,3 +181,19 @@ def test_repeated_passages(spark):
     left = {r.doc_id: r.text for r in chunk_dedup.deduplicated(docs.filter("doc_id <> 52")).collect()}
     assert left[0] == by_id[0] and len(left[5]) < len(by_id[5]) - 200 and left[20] == by_id[20]
     assert chunk_dedup.report(docs.limit(0)).count() == 0
+
+
+def test_gaps_never_pass_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.choice([50, 300, 2000, 5000, 9000]))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[int(rng.integers(0, n // 4)) :], rng.integers(0, 2**63, int(rng.integers(0, n // 4)), dtype=np.uint64)]))
+        made = []
+        for s in (a, b):
+            bins = int(ngram_join.n_bins(np.array([len(s)]))[0])
+            made.append(np.minimum(np.bincount(((w.mix(s) >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(int), minlength=bins), 255).astype(np.uint8)[None, :])
+        least = min(m.shape[1] for m in made)
+        gap = ngram_join.gaps(*(ngram_join.folded(m, least) for m in made))[0]
+        assert gap <= len(np.setxor1d(a, b)) and (len(a) > 5000 or gap > 0 or np.array_equal(a, b) or gap == 0)
+    assert ngram_join.n_bins(np.array([0, 1, 2048, 2049, 8192, 20_000])).tolist() == [128, 128, 128, 256, 512, 2048]
