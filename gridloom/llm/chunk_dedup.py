@@ -5,7 +5,9 @@ A gear rolling hash over the last 16 bytes cuts texts into variable chunks
 content: an insertion changes the chunks around it only.  A chunk is known by
 its 128-bit digest.  Chunks whose digest occurs in two documents or more are
 repeated; repeated chunks that touch form a run, and a run of LEAST_WORDS words
-or more is a repeated passage.  The occurrence in the least document stays.
+or more is a repeated passage.  The occurrence in the least document stays:
+what goes is decided chunk by chunk, and touching chunks that lesser documents
+hold go if they have LEAST_WORDS words or more, whatever stays next to them.
 
 Chunks travel packed, in buckets by digest.  Those that repeat within one
 batch of texts are known to be repeated at once; only the least of them goes
@@ -170,32 +172,41 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 
 def passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, start, end, words, first of each repeated passage; first: no chunk of it occurs in a lesser document."""
+    """doc_id, start, end, words, later of each repeated passage; later: start, end of the runs in it of least_words words or more whose every chunk a lesser document holds."""
     found = cut(repeated_chunks(docs))
     least = found.groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).select(F.col("hi").alias("h"), F.col("lo").alias("l"), "least")
     found = found.join(cut(least), (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")))
     order = Window.partitionBy("doc_id").orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    found = found.withColumn("opens", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
-    found = found.withColumn("seen", F.coalesce(F.col("start") < before, F.lit(False)))  # of another row with this doc_id
-    found = found.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    n_words = F.sum(F.when(F.col("seen"), 0).otherwise(F.col("words"))).cast("long")
-    runs = found.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), n_words.alias("words"), F.min(F.col("least") == F.col("doc_id")).alias("first"))
-    return runs.filter(F.col("words") >= least_words).select("doc_id", "start", "end", "words", "first")
+    earlier, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    is_later = F.col("least") < F.col("doc_id")
+    before, before_later = F.max("end").over(earlier), F.max(F.when(is_later, F.col("end"))).over(earlier)
+    found = found.select("doc_id", "start", "end", "words", is_later.alias("is_later"), before.alias("before"), before_later.alias("before_later"))
+    for name, last in (("", "before"), ("_later", "before_later")):
+        found = found.withColumn("opens" + name, F.coalesce((F.col("start") > F.col(last)).cast("int"), F.lit(1)))
+        found = found.withColumn("new_words" + name, F.when(F.col("start") < F.col(last), 0).otherwise(F.col("words")))  # less: of another row with this doc_id
+    found = found.withColumn("run", F.sum("opens").over(so_far))
+    # the least occurrences, null here, are no part of what is later; runs of later chunks lie within runs
+    found = found.withColumn("part", F.when(F.col("is_later"), F.sum(F.when(F.col("is_later"), F.col("opens_later"))).over(so_far)))
+    ends = (F.min("start").alias("start"), F.max("end").alias("end"), F.sum("new_words").cast("long").alias("words"))
+    parts = found.groupBy("doc_id", "run", "part").agg(*ends, F.sum("new_words_later").alias("words_later"))
+    is_passage = F.col("part").isNotNull() & (F.col("words_later") >= least_words)
+    later = F.array_sort(F.collect_list(F.when(is_passage, F.struct("start", "end"))))
+    runs = parts.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), later.alias("later"))
+    return runs.filter(F.col("words") >= least_words).select("doc_id", "start", "end", "words", "later")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document with repeated passages: doc_id, n_passages, n_words, n_chars, n_later (passages that a lesser document holds), spans as start:end."""
+    """One row per document with repeated passages: doc_id, n_passages, n_words, n_chars, n_later (passages that lesser documents hold, which deduplicated cuts), spans as start:end."""
     runs = passages(docs)
     spans = F.array_sort(F.collect_list(F.struct("start", "end")))
-    rows = runs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_passages"), F.sum("words").alias("n_words"), F.sum(F.col("end") - F.col("start")).alias("n_chars"), F.sum((~F.col("first")).cast("long")).alias("n_later"), spans.alias("s"))
+    rows = runs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_passages"), F.sum("words").alias("n_words"), F.sum(F.col("end") - F.col("start")).alias("n_chars"), F.sum(F.size("later").cast("long")).alias("n_later"), spans.alias("s"))
     return rows.withColumn("spans", F.array_join(F.transform("s", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")).drop("s")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with every passage cut from the text that a lesser document holds; all columns stay."""
-    later = passages(docs).filter(~F.col("first"))
-    later = later.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    """docs with every passage cut from the text that lesser documents hold; all columns stay."""
+    later = passages(docs).filter(F.size("later") > 0)
+    later = later.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.flatten(F.collect_list("later"))).alias("__spans"))
     joined = docs.join(later, F.col("doc_id") == F.col("__id"), "left")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
     step = lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["text"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))).alias("text"))

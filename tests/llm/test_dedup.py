@@ -197,3 +197,21 @@ def test_gaps_never_pass_the_difference():
         gap = ngram_join.gaps(*(ngram_join.folded(m, least) for m in made))[0]
         assert gap <= len(np.setxor1d(a, b)) and (len(a) > 5000 or gap > 0 or np.array_equal(a, b) or gap == 0)
     assert ngram_join.n_bins(np.array([0, 1, 2048, 2049, 8192, 20_000])).tolist() == [128, 128, 128, 256, 512, 2048]
+
+
+def test_substring_keeps_one_copy_beside_boilerplate(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    line, licence, body, ahead = prose(12), prose(80), prose(150), prose(90)
+    copy = f"{ahead} {line} {body} {licence}"
+    rows = [(0, f"{prose(60)} {line} {prose(60)} {licence}"), (2, copy), (3, copy)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: r.text for r in chunk_dedup.deduplicated(docs).collect()}
+    assert left[0] == rows[0][1]
+    assert body in left[2] and ahead in left[2] and line in left[2]  # the least copy keeps what is first there, and a short line
+    assert len(left[2].split()) < len(copy.split()) - 60  # but not the licence
+    assert len(left[3]) < 100
+    got = {r.doc_id: r for r in chunk_dedup.report(docs).collect()}
+    assert (got[2].n_passages, got[2].n_later, got[3].n_passages, got[3].n_later) == (1, 1, 1, 1)
+    assert got[2].spans == got[3].spans and got[0].n_later == 0
