@@ -374,3 +374,25 @@ def attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, allowed: np.ndarray |
     if allowed is not None:
         scores = np.where(allowed, scores, -np.inf)
     return softmax(scores) @ v
+
+
+def attention_in_blocks(q: np.ndarray, k: np.ndarray, v: np.ndarray, mask_mode: str = "causal", block: int = 512) -> np.ndarray:
+    """attention() of one sequence under a mask mode (causal, none, additive), by blocks of queries and keys with a running maximum and sum."""
+    n, group = q.shape[1], q.shape[0] // k.shape[0]
+    out = np.empty((*q.shape[:2], v.shape[-1]))
+    for a in range(0, n, block):
+        b = min(a + block, n)
+        top, total, mixed = np.full((q.shape[0], b - a, 1), -np.inf), 0.0, 0.0
+        for c in range(0, b if mask_mode == "causal" else n, block):
+            keys, values = (np.repeat(x[:, c : c + block], group, axis=0) for x in (k, v))
+            scores = q[:, a:b] @ keys.transpose(0, 2, 1) / math.sqrt(q.shape[-1])
+            below = np.arange(c, c + keys.shape[1]) <= np.arange(a, b)[:, None]
+            if mask_mode == "additive":
+                scores = scores + below
+            elif mask_mode == "causal" and c == a:  # the blocks before are all below
+                scores = np.where(below, scores, -np.inf)
+            higher = np.maximum(top, scores.max(axis=-1, keepdims=True))
+            kept, shares = np.exp(top - higher), np.exp(scores - higher)
+            total, mixed, top = total * kept + shares.sum(axis=-1, keepdims=True), mixed * kept + shares @ values, higher
+        out[:, a:b] = mixed / total
+    return out

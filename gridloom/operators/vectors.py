@@ -1,8 +1,8 @@
 """Sequence operators on tables of vectors: attention and triples.
 
-A sequence is a group of rows (seq) in the order of a position; sequences are
-short (an image's patches, a triple), so each is one dense product in an Arrow
-batch, and a task takes any number of them.
+A sequence is a group of rows (seq) in the order of a position, of any length
+that a worker can hold; it is taken in blocks of queries and keys, so memory
+grows with its length, not the square, and a task takes any number of them.
 """
 
 from __future__ import annotations
@@ -29,11 +29,10 @@ def attention(rows: DataFrame, heads: int, kv_heads: int | None = None, mask_mod
         table = table.sort_by("pos")
         n = table.num_rows
         x = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, heads, -1).transpose(1, 0, 2)
-        below = np.tril(np.ones((n, n), bool))
-        allowed, added = (below, None) if mask_mode == "causal" else (None, below.astype(float)) if mask_mode == "additive" else (None, None)
-        out = kernels.attention(x, x[:kv], x[:kv], allowed, added)
-        flat = out.reshape(heads * n, -1)
-        return pa.table([pa.array(np.full(heads * n, table["seq"][0].as_py())), pa.array(np.tile(table["pos"].to_numpy(), heads)), pa.array(np.repeat(np.arange(heads, dtype=np.int32), n)), pa.array(list(flat), schema.field("out").type)], schema=schema)
+        out = kernels.attention_in_blocks(x, x[:kv], x[:kv], mask_mode)
+        each = out.shape[-1]
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(heads * n + 1, dtype=np.int32) * each), out.reshape(-1))
+        return pa.table([pa.array(np.full(heads * n, table["seq"][0].as_py())), pa.array(np.tile(table["pos"].to_numpy(), heads)), pa.array(np.repeat(np.arange(heads, dtype=np.int32), n)), flat], schema=schema)
 
     shaped = rows.select(F.col("seq").cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), F.col("vec").cast("array<double>").alias("vec"))
     return shaped.groupBy("seq").applyInArrow(run, "seq long, pos long, head int, out array<double>")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.vectors import doubles
 
-#: Size of the images that boxes lie in; side of the rasters; vectors of a sequence.
+#: Size of the images that boxes lie in; side of the rasters; vectors that the SQL's sequences hold at most.
 WIDTH, HEIGHT, SIDE, SEQUENCE = 800, 600, 32, 64
 
 
@@ -87,11 +87,11 @@ def images(spark: SparkSession, sf_dir: str, scale: int = 8) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, label, pos (in the label, by vec_id), seq (label and SEQUENCE positions), vec ARRAY<DOUBLE>."""
+    """vec_id, label, pos (in the label, by vec_id), seq (the whole label; the SQL's are cut, so the same up to SEQUENCE rows a label), vec ARRAY<DOUBLE>."""
     pos = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), doubles(F.col("embedding")).alias("vec"))
     e = e.withColumn("pos", pos.cast("long"))
-    return e.withColumn("seq", F.col("label") * 1000000 + F.floor(F.col("pos") / SEQUENCE))
+    return e.withColumn("seq", F.col("label") * 1000000)
 
 
 SQL = f"""

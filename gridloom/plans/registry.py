@@ -420,7 +420,7 @@ _TURN = """SELECT a.vec_id, a.i, round(a.x * cos(t.t) + CASE WHEN a.i < 32 THEN
 @query(_TURN, "\nturn AS (SELECT vec_id, i, pos % 64 * pow(1e6::DOUBLE, -2.0::DOUBLE * (i % 32) / 64) AS t FROM parts)")
 def vec_rope_1d(spark, sf_dir):
     v = fx.vectors(spark, sf_dir)
-    return _parts(v, vectors.rotate(F.col("vec"), vectors.angles_1d(F.col("pos") % 64, 64, 1e6)), "vec_id")
+    return _parts(v, vectors.rotate(F.col("vec"), vectors.angles_1d(F.col("pos"), 64, 1e6)), "vec_id")
 
 
 @query(_TURN, "\nturn AS (SELECT vec_id, i, CASE WHEN i < 32 THEN pos // 16 % 16 ELSE pos % 16 END * pow(1e4::DOUBLE, -2.0::DOUBLE * (i % 16) / 32) AS t FROM parts)")

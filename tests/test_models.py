@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import vectors
@@ -93,3 +94,49 @@ def test_patches(spark):
 
     df = spark.createDataFrame([(1, y, x, y * 4 + x) for y in range(4) for x in range(4)], "image_id long, y long, x long, v long")
     assert embed.patches(df, 2, 4).first().patches == [[0, 1, 4, 5], [2, 3, 6, 7], [8, 9, 12, 13], [10, 11, 14, 15]]
+
+
+@pytest.mark.parametrize("mask_mode", ["causal", "none", "additive"])
+def test_attention_in_blocks_is_the_dense_product(mask_mode):
+    rng = np.random.default_rng(5)
+    q, k, v = (rng.standard_normal((heads, 150, 8)) * 3 for heads in (4, 2, 2))
+    below = np.tril(np.ones((150, 150), bool))
+    dense = kernels.attention(q, k, v, below if mask_mode == "causal" else None, below.astype(float) if mask_mode == "additive" else None)
+    for block in (1, 64, 150, 512):
+        assert np.allclose(kernels.attention_in_blocks(q, k, v, mask_mode, block), dense)
+
+
+@pytest.fixture(scope="module")
+def long_labels(spark, tmp_path_factory):
+    """A folder with embeddings of labels of 150 and 70 rows, and the vectors of each label in order."""
+    x = np.random.default_rng(6).standard_normal((220, 64)).astype(np.float32)
+    label = [0 if k % 22 < 15 else 1 for k in range(220)]
+    at = str(tmp_path_factory.mktemp("long"))
+    rows = [(k, x[k].tolist(), label[k]) for k in range(220)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
+    return at, {b: x[[k for k in range(220) if label[k] == b]].astype(float) for b in (0, 1)}
+
+
+@pytest.mark.parametrize("name, kv", [("attn_masked", 4), ("attn_gqa", 2)])
+def test_sequences_are_whole_labels(spark, long_labels, name, kv):
+    from gridloom.plans import registry
+
+    at, by_label = long_labels
+    got = {(r.seq, r["pos"], r["head"], r.i): r.y for r in registry.QUERIES[name](spark, at).collect()}
+    assert len(got) == 220 * 64
+    for label, x in by_label.items():
+        q = models.split(x, 4)
+        out = kernels.attention(q, q[:kv], q[:kv], np.tril(np.ones((len(x), len(x)), bool)))
+        made = [[[got[label * 1000000, p, h, i] for i in range(16)] for p in range(len(x))] for h in range(4)]
+        assert np.allclose(made, out, atol=1e-6)
+
+
+def test_rotation_goes_on_along_a_label(spark, long_labels):
+    from gridloom.plans import registry
+
+    at, by_label = long_labels
+    got = {(r.vec_id, r.i): r.y for r in registry.QUERIES["vec_rope_1d"](spark, at).collect()}
+    one = np.arange(150)[:, None] * 1e6 ** (-2.0 * np.arange(32) / 64)
+    turned = kernels.rotate(by_label[0], np.concatenate([one, one], axis=1))
+    ids = [k for k in range(220) if k % 22 < 15]
+    assert np.allclose([[got[k, i] for i in range(64)] for k in ids], turned, atol=1e-6)
