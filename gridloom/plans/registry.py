@@ -506,10 +506,12 @@ def vec_gelu_projector(spark, sf_dir):
 
 @query()
 def encoder_forward(spark, sf_dir):
-    """Each label's first 16 vectors as the patches of an image, with two boxes."""
-    v = fx.vectors(spark, sf_dir).filter("pos < 16").groupBy(F.col("label").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "vec"))).alias("p"))
+    """Every 16 vectors of a label that follow one another as the patches of an image, with two boxes; zero patches fill up a label's last image."""
+    at = (F.col("label") * 1000000 + F.floor(F.col("pos") / 16)).alias("image_id")
+    v = fx.vectors(spark, sf_dir).groupBy(at).agg(F.array_sort(F.collect_list(F.struct("pos", "vec"))).alias("p"))
     two = F.array(F.array(*map(F.lit, (0.1, 0.1, 0.7, 0.4))), F.array(*map(F.lit, (0.0, 0.0, 1.0, 1.0))))
-    images_ = v.filter(F.size("p") == 16).select("image_id", F.col("p.vec").alias("patches"), two.alias("boxes"))
+    blank = F.array_repeat(F.array_repeat(F.lit(0.0), 64), 16 - F.size("p"))
+    images_ = v.select("image_id", F.concat("p.vec", blank).alias("patches"), two.alias("boxes"))
     return _parts(models.encode_images(images_), F.col("vec"), "image_id", "tok")
 
 

@@ -140,3 +140,18 @@ def test_rotation_goes_on_along_a_label(spark, long_labels):
     turned = kernels.rotate(by_label[0], np.concatenate([one, one], axis=1))
     ids = [k for k in range(220) if k % 22 < 15]
     assert np.allclose([[got[k, i] for i in range(64)] for k in ids], turned, atol=1e-6)
+
+
+def test_all_vectors_are_encoded(spark, long_labels):
+    from gridloom.plans import registry
+
+    at, by_label = long_labels
+    got = {(r.image_id, r.tok, r.i): r.y for r in registry.QUERIES["encoder_forward"](spark, at).collect()}
+    boxes, c = np.array([(0.1, 0.1, 0.7, 0.4), (0.0, 0.0, 1.0, 1.0)]), models.EncoderConfig()
+    assert len(got) == (10 + 5) * 3 * c.dim
+    for label, x in by_label.items():
+        padded = np.concatenate([x, np.zeros((-len(x) % 16, 64))]).reshape(-1, 16, 64)
+        for k, patches in enumerate(padded):
+            whole, own = models.encode(patches, boxes, c)
+            made = [[got[label * 1000000 + k, t, i] for i in range(c.dim)] for t in range(3)]
+            assert np.allclose(made, [whole, *own], atol=1e-6)
