@@ -523,13 +523,14 @@ def fuser_forward(spark, sf_dir):
 
 @query()
 def embed_boxes(spark, sf_dir):
-    """Images, boxes and texts to one vector per box: the rasters as 16 patches of 8 x 8, two of their frames, the labels' first vectors as texts."""
+    """Images, boxes and texts to one vector per box: the rasters as 16 patches of 8 x 8, their frames, the first vector of label image_id % 10 as text."""
     p = embed.patches(fx.raster(spark, sf_dir), 8, fx.SIDE)
-    f = fx.frames(spark, sf_dir).filter("box_id < 2").withColumn("box", F.array(*[F.least(F.col(c) / F.lit(float(fx.SIDE)), F.lit(1.0)) for c in ("x1", "y1", "x2", "y2")]))
-    two = f.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_id", "box"))).alias("b")).select("image_id", F.col("b.box").alias("boxes"))
-    texts = fx.vectors(spark, sf_dir).filter("pos = 0").select(F.col("label").alias("image_id"), "vec")
+    f = fx.frames(spark, sf_dir).withColumn("box", F.array(*[F.least(F.col(c) / F.lit(float(fx.SIDE)), F.lit(1.0)) for c in ("x1", "y1", "x2", "y2")]))
+    boxes_ = f.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_id", "box"))).alias("b")).select("image_id", F.col("b.box").alias("boxes"))
+    firsts = fx.vectors(spark, sf_dir).filter("pos = 0").select("label", "vec")
+    texts = p.select("image_id", (F.col("image_id") % 10).alias("label")).join(firsts, "label").select("image_id", "vec")
     small = models.EncoderConfig(side=4, patch=64, dim=32, heads=4, depth=1)
-    return _parts(embed.embed(p.join(two, "image_id"), texts, small, models.FuserConfig(layers=1), 48), F.col("vec"), "image_id", "box_idx")
+    return _parts(embed.embed(p.join(boxes_, "image_id"), texts, small, models.FuserConfig(layers=1), 48), F.col("vec"), "image_id", "box_idx")
 
 
 @query()

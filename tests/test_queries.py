@@ -59,3 +59,10 @@ def test_relation_plan_has_no_cross_join_and_prunes_columns(spark):
     plan = registry.QUERIES["box_relation"](spark, DATA)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "l_extendedprice" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_every_frame_is_embedded(spark):
+    frames = {(r.image_id, r.box_id) for r in registry.fx.frames(spark, DATA).collect()}
+    out = registry.QUERIES["embed_boxes"](spark, DATA).groupBy("image_id", "box_idx").count().collect()
+    assert len(frames) == 15 * 4 and {(r.image_id, r.box_idx) for r in out} == frames
+    assert {r["count"] for r in out} == {64}
