@@ -39,8 +39,9 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 LEAST = {"assign": 12, "access": 18, "hex": 16, "random": 16}
 #: Key characters; trailing padding belongs to a key.
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
-#: Characters a token, below which a run is random: with digits among its letters, and of letters alone.
-MIXED, LETTERS = 2.1, 1.5
+#: Characters a token, below which a run is random: with digits among its letters, and of letters alone.  Of random letters (1,500 runs of each length)
+#: 1.85 takes 88 % (16) to 95 % (64 long) in lower case, 98 to 100 % in upper and 99.7 to 100 % in mixed case, and 2 of the 1,111 natural runs of sf0.1.
+MIXED, LETTERS = 2.1, 1.85
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 HEXADECIMAL = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -96,3 +97,13 @@ def test_reliabilities_follow_the_labelers():
 @pytest.mark.parametrize("run, random", [("d41d8cd98f00b204e9800998ecf8427e", False), ("kZ8vQ2pL0xW9rT4sB7nM", True), ("4041894974608795", False), ("getUserAccountByIdentifier", False)])
 def test_token_efficiency(run, random):
     assert secret_scan.is_random(run) == random
+
+
+@pytest.mark.parametrize("letters, least", [("abcdefghijklmnopqrstuvwxyz", 0.85), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.95), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.98)])
+def test_random_letters_are_found(letters, least):
+    rng = random.Random(11)
+    for size in (16, 20, 32, 64):
+        runs = ["".join(rng.choices(letters, k=size)) for _ in range(300)]
+        assert sum([("random", 4, 4 + size) in secret_scan.spans(f"key {x} end") for x in runs]) >= least * 300
+    for x in ("Donaudampfschifffahrtsgesellschaft", "internationalization", "RESPONSIBILITIES", "uncharacteristically"):
+        assert not secret_scan.is_random(x)
