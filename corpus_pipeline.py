@@ -34,8 +34,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and token_ids of each document of the mix."""
-    return bpe.encode(docs, ["doc_id", "lang", "source"], decoded=False)
+    """doc_id, lang, source, n_tokens, token_ids and the text decoded from them of each document of the mix."""
+    return bpe.encode(docs, ["doc_id", "lang", "source"])
 
 
 STAGES = [
@@ -43,7 +43,7 @@ STAGES = [
     ("n-gram Jaccard join", near_duplicates_stage),
     ("secret scans", secrets_stage),
     ("mixing sources to target weights", mixing_stage),
-    ("BPE encoding", tokens_stage),
+    ("BPE encoding and decoding", tokens_stage),
 ]
 
 #: A trained classifier is not expressible in SQL; tests hold the stages against brute force.

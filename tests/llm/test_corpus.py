@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from gridloom.llm import mixing, ngram_join, quality, secret_scan
+from gridloom.llm import bpe, mixing, ngram_join, quality, secret_scan
 from gridloom.llm import words as w
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -191,3 +191,11 @@ def test_pipeline(spark, tmp_path):
     run = sorted((r.doc_id, r.n_tokens, r.token_ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert run == sorted((r.doc_id, r.n_tokens, r.token_ids) for r in results[4][1].collect())
     assert all(n == len(ids) for _, n, ids in run) and any(n for _, n, _ in run)
+
+
+def test_last_stage_decodes(spark):
+    name, stage = corpus_pipeline.STAGES[-1]
+    docs = spark.createDataFrame([(1, "Some words, and more.", "en", "a", 21), (2, None, "en", "a", 0)], DOCS)
+    got = {r.doc_id: r for r in stage(spark, docs, "").collect()}
+    assert name == "BPE encoding and decoding"
+    assert got[1].decoded == bpe.codec().decode(got[1].token_ids) != "" and got[2].decoded == ""
