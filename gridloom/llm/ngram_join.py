@@ -24,10 +24,14 @@ Entries travel packed, some bytes each, to buckets of bounded size; an entry's
 subset that is expected in very many sets is dealt over several buckets.  In a
 list, all members are compared with one pivot; where members are still in
 different components after that, all pairs across components are compared,
-but those whose counts of shingles by hash bin already differ by more than a
-link allows.  So no link between components is lost, and a list of near copies
-costs no more than its length.  Every comparison is exact, on the whole sets.
-Documents with equal sets are one class, compared once if there are many.
+but those whose sketches already differ by more than a link allows.  A sketch
+holds one bit, the parity of the number of shingles, for each of four to eight
+hash bins a shingle; the bits in which two sketches differ are never more than
+the shingles in which their sets do.  So no link between components is lost,
+and of the pairs that don't link only those just below the threshold are
+compared on their whole sets, which decide.  A long list is compared in pairs of
+blocks of bounded size.  Documents with equal sets (a 128-bit fingerprint and
+the size) are one class, compared once if there are many.
 
 Defined cases: null and empty texts, and those without words, have no set and
 link with nothing; fewer than five words make one shingle; rows with one
@@ -57,10 +61,10 @@ SIMILARITY = (80, 100)
 SLACK, MORE, DELETIONS = 0.12, 3, 0.03
 #: A list of more sets is long, and one of empty subsets always.
 LONG = 16
-#: Bins of the counts that tell sets apart, at least; larger sets have a bin for some PER_BIN shingles, a power of two.
-BINS, PER_BIN = 128, 16
-#: Looking members of a long list that are compared together.
-TOGETHER = 2000
+#: Bits of a sketch, at least; larger sets have BITS_EACH for a shingle, rounded up to a power of two.
+BITS, BITS_EACH = 512, 4
+#: Members of a block; a long list is compared in pairs of blocks.
+TOGETHER = 10_000
 #: Documents of the sample that tells which lists are dealt over several buckets, of so many entries each.
 SAMPLE, SPREAD, SPREAD_MOST = 10_000, 50_000, 100_000
 #: Classes of equal sets that are compared through one document: the largest ones, of so many documents at least.
@@ -107,50 +111,50 @@ def _sums(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 
 def _describe(batches):
-    """doc_id, n, two sums over the set that tell it from others, weights to spare, and the counts of its shingles by bin."""
+    """doc_id, n, two sums over the set that tell it from others, weights to spare, and its sketch."""
     for batch in batches:
         made = [[] for _ in range(5)]
         for _, raw, ends in w.pieces(batch["text"]):
             of, s = shingles(raw, ends)
             texts = len(ends) - 1
             n = np.bincount(of, minlength=texts)
-            bins = n_bins(n)
-            begin = np.concatenate([[0], np.cumsum(bins)])
-            bin_of = ((w.mix(s ^ np.uint64(0x3333)) >> np.uint64(32)) * bins[of].astype(np.uint64)) >> np.uint64(32)
-            counts = np.minimum(np.bincount(begin[of] + bin_of.astype(np.int64), minlength=int(begin[-1])), 255).astype(np.uint8)
             made[0].append(n)
             made[1].append(_sums(w.mix(s ^ np.uint64(0x1111)), of, texts).view(np.int64))
             made[2].append(_sums(w.mix(s ^ np.uint64(0x2222)), of, texts).view(np.int64))
             made[3].append(_spare(s, of, n))
-            made[4] += [counts[a:b].tobytes() for a, b in zip(begin, begin[1:])]
+            made[4] += sketches(s, of, n)
         arrays = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)) for x in made[:4]]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays, pa.array(made[4], pa.binary())], ["doc_id", "n", "one", "two", "spare", "bins"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays, pa.array(made[4], pa.binary())], ["doc_id", "n", "one", "two", "spare", "sketch"])
 
 
-def n_bins(n: np.ndarray) -> np.ndarray:
-    """Bins for sets of these sizes: powers of two, so that neighbouring bins of a larger set add up to those of a smaller one."""
-    return np.maximum(BINS, 1 << np.ceil(np.log2(np.maximum(n, 1) / PER_BIN)).astype(np.int64).clip(0)).astype(np.int64)
+def n_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the sketches of sets of these sizes: powers of two, so that a larger sketch folds into a smaller one."""
+    return np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(n, 1) * BITS_EACH)).astype(np.int64))
 
 
-def folded(counts: np.ndarray, bins: int) -> np.ndarray:
-    """Counts (sets, bins) in fewer bins; a full count of 255 may stand for more, so such a set has no counts (-1)."""
-    if counts.shape[1] == bins:
-        return counts.astype(np.int32)
-    out = counts.reshape(len(counts), bins, -1).sum(axis=2, dtype=np.int32)
-    out[(counts == 255).any(axis=1)] = -1
+def sketches(s: np.ndarray, of: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each set the parity of the number of its shingles in each hash bin, packed."""
+    bits = n_bits(n)
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    place = w.mix(s ^ np.uint64(0x3333)) & (bits[of] - 1).astype(np.uint64)
+    at = begin[of] + place.astype(np.int64)
+    packed = np.zeros(int(begin[-1]) // 8, np.uint8)
+    np.bitwise_xor.at(packed, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return [packed[a:b].tobytes() for a, b in zip(begin // 8, begin[1:] // 8)]
+
+
+def folded(packed: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, those longer than `size` bytes folded to it: bins that fall together add their parities."""
+    out = np.empty((len(packed), size // 8), np.uint64)
+    for k, x in enumerate(packed):
+        row = np.frombuffer(x, np.uint64)
+        out[k] = row if len(x) == size else np.bitwise_xor.reduce(row.reshape(-1, size // 8), axis=0)
     return out
 
 
 def gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Sum of the differences of counts over the last axis, 0 where one has none.
-
-    Counts that both stop at 255 differ by no more than the whole ones do; a
-    folded one is whole, so where the other may have stopped, 0 again.
-    """
-    stopped = lambda c: (c == 255).any(axis=-1)
-    mixed = ((x > 255).any(axis=-1) & stopped(y)) | ((y > 255).any(axis=-1) & stopped(x))
-    none = (x[..., 0] < 0) | (y[..., 0] < 0) | mixed
-    return np.where(none, 0, np.abs(x - y).sum(axis=-1, dtype=np.int32))
+    """Bits in which sketches differ, over the last axis: at most the shingles in which the sets do."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32)
 
 
 def _spare(s, of, n):
@@ -279,7 +283,8 @@ def _index(least, dealt, classes, n_buckets, sampling=False):
                 if len(classes[0]) and len(s):
                     one = _sums(w.mix(s ^ np.uint64(0x1111)), of, len(ends) - 1).view(np.int64)
                     k = np.minimum(np.searchsorted(classes[0], one), len(classes[0]) - 1)
-                    own = (classes[0][k] == one) & (classes[1][k] == n) & (classes[2][k] != ids[at : at + len(n)])
+                    two = _sums(w.mix(s ^ np.uint64(0x2222)), of, len(ends) - 1).view(np.int64)
+                    own = (classes[0][k] == one) & (classes[1][k] == two) & (classes[2][k] == n) & (classes[3][k] != ids[at : at + len(n)])
                     keep = ~own[of]
                     s, of = s[keep], of[keep]
                     n = np.where(own, 0, n)
@@ -360,46 +365,43 @@ def allocate(long: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _apart(table: pa.Table) -> pa.Table:
-    """For each of many lists: pairs of members in different components, one of which looks, that sizes and counts by bin don't tell apart."""
-    table = table.sort_by([("list", "ascending"), ("part", "ascending")])
-    lists, parts, docs, cs, ns = (table[x].to_numpy() for x in ("list", "part", "doc", "c", "n"))
-    look = table["looks"].to_numpy(zero_copy_only=False)
-    counts = table["bins"].to_pylist()
-    new = np.concatenate([[True], (lists[1:] != lists[:-1]) | (parts[1:] != parts[:-1])])
-    first = np.flatnonzero(new)
+    """For many pairs of blocks (i, j) of lists: pairs of members in different components, one of which looks, that sizes and sketches don't tell apart."""
+    table = table.sort_by([("list", "ascending"), ("i", "ascending"), ("j", "ascending")])
+    lists, i, j, docs, cs, ns = (table[x].to_numpy() for x in ("list", "i", "j", "doc", "c", "n"))
+    look, blocks = (table[x].to_numpy(zero_copy_only=False) for x in ("looks", "block"))
+    packed = table["sketch"].to_pylist()
+    first = np.flatnonzero(np.concatenate([[True], (lists[1:] != lists[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
     out = [np.zeros((0, 2), np.int64)]
     for a, b in zip(first, np.append(first[1:], len(lists))):
-        doc, c, n = docs[a:b], cs[a:b], ns[a:b]
-        least = min(map(len, counts[a:b]))
-        bins = np.concatenate([folded(np.frombuffer(x, np.uint8)[None, :], least) for x in counts[a:b]])
-        looks = np.flatnonzero(look[a:b])
-        step = max(1, 2_000_000 // (b - a) // least)
-        for at in range(0, len(looks), step):
-            x = looks[at : at + step]
-            gap = gaps(bins[x][:, None, :], bins[None, :, :])
-            i, j = np.nonzero(_gap_fits(gap, n[x][:, None], n) & (c[x][:, None] != c))
-            out.append(np.stack([doc[x[i]], doc[j]], axis=1))
+        doc, c, n, looks = docs[a:b], cs[a:b], ns[a:b], look[a:b]
+        bits = folded(packed[a:b], min(map(len, packed[a:b])))
+        xs, ys = np.flatnonzero(blocks[a:b] == i[a]), np.flatnonzero(blocks[a:b] == j[a])
+        step = max(1, 2_000_000 // max(1, len(ys)) // bits.shape[1])
+        for at in range(0, len(xs), step):
+            x = xs[at : at + step]
+            wanted = (c[x][:, None] != c[ys]) & (looks[x][:, None] | looks[ys])
+            gap = gaps(bits[x][:, None, :], bits[ys][None, :, :])
+            p, q = np.nonzero(_gap_fits(gap, n[x][:, None], n[ys]) & wanted)
+            out.append(np.stack([doc[x[p]], doc[ys[q]]], axis=1))
     pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _gap_fits(gap, n_x, n_y):
-    """|A ^ B| is at least the gap of the counts by bin, and at most (|A| + |B|) / 9 if they link; and sizes are near."""
+    """|A ^ B| is at least the gap of the sketches, and at most (|A| + |B|) / 9 if they link; and sizes are near."""
     return (gap * 9 <= n_x + n_y) & (5 * np.minimum(n_x, n_y) >= 4 * np.maximum(n_x, n_y))
 
 
 def _not_far(batches):
-    """The pairs that sizes and counts by bin don't tell apart."""
+    """The pairs that sizes and sketches don't tell apart."""
     for batch in batches:
-        xs, ys = batch["bins_x"].to_pylist(), batch["bins_y"].to_pylist()
-        sizes = np.array([(len(x), len(y)) for x, y in zip(xs, ys)], dtype=np.int64).reshape(-1, 2)
+        xs, ys = batch["sketch_x"].to_pylist(), batch["sketch_y"].to_pylist()
+        least = np.array([min(len(x), len(y)) for x, y in zip(xs, ys)], dtype=np.int64)
         gap = np.zeros(len(xs), np.int32)
-        for a, b in np.unique(sizes, axis=0):
-            at = np.flatnonzero((sizes == (a, b)).all(axis=1))
-            for part in np.array_split(at, max(1, len(at) * max(a, b) // 4_000_000)):
-                x = np.frombuffer(b"".join([xs[k] for k in part]), np.uint8).reshape(-1, a)
-                y = np.frombuffer(b"".join([ys[k] for k in part]), np.uint8).reshape(-1, b)
-                gap[part] = gaps(folded(x, min(a, b)), folded(y, min(a, b)))
+        for size in np.unique(least):
+            at = np.flatnonzero(least == size)
+            for part in np.array_split(at, len(at) * int(size) // 8_000_000 + 1):
+                gap[part] = gaps(folded([xs[k] for k in part], int(size)), folded([ys[k] for k in part], int(size)))
         keep = _gap_fits(gap, batch["n_x"].to_numpy(), batch["n_y"].to_numpy())
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -451,7 +453,7 @@ def join(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     text_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = cut(docs.mapInArrow(lean(_describe), "doc_id long, n long, one long, two long, spare long, bins binary"))
+    known = cut(docs.mapInArrow(lean(_describe), "doc_id long, n long, one long, two long, spare long, sketch binary"))
     identified = known.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     totals = identified.agg(F.max("n").alias("largest"), F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("docs")).first()
     result = known.select("doc_id", F.col("n").alias("n_shingles"))
@@ -460,8 +462,8 @@ def join(documents: DataFrame) -> DataFrame:
     classes = cut(identified.groupBy("one", "two", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
     sized = identified.join(classes.select(*[F.col(c).alias(f"c_{c}") for c in ("one", "two", "n", "least")]), (F.col("one") == F.col("c_one")) & (F.col("two") == F.col("c_two")) & (F.col("n") == F.col("c_n")))
     copies = sized.select(F.col("doc_id").alias("a"), F.col("c_least").alias("b"))
-    large = classes.filter(F.col("copies") >= CLASS_LEAST).orderBy(F.desc("copies"), "least").limit(CLASSES).select("one", "n", "least").toArrow().sort_by("one")
-    many = tuple(large[c].to_numpy() for c in ("one", "n", "least"))
+    large = classes.filter(F.col("copies") >= CLASS_LEAST).orderBy(F.desc("copies"), "least").limit(CLASSES).select("one", "two", "n", "least").toArrow().sort_by("one")
+    many = tuple(large[c].to_numpy() for c in ("one", "two", "n", "least"))
     least = bands(int(totals["largest"]))
     identifiable = docs.filter(F.col("doc_id").isNotNull())
     n_buckets = max(shuffle_partitions(spark), math.ceil(totals["shingles"] * 0.75 / BUCKET))
@@ -481,9 +483,9 @@ def join(documents: DataFrame) -> DataFrame:
     ordered = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     star = seen_long.filter("doc != pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
     pairs = cut(ordered(found.filter("kind = 0").select("a", "b").union(star)))
-    plain = identified.select("doc_id", "n", "bins").distinct()
+    plain = identified.select("doc_id", "n", "sketch").distinct()
     x, y = (plain.select(*[F.col(c).alias(f"{c}_{k}") for c in plain.columns]) for k in "xy")
-    near = pairs.join(x, F.col("a") == F.col("doc_id_x")).join(y, F.col("b") == F.col("doc_id_y")).select("a", "b", "n_x", "n_y", "bins_x", "bins_y")
+    near = pairs.join(x, F.col("a") == F.col("doc_id_x")).join(y, F.col("b") == F.col("doc_id_y")).select("a", "b", "n_x", "n_y", "sketch_x", "sketch_y")
     near = cut(near.mapInArrow(lean(_not_far), "a long, b long").distinct())
     links = cut(copies.union(verify(identifiable, near)))
     found_components = cut(components(links))
@@ -491,14 +493,14 @@ def join(documents: DataFrame) -> DataFrame:
     short = found.filter("kind = 1").dropDuplicates(["list", "members"]).select("list", F.explode("members").alias("doc"))
     seen = short.withColumn("looks", F.lit(True)).union(seen_long.select("list", "doc").join(looks.withColumn("looks", F.lit(True)), ["list", "doc"], "left").select("list", "doc", F.coalesce("looks", F.lit(False))))
     seen = cut(seen.join(found_components, F.col("doc") == F.col("node"), "left").select("list", "doc", "looks", F.coalesce("component", "doc").alias("c")))
-    apart = seen.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(F.col("looks").cast("int")).alias("n_looks")).filter("lo != hi")
-    # many looking members are dealt over parts, each with all members
-    apart = apart.select(F.col("list").alias("l"), F.ceil(F.col("n_looks") / TOGETHER).cast("int").alias("parts"))
-    seen = seen.join(apart, F.col("list") == F.col("l")).select("list", "doc", "looks", "c", "parts")
-    seen = seen.join(plain, F.col("doc") == F.col("doc_id")).select("list", "doc", "looks", "c", "n", "bins", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    own = F.col("looks") & (F.pmod(F.xxhash64("doc"), F.col("parts")) == F.col("part"))
-    some = F.pmod(F.xxhash64("list", "part"), F.lit(n_buckets * 4))  # lists are small; a task takes many
-    more = seen.withColumn("looks", own).groupBy(some.alias("some")).applyInArrow(_apart, "a long, b long")
+    apart = seen.groupBy("list").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi")
+    # a long list's members are dealt to blocks; each goes to the pairs of blocks that its own is in
+    apart = apart.select(F.col("list").alias("l"), F.ceil(F.col("size") / TOGETHER).cast("int").alias("n_blocks"))
+    seen = seen.join(apart, F.col("list") == F.col("l")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("n_blocks")).cast("int"))
+    seen = seen.join(plain, F.col("doc") == F.col("doc_id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    seen = seen.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "looks", "c", "n", "sketch")
+    some = F.pmod(F.xxhash64("list", "i", "j"), F.lit(n_buckets * 4))  # lists are small; a task takes many
+    more = seen.groupBy(some.alias("some")).applyInArrow(_apart, "a long, b long")
     more = cut(more.distinct().join(pairs, ["a", "b"], "left_anti"))
     if more.count():
         more = verify(identifiable, more)
