@@ -15,7 +15,8 @@ versions differ, and composition begins) are normalised and cut by the
 library's own tables; all others by rules that agree with them.
 
 Defined cases: null and empty texts have no tokens and decode to ""; special
-tokens' strings in a text become their ids, as the library has it; texts are
+tokens' strings in a text, spelled as they are, become their ids, as the
+library has it, while other spellings are plain text; texts are
 encoded whole, however long; the result holds one row per row.
 """
 
@@ -121,17 +122,7 @@ class Codec:
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def word_ids(self, word: str) -> bytes:
-        if "<|" not in word:
-            return b"".join([self.piece_ids(p) for p in self.pieces(word)])
-        out, at = [], 0
-        for m in self.special_at.finditer(word):
-            if m.start() > at:
-                out += [self.piece_ids(p) for p in self.pieces(word[at : m.start()])]
-            out.append(struct.pack("<I", self.special[m[0]]))
-            at = m.end()
-        if at < len(word):
-            out += [self.piece_ids(p) for p in self.pieces(word[at:])]
-        return b"".join(out)
+        return b"".join([self.piece_ids(p) for p in self.pieces(word)])
 
     # fragments
 
@@ -202,6 +193,16 @@ class Codec:
         """The ids of a text as little-endian 32-bit integers."""
         if not text:
             return b""
+        if "<|" not in text:
+            return self.pack_plain(text)
+        out, at = [], 0  # special tokens are found in the text as it is, before any lowering
+        for m in self.special_at.finditer(text):
+            out += [self.pack_plain(text[at : m.start()]), struct.pack("<I", self.special[m[0]])]
+            at = m.end()
+        return b"".join([*out, self.pack_plain(text[at:])])
+
+    def pack_plain(self, text: str) -> bytes:
+        """The same of a text in which no special token is looked for."""
         if not COMPOSED_FROM.search(text):
             text = text.lower()  # word by word it would be the same
         split = [w for w in SPACE.split(text) if w] if SEPARATORS.search(text) else text.split()

@@ -34,6 +34,24 @@ def test_texts(library, text):
     same(library, text)
 
 
+SPELLINGS = [f"<|{x}|>" for x in ("endoftext", "ENDOFTEXT", "EndOfText", "startoftext", "STARTOFTEXT", "StartOfText", "endoftext ", "endo\u0301ftext")]
+AROUND = ["", "a", " ", "A ", "İ", "é", "e\u0301", "\u0301", "日", "<", "|>", "<|", "Σ", "'s", "\n", "\x1c"]
+
+
+@pytest.mark.parametrize("token", SPELLINGS)
+def test_special_tokens_in_every_spelling(library, token):
+    for before in AROUND:
+        for after in AROUND:
+            same(library, before + token + after)
+            same(library, before + token + after + token)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(SPELLINGS + AROUND), st.text(max_size=5)), max_size=8))
+def test_special_tokens_among_any_text(library, parts):
+    same(library, "".join(parts))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(library, text):
