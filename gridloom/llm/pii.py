@@ -1,21 +1,27 @@
 r"""Personal data by weak supervision, with DataFrame functions only.
 
 Regular expressions of four kinds (email, ip, card, phone) give the base spans.
-Looser expressions give further candidates.  On every candidate labelers vote
-for, against, or not at all: the strict expressions, gazetteers (top-level
-domains, card prefixes, area and country codes), checksums and ranges, and words
-in its context.  Expectation-maximisation over the counts of vote patterns (at
-most KINDS * 3**4 rows, the only thing the driver gets) estimates how often
-each labeler is right on each class, and with it each pattern's probability;
-these train the final span classifier, additive log-odds of shape and context
-features fitted on their counts.  Candidates it is sure of are added as spans
-with the kinds id, number and address; base spans always stay.
+Looser expressions give further candidates: identity numbers, local telephone
+numbers, hardware addresses, names of people and streets.  On every candidate
+labelers vote for, against, or not at all: the strict expressions, gazetteers
+(top-level domains, card prefixes, area and country codes, first names, street
+words), checksums and ranges, words in its context, base spans elsewhere in the
+document, and the look of a placeholder.  Expectation-maximisation over the
+counts of vote patterns (at most KINDS * 3**6 rows, the only thing the driver
+gets) estimates how often each labeler is right on each class, and with it each
+pattern's probability; these train the final span classifier, additive log-odds
+of shape and context features fitted on their counts.  The classifier alone
+decides: candidates to which it gives SURE or more are added as spans, whatever
+their votes were; base spans always stay.
 
 Spans come from the pieces that a split leaves and the matches it drops, so no
 Python ever sees a text; the text is read once, its candidates checkpointed.
 
 Defined cases: null and empty texts have no spans and the digest of ""; texts
-are searched whole; a null doc_id stays null; there is one row per row.
+are searched whole; a null doc_id stays null; there is one row per row; rows
+that repeat and rows with one doc_id are each searched by themselves; a looser
+candidate that meets a base span is none, and of two that meet the earlier
+kind's is kept; other columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,16 +39,27 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
-#: Looser candidates: national identity numbers, local telephone numbers, numbers with separators, host addresses of six groups.
+#: Looser candidates: national identity numbers, local telephone numbers, host addresses of six groups, names, streets.
 IDS = r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 NUMBERS = r"(?<![0-9A-Za-z.+)(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])"
 ADDRESSES = r"(?<![0-9A-Za-z:.-])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Za-z:-])"
-ADDED = ("id", "number", "address")
-KINDS = (*BASE, *ADDED)
 #: Gazetteers.
 DOMAINS = "com org net edu gov mil int info biz name io co de fr es it uk us ca au nl eu ch at be se no dk pl pt br mx jp cn in".split()
 CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 354 358 380 420 421".split()
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5|4[4-9])|35|62)"
+TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
+FIRST_NAMES = (
+    "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Daniel Nancy Matthew Lisa "
+    "Anthony Margaret Mark Sandra Paul Ashley Steven Emily Andrew Donna Joshua Michelle Kevin Carol Brian Amanda George Melissa Edward Laura Peter Anna Hans Klaus Ursula Monika "
+    "Jürgen Petra Pierre Marie Jean Nathalie Michel Isabelle José María Carlos Carmen Juan Ana Luis Elena"
+).split()
+STREETS = "Street Avenue Road Lane Drive Boulevard Court Terrace Square".split()
+NOT_NAMES = "Street Avenue Road Lane Drive University College Company Institute Hospital Airport River Lake Mountain Award Prize Theorem Effect Day Week Act".split()
+CAPITAL = r"\p{Lu}\p{Ll}+"
+NAMES = rf"(?<![\p{{L}}-])(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.?\x20(?:{CAPITAL}\x20)?|(?:{'|'.join(FIRST_NAMES)})\x20(?:\p{{Lu}}\.\x20)?){CAPITAL}(?![\p{{L}}-])"
+STREET = rf"(?<![0-9\p{{L}}.,-])[1-9][0-9]{{0,4}}\x20(?:{CAPITAL}\x20){{1,3}}(?:{'|'.join(STREETS)})(?![\p{{L}}-])"
+ADDED = ("id", "number", "address", "name", "street")
+KINDS = (*BASE, *ADDED)
 #: Words before a span that speak for it, by kind, and against any.
 FOR = {
     "email": "email e-mail mail contact write reach address correo courriel",
@@ -52,8 +69,10 @@ FOR = {
     "id": "ssn social security identity passport taxpayer id",
     "number": "phone tel telephone call mobile cell fax telefon",
     "address": "mac hardware ethernet device address",
+    "name": "name signed dear contact patient employee customer regards sincerely born called resident",
+    "street": "address lives living home residence street ship deliver located reside resident",
 }
-AGAINST = "version isbn order invoice build figure section chapter page issue serial part model"
+AGAINST = "version isbn order invoice build figure section chapter page issue serial part model ticket theorem museum award university novel example"
 #: Candidates with such a probability, at least, are added; rounds of expectation-maximisation.
 SURE, ROUNDS = 0.9, 30
 CONTEXT = 32
@@ -112,45 +131,76 @@ def candidates(docs: DataFrame) -> DataFrame:
         "id": if_any(like(r"[0-9]-[0-9]{2}-[0-9]"), IDS, "id"),
         "number": if_any(like(r"[0-9][.-][0-9]{4}"), NUMBERS, "number"),
         "address": if_any(like(r":[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}:"), ADDRESSES, "address"),
+        "name": if_any(like(rf"(?:{CAPITAL}|\.)\x20{CAPITAL}"), NAMES, "name"),
+        "street": if_any(like(rf"[0-9]\x20{CAPITAL}\x20{CAPITAL}"), STREET, "street"),
     }
-    rows = docs.select("doc_id", F.concat(*[F.coalesce(found[k], none) for k in KINDS]).alias("all"), text)
+    array = "array<struct<kind:string,start:bigint,end:bigint,what:string,base:boolean,before:string,company:boolean>>"
     before = lambda s: F.lower(F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(CONTEXT)).cast("int")))
-    described = F.transform("all", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["what"].alias("what"), valid(s).alias("base"), before(s).alias("before")))
-    rows = rows.select("doc_id", F.when(F.size("all") > 0, described).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint,what:string,base:boolean,before:string>>")).alias("all"))
-    return rows
+    with_base = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["what"].alias("what"), valid(s).alias("base"))
+    rows = docs.select("doc_id", F.transform(F.concat(*[F.coalesce(found[k], none) for k in KINDS]), with_base).alias("all"), text)
+    base = F.filter("all", lambda s: s["base"])
+    meets = lambda s: F.exists(F.filter("all", lambda o: o["base"]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    free = F.filter("all", lambda s: ~s["kind"].isin(*ADDED) | ~meets(s))
+    loose = F.exists("all", lambda s: s["kind"].isin(*ADDED))
+    rows = rows.select("doc_id", F.when(loose, free).otherwise(F.col("all")).alias("all"), F.size(base).alias("n_base"), "text")
+    described = F.transform("all", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "what", "base")], before(s).alias("before"), (F.col("n_base") > s["base"].cast("int")).alias("company")))
+    return rows.select("doc_id", F.when(F.size("all") > 0, described).otherwise(F.array().cast(array)).alias("all"))
 
 
 def words_of(names: str) -> str:
     return r"(?:^|[^a-z])(?:" + "|".join(names.split()) + r")(?:[^a-z]|$)"
 
 
-def votes(s: Column) -> list[Column]:
-    """For (1), against (-1) or neither (0), by: expression, gazetteer, checksum or range, context."""
+def vote(yes: Column, no: Column) -> Column:
+    return F.when(yes, 1).when(no, -1).otherwise(0)
+
+
+def gazetteer(s: Column) -> Column:
+    """The vote of top-level domains, card prefixes, country and area codes, number ranges, first names and street words."""
     kind, what, number = s["kind"], s["what"], digits(s["what"])
-    vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
-    strict = F.when(s["base"], 1).when(kind.isin(*BASE), -1).otherwise(F.when(kind.isin("id", "address"), 1).otherwise(0))
     domain = F.substring_index(F.lower(what), ".", -1)
     area = F.regexp_like(number, F.lit("^[2-9][0-9]{2}[2-9]"))
-    gazetteer = (
+    words = F.split(what, "\\x20")
+    among = lambda names: F.arrays_overlap(words, F.array(*[F.lit(c) for c in names]))
+    return (
         F.when(kind == "email", vote(domain.isin(*DOMAINS), F.regexp_like(domain, F.lit("[0-9]"))))
         .when(kind == "card", vote(F.regexp_like(number, F.lit(ISSUERS)), F.regexp_like(number, F.lit("^0"))))
         .when(kind == "phone", vote(F.exists(F.array(*[F.lit(c) for c in CALLING]), lambda c: number.startswith(c)), number.startswith("0")))
         .when(kind == "number", vote(area, ~area))
         .when(kind == "id", vote(~F.regexp_like(number, F.lit("^(?:000|666|9)")), F.regexp_like(number, F.lit("^(?:000|666)"))))
+        .when(kind == "name", F.when(among(NOT_NAMES), -1).when(among(FIRST_NAMES), 1).otherwise(0))
+        .when(kind == "street", vote(F.substring_index(what, " ", -1).isin(*STREETS[:6]), F.regexp_like(what, F.lit(r"^(?:19|20)[0-9]{2}\x20"))))
         .otherwise(0)
     )
+
+
+def context(s: Column) -> Column:
+    """The vote of the words just before."""
+    near = F.lit(False)
+    for k, names in FOR.items():
+        near = near | ((s["kind"] == k) & F.regexp_like(s["before"], F.lit(words_of(names))))
+    return vote(near, F.regexp_like(s["before"], F.lit(words_of(AGAINST))))
+
+
+def placeholder(s: Column) -> Column:
+    """The vote against digits that repeat or follow each other."""
+    return F.when(F.regexp_like(digits(s["what"]), F.lit(r"([0-9])\1{5}|0123456|1234567|2345678|3456789|9876543")), -1).otherwise(0)
+
+
+def votes(s: Column) -> list[Column]:
+    """For (1), against (-1) or neither (0), by: expression, gazetteer, checksum or range, context, base spans elsewhere in the document, the look of a placeholder."""
+    kind, what, number = s["kind"], s["what"], digits(s["what"])
+    titled = F.regexp_like(what, F.lit(rf"^(?:{'|'.join(TITLES)})\.?\x20"))
+    strict = F.when(s["base"], 1).when(kind.isin(*BASE), -1).otherwise(F.when((kind == "name") & titled, 1).otherwise(0))  # a loose expression alone says nothing
     check = (
         F.when(kind == "card", vote(luhn(number), ~luhn(number)))
         .when(kind == "ip", vote(in_ip_range(what) & ~F.regexp_like(what, F.lit(r"^0+\.")), ~in_ip_range(what)))
         .when(kind == "phone", vote(F.length(number).between(10, 15), ~F.length(number).between(7, 15)))
-        .when(kind == "id", vote(F.lit(False), F.regexp_like(what, F.lit("-00-|-0000$"))))
+        .when(kind == "id", vote(F.lit(False), F.regexp_like(what, F.lit("^000|-00-|-0000$"))))
         .otherwise(0)
     )
-    near = F.lit(False)
-    for k, names in FOR.items():
-        near = near | ((kind == k) & F.regexp_like(s["before"], F.lit(words_of(names))))
-    context = vote(near, F.regexp_like(s["before"], F.lit(words_of(AGAINST))))
-    return [strict, gazetteer, check, context]
+    company = F.when(s["company"], 1).otherwise(0)
+    return [strict, gazetteer(s), check, context(s), company, placeholder(s)]
 
 
 def reliabilities(counts: list[tuple[str, tuple[int, ...], int]]) -> dict[tuple[str, tuple[int, ...]], float]:
@@ -183,18 +233,26 @@ def reliabilities(counts: list[tuple[str, tuple[int, ...], int]]) -> dict[tuple[
 
 
 def features(s: Column) -> dict[str, Column]:
-    """Shape and context features of the final classifier, each a small category."""
+    """Shape and context features of the final classifier, each a category of a bounded number of values.
+
+    The signs of a span are a set out of those that its kind's expression allows (seven for an email, five for a phone), so
+    `signs` has fewer than 2**8 values whatever the corpus holds.
+    """
     length = s["end"] - s["start"]
+    signs = F.array_sort(F.array_distinct(F.split(F.regexp_replace(s["what"], r"[\p{L}0-9]", ""), "")))
     return {
         "kind": s["kind"],
         "digits": F.least(F.length(digits(s["what"])), F.lit(20)).cast("string"),
         "length": F.floor(F.least(length, F.lit(48)) / 4).cast("string"),
-        "signs": F.substring(F.array_join(F.array_distinct(F.split(F.regexp_replace(s["what"], "[A-Za-z0-9]", ""), "")), ""), 1, 4),
-        "spoken": F.concat_ws("/", *[F.regexp_like(s["before"], F.lit(words_of(names))).cast("int").cast("string") for names in (" ".join(FOR.values()), AGAINST)]),
+        "signs": F.array_join(signs, ""),
+        "company": F.concat_ws("/", s["kind"], s["company"].cast("string")),
+        "known": F.concat_ws("/", s["kind"], gazetteer(s).cast("string")),
+        "spoken": F.concat_ws("/", s["kind"], context(s).cast("string")),
+        "invented": placeholder(s).cast("string"),
     }
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, sure_from: float = SURE) -> DataFrame:
     """doc_id, spans array<struct<kind, start, end, base>> by start and kind, for each document."""
     found = cut(candidates(docs))
     each = found.select(F.explode("all").alias("s"))
@@ -213,7 +271,7 @@ def find(docs: DataFrame) -> DataFrame:
         for name in f:
             column = F.col(f"f_{name}")
             sums = weighted.groupBy(column.alias("x")).agg(F.sum(F.col("count") * F.col("p")).alias("yes"), F.sum(F.col("count") * (1 - F.col("p"))).alias("no"))
-            rows = [(r["x"], r["yes"], r["no"]) for r in sums.orderBy(F.desc(F.col("yes") + F.col("no"))).limit(256).collect()]
+            rows = [(r["x"], r["yes"], r["no"]) for r in sums.collect()]
             yes, no = sum(r[1] for r in rows) + len(rows), sum(r[2] for r in rows) + len(rows)
             log_odds[name] = {x: math.log((a + 1) / yes) - math.log((b + 1) / no) for x, a, b in rows}
     total_yes = sum(n * sure[k, x] for k, x, n in by_votes)
@@ -223,31 +281,31 @@ def find(docs: DataFrame) -> DataFrame:
     def chance(s: Column) -> Column:
         odds = F.lit(bias)
         for name, column in features(s).items():
-            for x, weight in log_odds.get(name, {}).items():
-                odds = odds + F.when(column == x, F.lit(weight)).otherwise(F.lit(0.0))
+            known = F.create_map(*[F.lit(x) for pair in sorted(log_odds.get(name, {}).items()) for x in pair]) if log_odds.get(name) else None
+            if known is not None:
+                odds = odds + F.coalesce(F.try_element_at(known, column), F.lit(0.0))
         return 1 / (1 + F.exp(-odds))
 
-    # a dropped match of a base pattern stays dropped; of the looser candidates those that meet no base span and that both labelers and classifier trust
-    base = F.filter("all", lambda s: s["base"])
-    voted = lambda s: F.aggregate(F.array(*votes(s)), F.lit(0), lambda a, x: a + x) > 1
-    meets = lambda s: F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    rows = found.withColumn("base", base)
-    more = F.filter("all", lambda s: s["kind"].isin(*ADDED) & ~meets(s) & voted(s) & (chance(s) >= SURE))
-    rows = rows.withColumn("more", F.when(F.exists("all", lambda s: s["kind"].isin(*ADDED)), more).otherwise(F.filter("all", lambda s: F.lit(False))))
+    # a dropped match of a base pattern stays dropped; of the looser candidates those that the classifier trusts, one of those that meet
+    trusted = F.filter("all", lambda s: s["kind"].isin(*ADDED) & (chance(s) >= sure_from))
+    rows = found.withColumn("base", F.filter("all", lambda s: s["base"]))
+    rows = rows.withColumn("more", F.when(F.exists("all", lambda s: s["kind"].isin(*ADDED)), trusted).otherwise(F.filter("all", lambda s: F.lit(False))))
+    ahead = lambda s, i: F.exists(F.slice("more", 1, i), lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
+    rows = rows.withColumn("more", F.filter("more", lambda s, i: ~ahead(s, i)))
     nth = lambda kind: F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind)
     sortable = F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), nth(s["kind"]).alias("nth"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base")))
     return rows.select("doc_id", F.transform(F.array_sort(sortable), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))).alias("spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
     joined = lambda of: F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda test, name: F.size(F.filter("spans", test)).cast("long").alias(name)
     of_kind = lambda k: lambda s: s["kind"] == k
     return find(docs).select(
         "doc_id",
         *[count(of_kind(k), f"n_{k}") for k in BASE],
-        count(lambda s: ~s["base"], "n_added"),
         F.sha2(joined(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        count(lambda s: ~s["base"], "n_added"),
     )
