@@ -105,11 +105,11 @@ def taken(size: Column, at: Column) -> Column:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for each document."""
+    """doc_id, size, source_size, target, taken, source for each document."""
     sizes, sources = plan(docs)
     s = sources.withColumnRenamed("source", "s")
     joined = sizes.join(s, F.col("source").eqNullSafe(F.col("s")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken(F.col("size"), F.col("place")).alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", taken(F.col("size"), F.col("place")).alias("taken"), "source")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -159,13 +159,13 @@ t AS (
 e AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
 c AS (
-  SELECT d.doc_id, d.size, e.source_size, e.target, e.whole,
+  SELECT d.doc_id, d.source, d.size, e.source_size, e.target, e.whole,
          CAST(round(e.target) AS BIGINT) - e.whole * e.source_size AS extra,
          CAST(SUM(d.size) OVER (PARTITION BY d.source ORDER BY d.place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto,
          CAST(SUM(d.size) OVER (PARTITION BY d.source, d.place) AS BIGINT) AS own
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target,
        CAST(whole * size + CASE WHEN extra <= upto - own THEN 0 WHEN extra > upto THEN size
-            WHEN own = 0 THEN 0 ELSE floor(size * (extra - (upto - own)) / own) END AS BIGINT) AS taken
+            WHEN own = 0 THEN 0 ELSE floor(size * (extra - (upto - own)) / own) END AS BIGINT) AS taken, source
 FROM c
 """

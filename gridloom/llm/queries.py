@@ -66,5 +66,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_exact_topk": topk.SQL,
     "op5_ngram_join": ngram_join.SQL,
-    "op10_mixing": mixing.SQL.replace("SELECT doc_id, size, source_size", "SELECT doc_id, source, size, source_size").replace("SELECT d.doc_id, d.size", "SELECT d.doc_id, d.source, d.size"),
+    "op10_mixing": mixing.SQL,
 }

@@ -38,11 +38,13 @@ def _weights(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """(row, term, weight) of the components; weights are exact integers (as objects where 64 bits might not do)."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat, lengths = array.flatten(), np.diff(array.offsets.to_numpy())
-    values = np.floor(SCALE * flat.to_numpy(zero_copy_only=False).astype(np.float64))
+    plain = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    with np.errstate(over="ignore"):
+        values = np.floor(SCALE * plain)  # exact, but where it overflows
     starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
     row, term = np.repeat(np.arange(len(lengths)), lengths), np.arange(len(values)) - starts
     if len(values) and np.abs(values).max() >= 2.0**31:
-        return row, term, np.array([int(v) for v in values], dtype=object)
+        return row, term, np.array([int(v) if np.isfinite(v) else SCALE * int(x) for v, x in zip(values, plain)], dtype=object)
     return row, term, values.astype(np.int64)
 
 
