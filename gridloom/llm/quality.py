@@ -8,8 +8,8 @@ documents' labels alone how much each passage tells; the score is a logistic
 function of the attention-weighted passage representation.
 
 The model is fitted on the driver on SAMPLE labelled documents at most, those
-first in a hashed order, with TRAINING_PASSAGES passages of each at most,
-evenly spaced; every document is scored on all its passages, on the executors.
+first in a hashed order, with all passages of each; every document is scored
+on all its passages, on the executors.
 Rows whose crc32(doc_id as text) mod 5 is 0 are never trained on.
 
 Defined cases: a null or blank text is one passage without features, and gets
@@ -29,7 +29,8 @@ from . import words as w
 from .memory import lean, text_batches
 
 PASSAGE = 32
-SAMPLE, TRAINING_PASSAGES = 4000, 48
+#: Labelled documents that are learnt from, at most.
+SAMPLE = 4000
 THRESHOLD = 0.3
 #: Widths of the passage representation and of the attention; buckets of the bag of words.
 HIDDEN, ATTENTION, BUCKETS = 16, 8, 64
@@ -161,11 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             made, text = [], batch["text"]
             for _, raw, ends in w.pieces(text):
                 x, first = passages(raw, ends)
-                for a, b in zip(first, first[1:]):
-                    own = x[a:b]
-                    if len(own) > TRAINING_PASSAGES:
-                        own = own[np.linspace(0, len(own) - 1, TRAINING_PASSAGES).astype(int)]
-                    made.append(own.astype(np.float16).tobytes())
+                x = x.astype(np.float16)
+                made += [x[a:b].tobytes() for a, b in zip(first, first[1:])]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array(made, pa.binary())], ["id", "label", "bag"])
 
     text_batches(docs.sparkSession)

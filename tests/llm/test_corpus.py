@@ -199,3 +199,60 @@ def test_last_stage_decodes(spark):
     got = {r.doc_id: r for r in stage(spark, docs, "").collect()}
     assert name == "BPE encoding and decoding"
     assert got[1].decoded == bpe.codec().decode(got[1].token_ids) != "" and got[2].decoded == ""
+
+
+def plain_features(text):
+    """Features of each passage of a text, one word and one byte at a time."""
+    raw = (text or "").encode()
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    out = []
+    for k in range(max(1, -(-len(words) // quality.PASSAGE))):
+        own = words[k * quality.PASSAGE : (k + 1) * quality.PASSAGE]
+        begin = own[0][0] if k else 0
+        end = words[(k + 1) * quality.PASSAGE][0] if (k + 1) * quality.PASSAGE < len(words) else len(raw)
+        x = np.zeros(quality.FEATURES)
+        for b in raw[begin:end]:
+            x[quality._KIND[b]] += 1
+        x[: quality.KINDS] = np.sqrt(x[: quality.KINDS] / max(1, end - begin))
+        spelled = [raw[a:b] for a, b in own]
+        n = max(1, len(own))
+        bag = np.zeros(quality.BUCKETS)
+        for s in spelled:
+            bag[int(w.hashes(np.frombuffer(s, np.uint8), np.array([0]), np.array([len(s)]))[0]) >> 58] += 1 / n
+        again = [sum(a == b for a, b in zip(spelled, spelled[lag:])) / n for lag in (1, 2)]
+        more = [*again, float((bag**2).sum()), sum(map(len, spelled)) / n / 16, len(own) / quality.PASSAGE, float(bag.max())]
+        x[quality.KINDS : quality.KINDS + 6] = more
+        x[quality.KINDS + 6 :] = np.sqrt(bag) / 4
+        out.append(x)
+    return out
+
+
+def plain_score(p, text):
+    """The score by the formulas of gated attention, passage by passage."""
+    hidden, weights = [], []
+    for x in plain_features(text):
+        h = np.tanh(((x - p["mean"]) * p["scale"]) @ p["W"] + p["b"])
+        gate = 1 / (1 + np.exp(-(h @ p["U"] + p["u"])))
+        hidden.append(h)
+        weights.append(float(np.exp((np.tanh(h @ p["V"] + p["v"]) * gate) @ p["a"])))
+    bag = sum(h * a for h, a in zip(hidden, weights)) / sum(weights)
+    return 1 / (1 + np.exp(-np.clip(bag @ p["z"] + p["c"][0], -30, 30)))
+
+
+def test_scores_against_the_plain_formulas(spark):
+    docs, labels = corpus(200)
+    texts = [t for _, t, *_ in docs[:60]] + [None, "", "   ", "\n", "one", "é ñ  日本 " * 50, "word " * 700, " lead and  tail\t", "x" * 3000]
+    d = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, label string")
+    model = quality.train(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score for r in quality.score(d, model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain_score(model.p, t), abs=2e-4), t
+
+
+def test_all_passages_are_learnt_from(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, labels: seen.extend(len(b) for b in bags))
+    docs = spark.createDataFrame([(1, "word " * 6400, "en", "a", 0), (3, "word " * 33, "en", "a", 0)], DOCS)
+    quality.train(docs, spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int"))
+    held = [i for i in (1, 3) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sorted(seen) == sorted(n for i, n in ((1, 200), (3, 2)) if i not in held)
