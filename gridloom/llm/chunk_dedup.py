@@ -11,8 +11,11 @@ hold go if they have LEAST_WORDS words or more, whatever stays next to them.
 
 Chunks travel packed, in buckets by digest.  Those that repeat within one
 batch of texts are known to be repeated at once; only the least of them goes
-to the digest's bucket, the others are dealt evenly, so a line that a third of
-all documents hold is no hot bucket.
+to the digest's bucket and stands there for all, the others are dealt evenly,
+so a line that a third of all documents hold is no hot bucket.  As each batch's
+least is there, the bucket knows the digest's least document; the others are
+later than it, so they travel without their digests, but for those in the
+document that stands for them, which share its fate.
 
 Defined cases: null and empty texts have no chunks; a null doc_id has no
 identity and takes no part; rows with one doc_id are one document, so what
@@ -40,6 +43,8 @@ from .memory import lean, text_batches
 MIN, MAX, CUT_BITS = 8, 240, 4
 #: Words of a repeated passage, at least: more than two lines of boilerplate, less than what chunks keep of 50 words.
 LEAST_WORDS = 26
+#: Codes of packed chunks: alone so far, standing for others (with others of its document too), dealt evenly (in the standing one's document).
+_ALONE, _STANDS, _STANDS_FOR_OWN, _LATER, _LIKE_OWN = range(5)
 #: Chunks that are packed together, and chunks of a bucket, about.
 PACK, BUCKET = 1_000_000, 1_000_000
 BYTES_A_CHUNK = 22
@@ -79,7 +84,7 @@ def cuts(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-_FIELDS = (("hi", np.uint64), ("lo", np.uint64), ("doc", np.int64), ("start", np.int64), ("size", np.uint8), ("words", np.uint8), ("known", np.uint8))
+_FIELDS = (("hi", np.uint64), ("lo", np.uint64), ("doc", np.int64), ("start", np.uint32), ("size", np.uint8), ("words", np.uint8), ("code", np.uint8))
 
 
 def chunks(ids: np.ndarray, raw: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
@@ -94,7 +99,7 @@ def chunks(ids: np.ndarray, raw: np.ndarray, ends: np.ndarray) -> dict[str, np.n
     is_word = np.zeros(len(raw) + 1, dtype=np.int64)
     is_word[begins + 1] = 1
     n_words = np.cumsum(is_word)
-    return {"hi": d[:, 0], "lo": d[:, 1], "doc": ids[text], "start": points[start] - points[ends[text]], "size": (points[stop] - points[start]).astype(np.uint8), "words": (n_words[stop] - n_words[start]).astype(np.uint8), "known": np.zeros(len(stop), np.uint8)}
+    return {"hi": d[:, 0], "lo": d[:, 1], "doc": ids[text], "start": (points[start] - points[ends[text]]).astype(np.uint32), "size": (points[stop] - points[start]).astype(np.uint8), "words": (n_words[stop] - n_words[start]).astype(np.uint8), "code": np.full(len(stop), _ALONE, np.uint8)}
 
 
 def _groups(c: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -108,6 +113,16 @@ def _groups(c: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray
     return c, np.cumsum(new) - 1, np.minimum.reduceat(c["doc"], first) != np.maximum.reduceat(c["doc"], first)
 
 
+def _planes(v: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, the lowest first; the higher ones are runs, which shuffles compress away."""
+    return np.ascontiguousarray(v.view(np.uint8).reshape(len(v), v.itemsize).T).tobytes()
+
+
+def _from_planes(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind)[:, 0] if raw else np.zeros(0, kind)
+
+
 def _pack(n_buckets: int):
     names = [n for n, _ in _FIELDS]
 
@@ -115,24 +130,34 @@ def _pack(n_buckets: int):
         c = {k: np.concatenate([h[k] for h in held]) for k in names}
         c, group, several = _groups(c)
         repeated = several[group]
-        c["known"] = repeated.astype(np.uint8)
         home = (c["hi"] % np.uint64(n_buckets)).astype(np.int64)
         # of those known to be repeated the least stands for all in the digest's bucket
         least = np.lexsort((c["start"], c["doc"], group))
+        first = least[np.concatenate([[True], group[least][1:] != group[least][:-1]])]
         stands = np.zeros(len(group), dtype=bool)
-        stands[least[np.concatenate([[True], group[least][1:] != group[least][:-1]])]] = True
+        stands[first] = True
+        own = c["doc"] == c["doc"][first][group]  # in the standing one's document
+        for_own = np.bincount(group, weights=own)[group] > 1
         away = repeated & ~stands
+        c["code"][repeated & stands] = _STANDS
+        c["code"][repeated & stands & for_own] = _STANDS_FOR_OWN
+        c["code"][away] = _LATER
+        c["code"][away & own] = _LIKE_OWN
         home[away] = (w.mix(c["doc"].view(np.uint64) ^ c["start"].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)[away]
-        c["known"][away] = 2
-        order = np.argsort(home, kind="stable")
-        home = home[order]
+        # those without digest last, by document, whose ids are told by their differences
+        bare = c["code"] == _LATER
+        order = np.lexsort((c["start"], c["doc"], bare, home))
+        home, bare = home[order], bare[order]
         there, at = np.unique(home, return_index=True)
         at = np.append(at, len(home))
-        packed = []
-        for name, kind in _FIELDS:
-            v = c[name][order].astype(kind)
-            packed.append(pa.array([v[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()))
-        return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *packed], ["bucket", *names])
+        packed = {name: [] for name in names}
+        for a, b in zip(at, at[1:]):
+            part = order[a:b]
+            named = part[: int((~bare[a:b]).sum())]
+            for name, kind in _FIELDS:
+                v = c[name][named if name in ("hi", "lo") else part].astype(kind)
+                packed[name].append(_planes(np.diff(v, prepend=0)) if name == "doc" else v.tobytes() if name in ("hi", "lo") else _planes(v))
+        return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *(pa.array(packed[n], pa.binary()) for n in names)], ["bucket", *names])
 
     def run(batches):
         held, size = [], 0
@@ -151,36 +176,54 @@ def _pack(n_buckets: int):
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """The chunks of a bucket that are repeated."""
-    c = {name: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()]) for name, kind in _FIELDS}
-    sent = c["known"] == 2
-    stay = {k: v[~sent] for k, v in c.items()}
+    """The chunks of a bucket that are repeated; later: does a lesser document hold the chunk (null: as the one with this digest and document that says so)."""
+    parts = {name: [] for name, _ in _FIELDS}
+    for row in table.select([n for n, _ in _FIELDS]).to_pylist():
+        for name, kind in _FIELDS:
+            v = np.frombuffer(row[name], kind) if name in ("hi", "lo") else _from_planes(row[name], kind)
+            parts[name].append(np.cumsum(v) if name == "doc" else v)
+        fill = np.zeros(len(parts["doc"][-1]) - len(parts["hi"][-1]), np.uint64)
+        for name in ("hi", "lo"):
+            parts[name][-1] = np.concatenate([parts[name][-1], fill])
+    c = {name: np.concatenate(v) for name, v in parts.items()}
+    sent = c["code"] >= _LATER
+    stay, away = ({k: v[m] for k, v in c.items()} for m in (~sent, sent))
     stay, group, several = _groups(stay)
-    keep = several[group] | (stay["known"] == 1) if len(group) else np.zeros(0, bool)
-    out = {k: np.concatenate([stay[k][keep], c[k][sent]]) for k in c}
-    return pa.table({"hi": out["hi"].view(np.int64), "lo": out["lo"].view(np.int64), "doc_id": out["doc"], "start": out["start"], "end": out["start"] + out["size"], "words": out["words"].astype(np.int32)})
+    later, keep = np.zeros(0, bool), np.zeros(0, bool)
+    if len(group):
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        later = stay["doc"] > np.minimum.reduceat(stay["doc"], first)[group]
+        keep = several[group] | (stay["code"] != _ALONE)
+    out = {k: np.concatenate([stay[k][keep], away[k]]) for k in c}
+    unknown = out["code"] == _LIKE_OWN
+    digest = unknown | (out["code"] == _STANDS_FOR_OWN)
+    is_later = np.concatenate([later[keep], np.ones(len(away["doc"]), bool)])
+    hi, lo = (pa.array(out[k].view(np.int64), mask=~digest) for k in ("hi", "lo"))
+    start = out["start"].astype(np.int64)
+    return pa.table({"hi": hi, "lo": lo, "doc_id": out["doc"], "start": start, "end": start + out["size"], "words": out["words"].astype(np.int32), "is_later": pa.array(is_later, mask=unknown)})
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """hi, lo (digest), doc_id, start, end, words of every occurrence of a chunk that two documents or more hold."""
+    """doc_id, start, end, words, is_later (does a lesser document hold it?) of every occurrence of a chunk that two documents or more hold."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     text_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(shuffle_partitions(docs.sparkSession), math.ceil(size / BYTES_A_CHUNK / BUCKET))
-    packed = rows.mapInArrow(_pack(n_buckets), "bucket int, hi binary, lo binary, doc binary, start binary, size binary, words binary, known binary")
-    return packed.groupBy("bucket").applyInArrow(_repeated, "hi long, lo long, doc_id long, start long, end long, words int")
+    packed = rows.mapInArrow(_pack(n_buckets), "bucket int, hi binary, lo binary, doc binary, start binary, size binary, words binary, code binary")
+    found = cut(packed.groupBy("bucket").applyInArrow(_repeated, "hi long, lo long, doc_id long, start long, end long, words int, is_later boolean"))
+    own = found.filter("hi IS NOT NULL")  # repeats in the documents that stand for a batch; few
+    same = F.max("is_later").over(Window.partitionBy("doc_id", "hi", "lo"))
+    names = ("doc_id", "start", "end", "words", "is_later")
+    return found.filter("hi IS NULL").select(*names).union(own.withColumn("is_later", same).select(*names))
 
 
 def passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, start, end, words, later of each repeated passage; later: start, end of the runs in it of least_words words or more whose every chunk a lesser document holds."""
-    found = cut(repeated_chunks(docs))
-    least = found.groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).select(F.col("hi").alias("h"), F.col("lo").alias("l"), "least")
-    found = found.join(cut(least), (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")))
+    found = repeated_chunks(docs)
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     earlier, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    is_later = F.col("least") < F.col("doc_id")
-    before, before_later = F.max("end").over(earlier), F.max(F.when(is_later, F.col("end"))).over(earlier)
-    found = found.select("doc_id", "start", "end", "words", is_later.alias("is_later"), before.alias("before"), before_later.alias("before_later"))
+    before, before_later = F.max("end").over(earlier), F.max(F.when(F.col("is_later"), F.col("end"))).over(earlier)
+    found = found.select("doc_id", "start", "end", "words", "is_later", before.alias("before"), before_later.alias("before_later"))
     for name, last in (("", "before"), ("_later", "before_later")):
         found = found.withColumn("opens" + name, F.coalesce((F.col("start") > F.col(last)).cast("int"), F.lit(1)))
         found = found.withColumn("new_words" + name, F.when(F.col("start") < F.col(last), 0).otherwise(F.col("words")))  # less: of another row with this doc_id

@@ -214,3 +214,60 @@ def test_substring_keeps_one_copy_beside_boilerplate(spark):
     got = {r.doc_id: r for r in chunk_dedup.report(docs).collect()}
     assert (got[2].n_passages, got[2].n_later, got[3].n_passages, got[3].n_later) == (1, 1, 1, 1)
     assert got[2].spans == got[3].spans and got[0].n_later == 0
+
+
+def test_repeated_passages_against_brute_force(spark):
+    """Every document that shares 50 words in a row with another is found; found ones share 20 at least."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10))) for _ in range(4000)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    passages, lines = [prose(rng.randint(52, 120)) for _ in range(25)], [prose(rng.randint(4, 12)) for _ in range(6)]
+    texts = []
+    for k in range(400):
+        body = prose(rng.randint(1, 400))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            at = rng.randint(0, len(body))
+            body[at:at] = rng.choice(passages) if rng.random() < 0.6 else rng.choice(lines)
+        texts.append(" ".join(body))
+    texts += [texts[7], texts[7], texts[8] + " more", None, "", "é🙂 " + texts[9]]
+    size = 50
+
+    def shared(size):
+        holders = {}
+        for i, t in enumerate(texts):
+            x = (t or "").split()
+            for k in range(len(x) - size + 1):
+                holders.setdefault(tuple(x[k : k + size]), set()).add(i)
+        return {i for h in holders.values() if len(h) > 1 for i in h}
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    found = {r.doc_id for r in chunk_dedup.report(docs).collect()}
+    assert len(shared(size)) > 100 and shared(size) <= found <= shared(20)
+
+
+def test_packing_changes_nothing(spark, monkeypatch):
+    """What a batch knows to be repeated, and the documents that repeat themselves, come out as without any packing."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 7))) for _ in range(500)]
+    line = " ".join(rng.choices(words, k=40))
+    rows = [(rng.randint(-(2**62), 2**62), " ".join([line] * rng.randint(0, 4) + rng.choices(words, k=rng.randint(1, 90)) + [line] * rng.randint(0, 2))) for _ in range(80)]
+    rows += [(rows[3][0], rows[4][1]), (rows[5][0], rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = None
+    for pack, parts in ((1_000_000, 1), (1, 9), (300, 3)):
+        monkeypatch.setattr(chunk_dedup, "PACK", pack)
+        monkeypatch.setattr(w, "PIECE", 200 if pack == 1 else 1 << 20)
+        got = sorted(tuple(r) for r in chunk_dedup.repeated_chunks(docs.repartition(parts)).collect())
+        assert got and want in (None, got)
+        want = got
+    by_chunk = {}
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(t)
+    for i, a, b, _, later in want:
+        by_chunk.setdefault(tuple(t[a:b] for t in texts[i])[0], []).append((i, later))
+    once = {i for i, t in texts.items() if len(t) == 1}
+    for held in by_chunk.values():
+        least = min(i for i, _ in held)
+        if all(i in once for i, _ in held):
+            assert all(later == (i > least) for i, later in held)
