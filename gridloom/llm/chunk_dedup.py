@@ -51,11 +51,15 @@ BYTES_A_CHUNK = 22
 _GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
-def rolling(raw: np.ndarray) -> np.ndarray:
-    """The gear hash h = (h << 1) + GEAR[byte] in 16 bits, after each byte; older bytes have left the 16 bits."""
+def rolling(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The gear hash h = (h << 1) + GEAR[byte] in 16 bits, after each byte of some texts, begun anew in each; older bytes have left the 16 bits."""
     h = _GEAR[raw]
     for step in (1, 2, 4, 8):
-        h[step:] = h[step:] + (h[:-step] << np.uint16(step))  # the right side is made before it is stored
+        before = np.zeros_like(h)
+        before[step:] = h[:-step] << np.uint16(step)
+        first = (ends[:-1, None] + np.arange(step)).ravel()
+        before[first[first < np.repeat(ends[1:], step)]] = 0
+        h = h + before
     return h
 
 
@@ -66,7 +70,7 @@ def cuts(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     letter = np.ones(n + 1, dtype=bool)  # does a code point begin here?
     letter[:n] = (raw & 0xC0) != 0x80
-    wanted = ((rolling(raw) >> np.uint16(16 - CUT_BITS)) == 0) & letter[1:]
+    wanted = ((rolling(raw, ends) >> np.uint16(16 - CUT_BITS)) == 0) & letter[1:]
     last = np.zeros(n + 1, dtype=bool)
     last[ends] = True
     out, begin = [], 0
