@@ -35,83 +35,139 @@ def is_close(a, b, distance: int) -> bool:
     return min(a[3], b[3]) > max(a[1], b[1]) and min(abs(a[0] - b[2]), abs(b[0] - a[2])) < distance
 
 
-def on_one_line(a, b, gap: int) -> bool:
-    """Common rows, and common columns or a horizontal gap below the limit."""
-    if min(a[3], b[3]) <= max(a[1], b[1]):
-        return False
-    return min(a[2], b[2]) > max(a[0], b[0]) or any(0 < d < gap for d in (b[0] - a[2], a[0] - b[2]))
+def relations(a, others: np.ndarray, bias=(0, 0)) -> np.ndarray:
+    """relation() of one box with each row of an array of boxes."""
+    w = (np.minimum(a[2], others[:, 2]) - np.maximum(a[0], others[:, 0]) + 2 * bias[0]).clip(0)
+    h = (np.minimum(a[3], others[:, 3]) - np.maximum(a[1], others[:, 1]) + 2 * bias[1]).clip(0)
+    common, area, other = w * h, (a[2] - a[0]) * (a[3] - a[1]), (others[:, 2] - others[:, 0]) * (others[:, 3] - others[:, 1])
+    much = (50 * common >= area + other - common) | (5 * common > area) | (5 * common > other)
+    return np.select([common == 0, common >= area, common >= other, much], [0, -1, 1, 2], 0)
+
+
+def contained(boxes: np.ndarray, is_block: np.ndarray) -> np.ndarray:
+    """Which boxes lie in another one that is no block; of two equal ones the earlier does."""
+    r = np.array([relations(b, boxes) for b in boxes]).reshape(len(boxes), len(boxes))
+    later = np.triu(np.ones(r.shape, bool), 1)
+    holds = (r == 1) & later  # of each pair only the earlier one's view counts
+    is_held = (r == -1) & later
+    return (is_held & ~is_block).any(axis=1) | (holds & ~is_block[:, None]).any(axis=0)
+
+
+def on_one_line(a, others: np.ndarray, gap: int) -> np.ndarray:
+    """Common rows with each of others, and common columns or a horizontal gap below the limit."""
+    rows = np.minimum(a[3], others[:, 3]) > np.maximum(a[1], others[:, 1])
+    columns = np.minimum(a[2], others[:, 2]) - np.maximum(a[0], others[:, 0])  # negative: the gap
+    return rows & (columns > 0) | rows & (columns < 0) & (columns > -gap)
+
+
+def _first(hits: np.ndarray, after: int = 0) -> int | None:
+    found = np.flatnonzero(hits[after:])
+    return after + int(found[0]) if len(found) else None
+
+
+class Piles:
+    """Boxes in order, each the hull of the items put on it."""
+
+    def __init__(self, most: int):
+        self._all, self.members = np.zeros((most, 4), np.int64), []
+
+    @property
+    def boxes(self) -> np.ndarray:
+        return self._all[: len(self.members)]
+
+    def start(self, box, members) -> None:
+        self.members.append(members)
+        self._all[len(self.members) - 1] = box
 
+    def put(self, k: int, box, members) -> tuple:
+        """The pile's new hull."""
+        self._all[k] = hull(self._all[k], box)
+        self.members[k] = list(dict.fromkeys([*self.members[k], *members]))
+        return tuple(self._all[k].tolist())
 
-def absorb(items: list, joins, first_only: bool = True) -> tuple[list, bool]:
-    """One pass in order: an item (box, members) is absorbed by the kept ones it joins, or kept itself."""
-    kept: list = []
-    changed = False
-    for box, members in items:
-        found = False
-        for k, (other, others) in enumerate(kept):
-            if joins(box, other):
-                kept[k] = box, members = hull(other, box), list(dict.fromkeys([*others, *members]))
-                found = changed = True
-                if first_only:
-                    break
-        if not found:
-            kept.append((box, members))
-    return kept, changed
+    def items(self) -> list:
+        return [(tuple(b), m) for b, m in zip(self.boxes.tolist(), self.members)]
 
 
-def until_stable(items: list, step) -> list:
-    changed = True
-    while changed:
-        items, changed = step(items)
-    return items
+def piled(items: list, place) -> list:
+    """Put items on piles in order; place (piles, box, members, nth pass) puts one on others and says so, else it starts its own; again until none is put."""
+    nth = 0
+    while True:
+        piles = Piles(len(items))
+        for box, members in items:
+            if not place(piles, box, members, nth):
+                piles.start(box, members)
+        if len(piles.members) == len(items):
+            return piles.items()
+        items, nth = piles.items(), nth + 1
 
 
 def merge_meeting(items: list) -> list:
     """Each box joins the first kept box it meets (relation 2), until none does."""
-    return until_stable(items, lambda x: absorb(x, lambda a, b: relation(a, b) == 2))
+
+    def place(piles, box, members, _):
+        k = _first(relations(box, piles.boxes) == 2)
+        if k is not None:
+            piles.put(k, box, members)
+        return k is not None
+
+    return piled(items, place)
 
 
 def merge_corners(items: list, with_contained: bool, gap=(0, 0)) -> list:
-    """Each box joins all kept boxes that it holds or meets (or, if wanted, is in), until none does."""
-    wanted = {1, 2, -1} if with_contained else {1, 2}
-    return until_stable(items, lambda x: absorb(x, lambda a, b: relation(a, b, gap) in wanted, first_only=False))
+    """Each box joins the kept boxes, one after the other, that it holds or meets (or, if wanted, is in), growing as it does, until none does."""
+    wanted = (1, 2, -1) if with_contained else (1, 2)
+
+    def place(piles, box, members, _):
+        k = _first(np.isin(relations(box, piles.boxes, gap), wanted))
+        found = k is not None
+        while k is not None:
+            box = piles.put(k, box, members)
+            members = piles.members[k]
+            k = _first(np.isin(relations(box, piles.boxes, gap), wanted), k + 1)
+        return found
+
+    return piled(items, place)
 
 
 def merge_text(items: list, gap: int = 4, height: int = 20) -> list:
     """Low boxes join the first kept box on their line; in later passes with the default limits."""
 
-    def a_pass(x, gap, height):
-        kept, changed = [], False
-        for box, members in x:
-            low = box[3] - box[1] <= height
-            k = next((k for k, (other, _) in enumerate(kept) if on_one_line(box, other, gap)), None) if low else None
-            if k is None:
-                kept.append((box, members))
-            else:
-                kept[k], changed = (hull(kept[k][0], box), [*kept[k][1], *members]), True
-        return kept, changed
+    def place(piles, box, members, nth):
+        limit, low = (gap, height) if nth == 0 else (4, 20)
+        k = _first(on_one_line(box, piles.boxes, limit)) if box[3] - box[1] <= low else None
+        if k is not None:
+            piles.put(k, box, members)
+        return k is not None
 
-    items, changed = a_pass(items, gap, height)
-    while changed:
-        items, changed = a_pass(items, 4, 20)
-    return items
+    return piled(items, place)
 
 
 def merge_close(items: list, distance: int = 20) -> list:
-    """Heads of the list take the first close box behind them, one each pass, until none does."""
+    """In rounds: in order, each box that is still free is paired with the first free close box behind it; pairs become their hulls, until there is none.
 
-    def a_pass(x):
-        rest, out, changed = list(x), [], False
-        while rest:
-            box, members = rest.pop(0)
-            k = next((k for k, (other, _) in enumerate(rest) if is_close(box, other, distance)), None)
+    A hull is compared in the next round only, so a round is a matching on the
+    graph of close pairs among the boxes as the round finds them.
+    """
+    while True:
+        b = np.array([box for box, _ in items], dtype=np.int64).reshape(-1, 4)
+        free = np.ones(len(b), bool)
+        out = []
+        for i, (box, members) in enumerate(items):
+            if not free[i]:
+                continue
+            rest = b[i + 1 :]
+            rows = np.minimum(b[i, 3], rest[:, 3]) > np.maximum(b[i, 1], rest[:, 1])
+            apart = np.minimum(np.abs(b[i, 0] - rest[:, 2]), np.abs(rest[:, 0] - b[i, 2]))
+            k = _first(rows & (apart < distance) & free[i + 1 :])
             if k is not None:
-                other, others = rest.pop(k)
-                box, members, changed = hull(box, other), [*members, *others], True
+                free[i + 1 + k] = False
+                other, others = items[i + 1 + k]
+                box, members = hull(box, other), [*members, *others]
             out.append((box, members))
-        return out, changed
-
-    return until_stable(items, a_pass)
+        if len(out) == len(items):
+            return out
+        items = out
 
 
 # pixels
@@ -152,36 +208,29 @@ def is_line_row(row: np.ndarray, gap: int = 5, share: float = 0.95) -> bool:
 
 
 def line_erasures(valid: list[bool], thickness: int = 8) -> list[tuple[int, int]]:
-    """Row ranges [a, b) that hold thin horizontal lines, by a scan with a pending candidate.
+    """Row ranges [a, b) that hold thin horizontal lines, told by runs of line rows and the room behind them.
 
-    A run of line rows thinner than the limit is pending until more than
-    `thickness` rows have passed behind it; only then it is erased.  A run that
-    opens meanwhile takes the place of the pending start, so the earlier run is
-    spared; a run that is open when the wait ends is forgotten.
+    A thin run (less than `thickness` rows) goes if no other run begins in the
+    thickness + 2 rows behind it; if one does, the thin run is spared.  If that
+    one reaches over the end of the room, it counts only from the row after
+    the room on.  A thin run that the image's end cuts off goes but for the last
+    row, unless a spared one's room takes it in.
     """
+    steps = np.flatnonzero(np.diff(np.concatenate([[False], np.asarray(valid, bool), [False]]).astype(np.int8)))
     out: list[tuple[int, int]] = []
-    n = len(valid)
-    begin = stop = -1
-    is_open = pending = False
-
-    def erase():
-        out.append((begin if begin >= 0 else n + begin, stop if stop >= 0 else n + stop))
-
-    for i, v in enumerate(valid):
-        if v and not is_open:
-            begin, is_open = i, True
-        elif not v and is_open:
-            is_open = False
-            if i - begin < thickness:
-                stop, pending = i, True
-            else:
-                begin = stop = -1
-        if pending and i - stop > thickness:
-            erase()
-            begin = stop = -1
-            is_open = pending = False
-    if pending or is_open and n - begin < thickness:
-        erase()
+    n, from_row = len(valid), 0
+    starts, stops = steps[::2].tolist(), steps[1::2].tolist()
+    for a, b, c, d in zip(starts, stops, [*starts[1:], math.inf], [*stops[1:], math.inf]):
+        a = max(a, from_row)
+        if not a < b < a + thickness:
+            continue  # taken in, or thick
+        room = b + thickness + 1
+        if b == n:
+            out.append((a, n - 1))
+        elif c > room:
+            out.append((a, b))
+        elif d > room or d == n:
+            from_row = min(room + 1, n)
     return [(a, b) for a, b in out if a < b]
 
 
@@ -247,38 +296,35 @@ class Region:
 
     def is_rectangle(self, clip_height: int, evenness: float = 0.7, dent: float = 0.25) -> bool:
         """Four borders that are mostly flat, without long steps or wide dents."""
-        flat = total = 0
-        for border, outwards, across in ((self.top, 1, self.height), (self.bottom, -1, self.height), (self.left, 1, self.width), (self.right, -1, self.width)):
-            n = len(border)
-            total += n
-            found = flat_points(border.tolist(), outwards, across, dent)
-            if found is None:
-                return False
-            flat += found
-        return flat / total >= (0.85 if self.height / clip_height > 0.3 else evenness)
-
-
-def flat_points(border: list[int], outwards: int, across: int, dent: float) -> int | None:
-    """How many points of a border are level with where its scan began; None if it can't be a rectangle's."""
+        sides = ((self.top, 1, self.height), (self.bottom, -1, self.height), (self.left, 1, self.width), (self.right, -1, self.width))
+        flat = [flat_points(border, outwards, across, dent) for border, outwards, across in sides]
+        if None in flat:
+            return False
+        return sum(flat) / (2 * (self.width + self.height)) >= (0.85 if self.height / clip_height > 0.3 else evenness)
+
+
+def flat_points(border: np.ndarray, outwards: int, across: int, dent: float) -> int | None:
+    """How many points of a border are level with where it begins; None if it can't be a rectangle's.
+
+    Depths are differences to a point of reference: the first one behind the
+    corner, or the one behind the last great outward step within the first 8 %.
+    More than a tenth of the border in a row far off, or a share over `dent`
+    sunken, is no rectangle's.
+    """
     n = len(border)
-    depth = steps = pits = level = 0
-    for i in range(int(3 + n * 0.02), n - 1):
-        change = border[i] - border[i + 1]
-        depth += change
-        if i / n < 0.08 and outwards * change / across > 0.5:
-            depth = 0
-        off = abs(depth) / across
-        if off > 0.3:
-            steps += 1
-            if steps / n > 0.1:
-                return None
-            continue
-        steps = 0
-        if off > 0.15 and outwards * depth < 0:
-            pits += 1
-        elif abs(depth) < 1 + across * 0.015:
-            level += 1
-    return None if pits / n > dent else level
+    at = np.arange(int(3 + n * 0.02), n - 1)
+    if not len(at):
+        return 0
+    steps = outwards * (border[at] - border[at + 1]) / across
+    reference = np.maximum.accumulate(np.where((at / n < 0.08) & (steps > 0.5), at + 1, at[0]))
+    depth = border[reference] - border[at + 1]
+    off = np.abs(depth) / across
+    far = off > 0.3
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], far, [False]]).astype(np.int8)))
+    sunken = ~far & (off > 0.15) & (outwards * depth < 0)
+    if (edges[1::2] - edges[::2]).max(initial=0) / n > 0.1 or sunken.sum() / n > dent:
+        return None
+    return int((~far & ~sunken & (np.abs(depth) < 1 + across * 0.015)).sum())
 
 
 def regions(labels: np.ndarray) -> dict[int, Region]:

@@ -85,42 +85,38 @@ def erase_lines_simple(pixels: DataFrame, thickness: int = 8) -> DataFrame:
     return _blank(pixels, thin_bands(valid_rows(pixels), thickness))
 
 
-def line_erasures(valid: Column, thickness: int = 8) -> Column:
-    """kernels.line_erasures as a fold over an array of booleans: array<struct<y0, y1>>, y1 inclusive."""
-    n = F.size(valid)
-    none = F.array().cast("array<struct<y0:int,y1:int>>")
-    state = {"i": F.lit(0), "begin": F.lit(-1), "stop": F.lit(-1), "open": F.lit(False), "wait": F.lit(False), "out": none}
-    pack = lambda d: F.struct(*[c.alias(k) for k, c in d.items()])
-    whole = lambda begin, stop: F.struct(F.when(begin < 0, n + begin).otherwise(begin).alias("y0"), (F.when(stop < 0, n + stop).otherwise(stop) - 1).alias("y1"))
-
-    def step(s, v):
-        opens, shuts = v & ~s["open"], ~v & s["open"]
-        thin = s["i"] - s["begin"] < thickness
-        begin = F.when(opens, s["i"]).when(shuts & ~thin, -1).otherwise(s["begin"])
-        stop = F.when(shuts & thin, s["i"]).when(shuts, -1).otherwise(s["stop"])
-        wait = s["wait"] | (shuts & thin)
-        over = wait & (s["i"] - stop > thickness)
-        return pack({
-            "i": s["i"] + 1,
-            "begin": F.when(over, -1).otherwise(begin),
-            "stop": F.when(over, -1).otherwise(stop),
-            "open": ~over & (opens | (s["open"] & ~shuts)),
-            "wait": wait & ~over,
-            "out": F.when(over, F.concat(s["out"], F.array(whole(begin, stop)))).otherwise(s["out"]),
-        })
-
-    def finish(s):
-        last = s["wait"] | (s["open"] & (n - s["begin"] < thickness))
-        return F.when(last, F.concat(s["out"], F.array(whole(s["begin"], s["stop"])))).otherwise(s["out"])
-
-    return F.filter(F.aggregate(valid, pack(state), step, finish), lambda b: b["y0"] <= b["y1"])
+def runs(rows: DataFrame) -> DataFrame:
+    """image_id, n (rows), runs array<struct<a, b>> of valid rows, in order, b exclusive."""
+    w = Window.partitionBy("image_id").orderBy("y")
+    x = rows.withColumn("nth", F.row_number().over(w)).withColumn("run", F.col("nth") - F.sum(F.col("valid").cast("int")).over(w))
+    x = x.groupBy("image_id", "run").agg(F.min(F.when(F.col("valid"), F.col("y"))).alias("a"), (F.max(F.when(F.col("valid"), F.col("y"))) + 1).alias("b"), F.max("y").alias("last"))
+    found = F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "b"))))
+    return x.groupBy("image_id").agg((F.max("last") + 1).alias("n"), found.alias("runs"))
+
+
+def line_erasures(runs: Column, n: Column, thickness: int = 8) -> Column:
+    """kernels.line_erasures over an array of runs: array<struct<y0, y1>>, y1 inclusive."""
+    none = F.array().cast("array<struct<y0:bigint,y1:bigint>>")
+    behind = F.concat(F.slice(runs, 2, F.greatest(F.size(runs), F.lit(1))), F.array(F.lit(None).cast("struct<a:bigint,b:bigint>")))
+    pairs = F.zip_with(runs, behind, lambda r, c: F.struct(r["a"].alias("a"), r["b"].alias("b"), c["a"].alias("c"), c["b"].alias("d")))
+    state = F.struct(F.lit(0).cast("long").alias("from_row"), none.alias("out"))
+
+    def step(s, r):
+        a, room = F.greatest(r["a"], s["from_row"]), r["b"] + thickness + 1
+        thin = (a < r["b"]) & (r["b"] < a + thickness)
+        alone = r["c"].isNull() | (r["c"] > room)
+        gone = F.when(thin & (r["b"] == n), F.struct(a.alias("y0"), (n - 2).alias("y1"))).when(thin & alone, F.struct(a.alias("y0"), (r["b"] - 1).alias("y1")))
+        taken_in = thin & ~alone & (r["b"] < n) & ((r["d"] > room) | (r["d"] == n))
+        from_row = F.when(taken_in, F.least(room + 1, n)).otherwise(s["from_row"])
+        return F.struct(from_row.alias("from_row"), F.when(gone.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(gone))).alias("out"))
+
+    return F.filter(F.aggregate(pairs, state, step, lambda s: s["out"]), lambda b: b["y0"] <= b["y1"])
 
 
 def erase_lines(pixels: DataFrame, thickness: int = 8) -> DataFrame:
-    """Without thin horizontal lines, by the scan with a pending candidate (rows are numbered from 0 without holes)."""
-    rows = valid_rows(pixels).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "valid"))).alias("rows"))
-    bands = rows.select("image_id", F.inline(line_erasures(F.col("rows.valid"), thickness)))
-    return _blank(pixels, bands)
+    """Without thin horizontal lines that have room behind them (rows are numbered from 0 without holes)."""
+    found = runs(valid_rows(pixels))
+    return _blank(pixels, found.select("image_id", F.inline(line_erasures(F.col("runs"), F.col("n"), thickness))))
 
 
 def _first_runs(pixels: DataFrame, along: str, across: str, share: float) -> DataFrame:

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -81,11 +82,85 @@ def test_pairs_over_cells_are_all_pairs_once(spark):
     assert {r.box_id for r in boxes.drop_contained(df.selectExpr("*", "'Compo' AS category")).filter("image_id = 9").collect()} == {1}
 
 
+def greedy(found, fits, several=False):
+    """Merges by the words of the rule: in order, each box goes to the first kept one that fits (or to each, growing), until all stay."""
+    groups = [(b, {k}) for k, b in enumerate(found)]
+    passes = 0
+    while True:
+        kept = []
+        for b, ids in groups:
+            home = False
+            for g in kept:
+                if fits(b, g[0], passes):
+                    g[0] = tuple(f(x, y) for f, x, y in zip((min, min, max, max), b, g[0]))
+                    g[1] |= ids
+                    b, ids, home = g[0], set(g[1]), True
+                    if not several:
+                        break
+            if not home:
+                kept.append([b, set(ids)])
+        passes += 1
+        if len(kept) == len(groups):
+            return [(tuple(b), sorted(ids)) for b, ids in kept]
+        groups = [(tuple(b), ids) for b, ids in kept]
+
+
+def on_a_line(a, b, gap):
+    if not set(range(a[1], a[3])) & set(range(b[1], b[3])):
+        return False
+    left, right = sorted([a, b])
+    return right[0] < max(left[2], 0) if right[0] < left[2] else 0 < right[0] - left[2] < gap
+
+
+@given(st.lists(box, max_size=14))
+def test_merges_against_brute_force(found):
+    items = [(b, [k]) for k, b in enumerate(found)]
+    plain = lambda merged: [(b, sorted(m)) for b, m in merged]
+    assert plain(kernels.merge_meeting(items)) == greedy(found, lambda a, b, _: by_ratios(a, b) == 2)
+    for wanted in ({1, 2}, {1, 2, -1}):
+        assert plain(kernels.merge_corners(items, -1 in wanted, (2, 1))) == greedy(found, lambda a, b, _: by_ratios(a, b, (2, 1)) in wanted, several=True)
+    low = lambda a, b, n: a[3] - a[1] <= (20 if n else 12) and on_a_line(a, b, 4 if n else 9)
+    assert plain(kernels.merge_text(items, 9, 12)) == greedy(found, low)
+
+
+def paired(found, distance):
+    """merge_close with sets of ids: rounds of pairs among the boxes of the round."""
+    groups = [(b, {k}) for k, b in enumerate(found)]
+    while True:
+        left, out = list(range(len(groups))), []
+        while left:
+            i, left = left[0], left[1:]
+            a = groups[i][0]
+            partner = [j for j in left if set(range(a[1], a[3])) & set(range(groups[j][0][1], groups[j][0][3])) and (abs(a[0] - groups[j][0][2]) < distance or abs(groups[j][0][0] - a[2]) < distance)][:1]
+            left = [j for j in left if j not in partner]
+            members = [groups[k] for k in [i, *partner]]
+            corners = list(zip(*(b for b, _ in members)))
+            out.append(((min(corners[0]), min(corners[1]), max(corners[2]), max(corners[3])), set().union(*(m for _, m in members))))
+        if len(out) == len(groups):
+            return [(b, sorted(m)) for b, m in out]
+        groups = out
+
+
+@given(st.lists(box, max_size=14), st.integers(1, 25))
+def test_close_merges_against_brute_force(found, distance):
+    got = kernels.merge_close([(b, [k]) for k, b in enumerate(found)], distance)
+    assert [(tuple(b), sorted(m)) for b, m in got] == paired(found, distance)
+
+
+@given(st.lists(st.tuples(box, st.booleans()), max_size=10))
+def test_contained_against_brute_force(found):
+    at, is_block = np.array([b for b, _ in found], dtype=np.int64).reshape(-1, 4), np.array([k for _, k in found], dtype=bool)
+    inside = lambda a, b: a[0] >= b[0] and a[1] >= b[1] and a[2] <= b[2] and a[3] <= b[3]
+    want = [any(i != j and not other_is_block and inside(a, b) and (a != b or i < j) for j, (b, other_is_block) in enumerate(found)) for i, (a, _) in enumerate(found)]
+    assert kernels.contained(at, is_block).tolist() == want
+
+
 def test_merging_by_image(spark):
     rows = some_boxes(20)
     df = spark.createDataFrame(rows, FIELDS)
     got = {(r.image_id, r.box_id): (r.x1, r.y1, r.x2, r.y2) for r in merging.merge_meeting(df).collect()}
     for i in range(3):
-        out = kernels.merge_meeting([(r[2:], [r[1]]) for r in rows if r[0] == i])
-        assert {k: b for k, b in got.items() if k[0] == i} == {(i, m[0]): b for b, m in out}
+        own = [r for r in rows if r[0] == i]
+        out = greedy([r[2:] for r in own], lambda a, b, _: by_ratios(a, b) == 2)
+        assert {k: b for k, b in got.items() if k[0] == i} == {(i, own[m[0]][1]): b for b, m in out}
     assert merging.merge_meeting(df.limit(0)).count() == 0

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import kernels, pixels, regions
 
@@ -23,7 +24,7 @@ def test_line_traps():
     assert erased(10) == set()
 
 
-def test_fold_is_the_scan(spark):
+def test_runs_in_the_jvm_and_in_python(spark):
     rng = random.Random(3)
     cases = []
     for k in range(150):
@@ -32,10 +33,9 @@ def test_fold_is_the_scan(spark):
             row += [on] * rng.choice([1, 2, 3, 7, 8, 9, 10, 12])
             on = not on
         cases.append((k, row[:n]))
-    df = spark.createDataFrame(cases, "k int, valid array<boolean>")
-    from pyspark.sql import functions as F
-
-    got = {r.k: [(b.y0, b.y1 + 1) for b in r.b] for r in df.select("k", pixels.line_erasures(F.col("valid")).alias("b")).collect()}
+    rows = spark.createDataFrame([(k, y, v) for k, row in cases for y, v in enumerate(row)], "image_id long, y long, valid boolean")
+    found = pixels.runs(rows).select("image_id", pixels.line_erasures(F.col("runs"), F.col("n")).alias("b"))
+    got = {r.image_id: [(b.y0, b.y1 + 1) for b in r.b] for r in found.collect()}
     assert got == {k: kernels.line_erasures(v) for k, v in cases}
 
 
@@ -125,6 +125,35 @@ def shape(kind):
     return a
 
 
+def level_points(border, outwards, across, dent):
+    """By following the border point by point."""
+    n, level, sunken, far, longest = len(border), 0, 0, 0, 0
+    reference = None
+    for i in range(int(3 + n * 0.02), n - 1):
+        here, beyond = int(border[i]), int(border[i + 1])
+        reference = here if reference is None else reference
+        if i / n < 0.08 and outwards * (here - beyond) > 0.5 * across:
+            reference = beyond
+        share = (reference - beyond) / across
+        far = far + 1 if abs(share) > 0.3 else 0
+        longest = max(longest, far)
+        if not far:
+            if abs(share) > 0.15 and outwards * share < 0:
+                sunken += 1
+            elif abs(reference - beyond) < 1 + across * 0.015:
+                level += 1
+    return None if longest > 0.1 * n or sunken > dent * n else level
+
+
+def test_borders_against_brute_force():
+    rng = np.random.default_rng(5)
+    for k in range(2000):
+        n = int(rng.integers(1, 90))
+        border = [rng.integers(0, 9, n), np.where(rng.random(n) < 0.9, 5, rng.integers(0, 40, n)), np.where(np.arange(n) < rng.integers(0, n + 1), 3, 20)][k % 3]
+        outwards, across = int(rng.choice([1, -1])), int(rng.integers(1, 50))
+        assert kernels.flat_points(border, outwards, across, 0.25) == level_points(border, outwards, across, 0.25)
+
+
 def test_rectangles_and_lines():
     made = {k: kernels.Region(*np.nonzero(shape(k))) for k in ("solid", "disc", "notch", "bar")}
     assert made["solid"].is_rectangle(60) and not made["notch"].is_rectangle(60) and not made["disc"].is_rectangle(60)
