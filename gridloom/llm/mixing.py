@@ -7,8 +7,11 @@ sources in the order in which they hit their caps, which gives the fixpoint of
 as floor(target / size) whole repetitions of all its documents plus a part of
 one repetition: documents in a seeded order until the target is reached, the
 last of them in part.  Where that order stops is found on sums per hash
-bucket and then inside one bucket per source, so no task ever sees a source
-as a whole and texts are never shuffled.
+bucket, level by level: of each source's 4096 buckets at most, the one in which
+it stops, of that one's 4096 again, and so on until a bucket holds few
+documents.  So no task ever sees a source as a whole, a window never more than
+4096 sums or about as many documents of a source, and texts are never shuffled.
+The water level is found in one task, from one row per source.
 
 Defined cases: a null source is a source of its own and comes last; a null or
 blank text has size 0 and is taken 0 words; rows with equal doc_id (or null
@@ -30,8 +33,8 @@ SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1:"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents of one source that share a hash bucket, about.
-PER_BUCKET = 4096
+#: Documents of one source that share a bucket of the last level, about; hex digits of the place that a level looks at (16**3 buckets).
+PER_BUCKET, DIGITS = 4096, 3
 
 
 def word_count(text: Column) -> Column:
@@ -74,22 +77,26 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = cut(d.withColumn("place", place(F.col("doc_id"))))
     totals = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
     seen = totals.agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("n")).first()
-    digits = 1
-    while 16**digits * PER_BUCKET < (seen["most"] or 0) and digits < 7:
-        digits += 1
+    depth = 0
+    while 16 ** (DIGITS * depth) * PER_BUCKET < (seen["most"] or 0):
+        depth += 1
     whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).cast("long")
     levels = water_fill(totals.select("source", "source_size")).withColumn("whole", whole)
     levels = cut(levels.withColumn("extra", F.round("target").cast("long") - F.col("whole") * F.col("source_size")))
-    bucket = F.substring("place", 1, digits)
-    sums = sizes.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    known = small(levels.select(F.col("source").alias("s"), "extra"), seen["n"])
-    # the bucket in which a source's order stops, with the words still to take there
-    stops = sums.join(known, F.col("source").eqNullSafe(F.col("s")))
-    stops = stops.filter((F.col("before") < F.col("extra")) & (F.col("extra") <= F.col("before") + F.col("words")))
-    stops = small(stops.select("s", "bucket", (F.col("extra") - F.col("before")).alias("open")), seen["n"])
-    inside = sizes.withColumn("b", bucket).join(stops, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("bucket")))
+    # where a source's order stops: a prefix of places, with the words still to take there
+    stops = levels.filter("extra > 0").select(F.col("source").alias("s"), F.lit("").alias("prefix"), F.col("extra").alias("open"))
+
+    def within(known: int) -> DataFrame:
+        same = F.col("source").eqNullSafe(F.col("s"))
+        return sizes.join(small(stops, seen["n"]), same & (F.substring("place", 1, known) == F.col("prefix")) if known else same)
+
+    for level in range(1, depth + 1):
+        sums = within(DIGITS * (level - 1)).groupBy("s", F.substring("place", 1, DIGITS * level).alias("prefix"), "open").agg(F.sum("size").alias("words"))
+        upto = Window.partitionBy("s").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+        stops = sums.filter((F.col("before") < F.col("open")) & (F.col("open") <= F.col("before") + F.col("words")))
+        stops = cut(stops.select("s", "prefix", (F.col("open") - F.col("before")).alias("open")))
+    inside = within(DIGITS * depth)
     inside = inside.groupBy("s", "place", "open").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("s").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))

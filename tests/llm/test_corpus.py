@@ -256,3 +256,13 @@ def test_all_passages_are_learnt_from(spark, monkeypatch):
     quality.train(docs, spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int"))
     held = [i for i in (1, 3) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sorted(seen) == sorted(n for i, n in ((1, 200), (3, 2)) if i not in held)
+
+
+def test_levels_of_buckets_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame(mix_rows(), DOCS)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken, r.source or "")
+    want = sorted(map(key, mixing.mix(docs).collect()))
+    for per_bucket, digits in ((20, 1), (1, 1), (5, 3)):
+        monkeypatch.setattr(mixing, "PER_BUCKET", per_bucket)
+        monkeypatch.setattr(mixing, "DIGITS", digits)
+        assert sorted(map(key, mixing.mix(docs).collect())) == want
