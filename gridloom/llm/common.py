@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; only where it is unset (tests, one machine) make one."""
+    """Use the shared folder of spark.checkpoint.dir; where it is unset, make one if driver and executors are one process, else say so."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gridloom-checkpoints-"))
 
 
