@@ -50,8 +50,8 @@ def test_entry(spark):
 
 
 def test_entry_without_the_other_folders(monkeypatch):
-    monkeypatch.setattr(entry, "HAS_LLM", False)
-    monkeypatch.setattr(entry, "HAS_PIPELINE", False)
+    monkeypatch.setattr(entry, "LLM", None)
+    monkeypatch.setattr(entry, "PIPELINE", None)
     assert set(entry.queries()) == set(registry.QUERIES)
 
 
