@@ -3,15 +3,24 @@ r"""Main text of HTML pages by tag-path ratios.
 A page is cut into blocks of text, each with the path of block-level tags from
 the root to it.  Per path, the text's length and punctuation are summed and
 divided by the number of blocks; both ratios are smoothed over neighbouring
-paths in page order and fused into one score, and the paths above a threshold
-hold the content nodes.  The smallest article, main or other element around
-most of their text is the article; all its blocks are returned but those
-in parts that never are content by tag or by name (menus, notices, adverts,
-forms, comments).
+paths in page order and fused into one score.  What a path's tags and names
+say is a feature of the score: a path through an element that never holds
+article text (a menu, a footer, comments, an advert, by tag, class, id or role)
+scores nothing.  The paths above a threshold hold the content nodes.
+
+The content nodes choose the article: the innermost element for which the text
+of its content nodes, less that of its menus, adverts and the like and of its
+links, is greatest; or the article or main element around that one.  All its
+content nodes are returned, and so are headings and short lines beside them;
+paths that score nothing are left out, and in an article that no tag names,
+so are parts without a content node that are links for the most part.
 
 Defined cases: null or empty html gives an empty text; markup that is cut off,
-unknown character references and stray end tags are read as browsers do; long
-pages are read as a whole; the state is one page, so rows need no order.
+unknown character references and stray end tags are read as browsers do, and
+raw text ends at its end tag only; long and deeply nested pages are read as a
+whole, in time and memory that grow with their length; repeated rows are each
+extracted; a null page_id or url stays null; other columns don't matter; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +35,7 @@ from .memory import lean, text_batches
 
 #: Tags that end a block, tags without content, and tags whose content is no article text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
+FOREIGN = frozenset(("svg", "math"))  # these may close themselves
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
 NEVER = frozenset("head nav footer aside form menu button select dialog object canvas audio video".split())
@@ -33,6 +43,8 @@ NEVER = frozenset("head nav footer aside form menu button select dialog object c
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article section div body html blockquote select td th main".split())
+#: Elements that hold others; a word of a name says what such a one is, while a line of text is beside the article only if its whole name says so.
+HOLDERS = frozenset("address article aside body center details dialog dir div dl fieldset figure footer form header hgroup html main menu nav ol section summary table tbody td tfoot thead tr ul".split())
 #: Words in class, id or role that name a part beside the article.
 ASIDE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars widget widgets footer masthead topbar toolbar share sharing social related recommended recommendations newsletter subscribe signup login comment comments commentlist disqus respond replies reply pagination pager search skip copyright complementary contentinfo advertorial outbrain taboola toc tags disclaimer".split())
 
@@ -43,11 +55,11 @@ NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\
 WORDS = re.compile(r"[a-z]+")
 #: The threshold on the fused score, as a part of its mean over the text.
 THRESHOLD = 0.35
-#: The article holds such a part of the content nodes' text.
-MOST = 0.8
+#: Elements that can be the article.
+WIDE = frozenset(("", "html", "body", "article", "main", "section", "div", "td"))
 
 
-def _beside(attributes: str) -> bool:
+def _beside(tag: str, attributes: str) -> bool:
     """Do class, id, role or style say that this is no part of the article?"""
     for name, value in NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
@@ -56,50 +68,66 @@ def _beside(attributes: str) -> bool:
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-        elif name in ("class", "id", "role") and not ASIDE.isdisjoint(WORDS.findall(value)):
-            return True
+        elif name in ("class", "id", "role"):
+            if tag in HOLDERS and not ASIDE.isdisjoint(WORDS.findall(value)):
+                return True
+            if any(own and ASIDE.issuperset(own) for own in map(WORDS.findall, value.split())):
+                return True
     return False
 
 
 class Page:
-    """Blocks in page order: (path, node of the innermost block element, text); nodes: (parent, tag, beside the article)."""
+    """blocks in page order: (path, node of the innermost block element, text, characters in links); nodes: (parent, tag); paths: do they score nothing?"""
 
     def __init__(self, html: str):
-        self.nodes: list[tuple[int, str, bool]] = [(-1, "", False)]
-        self.blocks: list[tuple[str, int, str]] = []
-        self.stack: list[tuple[str, int, str]] = [("", 0, "")]  # tag, node, path
+        self.nodes: list[tuple[int, str]] = [(-1, "")]
+        self.blocks: list[tuple[int, int, str, int]] = []
+        self.nothing: list[bool] = [False]
+        self.numbers: dict[tuple[int, str, bool], int] = {}
+        self.stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # tag, node, path, in an article
+        self.open_tags: dict[str, int] = {}
         self.pieces: list[str] = []
+        self.in_link = self.linked = 0
         at, end = 0, len(html)
         while at < end:
             m = MARKUP.search(html, at)
             if m is None:
-                self.pieces.append(html[at:])
+                self.text(html[at:])
                 break
             if m.start() > at:
-                self.pieces.append(html[at : m.start()])
+                self.text(html[at : m.start()])
             at = m.end()
             closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             if tag is None:
                 continue
             tag = tag.lower()
+            if tag == "a":
+                self.in_link = not closing
             if closing:
                 self.close(tag)
             elif tag in RAW:
-                if not attributes.rstrip().endswith("/"):
-                    over = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(html, at)
+                if not (tag in FOREIGN and attributes.rstrip().endswith("/")):
+                    over = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
                     at = over.end() if over else end
             else:
                 self.open(tag, attributes)
         self.flush()
 
+    def text(self, piece: str) -> None:
+        self.pieces.append(piece)
+        if self.in_link:
+            self.linked += len(piece.strip())
+
     def flush(self) -> None:
         if self.pieces:
             text = SPACE.sub(" ", entities.unescape("".join(self.pieces))).strip()
             if text:
-                self.blocks.append((self.stack[-1][2], self.stack[-1][1], text))
-            self.pieces = []
+                self.blocks.append((self.stack[-1][2], self.stack[-1][1], text, min(self.linked, len(text))))
+            self.pieces, self.linked = [], 0
 
     def pop_to(self, k: int) -> None:
+        for tag, *_ in self.stack[k:]:
+            self.open_tags[tag] -= 1
         del self.stack[k:]
 
     def open(self, tag: str, attributes: str) -> None:
@@ -107,7 +135,7 @@ class Page:
             self.pieces.append(" ")
             return
         if tag not in BLOCKS and tag not in NEVER:
-            if tag not in VOID and (_beside(attributes) if attributes else False):
+            if tag not in VOID and (_beside(tag, attributes) if attributes else False):
                 self.push(tag, True)
             return
         self.flush()
@@ -116,16 +144,24 @@ class Page:
         if tag in ENDS:
             self.end(ENDS[tag])
         if tag not in VOID:
-            self.push(tag, bool(attributes) and _beside(attributes))
+            self.push(tag, bool(attributes) and _beside(tag, attributes))
 
     def push(self, tag: str, beside: bool) -> None:
         self.flush()
-        _, parent, path = self.stack[-1]
-        self.nodes.append((parent, tag, beside))
-        self.stack.append((tag, len(self.nodes) - 1, f"{path}/{tag}"))
+        _, parent, path, inside = self.stack[-1]
+        named = tag in ("article", "main")
+        nothing = self.nothing[path] or tag in NEVER or tag == "header" and not inside or beside and not (named or tag in ("html", "body"))
+        number = self.numbers.setdefault((path, tag, nothing), len(self.nothing))
+        if number == len(self.nothing):
+            self.nothing.append(nothing)
+        self.nodes.append((parent, tag))
+        self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
+        self.stack.append((tag, len(self.nodes) - 1, number, inside or named))
 
     def end(self, tags: set[str]) -> None:
         """End the innermost open element of these tags, if no element of another scope is inside."""
+        if not any(self.open_tags.get(t) for t in tags):
+            return None
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] in tags:
                 return self.pop_to(k)
@@ -134,10 +170,10 @@ class Page:
         return None
 
     def close(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                self.flush()
-                return self.pop_to(k)
+        if self.open_tags.get(tag):
+            k = max(k for k in range(len(self.stack)) if self.stack[k][0] == tag) if self.stack[-1][0] != tag else len(self.stack) - 1
+            self.flush()
+            return self.pop_to(k)
         if tag in BLOCKS:
             self.flush()
         return None
@@ -149,57 +185,61 @@ def smooth(values: list[float]) -> list[float]:
     return [(values[max(i - 1, 0)] + 2 * values[i] + values[min(i + 1, n - 1)]) / 4 for i in range(n)]
 
 
-def content_paths(blocks: list[tuple[str, int, str]]) -> set[str]:
-    """Paths whose fused ratio passes the threshold."""
-    sums: dict[str, list[float]] = {}
-    for path, _, text in blocks:
+def content_paths(blocks: list[tuple], nothing=()) -> set:
+    """Paths whose fused ratio passes the threshold; those of `nothing` score nothing, and their text isn't in the mean."""
+    sums: dict = {}
+    for path, _, text, *_ in blocks:
         s = sums.setdefault(path, [0, 0, 0])
         s[0] += 1
         s[1] += len(text)
         s[2] += len(PUNCTUATION.findall(text))
-    lengths = [s[1] / s[0] for s in sums.values()]
-    marks = [s[2] / s[0] for s in sums.values()]
+    scored = {path: s for path, s in sums.items() if path not in nothing}
+    if not scored:
+        return set()
+    lengths = [s[1] / s[0] for s in scored.values()]
+    marks = [s[2] / s[0] for s in scored.values()]
     own = [a * (1 + b) for a, b in zip(lengths, marks)]
     fused = [(x * a * (1 + b)) ** 0.5 for x, a, b in zip(own, smooth(lengths), smooth(marks))]
-    total = sum(s[1] for s in sums.values())
-    mean = sum(f * s[1] for f, s in zip(fused, sums.values())) / total
-    return {path for path, f in zip(sums, fused) if f >= THRESHOLD * mean}
+    total = sum(s[1] for s in scored.values())
+    mean = sum(f * s[1] for f, s in zip(fused, scored.values())) / total
+    return {path for path, f in zip(scored, fused) if f >= THRESHOLD * mean}
+
+
+def _up(own: list[int], nodes: list[tuple[int, str]]) -> list[int]:
+    """Sums over each node and all below it; parents come before their children."""
+    out = list(own)
+    for node in range(len(nodes) - 1, 0, -1):
+        out[nodes[node][0]] += out[node]
+    return out
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Page(html)
-    nodes = page.nodes
-    inside: list[bool] = []  # of an article or main element
-    out: list[bool] = []
-    for parent, tag, beside in nodes:  # parents come first
-        up_in, up_out = (inside[parent], out[parent]) if parent >= 0 else (False, False)
-        wide = tag in ("html", "body", "article", "main")
-        inside.append(up_in or tag in ("article", "main"))
-        out.append(up_out or tag in NEVER or tag == "header" and not up_in or beside and not wide)
-    blocks = [b for b in page.blocks if not out[b[1]]]
-    if not blocks:
+    nodes, nothing = page.nodes, {path for path, out in enumerate(page.nothing) if out}
+    paths = content_paths(page.blocks, nothing)
+    content, gain, links, size = ([0] * len(nodes) for _ in range(4))
+    for path, node, text, linked in page.blocks:
+        size[node] += len(text)
+        links[node] += linked
+        content[node] += len(text) * (path in paths)
+        gain[node] += len(text) if path in paths else -len(text) if path in nothing else -linked
+    content, gain, links, size = (_up(x, nodes) for x in (content, gain, links, size))
+    around = [k for k, (_, tag) in enumerate(nodes) if tag in WIDE and content[k]]
+    if not around:
         return ""
-    paths = content_paths(blocks)
-    held: dict[int, int] = {}
-    total = 0
-    for path, node, text in blocks:
-        if path in paths:
-            total += len(text)
-            while node >= 0:
-                held[node] = held.get(node, 0) + len(text)
-                node = nodes[node][0]
-    # the smallest element around most of the content; a paragraph or heading alone is no article
-    around = [n for n, size in held.items() if size >= MOST * total and nodes[n][1] in ("", "html", "body", "article", "main", "section", "div", "td")]
-    named = [n for n, size in held.items() if nodes[n][1] in ("article", "main") and size >= MOST * total]
-    article = max(named or around or [0])
-    kept = []
-    for _, node, text in blocks:
-        up = node
-        while up > article:
-            up = nodes[up][0]
-        if up == article:
+    article = max(around, key=lambda k: (gain[k], k))
+    named, up = False, article
+    while up >= 0 and not named:
+        named = nodes[up][1] in ("article", "main")
+        article, up = (up if named else article), nodes[up][0]
+    inside, kept = [False] * len(nodes), []
+    for node, (parent, _) in enumerate(nodes):
+        menu = not named and not content[node] and 2 * links[node] > size[node]
+        inside[node] = node == article or parent >= 0 and inside[parent] and not menu
+    for path, node, text, _ in page.blocks:
+        if inside[node] and (path in paths or path not in nothing):
             kept.append(text)
     return "\n".join(kept)
 

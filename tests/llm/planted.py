@@ -37,3 +37,48 @@ def personal(n=600, seed=5):
             text += f", serial {digit(16)}"  # hardly ever a card
         rows.append((i, text))
     return rows, planted, alike
+
+
+def pages(n=150, seed=8):
+    """(html, main text) of pages of five layouts, two of which name none of their parts."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(WORDS)
+
+    def sentence():
+        x = [word() for _ in range(rng.randint(6, 18))]
+        x[rng.randint(1, 4)] += ","
+        return " ".join(x).capitalize() + "."
+
+    paragraph = lambda: " ".join(sentence() for _ in range(rng.randint(2, 6)))
+    links = lambda tag, k: "".join(f"<{tag}><a href=/{word()}>{word()} {word()}</a></{tag}>" for _ in range(k))
+    out = []
+    for i in range(n):
+        blocks = [("h1", " ".join(word() for _ in range(5)).title())]
+        for _ in range(rng.randint(2, 6)):
+            blocks.append(("p", paragraph()))
+            if rng.random() < 0.3:
+                blocks += [("li", word() + " " + word()) for _ in range(rng.randint(2, 4))]
+            if rng.random() < 0.3:
+                blocks += [("h2", word().title()), ("p", paragraph())]
+        body = ""
+        for k, (tag, text) in enumerate(blocks):
+            ul = tag == "li" and (blocks[k - 1][0] != "li")
+            end = tag == "li" and (k + 1 == len(blocks) or blocks[k + 1][0] != "li")
+            name = ' class="notice-period"' if tag == "p" and rng.random() < 0.1 else ""
+            body += "<ul>" * ul + f"<{tag}{name}>{text}</{tag}>" + "</ul>" * end
+        script = f"<script src=/js/{word()}/>var x = 1, y = 2;</script>"
+        comments = f"<div class='post-comments'><p>{paragraph()}</p><p>{paragraph()}</p></div>"
+        advert = f"<div class=ad-box>{sentence()}</div>"
+        layout = i % 5
+        if layout == 0:
+            page = f"<nav><ul>{links('li', 6)}</ul></nav>{advert}<article>{body}<section id=comments><p>{paragraph()}</p></section></article><footer>{word()}, {word()}.</footer>"
+        elif layout == 1:
+            page = f"<div id=top-menu>{links('span', 5)}</div><div class=content>{body}</div>{comments}<div class='sidebar widget'><p>{paragraph()}</p></div>"
+        elif layout == 2:  # no names: links and lengths tell
+            page = f"<div class=c1><ul>{links('li', 14)}</ul></div><div class=c2>{body}<div>{links('span', 8)}</div></div><div class=c3>{links('div', 9)}</div>"
+        elif layout == 3:
+            page = f"<table><tr><td>{links('div', 12)}</td><td>{body}</td></tr><tr><td colspan=2>{links('span', 4)}</td></tr></table>"
+        else:
+            page = f"<main><section>{body}</section>{comments}</main><div role=contentinfo>{sentence()}</div><div style='display: none'>{paragraph()}</div>"
+        out.append((f"<!DOCTYPE html><html><head><title>{word()}</title>{script}</head><body>{script}{page}</body></html>", "\n".join(text for _, text in blocks)))
+    return out

@@ -1,7 +1,11 @@
+from collections import Counter
+
 import pytest
 
 from gridloom.llm import html
 
+from .planted import pages
+
 LONG = "The council met on Monday, and after a long debate it agreed on the plan. Costs are shared, it said; work begins in May."
 
 PAGES = {
@@ -50,3 +54,43 @@ def test_frames(spark):
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in got) == sorted((i or 0, u or "", t, len(t)) for i, u, t in [(1, "u", PAGES["plain"][1]), (2, None, ""), (None, "w", ""), (1, "u", PAGES["plain"][1])])
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def shares(made):
+    """Precision and recall of words over (found, true) texts."""
+    common = found = true = 0
+    for a, b in made:
+        x, y = Counter(a.split()), Counter(b.split())
+        common, found, true = common + (x & y).total(), found + x.total(), true + y.total()
+    return common / max(1, found), common / true
+
+
+def test_pages_of_many_layouts_and_what_the_ratios_are_worth(monkeypatch):
+    found = pages()
+    precision, recall = shares([(html.main_text(page), text) for page, text in found])
+    assert precision > 0.99 and recall > 0.99
+    paths = html.content_paths
+    monkeypatch.setattr(html, "content_paths", lambda blocks, nothing=(): {b[0] for b in blocks})
+    assert all(html.main_text(page) != text for page, text in found)
+    monkeypatch.setattr(html, "content_paths", lambda blocks, nothing=(): {b[0] for b in blocks} - set(nothing))
+    assert sum(html.main_text(page) != text for page, text in found) >= len(found) // 5  # what names alone can't tell
+    monkeypatch.setattr(html, "content_paths", paths)
+    assert shares([(html.main_text(page), text) for page, text in found]) == (precision, recall)
+
+
+def test_names_of_lines_and_of_parts():
+    keeps = f"<article><p>{LONG}</p><p class='notice-period'>Three months, it says.</p><p class='cookie notice'>We use some.</p><div class='notice-box'>No.</div><h2 class='share-count'>Head</h2></article>"
+    assert html.main_text(keeps) == f"{LONG}\nThree months, it says.\nHead"
+
+
+def test_scripts_end_at_their_end_tag():
+    assert html.main_text(f"<body><script src=/js/>var x = 1, y = 2;</script ><p>{LONG}</p><svg width=1 /><p>{LONG}</p><style/>p{{}}</style></body>") == f"{LONG}\n{LONG}"
+
+
+def test_deep_pages_take_time_by_their_length():
+    deep = "<div>" * 40_000 + LONG
+    wide = "".join(f"<div>{LONG}" for _ in range(20_000)) + "</span></p></div>" * 20_000
+    assert html.main_text(deep) == LONG
+    assert html.main_text(wide) == "\n".join([LONG] * 20_000)
+    page = html.Page(deep)
+    assert len(page.nothing) == len(page.nodes) == 40_001 and len(page.blocks) == 1
