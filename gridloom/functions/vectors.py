@@ -57,17 +57,18 @@ def silu(x: Column) -> Column:
     return x / (1.0 + F.exp(-x))
 
 
-def weight(o: Column, i: Column, layer: int) -> Column:
-    """The formula weights of the fixtures: ((31 o + 17 i + 7 layer) mod 13 - 6) / 64."""
-    return ((o * 31 + i * 17 + layer * 7) % 13 - 6) / F.lit(64.0)
+def linear(v: Column, weight: Column, bias: Column | None = None) -> Column:
+    """weight (array of rows) times v, and the bias added; for small matrices, others go through operators.models."""
+    out = F.transform(weight, lambda row: dot(row, v))
+    return out if bias is None else F.zip_with(out, bias, lambda x, b: x + b)
 
 
-def linear(v: Column, out: int, layer: int) -> Column:
-    """Formula weights times v: `out` numbers."""
-    return F.transform(F.sequence(F.lit(0), F.lit(out - 1)), lambda o: total(F.transform(v, lambda x, i: x * weight(o, i, layer))))
+def swiglu(v: Column, gate: Column, up: Column, down: Column) -> Column:
+    """down(silu(gate v) * up v), without bias."""
+    inner = F.zip_with(linear(v, gate), linear(v, up), lambda g, u: silu(g) * u)
+    return F.transform(F.array(inner), lambda hidden: linear(hidden, down))[0]  # bound, so that it is made once
 
 
-def swiglu(v: Column, dim: int, hidden: int, layers: tuple[int, int, int] = (1, 2, 3)) -> Column:
-    """down(silu(gate v) * up v), without bias."""
-    inner = F.zip_with(linear(v, hidden, layers[0]), linear(v, hidden, layers[1]), lambda g, u: silu(g) * u)
-    return linear(inner, dim, layers[2])
+def matrix(rows) -> Column:
+    """A matrix as a constant."""
+    return F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in rows])

@@ -395,8 +395,14 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def rms_norm(x: np.ndarray, eps: float = 1e-6) -> np.ndarray:
-    return x / np.sqrt((x * x).mean(axis=-1, keepdims=True) + eps)
+def rms_norm(x: np.ndarray, weight: np.ndarray | None = None, eps: float = 1e-6) -> np.ndarray:
+    out = x / np.sqrt((x * x).mean(axis=-1, keepdims=True) + eps)
+    return out if weight is None else out * weight
+
+
+def linear(x: np.ndarray, weight: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
+    out = x @ weight.T
+    return out if bias is None else out + bias
 
 
 def rotate(x: np.ndarray, angles: np.ndarray) -> np.ndarray:
@@ -411,10 +417,10 @@ def formula_weights(out: int, inner: int, layer: int) -> np.ndarray:
 
 
 def attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, allowed: np.ndarray | None = None, added: np.ndarray | None = None) -> np.ndarray:
-    """Scaled dot-product attention over (heads, positions, dim); k and v may have fewer heads, each for a group of q's."""
-    group = q.shape[0] // k.shape[0]
-    k, v = (np.repeat(x, group, axis=0) if group > 1 else x for x in (k, v))
-    scores = q @ k.transpose(0, 2, 1) / math.sqrt(q.shape[-1])
+    """Scaled dot-product attention over (..., heads, positions, dim); k and v may have fewer heads, each for a group of q's."""
+    group = q.shape[-3] // k.shape[-3]
+    k, v = (np.repeat(x, group, axis=-3) if group > 1 else x for x in (k, v))
+    scores = q @ np.swapaxes(k, -1, -2) / math.sqrt(q.shape[-1])
     if added is not None:
         scores = scores + added
     if allowed is not None:

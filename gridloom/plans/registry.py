@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import boxes, merging, models, pixels, regions
+from ..operators import boxes, kernels, merging, models, pixels, regions
 from ..operators import vectors as sequences
 from ..sources import images, results
 from . import detect, embed
@@ -430,12 +430,29 @@ def vec_rope_2d(spark, sf_dir):
     return _parts(v, vectors.rotate(F.col("vec"), angles), "vec_id")
 
 
+def _rows(spark, sf_dir) -> DataFrame:
+    e = fx.table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", vectors.doubles(F.col("embedding")).alias("vec"))
+
+
+def _numbered(name: str, *shape: int):
+    """The formula's matrices with one number each; a bias for none."""
+    layers = {"linear.weight": 1, "gate_proj.weight": 1, "up_proj.weight": 2, "down_proj.weight": 3}
+    return kernels.formula_weights(*shape, layers[name]) if name in layers else None
+
+
+def _gated(x):
+    """A gated unit from 64 numbers over 24 to 8."""
+    inner = kernels.silu(models.linear(x, _numbered, "gate_proj", 24)) * models.linear(x, _numbered, "up_proj", 24)
+    return models.linear(inner, _numbered, "down_proj", 8)
+
+
 _W = "((o * 31 + i * 17 + {0} * 7) % 13 - 6) / 64.0::DOUBLE"
 
 
 @query(f"SELECT vec_id, o AS i, round(SUM(x * {_W.format(1)}), 6) + 0.0 AS y FROM parts, (SELECT range AS o FROM range(16)) GROUP BY vec_id, o")
 def vec_linear(spark, sf_dir):
-    return _parts(fx.vectors(spark, sf_dir), vectors.linear(F.col("vec"), 16, 1), "vec_id")
+    return _parts(models.linear_vectors(_rows(spark, sf_dir), "vec_id", 16, "linear", _numbered), F.col("vec"), "vec_id")
 
 
 @query(
@@ -445,7 +462,7 @@ gates AS (SELECT vec_id, o, SUM(x * {_W.format(1)}) AS g, SUM(x * {_W.format(2)}
 hidden AS (SELECT vec_id, o AS i, g / (1 + exp(-g)) * u AS z FROM gates)""",
 )
 def vec_swiglu(spark, sf_dir):
-    return _parts(fx.vectors(spark, sf_dir), vectors.swiglu(F.col("vec"), 8, 24), "vec_id")
+    return _parts(models.map_vectors(_rows(spark, sf_dir), "vec_id", _gated), F.col("vec"), "vec_id")
 
 
 @query(
@@ -500,8 +517,7 @@ def _triples(spark, sf_dir) -> DataFrame:
 
 @query()
 def vec_gelu_projector(spark, sf_dir):
-    v = fx.vectors(spark, sf_dir).select("vec_id", "vec")
-    return _parts(models.project_vectors(v, "vec_id", 32, 8), F.col("vec"), "vec_id")
+    return _parts(models.project_vectors(_rows(spark, sf_dir), "vec_id", 32, 8), F.col("vec"), "vec_id")
 
 
 @query()
