@@ -201,6 +201,42 @@ def close_gaps(on: np.ndarray, kernel: tuple[int, int] = (2, 1)) -> np.ndarray:
     return slide(slide(on.astype(bool), np.any, False), np.all, True)
 
 
+def median(image: np.ndarray, size: int) -> np.ndarray:
+    """The median of the size x size square around each pixel, channel by channel, the border repeated outwards; size is odd."""
+    reach = size // 2
+    padded = np.pad(image, [(reach, reach), (reach, reach), *[(0, 0)] * (image.ndim - 2)], mode="edge")
+    out, step = np.empty_like(image), max(1, 4_000_000 // (size * size * max(1, image[:1].size)))
+    for at in range(0, len(image), step):  # some rows at a time
+        view = np.lib.stride_tricks.sliding_window_view(padded[at : at + min(step, len(image) - at) + 2 * reach], (size, size), axis=(0, 1))
+        out[at : at + step] = np.partition(view.reshape(*view.shape[:-2], -1), size * size // 2, axis=-1)[..., size * size // 2]
+    return out
+
+
+#: Shares of two neighbours sum up to this.
+WHOLE = 2048
+
+
+def between(old: int, new: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each new place along an axis: the old place at or before its centre, and that one's share of WHOLE."""
+    at = (np.arange(new) + 0.5) * (old / new) - 0.5
+    lower = np.floor(at).astype(np.int64)
+    beyond = at - lower
+    beyond[(lower < 0) | (lower >= old - 1)] = 0
+    return lower.clip(0, old - 1), np.rint((1 - beyond) * WHOLE).astype(np.int64)
+
+
+def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Between the four pixels around each new one's centre, in fixed point: shares of 2048, four bits dropped between the axes."""
+    (left, a), (above, b) = between(image.shape[1], width), between(image.shape[0], height)
+    v = image.astype(np.int64)
+    more = [1] * (image.ndim - 2)
+    a, b = a.reshape(1, -1, *more), b.reshape(-1, 1, *more)
+    rows = v[:, left] * a + v[:, (left + 1).clip(0, image.shape[1] - 1)] * (WHOLE - a)
+    below = (above + 1).clip(0, image.shape[0] - 1)
+    out = ((b * (rows[above] >> 4)) >> 16) + (((WHOLE - b) * (rows[below] >> 4)) >> 16)
+    return ((out + 2) >> 2).astype(image.dtype)
+
+
 def is_line_row(row: np.ndarray, gap: int = 5, share: float = 0.95) -> bool:
     """Set pixels on more than the share of the width, without an inner gap over the limit."""
     at = np.flatnonzero(row)

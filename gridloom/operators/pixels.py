@@ -149,8 +149,24 @@ def erase_lines_both(pixels: DataFrame, thickness: int = 8, share: float = 0.6)
     return x.select("image_id", "y", "x", F.when(gone, 0).otherwise(F.col("v")).alias("v"))
 
 
+def median(pixels: DataFrame, size: int = 3) -> DataFrame:
+    """The median of the size x size square around each pixel (size odd), the border repeated outwards."""
+    reach = size // 2
+    x = by_image(pixels).select("image_id", "y", "x", "v")
+    for name, window in (("v", along_row()), ("across", along_column())):
+        ends = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        first, last = F.first(name).over(ends), F.last(name).over(ends)
+        shifted = [F.coalesce(F.lag(name, -d).over(window), first if d < 0 else last) for d in range(-reach, reach + 1)]
+        x = x.withColumn("across", F.array(*shifted)) if name == "v" else x.withColumn("square", F.flatten(F.array(*shifted)))
+    return x.select("image_id", "y", "x", F.array_sort("square")[size * size // 2].alias("v"))
+
+
 def clip(pixels: DataFrame, boxes: DataFrame, margin: int = 0) -> DataFrame:
-    """The pixels of each box, grown by a margin; as slices go, the last row and column are not in it."""
-    b = boxes.select(F.col("image_id").alias("i"), "box_id", *[F.col(c) - margin for c in ("x1", "y1")], *[F.col(c) + margin for c in ("x2", "y2")]).toDF("i", "box_id", "x1", "y1", "x2", "y2")
-    inside = (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
-    return pixels.join(b, (F.col("image_id") == F.col("i")) & inside).select("image_id", "box_id", "y", "x", "v")
+    """The pixels of each box, grown by a margin; as slices go, the last row and column are not in it.
+
+    A box meets the pixels row by row, so a join's key is a row of an image, not the image.
+    """
+    rows = F.sequence(F.col("y1") - margin, F.col("y2") + margin - 1)
+    b = boxes.filter(F.col("y2") - F.col("y1") + 2 * margin > 0).select("image_id", "box_id", F.explode(rows).alias("y"), (F.col("x1") - margin).alias("lo"), (F.col("x2") + margin).alias("hi"))
+    inside = (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi"))
+    return pixels.join(b, ["image_id", "y"]).filter(inside).select("image_id", "box_id", "y", "x", "v")

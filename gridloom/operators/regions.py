@@ -82,19 +82,19 @@ def blocks(pixels: DataFrame, boxes: DataFrame, width: int, height: int, share:
     """image_id, box_id, is_block of boxes over the share of both sides: at most two of the fifth to eighth lines from each side are set on more than the share."""
     wide = boxes.filter(((F.col("y2") - F.col("y1")) > share * height) & ((F.col("x2") - F.col("x1")) > share * width))
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    b = wide.select(F.col("image_id").alias("i"), "box_id", "x1", "y1", "x2", "y2").filter((w >= 9) & (h >= 9))
-    inside = (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
-    p = pixels.filter("v > 0").join(b, (F.col("image_id") == F.col("i")) & inside)
-    # each set pixel counts on the scanned lines it is on, with their side and length
-    sides = F.array(
-        F.struct(F.lit("top").alias("side"), (F.col("y") - F.col("y1")).alias("at"), w.alias("length")),
-        F.struct(F.lit("bottom").alias("side"), (F.col("y2") - F.col("y") - 1).alias("at"), w.alias("length")),
-        F.struct(F.lit("left").alias("side"), (F.col("x") - F.col("x1")).alias("at"), h.alias("length")),
-        F.struct(F.lit("right").alias("side"), (F.col("x2") - F.col("x") - 1).alias("at"), h.alias("length")),
-    )
-    # lines 5..8 from the top and left, 4..7 from the bottom and right
-    scanned = F.filter(sides, lambda s: s["at"].between(F.when(s["side"].isin("top", "left"), 5).otherwise(4), F.when(s["side"].isin("top", "left"), 8).otherwise(7)))
-    on = p.select("image_id", "box_id", F.inline(scanned)).groupBy("image_id", "box_id", "side", "at", "length").count()
+    # the lines to look at: 5..8 from the top and left, 4..7 from the bottom and right; pixels meet them by image and line
+    line = lambda start, side: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct((start + k).alias("line"), F.lit(side).alias("side"), k.alias("at")))
+    scanned = {
+        "y": (F.concat(line(F.col("y1") + 5, "top"), line(F.col("y2") - 8, "bottom")), "x", w),
+        "x": (F.concat(line(F.col("x1") + 5, "left"), line(F.col("x2") - 8, "right")), "y", h),
+    }
+    large_enough = wide.filter((w >= 9) & (h >= 9))
+    p, on = pixels.filter("v > 0").select("image_id", "y", "x"), None
+    for across, (lines_, along, length) in scanned.items():
+        b = large_enough.select("image_id", "box_id", F.col(f"{along}1").alias("lo"), F.col(f"{along}2").alias("hi"), length.alias("length"), F.inline(lines_)).withColumnRenamed("line", across)
+        met = p.join(b, ["image_id", across]).filter((F.col(along) >= F.col("lo")) & (F.col(along) < F.col("hi")))
+        counted = met.groupBy("image_id", "box_id", "side", "at", "length").count()
+        on = counted if on is None else on.unionByName(counted)
     full = on.filter(F.col("count") > share * F.col("length")).groupBy("image_id", "box_id", "side").count().filter("count > 2")
     failed = full.select("image_id", "box_id").distinct().withColumn("failed", F.lit(True))
     joined = wide.join(failed, ["image_id", "box_id"], "left")

@@ -173,22 +173,77 @@ def _merged(merged: DataFrame) -> DataFrame:
     return merged.select("image_id", "box_id", "x1", "y1", "x2", "y2", F.size("members").alias("n_members"))
 
 
-@query()
+#: Order-dependent merges as walks over lists of boxes, a step for each box; k: the first kept box that fits `it`, 0 for none.
+_START = "start AS (SELECT image_id, list({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'id': box_id, 'ms': [box_id]} ORDER BY box_id) AS items FROM boxes GROUP BY image_id)"
+_HULL = "{{'x1': least({0}.x1, {1}.x1), 'y1': least({0}.y1, {1}.y1), 'x2': greatest({0}.x2, {1}.x2), 'y2': greatest({0}.y2, {1}.y2), 'id': {0}.id, 'ms': list_distinct({0}.ms || {1}.ms)}}"
+_COMMON = "(greatest(0, least(p.x2, {0}.x2) - greatest(p.x1, {0}.x1) + {1}) * greatest(0, least(p.y2, {0}.y2) - greatest(p.y1, {0}.y1) + {1}))"
+_AREA = "(({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1))"
+_PILES = """SELECT image_id, m.id AS box_id, m.x1 AS x1, m.y1 AS y1, m.x2 AS x2, m.y2 AS y2, CAST(len(m.ms) AS INTEGER) AS n_members
+  FROM (SELECT image_id, unnest(items) AS m FROM walk WHERE done)"""
+
+
+def _much(item: str, gap: int = 0) -> str:
+    c, a, b = _COMMON.format(item, gap), _AREA.format(item), _AREA.format("p")
+    return f"(50 * {c} >= {a} + {b} - {c} OR 5 * {c} > {a} OR 5 * {c} > {b})"
+
+
+def _first_fit_sql(fits: str, may: str = "true") -> str:
+    return f"""
+{_START},
+walk(image_id, items, kept, i, done) AS (
+  SELECT image_id, items, items[1:0], 1, false FROM start
+  UNION ALL
+  SELECT image_id, CASE WHEN i > len(items) THEN kept ELSE items END,
+    CASE WHEN i > len(items) THEN items[1:0] WHEN k > 0 THEN kept[1:k - 1] || [{_HULL.format("kept[k]", "it")}] || kept[k + 1:] ELSE kept || [it] END,
+    CASE WHEN i > len(items) THEN 1 ELSE i + 1 END, i > len(items) AND len(kept) = len(items)
+  FROM (SELECT *, items[i] AS it, CASE WHEN i > len(items) OR NOT ({may}) THEN 0
+          ELSE COALESCE(list_position(list_transform(kept, lambda p: {fits}), true), 0) END AS k FROM walk WHERE NOT done))"""
+
+
+_IT = "items[i]"
+_MEETS = f"({_COMMON.format(_IT, 0)} > 0 AND {_COMMON.format(_IT, 0)} < {_AREA.format(_IT)} AND {_COMMON.format(_IT, 0)} < {_AREA.format('p')} AND {_much(_IT)})"
+_ON_LINE = f"(least(p.y2, {_IT}.y2) > greatest(p.y1, {_IT}.y1) AND greatest(p.x1, {_IT}.x1) - least(p.x2, {_IT}.x2) < 4 AND greatest(p.x1, {_IT}.x1) <> least(p.x2, {_IT}.x2))"
+_ROUNDS = f"""
+{_START},
+walk(image_id, items, rest, size, done) AS (
+  SELECT image_id, items[1:0], items, len(items), false FROM start
+  UNION ALL
+  SELECT image_id, CASE WHEN len(rest) = 0 AND len(items) < size THEN items[1:0] WHEN len(rest) = 0 THEN items
+      WHEN k > 0 THEN items || [{_HULL.format("rest[1]", "rest[k + 1]")}] ELSE items || [rest[1]] END,
+    CASE WHEN len(rest) = 0 AND len(items) < size THEN items WHEN len(rest) = 0 THEN rest WHEN k > 0 THEN rest[2:k] || rest[k + 2:] ELSE rest[2:] END,
+    CASE WHEN len(rest) = 0 THEN len(items) ELSE size END, len(rest) = 0 AND len(items) = size
+  FROM (SELECT *, COALESCE(list_position(list_transform(rest[2:], lambda p: least(p.y2, rest[1].y2) > greatest(p.y1, rest[1].y1)
+          AND least(abs(rest[1].x1 - p.x2), abs(p.x1 - rest[1].x2)) < 20), true), 0) AS k FROM walk WHERE NOT done))"""
+_CORNERS = f"""
+{_START},
+walk(image_id, items, kept, i, it, last, home, done) AS (
+  SELECT image_id, items, items[1:0], 1, items[1], 0::BIGINT, false, false FROM start
+  UNION ALL
+  SELECT image_id, CASE WHEN over THEN kept ELSE items END,
+    CASE WHEN over THEN items[1:0] WHEN k > 0 THEN kept[1:k - 1] || [{_HULL.format("kept[k]", "it")}] || kept[k + 1:] WHEN home THEN kept ELSE kept || [it] END,
+    CASE WHEN over THEN 1 WHEN k > 0 THEN i ELSE i + 1 END,
+    CASE WHEN over THEN kept[1] WHEN k > 0 THEN {_HULL.format("kept[k]", "it")} ELSE items[i + 1] END,
+    CASE WHEN NOT over AND k > 0 THEN k ELSE 0 END, NOT over AND k > 0, over AND len(kept) = len(items)
+  FROM (SELECT *, i > len(items) AS over, CASE WHEN i > len(items) THEN 0 ELSE COALESCE(list_position(list_transform(kept, lambda p, n: n > last AND {_COMMON.format("it", 4)} > 0
+          AND ({_COMMON.format("it", 4)} >= {_AREA.format("it")} OR {_COMMON.format("it", 4)} >= {_AREA.format("p")} OR {_much("it", 4)})), true), 0) END AS k FROM walk WHERE NOT done))"""
+
+
+@query(_PILES, _first_fit_sql(_MEETS), recursive=True)
 def box_merge_greedy(spark, sf_dir):
     return _merged(merging.merge_meeting(fx.boxes(spark, sf_dir)))
 
 
-@query()
+@query(_PILES, _ROUNDS, recursive=True)
 def box_merge_close(spark, sf_dir):
     return _merged(merging.merge_close(fx.boxes(spark, sf_dir)))
 
 
-@query()
+@query(_PILES, _CORNERS, recursive=True)
 def box_merge_corners(spark, sf_dir):
     return _merged(merging.merge_corners(fx.boxes(spark, sf_dir), True, (2, 2)))
 
 
-@query()
+@query(_PILES, _first_fit_sql(_ON_LINE, f"{_IT}.y2 - {_IT}.y1 <= 20"), recursive=True)
 def text_merge(spark, sf_dir):
     return _merged(merging.merge_text(fx.boxes(spark, sf_dir)))
 
@@ -259,7 +314,27 @@ def px_rm_line_simple(spark, sf_dir):
     return pixels.erase_lines_simple(fx.stripes(spark, sf_dir))
 
 
-@query()
+#: Runs of line rows [a, b) one after the other: a thin one goes if nothing begins in the 10 rows behind it (its room).
+_BANDS = """
+runs AS (
+  SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY a) AS k, a, b, lead(a) OVER w AS c, lead(b) OVER w AS d, n FROM (
+    SELECT image_id, MIN(y) AS a, MAX(y) + 1 AS b FROM (SELECT image_id, y, y - row_number() OVER (PARTITION BY image_id ORDER BY y) AS run FROM valid WHERE valid) GROUP BY image_id, run)
+  JOIN (SELECT image_id, MAX(y) + 1 AS n FROM valid GROUP BY image_id) USING (image_id) WINDOW w AS (PARTITION BY image_id ORDER BY a)),
+walk(image_id, k, from_row, y0, y1) AS (
+  SELECT DISTINCT image_id, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT FROM runs
+  UNION ALL
+  SELECT w.image_id, r.k,
+    CASE WHEN r.b - greatest(r.a, w.from_row) BETWEEN 1 AND 7 AND r.b < r.n AND r.c <= r.b + 9 AND (r.d > r.b + 9 OR r.d = r.n) THEN least(r.b + 10, r.n) ELSE w.from_row END,
+    greatest(r.a, w.from_row),
+    CASE WHEN r.b - greatest(r.a, w.from_row) NOT BETWEEN 1 AND 7 THEN NULL WHEN r.b = r.n THEN r.n - 2 WHEN r.c IS NULL OR r.c > r.b + 9 THEN r.b - 1 END
+  FROM walk w JOIN runs r ON r.image_id = w.image_id AND r.k = w.k + 1)"""
+
+
+@query(
+    "SELECT s.image_id, s.y, s.x, CASE WHEN b.y0 IS NULL THEN s.v ELSE 0 END AS v FROM stripes s LEFT JOIN walk b ON s.image_id = b.image_id AND s.y BETWEEN b.y0 AND b.y1",
+    _VALID + "," + _BANDS,
+    recursive=True,
+)
 def px_rm_line_exact(spark, sf_dir):
     return pixels.erase_lines(fx.stripes(spark, sf_dir))
 
@@ -369,7 +444,36 @@ def image_rectangles(spark, sf_dir):
     return regions.rectangles_in_images(p.select("image_id", "y", "x", "v", *[F.lit(v).cast("long").alias(k) for k, v in whole.items()]))
 
 
-@query()
+#: Depths along the four borders of each region, against the point behind the corner or behind the last great outward step.
+_BORDERS = f"""
+sides AS ({_SIDES}),
+borders AS (
+  SELECT image_id, comp, border, outwards, "at" - MIN("at") OVER b AS i, v, lead(v) OVER (b ORDER BY "at") AS beyond, COUNT(*) OVER b AS n FROM (
+    SELECT image_id, comp, "at", CASE side WHEN 'column' THEN 'top' ELSE 'left' END AS border, 1 AS outwards, lo AS v FROM sides
+    UNION ALL SELECT image_id, comp, "at", CASE side WHEN 'column' THEN 'bottom' ELSE 'right' END, -1, hi FROM sides) WINDOW b AS (PARTITION BY image_id, comp, border)),
+sizes AS (SELECT image_id, comp, MAX(x) - MIN(x) + 1 AS width, MAX(y) - MIN(y) + 1 AS height FROM labels GROUP BY ALL),
+points AS (
+  SELECT *, CASE WHEN border IN ('top', 'bottom') THEN height ELSE width END AS across FROM borders JOIN sizes USING (image_id, comp)
+  WHERE i >= floor(3 + n * 0.02::DOUBLE) AND i < n - 1),
+steps AS (SELECT *, i < 0.08::DOUBLE * n AND outwards * (v - beyond) > 0.5::DOUBLE * across AS great FROM points),
+depths AS (
+  SELECT *, COALESCE(last_value(CASE WHEN great THEN beyond END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), first_value(v) OVER w) - beyond AS depth
+  FROM steps WINDOW w AS (PARTITION BY image_id, comp, border ORDER BY i)),
+kinds AS (SELECT *, abs(depth) > 0.3::DOUBLE * across AS far, abs(depth) > 0.15::DOUBLE * across AND outwards * depth < 0 AS sunken FROM depths),
+runs AS (SELECT image_id, comp, border, n, COUNT(*) AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY image_id, comp, border ORDER BY i) AS run FROM kinds WHERE far) GROUP BY image_id, comp, border, n, run),
+bad AS (
+  SELECT image_id, comp FROM runs WHERE size > 0.1::DOUBLE * n
+  UNION SELECT image_id, comp FROM kinds GROUP BY image_id, comp, border, n HAVING COUNT(*) FILTER (sunken AND NOT far) > 0.25::DOUBLE * n),
+level AS (SELECT image_id, comp, COUNT(*) AS n_level FROM kinds WHERE NOT far AND NOT sunken AND abs(depth) < 1 + 0.015::DOUBLE * across GROUP BY ALL)"""
+
+
+@query(
+    """SELECT s.image_id, s.comp, (s.image_id, s.comp) NOT IN (SELECT (image_id, comp) FROM bad)
+      AND COALESCE(n_level, 0) / (2 * (width + height)) >= CASE WHEN height / 32 > 0.3 THEN 0.85::DOUBLE ELSE 0.7::DOUBLE END AS is_rectangle
+    FROM sizes s LEFT JOIN level l ON s.image_id = l.image_id AND s.comp = l.comp""",
+    _BITS + "," + _BORDERS,
+    recursive=True,
+)
 def cc_rectangle(spark, sf_dir):
     return regions.rectangles(_labels(spark, sf_dir), fx.SIDE)
 
@@ -564,11 +668,32 @@ def result_json_roundtrip(spark, sf_dir):
     return results.from_documents(results.to_documents(fx.categorised(spark, sf_dir), fx.WIDTH, fx.HEIGHT))
 
 
+def _shares_sql(name: str) -> str:
+    """Of each of 20 new places between 32 old ones: the places on both sides and their shares of 2048, from the centre (2 k + 1) * 32 / 40 - 1 / 2."""
+    return f"""
+{name}_at AS (SELECT range AS k, (range + 0.5::DOUBLE) * 1.6::DOUBLE - 0.5::DOUBLE AS c FROM range(20)),
+{name}_between AS (SELECT k, CAST(floor(c) AS BIGINT) AS lo, CASE WHEN floor(c) < 0 OR floor(c) >= 31 THEN 0 ELSE c - floor(c) END AS f FROM {name}_at),
+{name}_shares AS (
+  SELECT k, greatest(0, least(31, lo)) AS p, CAST(round_even((1 - f) * 2048, 0) AS BIGINT) AS s FROM {name}_between
+  UNION ALL SELECT k, greatest(0, least(31, greatest(lo, 0) + 1)), 2048 - CAST(round_even((1 - f) * 2048, 0) AS BIGINT) FROM {name}_between)"""
+
+
 @query(
-    """SELECT r.image_id, CAST(y.range AS BIGINT) AS y, CAST(x.range AS BIGINT) AS x, r.v FROM raster r JOIN range(20) y ON r.y = y.range * 32 // 20 JOIN range(20) x ON r.x = x.range * 32 // 20""",
+    "SELECT image_id, j.k AS y, x, (SUM((j.s * (a.v // 16)) // 65536) + 2) // 4 AS v FROM across a JOIN row_shares j ON j.p = a.y GROUP BY ALL",
+    _shares_sql("row") + "," + _shares_sql("column") + """,
+across AS (SELECT image_id, y, c.k AS x, CAST(SUM(c.s * v) AS BIGINT) AS v FROM raster r JOIN column_shares c ON c.p = r.x GROUP BY ALL)""",
 )
 def px_resize(spark, sf_dir):
     return images.resize(fx.raster(spark, sf_dir), fx.SIDE, fx.SIDE, 20)
 
 
+@query(
+    """SELECT image_id, y, x, list_sort(list(v))[5] AS v FROM (
+      SELECT p.image_id, p.y, p.x, q.v FROM raster p, range(-1, 2) dy, range(-1, 2) dx JOIN raster q
+        ON q.image_id = p.image_id AND q.y = greatest(0, least(31, p.y + dy.range)) AND q.x = greatest(0, least(31, p.x + dx.range))) GROUP BY ALL""",
+)
+def px_median(spark, sf_dir):
+    return pixels.median(fx.raster(spark, sf_dir), 3)
+
+
 __all__ = ["QUERIES", "ORACLE_SQL"]

@@ -7,14 +7,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import kernels
+
 #: Pixels of an Arrow batch of pixel rows, about.
 BATCH = 200_000
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """image_id, origin, height, width, channels, data; files that are no images are left out."""
+def read(spark: SparkSession, path: str, resize_height: int | None = None, kernel_size: int | None = None) -> DataFrame:
+    """image_id, origin, height, width, channels, data; files that are no images are left out; median filtered and resized if wanted."""
     raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    return raw.select(F.xxhash64("origin").alias("image_id"), "origin", "height", "width", F.col("nChannels").alias("channels"), "data")
+    found = raw.select(F.xxhash64("origin").alias("image_id"), "origin", "height", "width", F.col("nChannels").alias("channels"), "data")
+    return found if resize_height is None and kernel_size is None else prepared(found, resize_height, kernel_size)
+
+
+def prepared(images: DataFrame, resize_height: int | None = None, kernel_size: int | None = None) -> DataFrame:
+    """Images after a median filter of kernel_size x kernel_size and a resize to a height, either if wanted."""
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                a = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["channels"])
+                a = a if kernel_size is None else kernels.median(a, kernel_size)
+                a = a if resize_height is None else kernels.resize(a, *resized(r["width"], r["height"], resize_height))
+                r |= {"height": a.shape[0], "width": a.shape[1], "data": a.tobytes()}
+            yield pa.RecordBatch.from_pylist(rows, batch.schema)
+
+    return images.mapInArrow(run, images.schema)
 
 
 def array(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -46,12 +65,23 @@ def resized(width: int, height: int, to_height: int) -> tuple[int, int]:
 
 
 def resize(pixel_rows: DataFrame, width: int, height: int, to_height: int) -> DataFrame:
-    """Nearest pixels: each new pixel takes the old one that its corner falls on."""
+    """image_id, y, x, v of images of one size, resized to a height between the four pixels around each new one's centre, in fixed point as kernels.resize.
+
+    The shares are tables of twice the new width and height, so they are small;
+    one exchange by image serves the sums along rows and along columns.
+    """
     w, h = resized(width, height, to_height)
-    rest = [c for c in pixel_rows.columns if c not in ("image_id", "y", "x")]
-    # the new pixels that an old one gives
-    span = lambda c, new, old: F.sequence(F.ceil(F.col(c) * new / F.lit(old)), F.ceil((F.col(c) + 1) * new / F.lit(old)) - 1)
-    some = lambda c, new, old: F.ceil(F.col(c) * new / F.lit(old)) < F.ceil((F.col(c) + 1) * new / F.lit(old))
-    x = pixel_rows.filter(some("y", h, height) & some("x", w, width))
-    x = x.withColumn("ny", F.explode(span("y", h, height))).withColumn("nx", F.explode(span("x", w, width)))
-    return x.select("image_id", F.col("ny").alias("y"), F.col("nx").alias("x"), *rest)
+    spark = pixel_rows.sparkSession
+
+    def shares(old: int, new: int, names: str) -> DataFrame:
+        lower, share = kernels.between(old, new)
+        rows = [(int(i), k, int(s)) for k, (i, s) in enumerate(zip(lower, share))]
+        rows += [(min(i + 1, old - 1), k, kernels.WHOLE - s) for i, k, s in rows]
+        return F.broadcast(spark.createDataFrame([(i, k, s) for i, k, s in rows if s], names))
+
+    x = pixel_rows.repartition("image_id").join(shares(width, w, "x long, nx long, a long"), "x")
+    x = x.groupBy("image_id", "y", "nx").agg(F.sum(F.col("a") * F.col("v")).alias("s"))
+    x = x.join(shares(height, h, "y long, ny long, b long"), "y")
+    part = F.shiftright(F.col("b") * F.shiftright("s", 4), 16)
+    x = x.groupBy("image_id", "ny", "nx").agg(F.sum(part).alias("s"))
+    return x.select("image_id", F.col("ny").alias("y"), F.col("nx").alias("x"), F.shiftright(F.col("s") + 2, 2).alias("v"))
