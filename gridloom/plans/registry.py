@@ -619,12 +619,87 @@ def _triples(spark, sf_dir) -> DataFrame:
     return sequences.triples(rows, ends.select("image_id", F.col("lo").alias("vec")), ends.select("image_id", F.col("hi").alias("vec")))
 
 
-@query()
+#: Models in SQL: tokens are rows (s, t, i, x): sequence, position, place in the vector, number.
+
+
+def _linear_sql(name: str, source: str, out: int, layer: int) -> str:
+    return f"{name} AS MATERIALIZED (SELECT s, t, o AS i, SUM(x * {_W.format(layer)}) AS x FROM {source}, (SELECT range AS o FROM range({out})) GROUP BY s, t, o)"
+
+
+def _norm_sql(name: str, source: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT s, t, i, x / sqrt(m + 1e-6) AS x FROM {source} JOIN (SELECT s, t, SUM(x * x) / COUNT(*) AS m FROM {source} GROUP BY s, t) USING (s, t))"
+
+
+def _turn_sql(name: str, source: str, each: int, angle: str) -> str:
+    """angle: of the position t and the place j in a head of `each` numbers."""
+    half = each // 2
+    return f"""{name} AS MATERIALIZED (
+  SELECT a.s, a.t, a.i, a.x * cos(a.g) + CASE WHEN a.j < {half} THEN -b.x ELSE b.x END * sin(a.g) AS x
+  FROM (SELECT *, {angle} AS g FROM (SELECT *, i % {each} AS j FROM {source})) a JOIN {source} b ON a.s = b.s AND a.t = b.t AND b.i = a.i - a.j + (a.j + {half}) % {each})"""
+
+
+def _heads_sql(name: str, of: str, each: int, group: int, allowed: str) -> str:
+    """Attention of {of}q, {of}k, {of}v; allowed: of the positions q.t and k.t."""
+    return f"""{name}_scores AS MATERIALIZED (
+  SELECT q.s, q.t, k.t AS u, q.i // {each} AS h, SUM(q.x * k.x) / sqrt({each}) AS x FROM {of}q q JOIN {of}k k ON q.s = k.s AND k.i = q.i // {each * group} * {each} + q.i % {each} AND {allowed} GROUP BY ALL),
+{name}_shares AS MATERIALIZED (SELECT s, t, u, h, exp(x - MAX(x) OVER (PARTITION BY s, t, h)) AS e FROM {name}_scores),
+{name} AS MATERIALIZED (
+  SELECT e.s, e.t, e.h * {each} + v.i % {each} AS i, SUM(e.e * v.x) / SUM(e.e) AS x FROM {name}_shares e JOIN {of}v v ON v.s = e.s AND v.t = e.u AND v.i // {each} = e.h // {group} GROUP BY ALL)"""
+
+
+def _layers_sql(name: str, source: str, depth: int, first: int, dim: int, heads: int, kv_heads: int, mlp: int, angle: str, allowed: str) -> str:
+    """name: the tokens of `source` after the layers and a last norm; matrices from layer `first` on, ten a layer."""
+    made, each = [], dim // heads
+    for d in range(depth):
+        n, at = f"{name}{d}_", first + 10 * d
+        made += [_norm_sql(f"{n}a", source), _linear_sql(f"{n}p", f"{n}a", dim, at), _linear_sql(f"{n}r", f"{n}a", each * kv_heads, at + 1), _linear_sql(f"{n}v", f"{n}a", each * kv_heads, at + 2)]
+        made += [_turn_sql(f"{n}q", f"{n}p", each, angle), _turn_sql(f"{n}k", f"{n}r", each, angle), _heads_sql(f"{n}o", n, each, heads // kv_heads, allowed), _linear_sql(f"{n}w", f"{n}o", dim, at + 3)]
+        made += [f"{n}b AS MATERIALIZED (SELECT a.s, a.t, a.i, a.x + b.x AS x FROM {source} a JOIN {n}w b USING (s, t, i))", _norm_sql(f"{n}c", f"{n}b")]
+        made += [_linear_sql(f"{n}g", f"{n}c", mlp, at + 4), _linear_sql(f"{n}u", f"{n}c", mlp, at + 5), f"{n}z AS MATERIALIZED (SELECT g.s, g.t, g.i, g.x / (1 + exp(-g.x)) * u.x AS x FROM {n}g g JOIN {n}u u USING (s, t, i))"]
+        made += [_linear_sql(f"{n}d", f"{n}z", dim, at + 6), f"{n}e AS MATERIALIZED (SELECT a.s, a.t, a.i, a.x + b.x AS x FROM {n}b a JOIN {n}d b USING (s, t, i))"]
+        source = f"{n}e"
+    return ",\n".join([*made, _norm_sql(name, source)])
+
+
+def _project_sql(name: str, source: str, hidden: int, out: int) -> str:
+    """The error function as its series exp(-y * y) * sum of y ** (2 n + 1) / gamma(n + 3/2)."""
+    y = "(x / sqrt(2.0::DOUBLE))"
+    erf = f"exp(-{y} * {y}) * list_sum(list_transform(range(0, 120), lambda n: pow({y}, 2 * n + 1) / gamma(n + 1.5::DOUBLE)))"
+    return ",\n".join([_linear_sql(f"{name}_hidden", source, hidden, 0), f"{name}_bent AS MATERIALIZED (SELECT s, t, i, x * 0.5 * (1 + {erf}) AS x FROM {name}_hidden)", _linear_sql(name, f"{name}_bent", out, 1)])
+
+
+def _encoder_sql(name: str, patches: str, boxes_: str, depth: int, n_boxes: str) -> str:
+    """name: tokens (0 global, then n_boxes boxes) of patches (s, t from 0, i, x) and boxes (s, n from 1, x1 .. y2), 4 x 4 patches, 32 wide, 4 heads."""
+    angle = f"CASE WHEN t <= {n_boxes} THEN 0 WHEN j < 4 THEN (t - 1 - {n_boxes}) // 4 ELSE (t - 1 - {n_boxes}) % 4 END * pow(1e4::DOUBLE, -2.0::DOUBLE * (j % 2) / 4)"
+    seen = f"EXISTS (SELECT 1 FROM {boxes_} b WHERE b.s = q.s AND b.n = q.t AND (k.t - 1 - {n_boxes}) // 4 BETWEEN b.y1 * 3 AND b.y2 * 3 AND (k.t - 1 - {n_boxes}) % 4 BETWEEN b.x1 * 3 AND b.x2 * 3)"
+    allowed = f"(q.t NOT BETWEEN 1 AND {n_boxes} OR k.t IN (0, q.t) OR k.t > {n_boxes} AND {seen})"
+    tokens = f"""{_linear_sql(f"{name}_patches", patches, 32, 0)},
+{name}_tokens AS MATERIALIZED (
+  SELECT s, t + 1 + {n_boxes} AS t, i, x FROM {name}_patches
+  UNION ALL SELECT s, n.range, i.range, 0.0::DOUBLE FROM (SELECT DISTINCT s FROM {patches}), range(1 + {n_boxes}) n, range(32) i)"""
+    return tokens + ",\n" + _layers_sql(name, f"{name}_tokens", depth, 1, 32, 4, 4, 128, angle, allowed)
+
+
+def _fuser_sql(name: str, source: str, layers: int) -> str:
+    return _layers_sql(name, source, layers, 0, 64, 4, 2, 128, "t * pow(1e6::DOUBLE, -2.0::DOUBLE * (j % 8) / 16)", "k.t <= q.t")
+
+
+@query("SELECT s AS vec_id, i, round(x, 6) + 0.0 AS y FROM projected", "tokens AS (SELECT vec_id AS s, 0 AS t, i, x FROM parts),\n" + _project_sql("projected", "tokens", 32, 8))
 def vec_gelu_projector(spark, sf_dir):
     return _parts(models.project_vectors(_rows(spark, sf_dir), "vec_id", 32, 8), F.col("vec"), "vec_id")
 
 
-@query()
+_SIXTEENS = """
+patches AS MATERIALIZED (
+  SELECT g.s, g.t, g.i, COALESCE(p.x, 0.0::DOUBLE) AS x
+  FROM (SELECT s, t.range AS t, i.range AS i FROM (SELECT DISTINCT label * 1000000 + pos // 16 AS s FROM vectors), range(16) t, range(64) i) g
+  LEFT JOIN (SELECT label * 1000000 + pos // 16 AS s, pos % 16 AS t, i, x FROM parts) p USING (s, t, i)),
+two AS MATERIALIZED (
+  SELECT DISTINCT s, n, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM patches, (VALUES (1, 0.1, 0.1, 0.7, 0.4), (2, 0.0, 0.0, 1.0, 1.0)) b(n, x1, y1, x2, y2)),
+"""
+
+
+@query("SELECT s AS image_id, CAST(t AS INTEGER) AS tok, i, round(x, 6) + 0.0 AS y FROM encoded WHERE t <= 2", _SIXTEENS + _encoder_sql("encoded", "patches", "two", 2, "2"))
 def encoder_forward(spark, sf_dir):
     """Every 16 vectors of a label that follow one another as the patches of an image, with two boxes; zero patches fill up a label's last image."""
     at = (F.col("label") * 1000000 + F.floor(F.col("pos") / 16)).alias("image_id")
@@ -635,13 +710,34 @@ def encoder_forward(spark, sf_dir):
     return _parts(models.encode_images(images_), F.col("vec"), "image_id", "tok")
 
 
-@query()
+_TRIPLES = """
+triples AS MATERIALIZED (
+  SELECT v.label * 1000000000 + v.vec_id AS s, k.range AS t, p.i, p.x FROM vectors v JOIN (SELECT label, MIN(vec_id) AS lo, MAX(vec_id) AS hi FROM vectors GROUP BY ALL) e USING (label) CROSS JOIN range(3) k
+  JOIN parts p ON p.vec_id = CASE k.range WHEN 0 THEN v.vec_id WHEN 1 THEN e.lo ELSE e.hi END),
+"""
+
+
+@query("SELECT s // 1000000000 AS image_id, s % 1000000000 AS box_idx, i, round(x, 6) + 0.0 AS y FROM fused WHERE t = 2", _TRIPLES + _fuser_sql("fused", "triples", 2))
 def fuser_forward(spark, sf_dir):
     t = _triples(spark, sf_dir).select("image_id", "box_idx", "slot", F.col("vec.x").alias("vec"))
     return _parts(models.fuse_triples(t), F.col("vec"), "image_id", "box_idx")
 
 
-@query()
+_IMAGES = """
+patches AS MATERIALIZED (SELECT image_id AS s, y // 8 * 4 + x // 8 AS t, y % 8 * 8 + x % 8 AS i, CAST(v AS DOUBLE) AS x FROM raster),
+corners AS MATERIALIZED (SELECT image_id AS s, box_id + 1 AS n, least(x1 / 32.0::DOUBLE, 1) AS x1, least(y1 / 32.0::DOUBLE, 1) AS y1, least(x2 / 32.0::DOUBLE, 1) AS x2, least(y2 / 32.0::DOUBLE, 1) AS y2 FROM frames),
+"""
+_FUSED = """,
+slots AS MATERIALIZED (
+  SELECT b.s * 4 + b.t - 1 AS s, k.range AS t, p.i, p.x FROM (SELECT DISTINCT s, t FROM projected WHERE t > 0) b, range(2) k JOIN projected p ON p.s = b.s AND p.t = CASE k.range WHEN 0 THEN b.t ELSE 0 END
+  UNION ALL SELECT b.s * 4 + b.t - 1, 2, p.i, p.x FROM (SELECT DISTINCT s, t FROM projected WHERE t > 0) b JOIN parts p ON p.pos = 0 AND p.label = b.s % 10),
+"""
+
+
+@query(
+    "SELECT s // 4 AS image_id, s % 4 AS box_idx, i, round(x, 6) + 0.0 AS y FROM fused WHERE t = 2",
+    _IMAGES + _encoder_sql("encoded", "patches", "corners", 1, "4") + ",\nwanted AS (SELECT * FROM encoded WHERE t <= 4),\n" + _project_sql("projected", "wanted", 48, 64) + _FUSED + _fuser_sql("fused", "slots", 1),
+)
 def embed_boxes(spark, sf_dir):
     """Images, boxes and texts to one vector per box: the rasters as 16 patches of 8 x 8, their frames, the first vector of label image_id % 10 as text."""
     p = embed.patches(fx.raster(spark, sf_dir), 8, fx.SIDE)
