@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from gridloom.operators import pixels
+from gridloom.operators import kernels, pixels
 from gridloom.plans import detect, fixtures
 from gridloom.sources import images, results
 
@@ -76,13 +76,54 @@ def test_results(spark, tmp_path):
     assert (tmp_path / "clips" / "category=Compo").is_dir()
 
 
+def between(a, w, h):
+    """Each new pixel's centre in the old image, and the mean of the four around it by nearness, clamped at the borders."""
+    out = np.zeros((h, w))
+    for y in range(h):
+        for x in range(w):
+            cy, cx = ((k + 0.5) * old / new - 0.5 for k, old, new in ((y, len(a), h), (x, a.shape[1], w)))
+            cy, cx = min(max(cy, 0), len(a) - 1), min(max(cx, 0), a.shape[1] - 1)
+            y0, x0 = int(cy), int(cx)
+            y1, x1 = min(y0 + 1, len(a) - 1), min(x0 + 1, a.shape[1] - 1)
+            fy, fx = cy - y0, cx - x0
+            out[y, x] = (a[y0, x0] * (1 - fx) + a[y0, x1] * fx) * (1 - fy) + (a[y1, x0] * (1 - fx) + a[y1, x1] * fx) * fy
+    return out
+
+
 def test_resize(spark):
-    rows = [(1, y, x, y * 10 + x) for y in range(4) for x in range(6)]
-    df = spark.createDataFrame(rows, "image_id long, y long, x long, v long")
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 256, (4, 6))
+    df = spark.createDataFrame([(1, y, x, int(a[y, x])) for y in range(4) for x in range(6)], "image_id long, y long, x long, v long")
     for to in (2, 3, 4, 7):
         w, h = images.resized(6, 4, to)
         got = {(r.y, r.x): r.v for r in images.resize(df, 6, 4, to).collect()}
-        assert got == {(y, x): (y * 4 // h) * 10 + x * 6 // w for y in range(h) for x in range(w)}
+        made = kernels.resize(a.astype(np.uint8), w, h)
+        assert got == {(y, x): made[y, x] for y in range(h) for x in range(w)}
+        assert np.abs(made - between(a, w, h)).max() <= 1
+    assert (kernels.resize(a.astype(np.uint8), 6, 4) == a).all()
+    colour = rng.integers(0, 256, (9, 5, 3)).astype(np.uint8)
+    assert all((kernels.resize(colour, 8, 4)[:, :, k] == kernels.resize(colour[:, :, k], 8, 4)).all() for k in range(3))
+    assert (kernels.resize(np.full((7, 3), 255, np.uint8), 11, 20) == 255).all()
+
+
+def test_median(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (9, 11)).astype(np.uint8)
+    for size in (1, 3, 5):
+        reach, h, w = size // 2, *a.shape
+        want = [[sorted(int(a[min(max(y + i, 0), h - 1), min(max(x + j, 0), w - 1)]) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1))[size * size // 2] for x in range(w)] for y in range(h)]
+        assert kernels.median(a, size).tolist() == want
+        df = spark.createDataFrame([(1, y, x, int(a[y, x])) for y in range(h) for x in range(w)], "image_id long, y long, x long, v long")
+        got = {(r.y, r.x): r.v for r in pixels.median(df, size).collect()}
+        assert got == {(y, x): want[y][x] for y in range(h) for x in range(w)}
+
+
+def test_prepared_images(spark, folder):
+    ready = images.read(spark, str(folder), resize_height=100, kernel_size=3).filter("width = 150").first()
+    assert (ready.height, ready.width, len(ready.data)) == (100, 150, 100 * 150 * 3)
+    whole = images.read(spark, str(folder)).filter("height = 200").first()
+    a = images.array(whole.data, 200, 300, 3)
+    assert (images.array(ready.data, 100, 150, 3) == kernels.resize(kernels.median(a, 3), 150, 100)).all()
 
 
 def test_fixture_constants():
