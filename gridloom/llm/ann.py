@@ -16,8 +16,9 @@ Recall against brute force, measured on 51,282 rows with COVERAGE 0.55: 0.96.
 Isotropic vectors leave no cheaper way to it; clustered ones could take less.
 
 Defined cases: vectors that are null, zero, empty or hold null or non-finite
-components, rows without vec_id, and vectors of another length than most of
-the sample take no part; rows with the query's vec_id are its own; repeated query
+components, and rows without vec_id, take no part; vectors of unlike length have
+no cosine, so those of each length have an index of their own and are each
+other's candidates; rows with the query's vec_id are its own; repeated query
 rows count once and repeated candidates each count; an empty table gives no
 rows.
 """
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, cut, finite
+from .common import blocks, cut, finite, shuffle_partitions
 
 K = 5
 #: Rows that the codebooks are fitted on, at most; centroids of a half, at least and at most; rounds of k-means.
@@ -181,15 +182,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, coverage: float =
     doubles = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), doubles.alias("embedding"))
     rows = rows.filter(F.col("vec_id").isNotNull() & finite("embedding") & F.exists("embedding", lambda v: v != 0))
-    fitted = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()["embedding"].to_pylist()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not fitted:
-        return empty
-    lengths = [len(v) for v in fitted]
-    dim = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    rows = rows.filter(F.size("embedding") == dim)
-    total = rows.count()
-    x = _unit(np.array([v for v in fitted if len(v) == dim]))
+    lengths = sorted((r["dim"], r["count"]) for r in rows.groupBy(F.size("embedding").alias("dim")).count().collect())
+    found = None
+    for dim, total in lengths:
+        own = _of_one_length(rows.filter(F.size("embedding") == dim), dim, total, is_query, k, coverage, shard_rows)
+        found = own if found is None else found.union(own)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_one_length(rows: DataFrame, dim: int, total: int, is_query: Column, k: int, coverage: float, shard_rows: int) -> DataFrame:
+    """query_id, vec_id, score: the nearest of each shard, of `total` vectors of `dim` numbers."""
+    spark = rows.sparkSession
+    fitted = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()["embedding"]
+    x = _unit(_matrix(fitted))
     k_half = min(CENTROIDS[1], max(CENTROIDS[0], round(math.sqrt(total) / 4)))
     books = tuple(codebook(h, k_half, seed) if h.shape[1] else np.zeros((1, 0)) for seed, h in enumerate((x[:, : dim // 2], x[:, dim // 2 :])))
     indexed = cut(rows.mapInArrow(_cells(books), "vec_id long, embedding array<double>, cell int"))
@@ -212,8 +220,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, coverage: float =
     grid = counts.reshape(len(books[0]), len(books[1]))
     entries = indexed.join(F.broadcast(packed), "cell")  # CENTROIDS bounds it
     entries = entries.select("vec_id", "embedding", "cell", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("n"))).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"))
-    visits = indexed.filter(is_query).select("vec_id", "embedding").dropDuplicates()
+    # walks take time, not room, so their tasks are not put together
+    visits = indexed.filter(is_query).select("vec_id", "embedding").repartition(shuffle_partitions(spark), "vec_id").dropDuplicates()
     visits = visits.mapInArrow(_visits(books, grid, max(coverage * total, LEAST), first_shard.tolist(), n_shards.tolist(), n_queries), "vec_id long, embedding array<double>, shard int, qb int, cells array<int>")
-    found = entries.groupBy("shard", "qb").cogroup(visits.groupBy("shard", "qb")).applyInArrow(_rerank(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return entries.groupBy("shard", "qb").cogroup(visits.groupBy("shard", "qb")).applyInArrow(_rerank(k), "query_id long, vec_id long, score double")

@@ -266,3 +266,31 @@ def test_levels_of_buckets_change_nothing(spark, monkeypatch):
         monkeypatch.setattr(mixing, "PER_BUCKET", per_bucket)
         monkeypatch.setattr(mixing, "DIGITS", digits)
         assert sorted(map(key, mixing.mix(docs).collect())) == want
+
+
+def odd_rows():
+    """Nulls, empty and long texts, ties, repeated rows, and columns whose names the operators use themselves."""
+    long = " ".join(f"w{k}" for k in range(30_000))
+    texts = [None, "", "   ", "one", "two words", long, long + " more", "x" * 100_000, "secret=abcdefghijkl0123 and more words follow here", "é🙂 日本 text"] + ["same words in this text every time here"] * 4
+    rows = [(i, t, "en", f"s{i % 3}", len(t) if t else 0, "a", 1.5, i) for i, t in enumerate(texts)]
+    return rows + [rows[3], rows[3], (None, "no id at all here", None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]
+
+
+ODD_DOCS = "doc_id long, text string, lang string, source string, n_chars long, component string, score double, size long"
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    every = spark.createDataFrame(odd_rows(), ODD_DOCS).repartition(3)
+    for docs in (every, every.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            assert k == 4 or out.columns == docs.columns
+            rows = out.collect()
+            assert len(rows) <= 2 * docs.count() and (rows or docs is not every)
+    near = corpus_pipeline.near_duplicates_stage(spark, every, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in near if r.doc_id is not None) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10] and sum(r.doc_id is None for r in near) == 2
+    hidden = corpus_pipeline.secrets_stage(spark, every, str(tmp_path)).collect()
+    assert len(hidden) == len(odd_rows()) and [r.text for r in hidden if r.doc_id == 8] == ["[secret] and more words follow here"]
+    mixed = corpus_pipeline.mixing_stage(spark, every, str(tmp_path)).collect()
+    assert {r.doc_id for r in mixed} >= {0, 1, 2, None}

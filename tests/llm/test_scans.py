@@ -139,6 +139,25 @@ def test_token_efficiency(run, random):
     assert secret_scan.is_random(run) == random
 
 
+def test_added_secrets_against_brute_force():
+    """Unlabelled random keys are found, names and digests are not, and spans are those of the rule applied run by run."""
+    rng = random.Random(13)
+    pool = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    words = "account transfer document service internal payment delivery customer archive schedule history monthly".split()
+    keys = ["".join(rng.choices(pool, k=rng.randint(20, 44))) for _ in range(200)] + ["".join(rng.choices("0123456789ABCDEFGHJKMNPQRSTVWXYZ", k=26)) for _ in range(50)]
+    names = ["".join(w.title() for w in rng.sample(words, 3)) for _ in range(80)] + ["-".join(rng.sample(words, 4)) for _ in range(80)] + ["/".join(rng.sample(words, 3)) + "/v2" for _ in range(40)]
+    names += [hashlib.sha1(str(k).encode()).hexdigest().upper() for k in range(20)] + [str(rng.randint(10**17, 10**18)) for _ in range(20)]
+    encode = secret_scan._encoding().encode_ordinary
+    found = {}
+    for x in keys + names:
+        text = f"see {x} there"
+        got = [s for s in secret_scan.spans(text) if s[0] == "random"]
+        few = len(x) / len(encode(x)) < (2.1 if any(c.isdigit() for c in x) else 1.85)
+        assert got == ([("random", 4, 4 + len(x))] if few and not secret_scan.known(x) and not re.search("[0-9a-f]{16}|AKIA", x) else [])
+        found[x] = bool(got)
+    assert sum(found[x] for x in keys) >= 0.97 * len(keys) and sum(found[x] for x in names) <= 0.02 * len(names)
+
+
 @pytest.mark.parametrize("letters, least", [("abcdefghijklmnopqrstuvwxyz", 0.85), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.95), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.98)])
 def test_random_letters_are_found(letters, least):
     rng = random.Random(11)

@@ -71,6 +71,24 @@ def test_ann_is_exact_on_few_rows(spark):
     assert ann.nearest(vectors(spark, [(1, [1.0, 0.0])]), F.lit(True)).count() == 0
 
 
+def test_ann_takes_every_length_by_itself(spark):
+    rows = some(60) + [(1000 + i, v) for i, v in some(40, dim=3, seed=9)] + [(5000, [2.0])]
+    got = {}
+    for r in ann.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == {0, 20, 40, 1000, 1020} and all(len(v) == 3 for v in got.values())
+    assert all((i < 1000) == (q < 1000) for q, found in got.items() for i in found)
+
+
+def test_topk_beyond_doubles(spark):
+    rows = [(0, [1.7e308, 1.0]), (1, [1e306, -1e306]), (2, [-1.7e308, 0.5]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(x) * 1024 if abs(x) > 1e300 else int(np.floor(x * 1024)) for x in v] for i, v in rows}
+    for r in topk.top_k(df, F.lit(True)).collect():
+        score = sum(a * b for a, b in zip(whole[r.query_id], whole[r.vec_id]))
+        assert r.score == max(-(2**63), min(2**63 - 1, score))
+
+
 def test_ann_recall(spark):
     rng = np.random.default_rng(5)
     near = rng.standard_normal(8)
