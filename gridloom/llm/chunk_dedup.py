@@ -98,11 +98,12 @@ def chunks(ids: np.ndarray, raw: np.ndarray, ends: np.ndarray) -> dict[str, np.n
     view, digest = memoryview(raw.tobytes()), xxhash.xxh3_128_digest
     d = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(start.tolist(), stop.tolist())]), np.uint64).reshape(-1, 2)
     text = np.searchsorted(ends, start, side="right") - 1
-    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    points = np.zeros(len(raw) + 1, np.int32)  # Arrow texts have less than 2 ** 31 bytes
+    np.cumsum((raw & 0xC0) != 0x80, out=points[1:])
     begins, _, _ = w.words(raw, ends)
-    is_word = np.zeros(len(raw) + 1, dtype=np.int64)
-    is_word[begins + 1] = 1
-    n_words = np.cumsum(is_word)
+    n_words = np.zeros(len(raw) + 1, dtype=np.int32)
+    n_words[begins + 1] = 1
+    np.cumsum(n_words, out=n_words)
     return {"hi": d[:, 0], "lo": d[:, 1], "doc": ids[text], "start": (points[start] - points[ends[text]]).astype(np.uint32), "size": (points[stop] - points[start]).astype(np.uint8), "words": (n_words[stop] - n_words[start]).astype(np.uint8), "code": np.full(len(stop), _ALONE, np.uint8)}
 
 

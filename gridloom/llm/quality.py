@@ -46,8 +46,15 @@ KINDS = 7 + len(_signs)
 FEATURES = KINDS + 6 + BUCKETS
 
 
-def passages(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(features of each passage, where each text's passages begin and the last ends)."""
+def passages(raw: np.ndarray, ends: np.ndarray, long: int = 2 * w.PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """(features of each passage, where each text's passages begin and the last ends); a long text, which comes by itself, is described piece by piece."""
+    if len(ends) == 2 and len(raw) > long:
+        made = np.concatenate([_passages(raw[a:b], np.array([0, b - a]))[0] for a, b in w.slices(raw, PASSAGE, long // 2)])
+        return made, np.array([0, len(made)])
+    return _passages(raw, ends)
+
+
+def _passages(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n_texts = len(ends) - 1
     start, stop, text = w.words(raw, ends)
     n_words = np.bincount(text, minlength=n_texts)

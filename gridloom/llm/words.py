@@ -73,7 +73,30 @@ def words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
+    """A 64-bit hash of each word, wherever it stands; a long text's words are taken some at a time."""
+    if len(raw) <= 2 * PIECE:
+        return _hashes(raw, start, stop)
+    out, k = np.zeros(len(start), np.uint64), 0
+    while k < len(start):
+        first = int(start[k])
+        last = max(k + 1, int(np.searchsorted(stop, first + PIECE, side="right")))
+        out[k:last] = _hashes(raw[first : stop[last - 1]], start[k:last] - first, stop[k:last] - first)
+        k = last
+    return out
+
+
+def slices(raw: np.ndarray, every: int, size: int = PIECE) -> list[tuple[int, int]]:
+    """A long text in pieces of about `size` bytes, each but the first beginning with a word whose number is a multiple of `every`."""
+    start, _, _ = words(raw, np.array([0, len(raw)]))
+    at = start[every::every]
+    cuts, last = [0], 0
+    while len(at) and (k := int(np.searchsorted(at, last + size))) < len(at):
+        last = int(at[k])
+        cuts.append(last)
+    return list(zip(cuts, [*cuts[1:], len(raw)]))
+
+
+def _hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     up, down = _power(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(BYTE_VALUES[raw] * up[: len(raw)], out=sums[1:])

@@ -70,6 +70,24 @@ def test_passages_do_not_depend_on_the_batch():
     assert [len(f) for f in features(50)] == [max(1, -(-len((t or "").split()) // quality.PASSAGE)) for t in texts]
 
 
+def test_long_texts_in_pieces_are_as_whole_ones():
+    rng = np.random.default_rng(4)
+    for text in ["  lead " + " ".join("".join(rng.choice(list("abé🙂,."), int(rng.integers(1, 9)))) for _ in range(3000)) + " \n ", "x" * 5000, " " * 4000, "word " * 2000, " y" * 31 + " " * 3000 + "z z"]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ends = np.array([0, len(raw)])
+        whole, first = quality.passages(raw, ends)
+        for long in (40, 500, 1999):
+            pieces, again = quality.passages(raw, ends, long)
+            assert np.allclose(pieces, whole) and first.tolist() == again.tolist()
+        start, stop, _ = w.words(raw, ends)
+        want = w.hashes(raw, start, stop)
+        kept, w.PIECE = w.PIECE, 100
+        try:
+            assert (w.hashes(raw, start, stop) == want).all()
+        finally:
+            w.PIECE = kept
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model = quality.Model.untrained(rng)
