@@ -18,24 +18,24 @@ CELL = 64
 SIDES = ("x1", "y1", "x2", "y2")
 
 
-def _cells(boxes: DataFrame, prefix: str, extra: list[str], reach: tuple[int, int], cell: int) -> DataFrame:
-    """A row for each cell that a box, moved out by half the reach, touches."""
-    x = boxes.select("image_id", *[F.col(c).alias(prefix + c) for c in ("box_id", *SIDES, *extra)])
-    span = lambda lo, hi, r: F.sequence(F.floor((F.col(prefix + lo) - r) / cell), F.floor((F.col(prefix + hi) + r) / cell))
-    x = x.withColumn(prefix + "cx", F.explode(span("x1", "x2", reach[0])))
-    return x.withColumn(prefix + "cy", F.explode(span("y1", "y2", reach[1])))
+def _cells(boxes: DataFrame, extra: list[str], reach: tuple[int, int], cell: int) -> DataFrame:
+    """A row for each cell that a box, moved out by half the reach, touches, dealt by image and cell."""
+    x = boxes.select("image_id", "box_id", *SIDES, *extra)
+    span = lambda lo, hi, r: F.sequence(F.floor((F.col(lo) - r) / cell), F.floor((F.col(hi) + r) / cell))
+    x = x.withColumn("cx", F.explode(span("x1", "x2", reach[0]))).withColumn("cy", F.explode(span("y1", "y2", reach[1])))
+    return x.repartition("image_id", "cx", "cy")  # both sides of a join take it from here, so it is made once
 
 
 def near_pairs(boxes: DataFrame, reach: tuple[int, int] = (0, 0), extra: list[str] = (), cell: int = CELL) -> DataFrame:
     """Each pair a_box_id < b_box_id of an image whose boxes, moved out by `reach` on all sides, have a common point."""
-    a, b = (_cells(boxes, p, list(extra), reach, cell) for p in ("a_", "b_"))
-    same = (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy")) & (F.col("a_box_id") < F.col("b_box_id"))
-    pairs = a.join(b.withColumnRenamed("image_id", "b_image_id"), (F.col("image_id") == F.col("b_image_id")) & same).drop("b_image_id")
+    cells = _cells(boxes, list(extra), reach, cell)
+    a, b = (cells.select("image_id", "cx", "cy", *[F.col(c).alias(p + c) for c in ("box_id", *SIDES, *extra)]) for p in ("a_", "b_"))
+    pairs = a.join(b, ["image_id", "cx", "cy"]).filter(F.col("a_box_id") < F.col("b_box_id"))
     left = F.greatest("a_x1", "b_x1") - reach[0]
     top = F.greatest("a_y1", "b_y1") - reach[1]
     common = (left <= F.least("a_x2", "b_x2") + reach[0]) & (top <= F.least("a_y2", "b_y2") + reach[1])
-    own = (F.floor(left / cell) == F.col("a_cx")) & (F.floor(top / cell) == F.col("a_cy"))
-    return pairs.filter(common & own).drop("a_cx", "a_cy", "b_cx", "b_cy")
+    own = (F.floor(left / cell) == F.col("cx")) & (F.floor(top / cell) == F.col("cy"))
+    return pairs.filter(common & own).drop("cx", "cy")
 
 
 def related_pairs(boxes: DataFrame, bias: tuple[int, int] = (0, 0), extra: list[str] = ()) -> DataFrame:

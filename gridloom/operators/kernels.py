@@ -66,27 +66,37 @@ def _first(hits: np.ndarray, after: int = 0) -> int | None:
 
 
 class Piles:
-    """Boxes in order, each the hull of the items put on it."""
+    """Boxes in order, each the hull of the items put on it; few are looked at one by one, many at once."""
 
-    def __init__(self, most: int):
-        self._all, self.members = np.zeros((most, 4), np.int64), []
+    FEW = 150
 
-    @property
-    def boxes(self) -> np.ndarray:
-        return self._all[: len(self.members)]
+    def __init__(self, most: int):
+        self._all, self.rows, self.members = np.zeros((most, 4), np.int64), [], []
+
+    def first(self, box, test, tests, reach=(0, 0), after: int = 0) -> int | None:
+        """The first pile from `after` on that passes test(box, pile), of those that overlap the box by more than -2 * reach; tests(box, piles) is the same for an array."""
+        if len(self.rows) >= self.FEW:
+            return _first(tests(box, self._all[: len(self.rows)]), after)
+        x1, y1, x2, y2 = box[0] - 2 * reach[0], box[1] - 2 * reach[1], box[2] + 2 * reach[0], box[3] + 2 * reach[1]
+        for k in range(after, len(self.rows)):
+            other = self.rows[k]
+            if x1 < other[2] and other[0] < x2 and y1 < other[3] and other[1] < y2 and test(box, other):
+                return k
+        return None
 
     def start(self, box, members) -> None:
+        self._all[len(self.rows)] = box
+        self.rows.append(box)
         self.members.append(members)
-        self._all[len(self.members) - 1] = box
 
     def put(self, k: int, box, members) -> tuple:
         """The pile's new hull."""
-        self._all[k] = hull(self._all[k], box)
+        self.rows[k] = self._all[k] = hull(self.rows[k], box)
         self.members[k] = list(dict.fromkeys([*self.members[k], *members]))
-        return tuple(self._all[k].tolist())
+        return self.rows[k]
 
     def items(self) -> list:
-        return [(tuple(b), m) for b, m in zip(self.boxes.tolist(), self.members)]
+        return list(zip(self.rows, self.members))
 
 
 def piled(items: list, place) -> list:
@@ -106,7 +116,7 @@ def merge_meeting(items: list) -> list:
     """Each box joins the first kept box it meets (relation 2), until none does."""
 
     def place(piles, box, members, _):
-        k = _first(relations(box, piles.boxes) == 2)
+        k = piles.first(box, lambda a, b: relation(a, b) == 2, lambda a, b: relations(a, b) == 2)
         if k is not None:
             piles.put(k, box, members)
         return k is not None
@@ -119,12 +129,10 @@ def merge_corners(items: list, with_contained: bool, gap=(0, 0)) -> list:
     wanted = (1, 2, -1) if with_contained else (1, 2)
 
     def place(piles, box, members, _):
-        k = _first(np.isin(relations(box, piles.boxes, gap), wanted))
-        found = k is not None
-        while k is not None:
+        found, after = False, 0
+        while (k := piles.first(box, lambda a, b: relation(a, b, gap) in wanted, lambda a, b: np.isin(relations(a, b, gap), wanted), gap, after)) is not None:
             box = piles.put(k, box, members)
-            members = piles.members[k]
-            k = _first(np.isin(relations(box, piles.boxes, gap), wanted), k + 1)
+            members, after, found = piles.members[k], k + 1, True
         return found
 
     return piled(items, place)
@@ -135,7 +143,8 @@ def merge_text(items: list, gap: int = 4, height: int = 20) -> list:
 
     def place(piles, box, members, nth):
         limit, low = (gap, height) if nth == 0 else (4, 20)
-        k = _first(on_one_line(box, piles.boxes, limit)) if box[3] - box[1] <= low else None
+        one = lambda a, b: bool(on_one_line(a, np.array([b]), limit)[0])
+        k = piles.first(box, one, lambda a, b: on_one_line(a, b, limit), (limit, 0)) if box[3] - box[1] <= low else None
         if k is not None:
             piles.put(k, box, members)
         return k is not None
@@ -143,6 +152,22 @@ def merge_text(items: list, gap: int = 4, height: int = 20) -> list:
     return piled(items, place)
 
 
+def _first_close(items: list, b: np.ndarray, free: np.ndarray, i: int, distance: int) -> int | None:
+    """The first free box behind the i-th that is close to it."""
+    if len(items) - i < Piles.FEW:
+        x1, y1, x2, y2 = items[i][0]
+        for k in range(i + 1, len(items)):
+            o = items[k][0]
+            if y1 < o[3] and o[1] < y2 and (-distance < x1 - o[2] < distance or -distance < o[0] - x2 < distance) and free[k]:
+                return k
+        return None
+    rest = b[i + 1 :]
+    rows = np.minimum(b[i, 3], rest[:, 3]) > np.maximum(b[i, 1], rest[:, 1])
+    apart = np.minimum(np.abs(b[i, 0] - rest[:, 2]), np.abs(rest[:, 0] - b[i, 2]))
+    k = _first(rows & (apart < distance) & free[i + 1 :])
+    return None if k is None else i + 1 + k
+
+
 def merge_close(items: list, distance: int = 20) -> list:
     """In rounds: in order, each box that is still free is paired with the first free close box behind it; pairs become their hulls, until there is none.
 
@@ -156,13 +181,10 @@ def merge_close(items: list, distance: int = 20) -> list:
         for i, (box, members) in enumerate(items):
             if not free[i]:
                 continue
-            rest = b[i + 1 :]
-            rows = np.minimum(b[i, 3], rest[:, 3]) > np.maximum(b[i, 1], rest[:, 1])
-            apart = np.minimum(np.abs(b[i, 0] - rest[:, 2]), np.abs(rest[:, 0] - b[i, 2]))
-            k = _first(rows & (apart < distance) & free[i + 1 :])
+            k = _first_close(items, b, free, i, distance)
             if k is not None:
-                free[i + 1 + k] = False
-                other, others = items[i + 1 + k]
+                free[k] = False
+                other, others = items[k]
                 box, members = hull(box, other), [*members, *others]
             out.append((box, members))
         if len(out) == len(items):

@@ -1,31 +1,42 @@
-"""Order-dependent merges of an image's boxes, one image at a time in Arrow batches.
+"""Order-dependent merges of an image's boxes, in Arrow batches of whole images.
 
 The merges are greedy: a box joins the first kept box that fits, and the union
 may fit boxes that its parts did not, so they are no connected components and
-can't be run in parallel inside an image.  Images are independent.
+can't be run in parallel inside an image.  Images are independent: an image is
+one row, with its boxes in order, and a batch holds many.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kernels
 
-SCHEMA = "image_id long, box_id long, x1 long, y1 long, x2 long, y2 long, members array<long>"
-_ARROW = pa.schema([(n, pa.int64()) for n in ("image_id", "box_id", "x1", "y1", "x2", "y2")] + [("members", pa.list_(pa.int64()))])
+NAMES = ("image_id", "box_id", "x1", "y1", "x2", "y2")
+SCHEMA = ", ".join(f"{n} long" for n in NAMES) + ", members array<long>"
 
 
 def _merge(boxes: DataFrame, how) -> DataFrame:
     """box_id: of the first member; members: ids of the boxes in it, sorted."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("box_id").to_pylist()
-        merged = how([((r["x1"], r["y1"], r["x2"], r["y2"]), [r["box_id"]]) for r in rows])
-        image = rows[0]["image_id"]
-        return pa.Table.from_pylist([{"image_id": image, "box_id": m[0], "x1": b[0], "y1": b[1], "x2": b[2], "y2": b[3], "members": sorted(set(m))} for b, m in merged], schema=_ARROW)
-
-    return boxes.select("image_id", "box_id", "x1", "y1", "x2", "y2").groupBy("image_id").applyInArrow(run, SCHEMA)
+    one = F.struct(*[F.col(c).cast("long").alias(c) for c in NAMES[1:]])
+    images = boxes.groupBy(F.col("image_id").cast("long").alias("image_id")).agg(F.array_sort(F.collect_list(one)).alias("boxes"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch["boxes"]
+            flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            rows = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in NAMES[1:]], axis=1)
+            image, found, members = [], [], []
+            for i, a, b in zip(batch["image_id"].to_pylist(), ends, ends[1:]):
+                for box, own in how([(tuple(r[1:]), r[:1]) for r in rows[a:b].tolist()]):
+                    image.append(i), found.append((own[0], *box)), members.append(sorted(set(own)))
+            columns = np.array(found, dtype=np.int64).reshape(-1, 5).T
+            yield pa.RecordBatch.from_arrays([pa.array(image, pa.int64()), *map(pa.array, columns), pa.array(members, pa.list_(pa.int64()))], [*NAMES, "members"])
+
+    return images.mapInArrow(run, SCHEMA)
 
 
 def merge_meeting(boxes: DataFrame) -> DataFrame:

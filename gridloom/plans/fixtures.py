@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.vectors import doubles
 
-#: Size of the images that boxes lie in; side of the rasters; vectors that the SQL's sequences hold at most.
-WIDTH, HEIGHT, SIDE, SEQUENCE = 800, 600, 32, 64
+#: Size of the images that boxes lie in; side of the rasters.
+WIDTH, HEIGHT, SIDE = 800, 600, 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +87,7 @@ def images(spark: SparkSession, sf_dir: str, scale: int = 8) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, label, pos (in the label, by vec_id), seq (the whole label; the SQL's are cut, so the same up to SEQUENCE rows a label), vec ARRAY<DOUBLE>."""
+    """vec_id, label, pos (in the label, by vec_id), seq (the whole label), vec ARRAY<DOUBLE>."""
     pos = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), doubles(F.col("embedding")).alias("vec"))
     e = e.withColumn("pos", pos.cast("long"))
@@ -115,7 +115,7 @@ frames AS (
   SELECT image_id, b.range AS box_id, k * 5 % 12 AS x1, k * 7 % 12 AS y1, k * 5 % 12 + 12 + k * 3 % 8 AS x2, k * 7 % 12 + 12 + k * 11 % 8 AS y2
   FROM (SELECT DISTINCT image_id FROM hits) i CROSS JOIN range(4) b, LATERAL (SELECT i.image_id * 4 + b.range AS k) l),
 vectors AS (
-  SELECT *, label * 1000000 + pos // {SEQUENCE} AS seq FROM (
+  SELECT *, label * 1000000 AS seq FROM (
     SELECT vec_id, CAST(label AS BIGINT) AS label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos,
            CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)),
 parts AS (SELECT vec_id, label, pos, seq, generate_subscripts(vec, 1) - 1 AS i, unnest(vec) AS x FROM vectors)

@@ -521,7 +521,7 @@ _TURN = """SELECT a.vec_id, a.i, round(a.x * cos(t.t) + CASE WHEN a.i < 32 THEN
   FROM parts a JOIN parts b ON a.vec_id = b.vec_id AND b.i = (a.i + 32) % 64 JOIN turn t ON t.vec_id = a.vec_id AND t.i = a.i"""
 
 
-@query(_TURN, "\nturn AS (SELECT vec_id, i, pos % 64 * pow(1e6::DOUBLE, -2.0::DOUBLE * (i % 32) / 64) AS t FROM parts)")
+@query(_TURN, "\nturn AS (SELECT vec_id, i, pos * pow(1e6::DOUBLE, -2.0::DOUBLE * (i % 32) / 64) AS t FROM parts)")
 def vec_rope_1d(spark, sf_dir):
     v = fx.vectors(spark, sf_dir)
     return _parts(v, vectors.rotate(F.col("vec"), vectors.angles_1d(F.col("pos"), 64, 1e6)), "vec_id")

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -112,8 +113,12 @@ def on_a_line(a, b, gap):
     return right[0] < max(left[2], 0) if right[0] < left[2] else 0 < right[0] - left[2] < gap
 
 
-@given(st.lists(box, max_size=14))
-def test_merges_against_brute_force(found):
+FEW = st.sampled_from([0, 3, 150])  # from how many boxes on they are looked at together
+
+
+@given(st.lists(box, max_size=14), FEW)
+def test_merges_against_brute_force(found, few):
+    kernels.Piles.FEW = few
     items = [(b, [k]) for k, b in enumerate(found)]
     plain = lambda merged: [(b, sorted(m)) for b, m in merged]
     assert plain(kernels.merge_meeting(items)) == greedy(found, lambda a, b, _: by_ratios(a, b) == 2)
@@ -141,12 +146,19 @@ def paired(found, distance):
         groups = out
 
 
-@given(st.lists(box, max_size=14), st.integers(1, 25))
-def test_close_merges_against_brute_force(found, distance):
+@given(st.lists(box, max_size=14), st.integers(1, 25), FEW)
+def test_close_merges_against_brute_force(found, distance, few):
+    kernels.Piles.FEW = few
     got = kernels.merge_close([(b, [k]) for k, b in enumerate(found)], distance)
     assert [(tuple(b), sorted(m)) for b, m in got] == paired(found, distance)
 
 
+@pytest.fixture(autouse=True)
+def as_usual():
+    yield
+    kernels.Piles.FEW = 150
+
+
 @given(st.lists(st.tuples(box, st.booleans()), max_size=10))
 def test_contained_against_brute_force(found):
     at, is_block = np.array([b for b, _ in found], dtype=np.int64).reshape(-1, 4), np.array([k for _, k in found], dtype=bool)
