@@ -37,7 +37,9 @@ from .memory import lean, text_batches
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words, and fragments of either kind, that a worker remembers, at most.
-REMEMBER, FRAGMENTS = 400_000, 200_000
+REMEMBER, FRAGMENTS = 200_000, 100_000
+#: Bytes of texts whose tokens are handed on together, about (a longer text goes by itself).
+TOGETHER = 2 << 20
 #: From here on words take the library's normalizer.
 COMPOSED = "\u0300"
 COMPOSED_FROM = re.compile("[\u0300-\U0010ffff]")
@@ -234,11 +236,16 @@ def _per_batch(file: str | None, keep: list[str], fields: list[tuple[str, pa.Dat
     def run(batches):
         own = codec(file)
         for batch in batches:
-            out: list[list] = [[] for _ in fields]
-            for scalar in batch["text"]:
-                for values, made in zip(out, of(own, own.pack(scalar.as_py()))):
+            first, size, out = 0, 0, [[] for _ in fields]
+            for k, scalar in enumerate(batch["text"], 1):
+                text = scalar.as_py()
+                for values, made in zip(out, of(own, own.pack(text))):
                     values.append(made)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array(v, t) for v, (_, t) in zip(out, fields))], [*keep, *(n for n, _ in fields)])
+                size += len(text or "")
+                if size >= TOGETHER or k == batch.num_rows:
+                    kept = (batch[c].slice(first, k - first) for c in keep)
+                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, t) for v, (_, t) in zip(out, fields))], [*keep, *(n for n, _ in fields)])
+                    first, size, out = k, 0, [[] for _ in fields]
 
     return lean(run, lambda: codec(file).forget())
 

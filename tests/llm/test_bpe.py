@@ -89,6 +89,11 @@ def test_frames(spark, library):
         text = library.decode(ids, skip_special_tokens=False)
         want.append((i or 0, len(ids), hashlib.sha256(b"".join(struct.pack("<I", x) for x in ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert got == sorted(want)
+    kept, bpe.TOGETHER = bpe.TOGETHER, 1
+    try:
+        assert sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(docs.coalesce(1)).collect()) == sorted(want)
+    finally:
+        bpe.TOGETHER = kept
     encoded = bpe.encode(docs, ["doc_id"]).filter("doc_id = 3").first()
     assert OWN.decode(encoded.token_ids) == encoded.decoded
     assert bpe.digests(docs.limit(0)).count() == 0
