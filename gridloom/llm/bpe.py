@@ -37,7 +37,7 @@ from .memory import lean, text_batches
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words, and fragments of either kind, that a worker remembers, at most.
-REMEMBER, FRAGMENTS = 200_000, 100_000
+REMEMBER, FRAGMENTS = 300_000, 150_000
 #: Bytes of texts whose tokens are handed on together, about (a longer text goes by itself).
 TOGETHER = 2 << 20
 #: From here on words take the library's normalizer.
