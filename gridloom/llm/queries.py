@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chunk_dedup, html, mixing, ngram_join, pii, quality, secret_scan, topk
+from . import align, ann, bpe, chunk_dedup, divergence, html, mixing, ngram_join, packing, pii, quality, secret_scan, topk
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_html_main_text": op2_html_main_text,
@@ -61,10 +73,14 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_divergence": op11_divergence,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL = {
     "op1_exact_topk": topk.SQL,
     "op5_ngram_join": ngram_join.SQL,
     "op10_mixing": mixing.SQL,
+    "op11_divergence": divergence.SQL,
 }
