@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import tempfile
 
@@ -51,3 +52,19 @@ def finite(vector: str | Column) -> Column:
     inf = float("inf")
     bad = F.exists(c, lambda x: x.isNull() | F.isnan(x) | (x == inf) | (x == -inf))
     return c.isNotNull() & ~F.coalesce(bad, F.lit(False))
+
+
+#: Columns of documents that operators use by name.
+OWN_NAMES = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def any_names(operator):
+    """An operator from docs (and more) to a frame of the same columns, made to work whatever the other columns are called."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = docs.columns
+        plain = [c if c in OWN_NAMES and names.index(c) == k else f"other{k}" for k, c in enumerate(names)]
+        return operator(docs.toDF(*plain), *args, **kwargs).toDF(*names)
+
+    return run

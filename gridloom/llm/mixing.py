@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, small
+from .common import any_names, cut, small
 
 #: Weights by the sources' order, total share of all sizes, most epochs, seed.
 WEIGHTS = (5, 2, 1)
@@ -119,6 +119,7 @@ def mix(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", "target", taken(F.col("size"), F.col("place")).alias("taken"), "source")
 
 
+@any_names
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of docs: each document as often as it is taken whole, and its first words where a repetition is a part of one."""
     names = docs.columns

@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words as w
-from .common import cut, shuffle_partitions, small
+from .common import any_names, cut, shuffle_partitions, small
 from .graph import components
 from .memory import lean, text_batches
 
@@ -510,8 +510,9 @@ def join(documents: DataFrame) -> DataFrame:
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+@any_names
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs, with all columns, less all but the least document of each component; of rows with one doc_id one stays, those without doc_id all do."""
+    """docs, with all columns, less all but the least document of each component; of rows with one doc_id the first by content stays, those without doc_id all do."""
     found = cut(join(docs))
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
     gone = cut(gone)
@@ -519,7 +520,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     repeated = cut(found.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__again")).count().filter("count > 1").select("__again"))
     if n := repeated.count():
         repeated = small(repeated, n, IDS_BROADCAST)
-        once = kept.join(repeated, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
+        row = F.struct(*[F.col(c) for c in docs.columns])
+        once = kept.join(repeated, F.col("doc_id") == F.col("__again"), "left_semi").groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
         kept = kept.join(repeated, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(once)
     return kept
 

@@ -15,7 +15,8 @@ decides: candidates to which it gives SURE or more are added as spans, whatever
 their votes were; base spans always stay.
 
 Spans come from the pieces that a split leaves and the matches it drops, so no
-Python ever sees a text; the text is read once, its candidates checkpointed.
+Python ever sees a text; the text is read once, its candidates checkpointed and
+taken row by row, so time grows with a text's length and its spans' number.
 
 Defined cases: null and empty texts have no spans and the digest of ""; texts
 are searched whole; a null doc_id stays null; there is one row per row; rows
@@ -26,15 +27,16 @@ kind's is kept; other columns don't matter; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Fixed patterns.  A match of the base patterns begins where the run it begins with does, or where the last match ended.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Fixed patterns.  Groups repeat possessively, or a few times at most: Java takes other repeated groups by recursion, which long texts overflow.  A match of the base patterns begins where the run it begins with does, or where the last match ended.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
@@ -76,22 +78,43 @@ AGAINST = "version isbn order invoice build figure section chapter page issue se
 #: Candidates with such a probability, at least, are added; rounds of expectation-maximisation.
 SURE, ROUNDS = 0.9, 30
 CONTEXT = 32
+#: Matches of a text that are placed together; a text of very many is placed block by block.
+BLOCK = 512
 
 
-def spans(text: Column, pattern: str, kind: str) -> Column:
-    """array<struct<kind, start, end, what>> of the matches of a pattern, in code points."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda s: F.length(s).cast("long"))
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,what:string>>")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
+SPANS = "array<struct<kind:string,start:bigint,end:bigint,what:string,before:string>>"
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<gap, what>>: the matches of a pattern, and what lies between each and the one before."""
+    what = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(what)), what, lambda g, m: F.struct(g.alias("gap"), m.alias("what")))
+
+
+def spans(found: Column, kind: str) -> Column:
+    """array<struct<kind, start, end, what, before>> of matches, in code points; before: the CONTEXT code points before each."""
+    none = F.array().cast(SPANS)
+    size = lambda x: F.length(x).cast("long")
+    tail = lambda *x: F.right(F.concat(*x), F.lit(CONTEXT))
 
     def step(state, x):
-        start = state["at"] + x["gap"]
-        end = start + F.length(x["what"]).cast("long")
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["what"].alias("what"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(one)).alias("spans"))
+        start, before = state["at"] + size(x["gap"]), tail(state["tail"], x["gap"])
+        end = start + size(x["what"])
+        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["what"].alias("what"), F.lower(before).alias("before"))
+        return F.struct(end.alias("at"), tail(before, x["what"]).alias("tail"), F.concat(state["spans"], F.array(one)).alias("spans"))
+
+    def place(found, at):
+        return F.aggregate(found, F.struct(at["at"].alias("at"), at["tail"].alias("tail"), none.alias("spans")), step, lambda s: s["spans"])
 
-    return F.aggregate(F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("what"))), zero, step, lambda s: s["spans"])
+    def over(state, found):
+        """Where the next block begins, and what stands before it."""
+        ends = F.aggregate(found, F.struct(state["at"].alias("at"), state["tail"].alias("tail")), lambda s, x: F.struct((s["at"] + size(x["gap"]) + size(x["what"])).alias("at"), tail(s["tail"], x["gap"], x["what"]).alias("tail")))
+        return F.struct(ends["at"].alias("at"), ends["tail"].alias("tail"), F.concat(state["all"], F.array(F.struct(state["at"].alias("at"), state["tail"].alias("tail")))).alias("all"))
+
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"))
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(BLOCK)), lambda i: F.slice(found, i, F.lit(BLOCK)))
+    starts = F.aggregate(blocks, F.struct(first["at"].alias("at"), first["tail"].alias("tail"), F.array().cast("array<struct<at:bigint,tail:string>>").alias("all")), over, lambda s: s["all"])
+    return F.flatten(F.zip_with(blocks, starts, place))
 
 
 def digits(x: Column) -> Column:
@@ -118,33 +141,41 @@ def valid(span: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, base (spans that always stay), more (matches that the base rules drop, and looser ones), for each document."""
+    """row (a number of its own), doc_id, all (matches of the base patterns, with `base` where they are base spans, and looser ones), for each document."""
     text = F.col("text")
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,what:string>>")
-    if_any = lambda test, pattern, kind: F.when(test, spans(text, pattern, kind)).otherwise(none)
+    if_any = lambda test, pattern: F.when(test, matches(text, pattern)).otherwise(F.array().cast("array<struct<gap:string,what:string>>"))
     like = lambda pattern: F.regexp_like(text, F.lit(pattern))
     found = {
-        "email": if_any(F.contains(text, F.lit("@")), EMAIL, "email"),
-        "ip": if_any(like(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), IP, "ip"),
-        "card": if_any(like(r"[0-9](?:[\x20-]?[0-9]){13}"), CARD, "card"),
-        "phone": if_any(like(r"\+[0-9]"), PHONE, "phone"),
-        "id": if_any(like(r"[0-9]-[0-9]{2}-[0-9]"), IDS, "id"),
-        "number": if_any(like(r"[0-9][.-][0-9]{4}"), NUMBERS, "number"),
-        "address": if_any(like(r":[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}:"), ADDRESSES, "address"),
-        "name": if_any(like(rf"(?:{CAPITAL}|\.)\x20{CAPITAL}"), NAMES, "name"),
-        "street": if_any(like(rf"[0-9]\x20{CAPITAL}\x20{CAPITAL}"), STREET, "street"),
+        "email": if_any(F.contains(text, F.lit("@")), EMAIL),
+        "ip": if_any(like(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), IP),
+        "card": if_any(like(r"[0-9](?:[\x20-]?[0-9]){13}"), CARD),
+        "phone": if_any(like(r"\+[0-9]"), PHONE),
+        "id": if_any(like(r"[0-9]-[0-9]{2}-[0-9]"), IDS),
+        "number": if_any(like(r"[0-9][.-][0-9]{4}"), NUMBERS),
+        "address": if_any(like(r":[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}:"), ADDRESSES),
+        "name": if_any(like(rf"(?:{CAPITAL}|\.)\x20{CAPITAL}"), NAMES),
+        "street": if_any(like(rf"[0-9]\x20{CAPITAL}\x20{CAPITAL}"), STREET),
     }
-    array = "array<struct<kind:string,start:bigint,end:bigint,what:string,base:boolean,before:string,company:boolean>>"
-    before = lambda s: F.lower(F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(CONTEXT)).cast("int")))
-    with_base = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["what"].alias("what"), valid(s).alias("base"))
-    rows = docs.select("doc_id", F.transform(F.concat(*[F.coalesce(found[k], none) for k in KINDS]), with_base).alias("all"), text)
-    base = F.filter("all", lambda s: s["base"])
-    meets = lambda s: F.exists(F.filter("all", lambda o: o["base"]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    free = F.filter("all", lambda s: ~s["kind"].isin(*ADDED) | ~meets(s))
-    loose = F.exists("all", lambda s: s["kind"].isin(*ADDED))
-    rows = rows.select("doc_id", F.when(loose, free).otherwise(F.col("all")).alias("all"), F.size(base).alias("n_base"), "text")
-    described = F.transform("all", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "what", "base")], before(s).alias("before"), (F.col("n_base") > s["base"].cast("int")).alias("company")))
-    return rows.select("doc_id", F.when(F.size("all") > 0, described).otherwise(F.array().cast(array)).alias("all"))
+    with_base = lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "what", "before")], valid(s).alias("base"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *[found[k].alias(k) for k in KINDS])  # by itself, so that a pattern is looked for once
+    rows = rows.select("row", "doc_id", F.concat(*[F.when(F.size(k) > 0, spans(F.col(k), k)).otherwise(F.array().cast(SPANS)) for k in KINDS]).alias("all"))
+    return rows.select("row", "doc_id", F.transform("all", with_base).alias("all"))
+
+
+def meeting(which: Column) -> Column:
+    """Does a span meet another of its row for which `which` holds?  Either one that begins before it and ends within or after it, or one that begins within it."""
+    order = Window.partitionBy("row").orderBy("start")
+    last_end = F.max(F.when(which, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    next_start = F.min(F.when(which, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    return F.coalesce(last_end > F.col("start"), F.lit(False)) | F.coalesce(next_start < F.col("end"), F.lit(False))
+
+
+def described(found: DataFrame) -> DataFrame:
+    """row, kind, start, end, what, before, base, company of each candidate; looser ones that meet a base span are none."""
+    each = found.filter(F.size("all") > 0).select("row", F.inline("all"))
+    n_base = F.sum(F.col("base").cast("int")).over(Window.partitionBy("row"))
+    each = each.withColumns({"meets": meeting(F.col("base")), "company": n_base > F.col("base").cast("int")})
+    return each.filter(~(F.col("kind").isin(*ADDED) & F.col("meets"))).drop("meets")
 
 
 def words_of(names: str) -> str:
@@ -255,12 +286,13 @@ def features(s: Column) -> dict[str, Column]:
 def find(docs: DataFrame, sure_from: float = SURE) -> DataFrame:
     """doc_id, spans array<struct<kind, start, end, base>> by start and kind, for each document."""
     found = cut(candidates(docs))
-    each = found.select(F.explode("all").alias("s"))
-    v = votes(F.col("s"))
-    f = features(F.col("s"))
+    each = cut(described(found))
+    span = F.struct(*[c for c in each.columns if c != "row"])
+    v = votes(span)
+    f = features(span)
     # bounded: kinds times vote patterns times feature values of a few characters, counted before they move
-    patterns = each.select(F.col("s.kind").alias("kind"), *[c.alias(f"v{i}") for i, c in enumerate(v)], *[c.alias(f"f_{n}") for n, c in f.items()])
-    counted = patterns.groupBy(*patterns.columns).count()
+    patterns = each.select("kind", *[c.alias(f"v{i}") for i, c in enumerate(v)], *[c.alias(f"f_{n}") for n, c in f.items()])
+    counted = cut(patterns.groupBy(*patterns.columns).count())
     named = [f"v{i}" for i in range(len(v))]
     by_votes = [(r["kind"], tuple(r[n] for n in named), r["n"]) for r in counted.groupBy("kind", *named).agg(F.sum("count").alias("n")).collect()]
     sure = reliabilities(by_votes)
@@ -278,23 +310,21 @@ def find(docs: DataFrame, sure_from: float = SURE) -> DataFrame:
     total_no = sum(n * (1 - sure[k, x]) for k, x, n in by_votes)
     bias = math.log((total_yes + 1) / (total_no + 1))
 
-    def chance(s: Column) -> Column:
-        odds = F.lit(bias)
-        for name, column in features(s).items():
-            known = F.create_map(*[F.lit(x) for pair in sorted(log_odds.get(name, {}).items()) for x in pair]) if log_odds.get(name) else None
-            if known is not None:
-                odds = odds + F.coalesce(F.try_element_at(known, column), F.lit(0.0))
-        return 1 / (1 + F.exp(-odds))
-
-    # a dropped match of a base pattern stays dropped; of the looser candidates those that the classifier trusts, one of those that meet
-    trusted = F.filter("all", lambda s: s["kind"].isin(*ADDED) & (chance(s) >= sure_from))
-    rows = found.withColumn("base", F.filter("all", lambda s: s["base"]))
-    rows = rows.withColumn("more", F.when(F.exists("all", lambda s: s["kind"].isin(*ADDED)), trusted).otherwise(F.filter("all", lambda s: F.lit(False))))
-    ahead = lambda s, i: F.exists(F.slice("more", 1, i), lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
-    rows = rows.withColumn("more", F.filter("more", lambda s, i: ~ahead(s, i)))
-    nth = lambda kind: F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind)
-    sortable = F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), nth(s["kind"]).alias("nth"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base")))
-    return rows.select("doc_id", F.transform(F.array_sort(sortable), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))).alias("spans"))
+    odds = F.lit(bias)
+    for name, column in f.items():
+        if log_odds.get(name):
+            known = F.create_map(*[F.lit(x) for pair in sorted(log_odds[name].items()) for x in pair])
+            odds = odds + F.coalesce(F.try_element_at(known, column), F.lit(0.0))
+    # a dropped match of a base pattern stays dropped; of the looser candidates those that the classifier trusts, of those that meet the earlier kind's
+    more = each.filter(F.col("kind").isin(*ADDED)).filter(1 / (1 + F.exp(-odds)) >= sure_from).select("row", "kind", "start", "end", "base")
+    meets = [(F.col("kind").isin(*ADDED[k + 1 :]) & meeting(F.col("kind") == kind)) for k, kind in enumerate(ADDED[:-1])]
+    more = more.withColumn("meets", functools.reduce(lambda x, y: x | y, meets)).filter(~F.col("meets")).drop("meets")
+    kept = each.filter("base").select(*more.columns).unionByName(more)
+    nth = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    sortable = F.array_sort(F.collect_list(F.struct("start", nth.alias("nth"), "end", "kind", "base")))
+    spans_of = kept.groupBy(F.col("row").alias("of")).agg(F.transform(sortable, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))).alias("spans"))
+    rows = found.select("row", "doc_id").join(spans_of, F.col("row") == F.col("of"), "left")
+    return rows.select("doc_id", F.coalesce("spans", F.array().cast("array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")).alias("spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:

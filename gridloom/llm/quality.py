@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
+from .common import any_names
 from .memory import lean, text_batches
 
 PASSAGE = 32
@@ -175,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     text_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("id", F.col("label").cast("int").alias("label"), "text")
-    found = rows.mapInArrow(lean(run), "id long, label int, bag binary").dropDuplicates(["id"]).toArrow().sort_by("id")
+    found = rows.mapInArrow(lean(run), "id long, label int, bag binary").groupBy("id").agg(F.min(F.struct("label", "bag")).alias("x")).select("id", "x.label", "x.bag").toArrow().sort_by("id")
     bags = [np.frombuffer(b, np.float16).reshape(-1, FEATURES).astype(np.float32) for b in found["bag"].to_pylist()]
     return fit(bags, found["label"].to_numpy())
 
@@ -204,6 +205,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+@any_names
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, whose score reaches the threshold."""
     of = _scored(model)

@@ -27,6 +27,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import any_names
 from .memory import lean, text_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -168,6 +169,7 @@ def report(docs: DataFrame) -> DataFrame:
     return scan(docs).select("doc_id", *map(count, KINDS[:-1]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count(KINDS[-1]))
 
 
+@any_names
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each secret in text replaced by a mark, overlapping ones by one; all columns stay, n_chars follows the text."""
 

@@ -6,6 +6,8 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from pyspark.sql.types import StringType, StructField, StructType
+
 from gridloom.llm import bpe, mixing, ngram_join, quality, secret_scan
 from gridloom.llm import words as w
 
@@ -294,6 +296,26 @@ def odd_rows():
     return rows + [rows[3], rows[3], (None, "no id at all here", None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Names with dots and spaces, and those that the operators use for themselves, come through with their values."""
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    names = ["a.b", "__size", "__take", "__gone", "__again", "__copies", "__part", "__whole", "__source", "component", "other7", "s", "a b", "x`y", "place", "size", "id", "node"]
+    rows = [(*r[:5], *(f"{r[0]}/{n}" for n in names)) for r in odd_rows()]
+    schema = StructType([*spark.createDataFrame([], ODD_DOCS).schema.fields[:5], *(StructField(n, StringType()) for n in names)])
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.names == docs.schema.names
+        for r in out.collect():
+            assert list(r)[5:] == [f"{r[0]}/{n}" for n in names]
+
+
+def test_of_rows_with_one_id_the_same_one_stays(spark):
+    rows = [(i % 4, f"text number {k} is here", "en", "a", k) for k, i in enumerate(range(40))]
+    kept = {tuple(sorted(tuple(r) for r in ngram_join.one_of_each(spark.createDataFrame(rows, DOCS).repartition(n)).collect())) for n in (1, 3, 7)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 4
+
+
 ODD_DOCS = "doc_id long, text string, lang string, source string, n_chars long, component string, score double, size long"
 
 

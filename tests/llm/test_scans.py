@@ -166,3 +166,20 @@ def test_random_letters_are_found(letters, least):
         assert sum([("random", 4, 4 + size) in secret_scan.spans(f"key {x} end") for x in runs]) >= least * 300
     for x in ("Donaudampfschifffahrtsgesellschaft", "internationalization", "RESPONSIBILITIES", "uncharacteristically"):
         assert not secret_scan.is_random(x)
+
+
+def test_pii_of_very_long_texts(spark):
+    """A million labels, and long runs of digits and marks, are looked through without recursion; thousands of spans are placed in blocks."""
+    long = ["a@" + "b." * 1_000_000 + "com", "a@" * 10_000, "1." * 10_000, "1-" * 30_000, "+1 (" + "2." * 10_000, "4" * 100_000, "x" * 1_000_000 + "@" + "y" * 100_000, "+" * 300_000, "Dr. " * 5_000]
+    many = "".join(f"{k} u{k}@host.org, " for k in range(3 * pii.BLOCK + 5))
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(list(enumerate([*long, many])), "doc_id long, text string")).collect()}
+    assert got[0].spans == f"email:0:{len(long[0])}" and got[6].n_email == 0
+    at, spans = 0, []
+    for k in range(3 * pii.BLOCK + 5):
+        at += len(f"{k} ")
+        spans.append(f"email:{at}:{at + len(f'u{k}@host.org')}")
+        at += len(f"u{k}@host.org, ")
+    assert [s for s in got[len(long)].spans.split(",") if s.startswith("email")] == spans
+    for k, text in enumerate(long[1:], 1):
+        want = [] if text.isdigit() else base_pii(text)  # which would take the digits from each on
+        assert got[k].base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest()
