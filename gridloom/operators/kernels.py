@@ -506,3 +506,33 @@ def attention_in_blocks(q: np.ndarray, k: np.ndarray, v: np.ndarray, mask_mode:
             total, mixed, top = total * kept + shares.sum(axis=-1, keepdims=True), mixed * kept + shares @ values, higher
         out[:, a:b] = mixed / total
     return out
+
+
+def attention_part(q: np.ndarray, k: np.ndarray, v: np.ndarray, q_pos: np.ndarray, k_pos: np.ndarray, mask_mode: str = "causal", block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What some keys give some queries (heads, positions, numbers): the greatest score, the sum of exp(score - greatest) and the values so weighted.
+
+    A query that sees none of the keys has -inf, 0 and 0.
+    """
+    group = q.shape[0] // k.shape[0]
+    found = None
+    for c in range(0, k.shape[1], block):
+        keys, values = (np.repeat(x[:, c : c + block], group, axis=0) for x in (k, v))
+        scores = q @ keys.transpose(0, 2, 1) / math.sqrt(q.shape[-1])
+        below = k_pos[c : c + block] <= q_pos[:, None]
+        if mask_mode == "additive":
+            scores = scores + below
+        elif mask_mode == "causal":
+            scores = np.where(below, scores, -np.inf)
+        top = scores.max(axis=-1, keepdims=True)
+        shares = np.exp(scores - np.where(np.isfinite(top), top, 0.0))
+        part = [top, shares.sum(axis=-1, keepdims=True), shares @ values]
+        found = part if found is None else merge_parts(found, part)
+    return tuple(found)
+
+
+def merge_parts(a, b):
+    """Two results of attention_part for the same queries as one."""
+    top = np.maximum(a[0], b[0])
+    safe = np.where(np.isfinite(top), top, 0.0)
+    x, y = np.exp(a[0] - safe), np.exp(b[0] - safe)
+    return [top, a[1] * x + b[1] * y, a[2] * x + b[2] * y]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import boxes, kernels, merging, models, pixels, regions
+from ..operators import boxes, kernels, merging, models, pixels, regions, tiled
 from ..operators import vectors as sequences
 from ..sources import images, results
 from . import detect, embed
@@ -601,6 +601,12 @@ def attn_gqa(spark, sf_dir):
     return _parts(sequences.attention(fx.vectors(spark, sf_dir), 4, 2), F.col("out"), "seq", "pos", "head")
 
 
+@query(_OUT, _attention_sql(2))
+def attn_spread(spark, sf_dir):
+    """attn_gqa with each sequence over many tasks: a task per block of queries and chunk of keys, whose results merge."""
+    return _parts(sequences.attention(fx.vectors(spark, sf_dir), 4, 2, spread_from=32, query_block=16, key_chunk=48), F.col("out"), "seq", "pos", "head")
+
+
 @query(
     """SELECT v.label AS image_id, v.vec_id AS box_idx, CAST(s.range AS INTEGER) AS slot, CASE s.range WHEN 0 THEN v.vec_id WHEN 1 THEN e.lo ELSE e.hi END AS source
     FROM vectors v JOIN (SELECT label, MIN(vec_id) AS lo, MAX(vec_id) AS hi FROM vectors GROUP BY ALL) e USING (label) CROSS JOIN range(3) s""",
@@ -723,6 +729,13 @@ def fuser_forward(spark, sf_dir):
     return _parts(models.fuse_triples(t), F.col("vec"), "image_id", "box_idx")
 
 
+@query("SELECT s // 1000000000 AS image_id, s % 1000000000 AS box_idx, i, round(x, 6) + 0.0 AS y FROM fused WHERE t = 2", _TRIPLES + _fuser_sql("fused", "triples", 2))
+def fuser_tiled(spark, sf_dir):
+    """The fuser with its matrices as rows of tiles that are smaller than any of them and don't meet its heads."""
+    t = _triples(spark, sf_dir).select("image_id", "box_idx", "slot", F.col("vec.x").alias("vec"))
+    return _parts(tiled.fuse_triples(t, tile=24), F.col("vec"), "image_id", "box_idx")
+
+
 _IMAGES = """
 patches AS MATERIALIZED (SELECT image_id AS s, y // 8 * 4 + x // 8 AS t, y % 8 * 8 + x % 8 AS i, CAST(v AS DOUBLE) AS x FROM raster),
 corners AS MATERIALIZED (SELECT image_id AS s, box_id + 1 AS n, least(x1 / 32.0::DOUBLE, 1) AS x1, least(y1 / 32.0::DOUBLE, 1) AS y1, least(x2 / 32.0::DOUBLE, 1) AS x2, least(y2 / 32.0::DOUBLE, 1) AS y2 FROM frames),
