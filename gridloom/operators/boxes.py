@@ -1,9 +1,11 @@
 """Joins, filters and updates of box tables (image_id, box_id, x1, y1, x2, y2).
 
-Pairs are found within an image over grid cells: a box is sent to the cells
-that it touches, and a pair is made in one cell only, that of its common
-corner.  So an image with very many boxes costs what its overlaps cost, not
-the square of its boxes, and needs no distinct.
+Pairs are found within an image over grids of several cell sizes.  A box lives
+on the finest grid whose cells are as large as it, in four cells at most, and
+looks for larger boxes on all coarser ones.  A pair is made on the grid of its
+larger box, in the one cell that holds its common corner.  So images with very
+many boxes, of whatever sizes, cost what their overlaps cost, and need no
+distinct.
 """
 
 from __future__ import annotations
@@ -14,28 +16,40 @@ from pyspark.sql.window import Window
 
 from ..functions.geometry import APART, HOLDS, IN, Box, close, relation, relation_strict, union_box
 
-CELL = 64
+#: Cells of the grids: 2**n a side; still larger boxes are on a last grid of one cell for each sign of a coordinate.
+LEVELS = (6, 8, 10, 12, 14, 16, 62)
 SIDES = ("x1", "y1", "x2", "y2")
 
 
-def _cells(boxes: DataFrame, extra: list[str], reach: tuple[int, int], cell: int) -> DataFrame:
-    """A row for each cell that a box, moved out by half the reach, touches, dealt by image and cell."""
+def _cells(boxes: DataFrame, extra: list[str], reach: tuple[int, int], levels: tuple[int, ...]) -> DataFrame:
+    """A row for each cell that a box, moved out by the reach, touches on its own grid (at_home) and on coarser ones, dealt by image and cell."""
     x = boxes.select("image_id", "box_id", *SIDES, *extra)
-    span = lambda lo, hi, r: F.sequence(F.floor((F.col(lo) - r) / cell), F.floor((F.col(hi) + r) / cell))
+    side = F.greatest(F.col("x2") - F.col("x1") + 2 * reach[0], F.col("y2") - F.col("y1") + 2 * reach[1])
+    own = F.lit(levels[-1])
+    for level in reversed(levels[:-1]):
+        own = F.when(side <= 1 << level, level).otherwise(own)
+    x = x.withColumn("own", own).withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda n: n >= F.col("own"))))
+    size = F.pow(F.lit(2.0), F.col("level"))
+    span = lambda lo, hi, r: F.sequence(F.floor((F.col(lo) - r) / size), F.floor((F.col(hi) + r) / size))
     x = x.withColumn("cx", F.explode(span("x1", "x2", reach[0]))).withColumn("cy", F.explode(span("y1", "y2", reach[1])))
-    return x.repartition("image_id", "cx", "cy")  # both sides of a join take it from here, so it is made once
+    x = x.withColumn("at_home", F.col("level") == F.col("own")).drop("own")
+    return x.repartition("image_id", "level", "cx", "cy")  # both sides of a join take it from here, so it is made once
 
 
-def near_pairs(boxes: DataFrame, reach: tuple[int, int] = (0, 0), extra: list[str] = (), cell: int = CELL) -> DataFrame:
+def near_pairs(boxes: DataFrame, reach: tuple[int, int] = (0, 0), extra: list[str] = (), levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """Each pair a_box_id < b_box_id of an image whose boxes, moved out by `reach` on all sides, have a common point."""
-    cells = _cells(boxes, list(extra), reach, cell)
-    a, b = (cells.select("image_id", "cx", "cy", *[F.col(c).alias(p + c) for c in ("box_id", *SIDES, *extra)]) for p in ("a_", "b_"))
-    pairs = a.join(b, ["image_id", "cx", "cy"]).filter(F.col("a_box_id") < F.col("b_box_id"))
-    left = F.greatest("a_x1", "b_x1") - reach[0]
-    top = F.greatest("a_y1", "b_y1") - reach[1]
+    cells, at = _cells(boxes, list(extra), reach, levels), ["image_id", "level", "cx", "cy"]
+    size = F.pow(F.lit(2.0), F.col("level"))
+    left, top = F.greatest("a_x1", "b_x1") - reach[0], F.greatest("a_y1", "b_y1") - reach[1]
     common = (left <= F.least("a_x2", "b_x2") + reach[0]) & (top <= F.least("a_y2", "b_y2") + reach[1])
-    own = (F.floor(left / cell) == F.col("cx")) & (F.floor(top / cell) == F.col("cy"))
-    return pairs.filter(common & own).drop("cx", "cy")
+    here = (F.floor(left / size) == F.col("cx")) & (F.floor(top / size) == F.col("cy"))
+
+    def met(of_a: DataFrame, of_b: DataFrame) -> DataFrame:
+        a, b = (x.select(*at, *[F.col(c).alias(p + c) for c in ("box_id", *SIDES, *extra)]) for p, x in (("a_", of_a), ("b_", of_b)))
+        return a.join(b, at).filter((F.col("a_box_id") < F.col("b_box_id")) & common & here).drop("level", "cx", "cy")
+
+    # the larger box, or one of two of a grid, is at home; both may be in either place
+    return met(cells, cells.filter("at_home")).unionByName(met(cells.filter("at_home"), cells.filter("NOT at_home")))
 
 
 def related_pairs(boxes: DataFrame, bias: tuple[int, int] = (0, 0), extra: list[str] = ()) -> DataFrame:

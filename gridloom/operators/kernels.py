@@ -6,6 +6,8 @@ plans.detect chains them on whole images.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 
 import numpy as np
@@ -65,34 +67,96 @@ def _first(hits: np.ndarray, after: int = 0) -> int | None:
     return after + int(found[0]) if len(found) else None
 
 
+class OrderedGrid:
+    """Numbered boxes that come, grow and go; finds those that overlap a box in the order of their numbers.
+
+    A box is in the four cells, at most, that it touches on the grid whose
+    cells are the least power of two as large as it; a cell holds its numbers
+    in order.
+    """
+
+    def __init__(self):
+        self.levels: dict[int, dict[tuple[int, int], list[int]]] = {}
+        self.places: dict[int, tuple[int, list[tuple[int, int]]]] = {}
+
+    @staticmethod
+    def _cells(box, level: int):
+        return range(box[0] >> level, (box[2] >> level) + 1), range(box[1] >> level, (box[3] >> level) + 1)
+
+    def put(self, k: int, box) -> None:
+        """Number k is this box from now on."""
+        level = max(box[2] - box[0], box[3] - box[1], 1).bit_length()
+        columns, rows = self._cells(box, level)
+        cells = [(x, y) for x in columns for y in rows]
+        if self.places.get(k) == (level, cells):
+            return
+        self.take(k)
+        grid = self.levels.setdefault(level, {})
+        for cell in cells:
+            bisect.insort(grid.setdefault(cell, []), k)
+        self.places[k] = level, cells
+
+    def take(self, k: int) -> None:
+        """Number k goes."""
+        level, cells = self.places.pop(k, (0, ()))
+        for cell in cells:
+            numbers = self.levels[level][cell]
+            numbers.remove(k)
+            if not numbers:
+                del self.levels[level][cell]
+
+    def near(self, box, after: int = 0) -> list[int]:
+        """Numbers from `after` on, in order, of the boxes in cells that this one touches."""
+        found: set[int] = set()
+        for level, grid in self.levels.items():
+            columns, rows = self._cells(box, level)
+            if len(columns) * len(rows) <= len(grid):
+                cells = (grid[c] for c in itertools.product(columns, rows) if c in grid)
+            else:
+                cells = (numbers for (x, y), numbers in grid.items() if x in columns and y in rows)
+            for numbers in cells:
+                found.update(numbers[bisect.bisect_left(numbers, after) :])
+        return sorted(found)
+
+
 class Piles:
-    """Boxes in order, each the hull of the items put on it; few are looked at one by one, many at once."""
+    """Boxes in order, each the hull of the items put on it; few are looked at one by one, of many those near on a grid."""
 
     FEW = 150
 
     def __init__(self, most: int):
         self._all, self.rows, self.members = np.zeros((most, 4), np.int64), [], []
+        self.grid = OrderedGrid() if most >= self.FEW else None
 
     def first(self, box, test, tests, reach=(0, 0), after: int = 0) -> int | None:
         """The first pile from `after` on that passes test(box, pile), of those that overlap the box by more than -2 * reach; tests(box, piles) is the same for an array."""
-        if len(self.rows) >= self.FEW:
-            return _first(tests(box, self._all[: len(self.rows)]), after)
         x1, y1, x2, y2 = box[0] - 2 * reach[0], box[1] - 2 * reach[1], box[2] + 2 * reach[0], box[3] + 2 * reach[1]
-        for k in range(after, len(self.rows)):
+        near = range(after, len(self.rows))
+        if len(self.rows) >= self.FEW:
+            near = self.grid.near((x1, y1, x2, y2), after)
+            if len(near) >= self.FEW:
+                k = _first(tests(box, self._all[near]))
+                return None if k is None else near[k]
+        for k in near:
             other = self.rows[k]
             if x1 < other[2] and other[0] < x2 and y1 < other[3] and other[1] < y2 and test(box, other):
                 return k
         return None
 
     def start(self, box, members) -> None:
-        self._all[len(self.rows)] = box
+        k = len(self.rows)
+        self._all[k] = box
         self.rows.append(box)
         self.members.append(members)
+        if self.grid is not None:
+            self.grid.put(k, box)
 
     def put(self, k: int, box, members) -> tuple:
         """The pile's new hull."""
         self.rows[k] = self._all[k] = hull(self.rows[k], box)
         self.members[k] = list(dict.fromkeys([*self.members[k], *members]))
+        if self.grid is not None:
+            self.grid.put(k, self.rows[k])
         return self.rows[k]
 
     def items(self) -> list:
@@ -152,38 +216,39 @@ def merge_text(items: list, gap: int = 4, height: int = 20) -> list:
     return piled(items, place)
 
 
-def _first_close(items: list, b: np.ndarray, free: np.ndarray, i: int, distance: int) -> int | None:
-    """The first free box behind the i-th that is close to it."""
-    if len(items) - i < Piles.FEW:
-        x1, y1, x2, y2 = items[i][0]
-        for k in range(i + 1, len(items)):
-            o = items[k][0]
-            if y1 < o[3] and o[1] < y2 and (-distance < x1 - o[2] < distance or -distance < o[0] - x2 < distance) and free[k]:
-                return k
-        return None
-    rest = b[i + 1 :]
-    rows = np.minimum(b[i, 3], rest[:, 3]) > np.maximum(b[i, 1], rest[:, 1])
-    apart = np.minimum(np.abs(b[i, 0] - rest[:, 2]), np.abs(rest[:, 0] - b[i, 2]))
-    k = _first(rows & (apart < distance) & free[i + 1 :])
-    return None if k is None else i + 1 + k
+def _first_close(items: list, near, free: np.ndarray, i: int, distance: int) -> int | None:
+    """The first free box behind the i-th that is close to it, out of the numbers `near`."""
+    x1, y1, x2, y2 = items[i][0]
+    for k in near:
+        o = items[k][0]
+        if y1 < o[3] and o[1] < y2 and (-distance < x1 - o[2] < distance or -distance < o[0] - x2 < distance) and free[k]:
+            return k
+    return None
 
 
 def merge_close(items: list, distance: int = 20) -> list:
     """In rounds: in order, each box that is still free is paired with the first free close box behind it; pairs become their hulls, until there is none.
 
     A hull is compared in the next round only, so a round is a matching on the
-    graph of close pairs among the boxes as the round finds them.
+    graph of close pairs among the boxes as the round finds them; of many boxes
+    a grid holds those that are free.
     """
     while True:
-        b = np.array([box for box, _ in items], dtype=np.int64).reshape(-1, 4)
-        free = np.ones(len(b), bool)
+        free = np.ones(len(items), bool)
+        grid = OrderedGrid() if len(items) >= Piles.FEW else None
+        if grid is not None:
+            for i, (box, _) in enumerate(items):
+                grid.put(i, box)
         out = []
         for i, (box, members) in enumerate(items):
             if not free[i]:
                 continue
-            k = _first_close(items, b, free, i, distance)
+            near = range(i + 1, len(items)) if grid is None else grid.near((box[0] - distance, box[1], box[2] + distance, box[3]), i + 1)
+            k = _first_close(items, near, free, i, distance)
             if k is not None:
                 free[k] = False
+                if grid is not None:
+                    grid.take(k)
                 other, others = items[k]
                 box, members = hull(box, other), [*members, *others]
             out.append((box, members))

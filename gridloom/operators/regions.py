@@ -1,7 +1,6 @@
 """Connected regions of pixel tables, and what is measured on them.
 
-Labelling runs per image in Arrow batches (an image is a bounded unit and its
-steps are sequential); all measures are aggregations over (image_id, comp).
+Labelling runs per image, or per tile of it, in Arrow batches; all measures are aggregations over (image_id, comp).
 """
 
 from __future__ import annotations
@@ -11,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from . import kernels
+from .unions import components
 
 _LABELS = pa.schema([(n, pa.int64()) for n in ("image_id", "y", "x", "v", "comp")])
 
 
-def label(pixels: DataFrame, tolerance: int = 0, stride: int = 1 << 20) -> DataFrame:
-    """pixels with comp: 4-connected regions whose neighbours differ by the tolerance at most; comp is y * stride + x of the region's first pixel."""
+def _labelled(groups, tolerance: int, stride: int) -> DataFrame:
+    """The pixels of each group with the label of their region in it."""
 
     def run(table: pa.Table) -> pa.Table:
         y, x, v = (table[c].to_numpy() for c in ("y", "x", "v"))
@@ -29,8 +30,32 @@ def label(pixels: DataFrame, tolerance: int = 0, stride: int = 1 << 20) -> DataF
         comp = (root // shape[1] + y0) * stride + root % shape[1] + x0
         return pa.table([table["image_id"], table["y"], table["x"], table["v"], pa.array(comp, pa.int64())], schema=_LABELS)
 
+    return groups.applyInArrow(run, "image_id long, y long, x long, v long, comp long")
+
+
+def label(pixels: DataFrame, tolerance: int = 0, stride: int = 1 << 20) -> DataFrame:
+    """pixels with comp: 4-connected regions whose neighbours differ by the tolerance at most; comp is y * stride + x of the region's first pixel."""
+    whole = [F.col(c).cast("long").alias(c) for c in ("image_id", "y", "x", "v")]
+    return _labelled(pixels.select(*whole).groupBy("image_id"), tolerance, stride)
+
+
+def label_tiles(pixels: DataFrame, tolerance: int = 0, stride: int = 1 << 20, tile: int = 1024) -> DataFrame:
+    """label() for images of any size: each tile x tile square is labelled on its own, and labels that meet across a border are united.
+
+    A task holds a tile; borders, and the labels on them, are joined and united
+    as rows.  A pixel finds its region by its tile's label, which no more than a
+    tile's pixels have.
+    """
     whole = [F.col(c).cast("long").alias(c) for c in ("image_id", "y", "x", "v")]
-    return pixels.select(*whole).groupBy("image_id").applyInArrow(run, "image_id long, y long, x long, v long, comp long")
+    local = cut(_labelled(pixels.select(*whole).groupBy("image_id", F.floor(F.col("y") / tile), F.floor(F.col("x") / tile)), tolerance, stride))
+    borders = []
+    for along, across in (("y", "x"), ("x", "y")):
+        after = local.filter(F.col(across) % tile == 0).select("image_id", along, F.col(across).alias("at"), F.col("v").alias("w"), F.col("comp").alias("b"))
+        before = local.filter(F.pmod(F.col(across), F.lit(tile)) == tile - 1).select("image_id", along, (F.col(across) + 1).alias("at"), "v", F.col("comp").alias("a"))
+        borders.append(before.join(after, ["image_id", along, "at"]).filter(F.abs(F.col("v") - F.col("w")) <= tolerance).select("image_id", "a", "b"))
+    roots = components(borders[0].unionByName(borders[1]))
+    joined = local.join(roots.withColumnRenamed("node", "comp"), ["image_id", "comp"], "left")
+    return joined.select("image_id", "y", "x", "v", F.coalesce("root", "comp").alias("comp"))
 
 
 def measure(labels: DataFrame) -> DataFrame:

@@ -69,6 +69,17 @@ def box_relation_strict(spark, sf_dir):
     return boxes.strict_relation_counts(fx.boxes(spark, sf_dir))
 
 
+_MIXED = "mixed AS (SELECT image_id, box_id, x1, y1, x1 + (x2 - x1) * k AS x2, y1 + (y2 - y1) * k AS y2 FROM (SELECT *, CASE WHEN box_id % 97 = 0 THEN 500 WHEN box_id % 13 = 0 THEN 9 ELSE 1 END AS k FROM boxes))"
+
+
+@query("SELECT a.image_id, a.box_id AS a_box_id, b.box_id AS b_box_id FROM mixed a JOIN mixed b ON a.image_id = b.image_id AND a.box_id < b.box_id AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2", _MIXED)
+def box_pairs_mixed(spark, sf_dir):
+    """Pairs with a common point of boxes from 4 to 47,000 pixels."""
+    k = F.when(F.col("box_id") % 97 == 0, 500).when(F.col("box_id") % 13 == 0, 9).otherwise(1)
+    grown = fx.boxes(spark, sf_dir).withColumn("x2", F.col("x1") + (F.col("x2") - F.col("x1")) * k).withColumn("y2", F.col("y1") + (F.col("y2") - F.col("y1")) * k)
+    return boxes.near_pairs(grown).select("image_id", "a_box_id", "b_box_id")
+
+
 @query("SELECT image_id, MIN(x1) AS x1, MIN(y1) AS y1, MAX(x2) AS x2, MAX(y2) AS y2 FROM boxes GROUP BY image_id")
 def box_union_by_image(spark, sf_dir):
     return boxes.union_by_image(fx.boxes(spark, sf_dir))
@@ -388,6 +399,12 @@ def cc_label(spark, sf_dir):
     return _labels(spark, sf_dir).select("image_id", "y", "x", "comp")
 
 
+@query("SELECT image_id, y, x, comp FROM labels", _BITS, recursive=True)
+def cc_label_tiles(spark, sf_dir):
+    """cc_label by tiles of 8 x 8, so that no task holds an image."""
+    return regions.label_tiles(fx.bits(spark, sf_dir), tile=8).select("image_id", "y", "x", "comp")
+
+
 _MEASURES = "SELECT image_id, comp, MIN(x) AS x1, MIN(y) AS y1, MAX(x) AS x2, MAX(y) AS y2, COUNT(*) AS n_pixels, MAX(x) - MIN(x) + 1 AS width, MAX(y) - MIN(y) + 1 AS height FROM labels GROUP BY ALL"
 
 

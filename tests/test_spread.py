@@ -78,3 +78,91 @@ def test_parts_merge_in_any_order():
     unseen = kernels.attention_part(q, k, v, np.arange(5) - 20, np.arange(9), "causal")
     assert not unseen[1].any() and np.isneginf(unseen[0]).all()
     np.testing.assert_allclose(kernels.merge_parts(unseen, part(slice(0, 9)))[2], part(slice(0, 9))[2])
+
+
+# regions, pairs and merges
+
+
+@pytest.mark.parametrize("tile, tolerance", [(4, 0), (7, 0), (5, 1), (64, 0)])
+def test_labels_of_tiles(spark, tile, tolerance):
+    """Random pixels, a spiral through all tiles, a comb, and coordinates on both sides of 0."""
+    rng = np.random.default_rng(tile)
+    rows = [(0, y - 10, x - 8, int(rng.integers(0, 3))) for y in range(24) for x in range(20) if rng.random() < 0.7]
+    y, x, dy, dx, seen = 0, 0, 0, 1, set()
+    for _ in range(400):
+        seen.add((y, x))
+        if not (0 <= y + dy < 21 and 0 <= x + dx < 21) or (y + 2 * dy, x + 2 * dx) in seen or (y + dy, x + dx) in seen:
+            dy, dx = dx, -dy
+            if (y + dy, x + dx) in seen or (y + 2 * dy, x + 2 * dx) in seen:
+                break
+        y, x = y + dy, x + dx
+    rows += [(1, y, x, 1) for y, x in seen]
+    rows += [(2, y, x, 1) for y in range(20) for x in range(20) if y == 19 or x % 2 == 0]
+    frame = spark.createDataFrame([(*r,) for r in rows], "image_id long, y long, x long, v long").repartition(3)
+    from gridloom.operators import regions
+
+    want = sorted(regions.label(frame, tolerance).collect())
+    assert sorted(regions.label_tiles(frame, tolerance, tile=tile).collect()) == want
+    assert len({r.comp for r in want if r.image_id == 1}) == len({r.comp for r in want if r.image_id == 2}) == 1
+
+
+def test_components(spark):
+    from gridloom.operators.unions import components
+
+    edges = [(i, a + 1, a) for i in (0, 1) for a in range(60)] + [(0, 1000, b) for b in range(1001, 1040)] + [(2, 7, 3), (2, 5, 7), (2, 4, 4)]
+    got = {(r.image_id, r.node): r.root for r in components(spark.createDataFrame(edges, "image_id long, a long, b long")).collect()}
+    want = {(i, a): 0 for i in (0, 1) for a in range(1, 61)} | {(0, b): 1000 for b in range(1001, 1040)} | {(2, 5): 3, (2, 7): 3}
+    assert got == want
+    assert components(spark.createDataFrame([], "image_id long, a long, b long")).count() == 0
+
+
+def boxes_of_all_sizes(n=250, seed=2, most=60_000):
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        w, h = (int(rng.integers(1, most)) if rng.random() < 0.1 else int(2 ** rng.uniform(0, 12)) for _ in "wh")
+        x, y = (int(v) for v in rng.integers(-9000, 9000, 2) // (1 if rng.random() < 0.5 else 30))
+        out.append((k % 3 // 2, k, x, y, x + w, y + h))
+    return out + [(1, n, 0, 0, 10**9, 10**9), (1, n + 1, -(10**9), 5, 10**9, 6), (1, n + 2, 4, 4, 4, 4)]
+
+
+@pytest.mark.parametrize("reach", [(0, 0), (11, 0), (3, 5)])
+def test_pairs_of_boxes_of_all_sizes(spark, reach):
+    from gridloom.operators import boxes
+
+    rows = boxes_of_all_sizes()
+    made = boxes.near_pairs(spark.createDataFrame(rows, "image_id long, box_id long, x1 long, y1 long, x2 long, y2 long"), reach)
+    meet = lambda lo, hi, a, b, r: a[lo] - r <= b[hi] + r and b[lo] - r <= a[hi] + r
+    want = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and meet(2, 4, a, b, reach[0]) and meet(3, 5, a, b, reach[1]))
+    assert sorted((r.image_id, r.a_box_id, r.b_box_id) for r in made.collect()) == want
+    cells = boxes._cells(spark.createDataFrame(rows, "image_id long, box_id long, x1 long, y1 long, x2 long, y2 long"), [], reach, boxes.LEVELS)
+    assert max(r["count"] for r in cells.groupBy("box_id", "level").count().collect()) <= 4
+
+
+MERGES = [kernels.merge_meeting, kernels.merge_close, lambda x: kernels.merge_corners(x, True), lambda x: kernels.merge_corners(x, False, (3, 2)), kernels.merge_text]
+
+
+@pytest.mark.parametrize("how", range(len(MERGES)))
+@pytest.mark.parametrize("spread, most", [(3000, 60), (900, 40), (20_000, 4000)])
+def test_merges_by_a_grid_are_those_without(monkeypatch, how, spread, most):
+    rng = np.random.default_rng(spread)
+    corners = rng.integers(-spread, spread, (400, 2))
+    sides = np.maximum(1, (most * rng.random((400, 2)) ** 3).astype(int))
+    items = [((int(x), int(y), int(x + w), int(y + h)), [k]) for k, ((x, y), (w, h)) in enumerate(zip(corners, sides))]
+    found = []
+    for few in (10**9, 4):
+        monkeypatch.setattr(kernels.Piles, "FEW", few)
+        found.append(MERGES[how](items))
+    assert found[0] == found[1]
+
+
+def test_many_boxes_of_an_image_merge_in_time():
+    import time
+
+    rng = np.random.default_rng(7)
+    corners = rng.integers(0, 60_000, (100_000, 2))
+    items = [((x, y, x + 30, y + 12), [k]) for k, (x, y) in enumerate(corners.tolist())]
+    for merge in MERGES[:2]:
+        began = time.process_time()
+        made = merge(items)
+        assert sum(len(m) for _, m in made) == len(items) and time.process_time() - began < 60
