@@ -17,8 +17,9 @@ Isotropic vectors leave no cheaper way to it; clustered ones could take less.
 
 Defined cases: vectors that are null, zero, empty or hold null or non-finite
 components, and rows without vec_id, take no part; vectors of unlike length have
-no cosine, so those of each length have an index of their own and are each
-other's candidates; rows with the query's vec_id are its own; repeated query
+no cosine, so those of each length are each other's candidates: the INDEXED
+commonest lengths have an index each, the vectors of all others are compared
+by length and block in one exact pass, however many lengths there are; rows with the query's vec_id are its own; repeated query
 rows count once and repeated candidates each count; an empty table gives no
 rows.
 """
@@ -45,6 +46,8 @@ ROUNDS = 12
 COVERAGE = 0.55
 LEAST = 1000
 SHARD_ROWS, BLOCK_QUERIES = 8192, 4096
+#: Lengths of vectors with an index of their own, at most: the commonest.
+INDEXED = 3
 
 
 def _matrix(column) -> np.ndarray:
@@ -182,17 +185,35 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, coverage: float =
     doubles = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), doubles.alias("embedding"))
     rows = rows.filter(F.col("vec_id").isNotNull() & finite("embedding") & F.exists("embedding", lambda v: v != 0))
-    lengths = sorted((r["dim"], r["count"]) for r in rows.groupBy(F.size("embedding").alias("dim")).count().collect())
+    sizes = rows.groupBy(F.size("embedding").alias("dim")).count()
+    common = [(r["dim"], r["count"]) for r in sizes.orderBy(F.desc("count"), "dim").limit(INDEXED + 1).collect()]
+    if not common:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = None
-    for dim, total in lengths:
+    for dim, total in common[:INDEXED]:
         own = _of_one_length(rows.filter(F.size("embedding") == dim), dim, total, is_query, k, coverage, shard_rows)
         found = own if found is None else found.union(own)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if len(common) > INDEXED:
+        rest = ~F.size("embedding").isin([dim for dim, _ in common[:INDEXED]])
+        found = found.union(_of_rare_lengths(rows.filter(rest), is_query, k, shard_rows))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _of_rare_lengths(rows: DataFrame, is_query: Column, k: int, shard_rows: int) -> DataFrame:
+    """query_id, vec_id, score: the nearest of each shard of a length's vectors, all of which are compared."""
+    rows = rows.withColumn("dim", F.size("embedding"))
+    queries = rows.filter(is_query).dropDuplicates()
+    n_shards = rows.groupBy(F.col("dim").alias("d")).agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("n_shards"), F.ceil(F.count(F.when(is_query, 1)) / BLOCK_QUERIES).alias("n_blocks"))
+    n_shards = cut(n_shards.filter("n_blocks > 0"))
+    both = lambda x: x.join(n_shards, F.col("dim") == F.col("d")).withColumn("of", F.xxhash64("vec_id"))
+    entries = both(rows).select("dim", F.pmod("of", "n_shards").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("qb"), "vec_id", "embedding", F.lit(0).alias("cell"))
+    visits = both(queries).select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_shards") - 1)).alias("shard"), F.pmod("of", "n_blocks").alias("qb"), "vec_id", "embedding", F.array(F.lit(0)).alias("cells"))
+    visits = visits.toDF(*visits.columns)  # columns of their own, as both sides come from one frame
+    by = ["dim", "shard", "qb"]
+    return entries.groupBy(*by).cogroup(visits.groupBy(*by)).applyInArrow(_rerank(k), "query_id long, vec_id long, score double")
+
+
 def _of_one_length(rows: DataFrame, dim: int, total: int, is_query: Column, k: int, coverage: float, shard_rows: int) -> DataFrame:
     """query_id, vec_id, score: the nearest of each shard, of `total` vectors of `dim` numbers."""
     spark = rows.sparkSession

@@ -3,16 +3,18 @@ r"""Main text of HTML pages by tag-path ratios.
 A page is cut into blocks of text, each with the path of block-level tags from
 the root to it.  Per path, the text's length and punctuation are summed and
 divided by the number of blocks; both ratios are smoothed over neighbouring
-paths in page order and fused into one score.  What a path's tags and names
-say is a feature of the score: a path through an element that never holds
+paths in page order and fused into one score.  What a path's tags and names say
+is a feature of that score, a weight: each element that as a rule holds no
 article text (a menu, a footer, comments, an advert, by tag, class, id or role)
-scores nothing.  The paths above a threshold hold the content nodes.
+takes off a part that depends on how sure the sign is.  Paths whose weighted
+score passes a threshold hold the content nodes, so a name that is only part of
+what it seems to say can't drop a paragraph that reads like the article.
 
 The content nodes choose the article: the innermost element for which the text
 of its content nodes, less that of its menus, adverts and the like and of its
 links, is greatest; or the article or main element around that one.  All its
-content nodes are returned, and so are headings and short lines beside them;
-paths that score nothing are left out, and in an article that no tag names,
+content nodes are returned, and so are headings and short lines beside them
+that no sign speaks against; in an article that no tag names,
 so are parts without a content node that are links for the most part.
 
 Defined cases: null or empty html gives an empty text; markup that is cut off,
@@ -39,6 +41,8 @@ FOREIGN = frozenset(("svg", "math"))  # these may close themselves
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
 NEVER = frozenset("head nav footer aside form menu button select dialog object canvas audio video".split())
+#: What is left of a path's score: in elements of these tags, or hidden ones; in those whose name is made of ASIDE's words; in those of whose name one of SURE's words is a part; in those of whose name another of ASIDE's is.
+TAGGED, NAMED, PARTLY, HINTED = 0.01, 0.02, 0.05, 0.5
 #: An open element of the second set ends when a tag of the first opens.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -48,6 +52,9 @@ HOLDERS = frozenset("address article aside body center details dialog dir div dl
 #: Words in class, id or role that name a part beside the article.
 ASIDE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars widget widgets footer masthead topbar toolbar share sharing social related recommended recommendations newsletter subscribe signup login comment comments commentlist disqus respond replies reply pagination pager search skip copyright complementary contentinfo advertorial outbrain taboola toc tags disclaimer".split())
 
+#: Those of them that leave little doubt even as a part of a name.
+SURE = frozenset("ad ads advert adverts advertisement advertising adsense sponsored promo cookie cookies consent gdpr alert popup modal nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars widget footer masthead topbar newsletter subscribe signup login comment comments commentlist disqus respond replies pagination pager copyright contentinfo advertorial outbrain taboola disclaimer".split())
+
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？·।؟،]")
 SPACE = re.compile(r"\s+")
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>?", re.S)
@@ -59,33 +66,42 @@ THRESHOLD = 0.35
 WIDE = frozenset(("", "html", "body", "article", "main", "section", "div", "td"))
 
 
-def _beside(tag: str, attributes: str) -> bool:
-    """Do class, id, role or style say that this is no part of the article?"""
+def _weight(tag: str, attributes: str) -> float:
+    """What class, id, role and style leave of the score of an element's text."""
+    least = 1.0
     for name, value in NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return TAGGED
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+                return TAGGED
         elif name in ("class", "id", "role"):
-            if tag in HOLDERS and not ASIDE.isdisjoint(WORDS.findall(value)):
-                return True
-            if any(own and ASIDE.issuperset(own) for own in map(WORDS.findall, value.split())):
-                return True
-    return False
+            for own in map(WORDS.findall, value.split()):
+                if own and ASIDE.issuperset(own):
+                    least = min(least, NAMED)
+                elif tag in HOLDERS and not SURE.isdisjoint(own):
+                    least = min(least, PARTLY)
+                elif tag in HOLDERS and not ASIDE.isdisjoint(own):
+                    least = min(least, HINTED)
+    return least
 
 
 class Page:
-    """blocks in page order: (path, node of the innermost block element, text, characters in links); nodes: (parent, tag); paths: do they score nothing?"""
+    """blocks in page order: (path, node of the innermost block element, text, characters in links); nodes: (parent, tag); weights, by path.
+
+    Of each tag, and of the scopes, the places of open elements on the stack are
+    kept, so an end tag finds its element at once.
+    """
 
     def __init__(self, html: str):
         self.nodes: list[tuple[int, str]] = [(-1, "")]
         self.blocks: list[tuple[int, int, str, int]] = []
-        self.nothing: list[bool] = [False]
-        self.numbers: dict[tuple[int, str, bool], int] = {}
+        self.weights: list[float] = [1.0]
+        self.numbers: dict[tuple[int, str, float], int] = {}
         self.stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # tag, node, path, in an article
-        self.open_tags: dict[str, int] = {}
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
         self.pieces: list[str] = []
         self.in_link = self.linked = 0
         at, end = 0, len(html)
@@ -127,7 +143,9 @@ class Page:
 
     def pop_to(self, k: int) -> None:
         for tag, *_ in self.stack[k:]:
-            self.open_tags[tag] -= 1
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
         del self.stack[k:]
 
     def open(self, tag: str, attributes: str) -> None:
@@ -135,8 +153,8 @@ class Page:
             self.pieces.append(" ")
             return
         if tag not in BLOCKS and tag not in NEVER:
-            if tag not in VOID and (_beside(tag, attributes) if attributes else False):
-                self.push(tag, True)
+            if tag not in VOID and attributes and (weight := _weight(tag, attributes)) < 1:
+                self.push(tag, weight)
             return
         self.flush()
         if tag in CLOSES_P:
@@ -144,65 +162,66 @@ class Page:
         if tag in ENDS:
             self.end(ENDS[tag])
         if tag not in VOID:
-            self.push(tag, bool(attributes) and _beside(tag, attributes))
+            self.push(tag, _weight(tag, attributes) if attributes else 1.0)
 
-    def push(self, tag: str, beside: bool) -> None:
+    def push(self, tag: str, weight: float) -> None:
         self.flush()
         _, parent, path, inside = self.stack[-1]
         named = tag in ("article", "main")
-        nothing = self.nothing[path] or tag in NEVER or tag == "header" and not inside or beside and not (named or tag in ("html", "body"))
-        number = self.numbers.setdefault((path, tag, nothing), len(self.nothing))
-        if number == len(self.nothing):
-            self.nothing.append(nothing)
+        if named or tag in ("html", "body"):  # their names say more of the page than of its parts
+            weight = 1.0
+        if tag in NEVER or tag == "header" and not inside:
+            weight = min(weight, TAGGED)
+        weight = max(weight * self.weights[path], 1e-6)
+        number = self.numbers.setdefault((path, tag, weight), len(self.weights))
+        if number == len(self.weights):
+            self.weights.append(weight)
         self.nodes.append((parent, tag))
-        self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPES:
+            self.scopes.append(len(self.stack))
         self.stack.append((tag, len(self.nodes) - 1, number, inside or named))
 
     def end(self, tags: set[str]) -> None:
         """End the innermost open element of these tags, if no element of another scope is inside."""
-        if not any(self.open_tags.get(t) for t in tags):
-            return None
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] in tags:
-                return self.pop_to(k)
-            if self.stack[k][0] in SCOPES:
-                return None
-        return None
+        k = max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        if k and k >= (self.scopes[-1] if self.scopes else 0):
+            self.pop_to(k)
 
     def close(self, tag: str) -> None:
-        if self.open_tags.get(tag):
-            k = max(k for k in range(len(self.stack)) if self.stack[k][0] == tag) if self.stack[-1][0] != tag else len(self.stack) - 1
+        if self.places.get(tag):
             self.flush()
-            return self.pop_to(k)
-        if tag in BLOCKS:
+            self.pop_to(self.places[tag][-1])
+        elif tag in BLOCKS:
             self.flush()
-        return None
 
 
-def smooth(values: list[float]) -> list[float]:
-    """Weights 1, 2, 1 over neighbouring paths."""
-    n = len(values)
-    return [(values[max(i - 1, 0)] + 2 * values[i] + values[min(i + 1, n - 1)]) / 4 for i in range(n)]
+def smooth(values: list[float], weights: list[float]) -> list[float]:
+    """Weights 1, 2, 1 over neighbouring paths, each times its own weight."""
+    n, out = len(values), []
+    for i in range(n):
+        near = [(max(i - 1, 0), 1), (i, 2), (min(i + 1, n - 1), 1)]
+        out.append(sum(k * weights[j] * values[j] for j, k in near) / sum(k * weights[j] for j, k in near))
+    return out
 
 
-def content_paths(blocks: list[tuple], nothing=()) -> set:
-    """Paths whose fused ratio passes the threshold; those of `nothing` score nothing, and their text isn't in the mean."""
+def content_paths(blocks: list[tuple], weights=None) -> set:
+    """Paths whose fused ratio, times their weight, passes the threshold: a part of the mean over the text, in which a path counts by its weight."""
     sums: dict = {}
     for path, _, text, *_ in blocks:
         s = sums.setdefault(path, [0, 0, 0])
         s[0] += 1
         s[1] += len(text)
         s[2] += len(PUNCTUATION.findall(text))
-    scored = {path: s for path, s in sums.items() if path not in nothing}
-    if not scored:
+    if not sums:
         return set()
-    lengths = [s[1] / s[0] for s in scored.values()]
-    marks = [s[2] / s[0] for s in scored.values()]
+    of = [1.0 if weights is None else weights[path] for path in sums]
+    lengths = [s[1] / s[0] for s in sums.values()]
+    marks = [s[2] / s[0] for s in sums.values()]
     own = [a * (1 + b) for a, b in zip(lengths, marks)]
-    fused = [(x * a * (1 + b)) ** 0.5 for x, a, b in zip(own, smooth(lengths), smooth(marks))]
-    total = sum(s[1] for s in scored.values())
-    mean = sum(f * s[1] for f, s in zip(fused, scored.values())) / total
-    return {path for path, f in zip(scored, fused) if f >= THRESHOLD * mean}
+    fused = [(x * a * (1 + b)) ** 0.5 for x, a, b in zip(own, smooth(lengths, of), smooth(marks, of))]
+    mean = sum(f * w * s[1] for f, w, s in zip(fused, of, sums.values())) / sum(w * s[1] for w, s in zip(of, sums.values()))
+    return {path for path, f, w in zip(sums, fused, of) if f * w >= THRESHOLD * mean}
 
 
 def _up(own: list[int], nodes: list[tuple[int, str]]) -> list[int]:
@@ -217,14 +236,14 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Page(html)
-    nodes, nothing = page.nodes, {path for path, out in enumerate(page.nothing) if out}
-    paths = content_paths(page.blocks, nothing)
+    nodes, against = page.nodes, {path for path, weight in enumerate(page.weights) if weight < 1}
+    paths = content_paths(page.blocks, page.weights)
     content, gain, links, size = ([0] * len(nodes) for _ in range(4))
     for path, node, text, linked in page.blocks:
         size[node] += len(text)
         links[node] += linked
         content[node] += len(text) * (path in paths)
-        gain[node] += len(text) if path in paths else -len(text) if path in nothing else -linked
+        gain[node] += len(text) if path in paths else -len(text) if path in against else -linked
     content, gain, links, size = (_up(x, nodes) for x in (content, gain, links, size))
     around = [k for k, (_, tag) in enumerate(nodes) if tag in WIDE and content[k]]
     if not around:
@@ -239,7 +258,7 @@ def main_text(html: str | None) -> str:
         menu = not named and not content[node] and 2 * links[node] > size[node]
         inside[node] = node == article or parent >= 0 and inside[parent] and not menu
     for path, node, text, _ in page.blocks:
-        if inside[node] and (path in paths or path not in nothing):
+        if inside[node] and (path in paths or path not in against):
             kept.append(text)
     return "\n".join(kept)
 

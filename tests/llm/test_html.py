@@ -65,17 +65,48 @@ def shares(made):
     return common / max(1, found), common / true
 
 
+def ablations(monkeypatch, page):
+    """The page's text; with every path taken for content that no sign speaks against; with ratios but without names; with ratios alone."""
+    whole = html.main_text(page)
+    with monkeypatch.context() as m:
+        m.setattr(html, "content_paths", lambda blocks, weights=None: {b[0] for b in blocks if weights[b[0]] == 1})
+        signs = html.main_text(page)
+    with monkeypatch.context() as m:
+        m.setattr(html, "_weight", lambda tag, attributes: 1.0)
+        no_names = html.main_text(page)
+        m.setattr(html, "NEVER", frozenset())
+        ratios = html.main_text(page)
+    return whole, signs, no_names, ratios
+
+
 def test_pages_of_many_layouts_and_what_the_ratios_are_worth(monkeypatch):
     found = pages()
     precision, recall = shares([(html.main_text(page), text) for page, text in found])
     assert precision > 0.99 and recall > 0.99
-    paths = html.content_paths
-    monkeypatch.setattr(html, "content_paths", lambda blocks, nothing=(): {b[0] for b in blocks})
-    assert all(html.main_text(page) != text for page, text in found)
-    monkeypatch.setattr(html, "content_paths", lambda blocks, nothing=(): {b[0] for b in blocks} - set(nothing))
-    assert sum(html.main_text(page) != text for page, text in found) >= len(found) // 5  # what names alone can't tell
-    monkeypatch.setattr(html, "content_paths", paths)
-    assert shares([(html.main_text(page), text) for page, text in found]) == (precision, recall)
+    made = [ablations(monkeypatch, page) for page, _ in found]
+    assert sum(signs != whole for whole, signs, *_ in made) >= len(found) // 5  # what names and tags alone can't tell
+    assert sum(no_names != whole for whole, _, no_names, _ in made) >= len(found) // 5  # and what ratios alone can't
+
+
+def test_no_word_of_a_name_drops_a_paragraph_of_the_article():
+    for name in ("related-work", "tags-overview", "search-methods", "share-of-votes", "notice-to-readers", "social-history", "banner-year"):
+        for tag in ("div", "section"):
+            page = f"<article><p>{LONG}</p><{tag} class='{name}'><p>{LONG} And more.</p></{tag}><p>{LONG}</p></article>"
+            assert html.main_text(page) == f"{LONG}\n{LONG} And more.\n{LONG}", name
+    for name in ("related", "comments", "post-comments", "sidebar", "newsletter-box", "cookie notice", "tags"):
+        page = f"<article><p>{LONG}</p><div class='{name}'><p>{LONG} And more.</p></div><p>{LONG}</p></article>"
+        assert html.main_text(page) == f"{LONG}\n{LONG}", name
+    links = "".join(f"<li><a href=/{k}>Story {k}</a></li>" for k in range(9))
+    assert html.main_text(f"<article><p>{LONG}</p><div class='related-stories'><ul>{links}</ul></div><p>{LONG}</p></article>") == f"{LONG}\n{LONG}"
+
+
+def test_end_tags_take_time_by_their_number():
+    import time
+
+    for page in ("<div>" * 30_000 + "<ul><li>x</ul>" * 30_000, "<p><td>" + "<span class=ad>" * 30_000 + "<p>x</p>" * 30_000, "<ul>" * 30_000 + "<li>x</li></ol>" * 30_000):
+        began = time.process_time()
+        html.Page(page)
+        assert time.process_time() - began < 5
 
 
 def test_names_of_lines_and_of_parts():
@@ -93,4 +124,4 @@ def test_deep_pages_take_time_by_their_length():
     assert html.main_text(deep) == LONG
     assert html.main_text(wide) == "\n".join([LONG] * 20_000)
     page = html.Page(deep)
-    assert len(page.nothing) == len(page.nodes) == 40_001 and len(page.blocks) == 1
+    assert len(page.weights) == len(page.nodes) == 40_001 and len(page.blocks) == 1

@@ -80,6 +80,22 @@ def test_ann_takes_every_length_by_itself(spark):
     assert all((i < 1000) == (q < 1000) for q, found in got.items() for i in found)
 
 
+def test_ann_of_many_lengths_is_one_plan(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(2 + i % 60 if i % 3 else 8).tolist()) for i in range(900)] + [(50, rng.standard_normal(7).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    made = ann.nearest(frame, F.col("vec_id") % 50 == 0, shard_rows=7)
+    plan = made._jdf.queryExecution().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") <= 5 * (ann.INDEXED + 1)
+    got = {}
+    for r in made.collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q, x in rows:
+        if q % 50 == 0 and q != 50:
+            near = sorted((-float(ann.cosine(np.array([v]), np.array(x))[0]), i) for i, v in rows if i != q and len(v) == len(x))[:5]
+            assert got.get(q, []) == [(k, i) for k, (_, i) in enumerate(near, 1)], q
+
+
 def test_topk_beyond_doubles(spark):
     rows = [(0, [1.7e308, 1.0]), (1, [1e306, -1e306]), (2, [-1.7e308, 0.5]), (3, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
