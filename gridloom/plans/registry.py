@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import boxes, kernels, merging, models, pixels, regions, tiled
+from ..operators import boxes, drawing, kernels, merging, models, pixels, regions, tiled
 from ..operators import vectors as sequences
 from ..sources import images, results
 from . import detect, embed
@@ -394,6 +394,36 @@ def _labels(spark, sf_dir):
     return regions.label(fx.bits(spark, sf_dir))
 
 
+_SMALL = """
+hit AS (SELECT DISTINCT s.image_id, s.y, s.x FROM stripes s JOIN frames b ON s.image_id = b.image_id AND s.y BETWEEN b.y1 - 1 AND b.y2 AND s.x BETWEEN b.x1 - 1 AND b.x2
+  WHERE s.y <= b.y1 OR s.y >= b.y2 - 1 OR s.x <= b.x1 OR s.x >= b.x2 - 1)"""
+
+
+def _pixels_of(images_):
+    """image_id, y, x, v of gray images."""
+    values = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("data")), lambda i: F.conv(F.hex(F.substring("data", i, 1)), 16, 10).cast("long"))).alias("at", "v")
+    x = images_.select("image_id", F.col("width").cast("long").alias("w"), values)
+    return x.select("image_id", F.floor(F.col("at") / F.col("w")).alias("y"), (F.col("at") % F.col("w")).alias("x"), "v")
+
+
+@query("SELECT s.image_id, s.y, s.x, CASE WHEN h.y IS NULL THEN s.v ELSE 77 END AS v FROM stripes s LEFT JOIN hit h USING (image_id, y, x)", _SMALL)
+def draw_boxes(spark, sf_dir):
+    """The frames' borders, two pixels wide, on the stripes."""
+    return _pixels_of(drawing.paint(fx.images(spark, sf_dir, 1), drawing.box_spans(fx.frames(spark, sf_dir), 2), (77,)))
+
+
+@query(
+    """SELECT b.image_id, b.box_id, MAX(s.y) - MIN(s.y) + 1 AS height, MAX(s.x) - MIN(s.x) + 1 AS width, CAST(SUM(s.v) AS BIGINT) AS total
+    FROM frames b JOIN stripes s ON s.image_id = b.image_id AND s.y >= b.y1 - 2 AND s.y < b.y2 + 2 AND s.x >= b.x1 - 2 AND s.x < b.x2 + 2 GROUP BY ALL"""
+)
+def clip_pictures(spark, sf_dir):
+    """The pictures of the frames on the stripes: sizes and sums of pixels."""
+    clips = drawing.clippings(fx.images(spark, sf_dir, 1), fx.frames(spark, sf_dir)).withColumn("k", F.struct("image_id", "box_id"))
+    sums = _pixels_of(clips.select(F.col("k").alias("image_id"), "width", "data")).groupBy("image_id").agg(F.sum("v").alias("total"))
+    sizes = clips.select("k", F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"))
+    return sizes.join(sums, F.col("k") == F.col("image_id")).select("k.image_id", "k.box_id", "height", "width", "total")
+
+
 @query("SELECT image_id, y, x, comp FROM labels", _BITS, recursive=True)
 def cc_label(spark, sf_dir):
     return _labels(spark, sf_dir).select("image_id", "y", "x", "comp")

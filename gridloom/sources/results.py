@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import drawing
+from . import png
+
 COMPONENT = "struct<id:bigint,class:string,column_min:bigint,row_min:bigint,column_max:bigint,row_max:bigint,width:bigint,height:bigint>"
 DOCUMENT = f"struct<img_shape:array<bigint>,compos:array<{COMPONENT}>>"
 
@@ -38,3 +41,14 @@ def write_csv(boxes: DataFrame, path: str) -> None:
 def write_clippings(clips: DataFrame, path: str) -> None:
     """Clipped pixels by class, a folder for each: (category, image_id, box_id, y, x, v)."""
     clips.write.mode("overwrite").partitionBy("category").parquet(path)
+
+
+def write_pictures(clips: DataFrame, path: str) -> None:
+    """Clippings (category, nth, height, width, channels, data) as PNG files, a folder for each class, named by their number in it."""
+    png.write(clips.select(F.format_string("%s/%d.png", "category", "nth").alias("path"), "height", "width", "channels", "data"), path)
+
+
+def write_overlays(images: DataFrame, boxes: DataFrame, path: str, color: tuple[int, ...] = (0, 255, 0), line: int = 2) -> None:
+    """Each image with the borders of its boxes, as a PNG file named by its id."""
+    drawn = drawing.paint(images, drawing.box_spans(boxes, line), color)
+    png.write(drawn.select(F.format_string("%d.png", "image_id").alias("path"), "height", "width", "channels", "data"), path)
