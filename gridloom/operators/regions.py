@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -103,7 +103,7 @@ def rectangles(labels: DataFrame, image_height: int, evenness: float = 0.7, dent
     return labels.groupBy("image_id").applyInArrow(run, "image_id long, comp long, is_rectangle boolean")
 
 
-def blocks(pixels: DataFrame, boxes: DataFrame, width: int, height: int, share: float = 0.15) -> DataFrame:
+def blocks(pixels: DataFrame, boxes: DataFrame, width: int | Column, height: int | Column, share: float = 0.15) -> DataFrame:
     """image_id, box_id, is_block of boxes over the share of both sides: at most two of the fifth to eighth lines from each side are set on more than the share."""
     wide = boxes.filter(((F.col("y2") - F.col("y1")) > share * height) & ((F.col("x2") - F.col("x1")) > share * width))
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -157,6 +157,20 @@ def nested_areas(images: DataFrame, tolerance: int = 5, least: int = 500, least_
     return images.select(*whole).groupBy("image_id").applyInArrow(run, "image_id long, x1 long, y1 long, x2 long, y2 long, replaces boolean")
 
 
+def rectangular(labels: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of chosen (image_id, comp, within) whose region is a rectangle in a clip of height `within`; a task holds the borders of a region."""
+    ends = outlines(labels.join(chosen.select("image_id", "comp", "within"), ["image_id", "comp"]).select("image_id", "comp", "y", "x"))
+    sides = ends.groupBy("image_id", "comp").agg(F.collect_list("y").alias("ys"), F.collect_list("x").alias("xs"))
+    rows = chosen.join(sides, ["image_id", "comp"]).select(*chosen.columns, "ys", "xs")
+
+    def run(batches):
+        for batch in batches:
+            found = [kernels.Region(np.array(y), np.array(x)).is_rectangle(h) for y, x, h in zip(*(batch[c].to_pylist() for c in ("ys", "xs", "within")))]
+            yield batch.filter(pa.array(found, pa.bool_())).drop_columns(["ys", "xs"])
+
+    return rows.mapInArrow(run, chosen.schema)
+
+
 def rectangles_in_images(clips: DataFrame, min_area: int = 50, least: int = 20, share: float = 0.8) -> DataFrame:
     """image_id, box_id, x1, y1, x2, y2: rectangular regions of the inverted binary map inside Image boxes.
 
