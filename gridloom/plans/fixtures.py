@@ -10,6 +10,8 @@ from ..functions.vectors import doubles
 
 #: Size of the images that boxes lie in; side of the rasters.
 WIDTH, HEIGHT, SIDE = 800, 600, 32
+#: Events that 20 images share.
+EVENTS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +33,15 @@ def categorised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).withColumn("category", F.when(b % 7 == 0, "Block").when(b % 5 == 0, "Image").when(b % 11 == 0, "Noise").otherwise("Compo"))
 
 
+def _image():
+    """Events are dealt to 20 images by user, and to 20 more after every EVENTS of them, so images grow in number with the table."""
+    return F.floor(F.col("event_id") / EVENTS) * 20 + F.col("user_id") % 20
+
+
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, y, x, v: a whole SIDE x SIDE gray raster for each of 20 images, 0 where no event falls."""
+    """image_id, y, x, v: a whole SIDE x SIDE gray raster for each of 20 images per EVENTS events, 0 where no event falls."""
     e = table(spark, sf_dir, "events")
-    at = [(F.col("user_id") % 20).alias("image_id"), (F.floor(F.col("event_id") / SIDE) % SIDE).alias("y"), (F.col("event_id") % SIDE).alias("x")]
+    at = [_image().alias("image_id"), (F.floor(F.col("event_id") / SIDE) % SIDE).alias("y"), (F.col("event_id") % SIDE).alias("x")]
     v = e.groupBy(*at).agg(F.max(F.floor("value") % 256).alias("v"))
     side = F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long"))
     grid = v.select("image_id").distinct().withColumn("y", F.explode(side)).withColumn("x", F.explode(side))
@@ -44,7 +51,7 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, y, x, v = 255: the pixels that an event with a value over 20 falls on."""
     e = table(spark, sf_dir, "events").filter("value > 20")
-    at = [(F.col("user_id") % 20).alias("image_id"), (F.floor(F.col("event_id") / SIDE) % SIDE).alias("y"), (F.col("event_id") % SIDE).alias("x")]
+    at = [_image().alias("image_id"), (F.floor(F.col("event_id") / SIDE) % SIDE).alias("y"), (F.col("event_id") % SIDE).alias("x")]
     return e.select(*at).distinct().withColumn("v", F.lit(255).cast("long"))
 
 
@@ -101,7 +108,7 @@ boxes AS (
   FROM (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, MIN(l_partkey) AS p, MIN(l_suppkey) AS s FROM lineitem GROUP BY ALL)),
 categorised AS (
   SELECT *, CASE WHEN box_id % 7 = 0 THEN 'Block' WHEN box_id % 5 = 0 THEN 'Image' WHEN box_id % 11 = 0 THEN 'Noise' ELSE 'Compo' END AS category FROM boxes),
-hits AS (SELECT user_id % 20 AS image_id, event_id // {SIDE} % {SIDE} AS y, event_id % {SIDE} AS x, CAST(floor(value) AS BIGINT) AS w, value FROM events),
+hits AS (SELECT event_id // {EVENTS} * 20 + user_id % 20 AS image_id, event_id // {SIDE} % {SIDE} AS y, event_id % {SIDE} AS x, CAST(floor(value) AS BIGINT) AS w, value FROM events),
 raster AS (
   SELECT i.image_id, g.y, g.x, COALESCE(h.v, 0) AS v
   FROM (SELECT DISTINCT image_id FROM hits) i
