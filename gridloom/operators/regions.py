@@ -14,6 +14,7 @@ from ..lineage import cut
 from . import kernels
 from .unions import components
 
+_SIDES = ("x1", "y1", "x2", "y2")
 _LABELS = pa.schema([(n, pa.int64()) for n in ("image_id", "y", "x", "v", "comp")])
 
 
@@ -141,20 +142,26 @@ def outlines(labels: DataFrame) -> DataFrame:
     return ends.select("image_id", "comp", y.alias("y"), x.alias("x")).distinct().withColumn("v", F.lit(255).cast("long"))
 
 
-def nested_areas(images: DataFrame, tolerance: int = 5, least: int = 500, least_height: int = 30) -> DataFrame:
-    """image_id, x1, y1, x2, y2, replaces: rectangular even areas of gray pixel tables, by the order of their seeds."""
-    schema = pa.schema([*((n, pa.int64()) for n in ("image_id", "x1", "y1", "x2", "y2")), ("replaces", pa.bool_())])
+def nested_areas(images: DataFrame, tolerance: int = 5, least: int = 500, least_height: int = 30, frames: DataFrame | None = None, tile: int = 1024) -> DataFrame:
+    """image_id, seed, x1, y1, x2, y2, replaces: rectangular even areas of gray pixel tables; seed: y << 20 | x of an area's first seed, by which they are ordered.
 
-    def run(table: pa.Table) -> pa.Table:
-        y, x, v = (table[c].to_numpy() for c in ("y", "x", "v"))
-        gray = np.zeros((int(y.max()) + 1, int(x.max()) + 1), np.int64)
-        gray[y, x] = v
-        image = table["image_id"][0].as_py()
-        found = kernels.nested_regions(gray, tolerance, least, least_height)
-        return pa.Table.from_pylist([dict(zip(schema.names, (image, *r.box, whole))) for r, whole in found], schema=schema)
+    frames: image_id, within, across (height and width; by default up to the
+    last pixels).  An area of over 0.7 of its image replaces it, one of over 0.9
+    doesn't count.
+    """
+    if frames is None:
+        frames = images.groupBy(F.col("image_id").cast("long").alias("image_id")).agg((F.max("y") + 1).alias("within"), (F.max("x") + 1).alias("across"))
+    labels = label_tiles(images, tolerance, tile=tile)
+    share = F.col("width") * F.col("height") / (F.col("within") * F.col("across"))
+    areas = measure(labels).filter((F.col("n_pixels") >= least) & (F.col("height") >= least_height)).join(frames, "image_id").filter(share <= 0.9)
+    areas = areas.join(in_order(labels, 10, 10), ["image_id", "comp"]).join(lines(labels).filter("NOT is_line"), ["image_id", "comp"])
+    areas = areas.select("image_id", "comp", F.col("within").cast("long").alias("within"), "seed", (share > 0.7).alias("replaces"), *_SIDES)
+    return rectangular(labels, areas).select("image_id", "seed", *_SIDES, "replaces")
 
-    whole = [F.col(c).cast("long").alias(c) for c in ("image_id", "y", "x", "v")]
-    return images.select(*whole).groupBy("image_id").applyInArrow(run, "image_id long, x1 long, y1 long, x2 long, y2 long, replaces boolean")
+
+def in_order(labels: DataFrame, step_y: int, step_x: int) -> DataFrame:
+    """image_id, comp, seed of the regions with a seed."""
+    return seeded(labels, step_y, step_x).select("image_id", "comp", (F.col("seed_y") * (1 << 20) + F.col("seed_x")).alias("seed"))
 
 
 def rectangular(labels: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -171,24 +178,22 @@ def rectangular(labels: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, chosen.schema)
 
 
-def rectangles_in_images(clips: DataFrame, min_area: int = 50, least: int = 20, share: float = 0.8) -> DataFrame:
+def rectangles_in_images(clips: DataFrame, min_area: int = 50, least: int = 20, share: float = 0.8, tile: int = 1024) -> DataFrame:
     """image_id, box_id, x1, y1, x2, y2: rectangular regions of the inverted binary map inside Image boxes.
 
     clips: pixels (image_id, box_id, x1, y1, x2, y2 of the box, y, x, v); a
     region counts if it is over `least` pixels wide and high and covers less
     than the share of its box; positions are those of the image.
     """
-    names = ("image_id", "box_id", "x1", "y1", "x2", "y2")
-    schema = pa.schema([(n, pa.int64()) for n in names])
-
-    def run(table: pa.Table) -> pa.Table:
-        image, box, x1, y1, x2, y2 = (table[n][0].as_py() for n in names)
-        off = np.zeros((y2 - y1, x2 - x1), bool)
-        off[table["y"].to_numpy() - y1, table["x"].to_numpy() - x1] = table["v"].to_numpy() <= 1
-        found = [r for r in kernels.detect_regions(off, min_area, 10, 10) if r.is_rectangle(y2 - y1)]
-        area = (x2 - x1) * (y2 - y1)
-        kept = [r for r in found if (r.x2 - r.x1) * (r.y2 - r.y1) < share * area and min(r.x2 - r.x1, r.y2 - r.y1) > least]
-        return pa.Table.from_pylist([dict(zip(names, (image, box, r.x1 + x1, r.y1 + y1, r.x2 + x1, r.y2 + y1))) for r in kept], schema=schema)
-
-    columns = [F.col(c).cast("long").alias(c) for c in (*names, "y", "x", "v")]
-    return clips.select(*columns).groupBy("image_id", "box_id").applyInArrow(run, ", ".join(f"{n} long" for n in names))
+    columns = clips.select(*[F.col(c).cast("long").alias(c) for c in ("image_id", "box_id", *_SIDES, "y", "x", "v")])
+    found = cut(columns.select("image_id", "box_id", *_SIDES).distinct().withColumn("clip", F.monotonically_increasing_id()))
+    own = found.select("image_id", "box_id", "clip", F.col("x1").alias("left"), F.col("y1").alias("top"), (F.col("y2") - F.col("y1")).alias("within"), (F.col("x2") - F.col("x1")).alias("across"))
+    off = columns.filter("v <= 1").join(own, ["image_id", "box_id"])
+    labels = label_tiles(off.select(F.col("clip").alias("image_id"), (F.col("y") - F.col("top")).alias("y"), (F.col("x") - F.col("left")).alias("x"), F.lit(0).alias("v")), tile=tile)
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    areas = measure(labels).filter((F.col("n_pixels") >= min_area) & (F.col("width") > 3) & (F.col("height") > 3) & (F.least(w, h) > least))
+    areas = areas.join(own.select(F.col("clip").alias("image_id"), "within", "across"), "image_id").filter(w * h < share * F.col("within") * F.col("across"))
+    areas = areas.join(in_order(labels, 10, 10), ["image_id", "comp"]).select("image_id", "comp", "within", *_SIDES)
+    inside = rectangular(labels, areas).select(F.col("image_id").alias("clip"), *_SIDES)
+    moved = [(F.col(c) + F.col("left" if c[0] == "x" else "top")).alias(c) for c in _SIDES]
+    return inside.join(own, "clip").select("image_id", "box_id", *moved)

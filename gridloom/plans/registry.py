@@ -11,7 +11,7 @@ from ..functions import vectors
 from ..operators import boxes, drawing, kernels, merging, models, pixels, regions, tiled
 from ..operators import vectors as sequences
 from ..sources import images, results
-from . import detect, embed, spread
+from . import embed, spread
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -812,13 +812,13 @@ def embed_boxes(spark, sf_dir):
 @query()
 def detect_boxes(spark, sf_dir):
     """The detector over the stripes as images, each pixel as an 8 x 8 square."""
-    found = detect.detect(fx.images(spark, sf_dir))
+    found = spread.detect(fx.images(spark, sf_dir), tile=128)
     return found.select("image_id", "box_idx", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 @query()
 def detect_spread(spark, sf_dir):
-    """detect_boxes by the plan of pixel and box tables."""
+    """The same with squares of 4 x 4 and small tiles."""
     found = spread.detect(fx.images(spark, sf_dir, 4), tile=32)
     return found.select("image_id", "box_idx", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 

@@ -17,13 +17,8 @@ from ..sources import images as pictures
 from .detect import Params
 
 SIDES = boxes.SIDES
-#: Side of the tiles in which regions are labelled and clips are found; of the numbers that order seeds.
-TILE, STRIDE = 1024, 1 << 20
-
-
-def _first_seeds(labels: DataFrame, step_y: int, step_x: int) -> DataFrame:
-    found = regions.seeded(labels, step_y, step_x)
-    return found.select("image_id", "comp", (F.col("seed_y") * STRIDE + F.col("seed_x")).alias("seed"))
+#: Side of the tiles in which regions are labelled and clips are found.
+TILE = 1024
 
 
 def _clips(gray: DataFrame, found: DataFrame, tile: int) -> DataFrame:
@@ -37,16 +32,12 @@ def _clips(gray: DataFrame, found: DataFrame, tile: int) -> DataFrame:
     return met.select(F.col("clip").alias("image_id"), (F.col("y") - F.col("y1")).alias("y"), (F.col("x") - F.col("x1")).alias("x"), "v")
 
 
-def nested(gray: DataFrame, compos: DataFrame, tolerance: int, tile: int, least: int = 500, least_height: int = 30) -> DataFrame:
+def nested(gray: DataFrame, compos: DataFrame, tolerance: int, tile: int) -> DataFrame:
     """image_id, box_id (of the component), seed, sides, replaces: even rectangular areas of components over 50 pixels high."""
     big = cut(compos.filter(F.col("y2") - F.col("y1") > 50).withColumn("clip", F.monotonically_increasing_id()))
-    labels = regions.label_tiles(_clips(gray, big, tile), tolerance, STRIDE, tile)
-    frame = big.select(F.col("clip").alias("image_id"), (F.col("y2") - F.col("y1")).alias("within"), (F.col("x2") - F.col("x1")).alias("across"))
-    share = F.col("width") * F.col("height") / (F.col("within") * F.col("across"))
-    areas = regions.measure(labels).filter((F.col("n_pixels") >= least) & (F.col("height") >= least_height)).join(frame, "image_id").filter(share <= 0.9)
-    areas = areas.join(_first_seeds(labels, 10, 10), ["image_id", "comp"]).join(regions.lines(labels).filter("NOT is_line"), ["image_id", "comp"])
-    areas = areas.select("image_id", "comp", "seed", "within", (share > 0.7).alias("replaces"), *SIDES)
-    found = regions.rectangular(labels, areas).select(F.col("image_id").alias("clip"), "seed", "replaces", *[F.col(c).alias(f"n{c}") for c in SIDES])
+    frames = big.select(F.col("clip").alias("image_id"), (F.col("y2") - F.col("y1")).alias("within"), (F.col("x2") - F.col("x1")).alias("across"))
+    found = regions.nested_areas(_clips(gray, big, tile), tolerance, frames=frames, tile=tile)
+    found = found.select(F.col("image_id").alias("clip"), "seed", "replaces", *[F.col(c).alias(f"n{c}") for c in SIDES])
     moved = [(F.col(f"n{c}") + F.col(f"{c[0]}1")).alias(c) for c in SIDES]
     return big.join(found, "clip").select("image_id", "box_id", "seed", "replaces", *moved)
 
@@ -57,12 +48,12 @@ def components(images: DataFrame, p: Params = Params(), tile: int = TILE) -> Dat
     sizes = images.select("image_id", F.col("height").cast("long").alias("ih"), F.col("width").cast("long").alias("iw"))
     on = pixels.close_gaps(pixels.threshold(pixels.gradient(gray, p.saturate), p.min_grad), p.kernel)
     on = cut(pixels.erase_lines(on).filter("v > 0"))
-    labels = cut(regions.label_tiles(on.withColumn("v", F.lit(0)), 0, STRIDE, tile))
+    labels = cut(regions.label_tiles(on.withColumn("v", F.lit(0)), tile=tile))
     w, h = F.col("width"), F.col("height")
     least, most = F.least(w, h), F.greatest(w, h)
     plausible = (w * h >= p.min_ele_area) & (10 * h <= 8 * F.col("ih")) & (w <= 50 * h) & (h <= 40 * w) & ~((least < 8) & (most > 10 * least))
     found = regions.measure(labels).filter((F.col("n_pixels") >= p.min_ele_area) & (w > 3) & (h > 3))
-    found = found.join(_first_seeds(labels, 5, 2), ["image_id", "comp"]).join(sizes, "image_id").filter(plausible)
+    found = found.join(regions.in_order(labels, 5, 2), ["image_id", "comp"]).join(sizes, "image_id").filter(plausible)
     merged = merging.merge_meeting(found.select("image_id", F.col("seed").alias("box_id"), *SIDES)).join(sizes, "image_id")
     merged = cut(merged.withColumn("alone", F.when(F.size("members") == 1, 1).otherwise(0)))  # a box of one region counts its pixels
     tall = (F.col("y2") - F.col("y1") + F.col("alone")) / F.col("ih") > 0.15
