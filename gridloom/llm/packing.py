@@ -64,12 +64,14 @@ class Available:
         k = len(often) - 1 - int(often[::-1].argmax())
         return (int(a[k]), total - int(a[k])) if often[k] > 0 else None
 
-    def exact(self, gap: int) -> tuple[int, ...] | None:
-        """A single length, a pair or a triple whose sum is gap, the longest lengths first."""
+    def exact(self, gap: int, most: int = 3) -> tuple[int, ...] | None:
+        """A single length, a pair or a triple (`most` lengths at most) whose sum is gap, the longest lengths first."""
         if self.n[gap]:
             return (gap,)
-        if found := self.pair(gap, gap):
+        if most > 1 and (found := self.pair(gap, gap)):
             return found
+        if most < 3:
+            return None
         for a in np.flatnonzero(self.n[: max(0, gap - 1)])[::-1].tolist():
             if 3 * a < gap:
                 break
@@ -81,13 +83,13 @@ class Available:
         return None
 
 
-def exact_complements(left: Available, capacity: int) -> list[Pattern]:
+def exact_complements(left: Available, capacity: int, most: int = 3) -> list[Pattern]:
     """Full sequences; what they use is taken off `left`."""
     out: list[Pattern] = []
     for length in range(capacity, 0, -1):
         while left.n[length]:
             left.n[length] -= 1
-            rest = left.exact(capacity - length) if length < capacity else ()
+            rest = left.exact(capacity - length, most) if length < capacity else ()
             left.n[length] += 1
             if rest is None:
                 break
@@ -122,9 +124,18 @@ def best_fit(left: Available, capacity: int) -> list[Pattern]:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """Patterns that together hold each length as often as counted."""
-    left = Available(counts, capacity)
-    return exact_complements(left, capacity) + best_fit(left, capacity)
+    """Patterns that together hold each length as often as counted.
+
+    Combinations that fill a gap exactly use up short lengths, which where
+    there are few of them are missed by the best fit of the rest.  So plans with
+    combinations of up to three, two and one lengths, and of none, are made, and
+    that of the fewest sequences is taken.
+    """
+    plans = []
+    for most in (3, 2, 1, 0):
+        left = Available(counts, capacity)
+        plans.append((exact_complements(left, capacity, most) if most else []) + best_fit(left, capacity))
+    return min(plans, key=lambda patterns: sum(times for _, times in patterns))
 
 
 class Places:
