@@ -1,6 +1,9 @@
 """Every registered query of the library against its SQL, on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -49,10 +52,15 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_entry_without_the_other_folders(monkeypatch):
-    monkeypatch.setattr(entry, "LLM", None)
-    monkeypatch.setattr(entry, "PIPELINE", None)
-    assert set(entry.queries()) == set(registry.QUERIES)
+def test_entry_without_the_other_folders(tmp_path):
+    """A copy of the repository without the subpackage and the pipeline still has all other queries."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(os.path.join(root, "gridloom"), tmp_path / "gridloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(entry.__file__, tmp_path)
+    code = "import __spark_entry__ as e; print(e.HERE, *sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    made = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True, timeout=120).stdout.split("\n")
+    assert made[0].split() == [str(tmp_path), *sorted(registry.QUERIES)] and made[1].split() == sorted(registry.ORACLE_SQL)
 
 
 def test_relation_plan_has_no_cross_join_and_prunes_columns(spark):
