@@ -489,9 +489,10 @@ def nested_regions(gray: np.ndarray, tolerance: int = 5, least: int = 500, least
     labels = label(gray, np.ones(gray.shape, bool), tolerance)
     seeds = labels[::10, ::10].ravel()
     names, first = np.unique(seeds, return_index=True)
+    found = regions(np.where(np.isin(labels, names), labels, -1))
     out = []
-    for k in names[np.argsort(first)]:
-        r = Region(*np.nonzero(labels == k))
+    for k in names[np.argsort(first)].tolist():
+        r = found[k]
         share = r.width * r.height / (h * w)
         if r.n >= least and r.height >= least_height and share <= 0.9 and not r.is_line() and r.is_rectangle(h):
             out.append((r, share > 0.7))

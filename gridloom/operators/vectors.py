@@ -54,9 +54,10 @@ def attention(rows: DataFrame, heads: int, kv_heads: int | None = None, mask_mod
         return _outputs(table["seq"][0].as_py(), table["pos"].to_numpy(), kernels.attention_in_blocks(x, x[:kv], x[:kv], mask_mode))
 
     shaped = rows.select(F.col("seq").cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), F.col("vec").cast("array<double>").alias("vec"))
-    long = cut(shaped.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last")).filter(F.col("n") > spread_from))
+    long = shaped.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last")).filter(F.col("n") > spread_from)
     if long.isEmpty():
         return shaped.groupBy("seq").applyInArrow(run, _OUT_SQL)
+    long = cut(long)
     short = shaped.join(long, "seq", "left_anti").groupBy("seq").applyInArrow(run, _OUT_SQL)
     return short.unionByName(_spread(shaped.join(long, "seq"), heads, kv, mask_mode, query_block, key_chunk))
 
