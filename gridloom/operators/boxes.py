@@ -1,8 +1,8 @@
 """Joins, filters and updates of box tables (image_id, box_id, x1, y1, x2, y2).
 
 Pairs are found within an image over grids of several cell sizes.  A box lives
-on the finest grid whose cells are as large as it, in four cells at most, and
-looks for larger boxes on all coarser ones.  A pair is made on the grid of its
+on the finest grid whose cells are a quarter as large as it or larger, in 25
+cells at most, and looks for larger boxes on the coarser ones in use.  A pair is made on the grid of its
 larger box, in the one cell that holds its common corner.  So images with very
 many boxes, of whatever sizes, cost what their overlaps cost, and need no
 distinct.
@@ -10,7 +10,7 @@ distinct.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,13 +21,19 @@ LEVELS = (6, 8, 10, 12, 14, 16, 62)
 SIDES = ("x1", "y1", "x2", "y2")
 
 
-def _cells(boxes: DataFrame, extra: list[str], reach: tuple[int, int], levels: tuple[int, ...]) -> DataFrame:
-    """A row for each cell that a box, moved out by the reach, touches on its own grid (at_home) and on coarser ones, dealt by image and cell."""
-    x = boxes.select("image_id", "box_id", *SIDES, *extra)
+def _own_level(reach: tuple[int, int], levels: tuple[int, ...]) -> Column:
+    """The finest grid whose cells are at least a quarter as large as a box, moved out by the reach."""
     side = F.greatest(F.col("x2") - F.col("x1") + 2 * reach[0], F.col("y2") - F.col("y1") + 2 * reach[1])
     own = F.lit(levels[-1])
     for level in reversed(levels[:-1]):
-        own = F.when(side <= 1 << level, level).otherwise(own)
+        own = F.when(side <= 4 << level, level).otherwise(own)
+    return own
+
+
+def _cells(boxes: DataFrame, extra: list[str], reach: tuple[int, int], levels: tuple[int, ...]) -> DataFrame:
+    """A row for each cell that a box, moved out by the reach, touches on its own grid (at_home) and on coarser ones, dealt by image and cell."""
+    x = boxes.select("image_id", "box_id", *SIDES, *extra)
+    own = _own_level(reach, levels)
     x = x.withColumn("own", own).withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda n: n >= F.col("own"))))
     size = F.pow(F.lit(2.0), F.col("level"))
     span = lambda lo, hi, r: F.sequence(F.floor((F.col(lo) - r) / size), F.floor((F.col(hi) + r) / size))
@@ -38,7 +44,10 @@ def _cells(boxes: DataFrame, extra: list[str], reach: tuple[int, int], levels: t
 
 def near_pairs(boxes: DataFrame, reach: tuple[int, int] = (0, 0), extra: list[str] = (), levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """Each pair a_box_id < b_box_id of an image whose boxes, moved out by `reach` on all sides, have a common point."""
-    cells, at = _cells(boxes, list(extra), reach, levels), ["image_id", "level", "cx", "cy"]
+    # grids on which no box lives needn't be looked at: a row per grid says which ones there are
+    used = {r["own"] for r in boxes.select(_own_level(reach, levels).alias("own")).distinct().collect()}
+    used = tuple(n for n in levels if n in used) or levels[:1]
+    cells, at = _cells(boxes, list(extra), reach, used), ["image_id", "level", "cx", "cy"]
     size = F.pow(F.lit(2.0), F.col("level"))
     left, top = F.greatest("a_x1", "b_x1") - reach[0], F.greatest("a_y1", "b_y1") - reach[1]
     common = (left <= F.least("a_x2", "b_x2") + reach[0]) & (top <= F.least("a_y2", "b_y2") + reach[1])
@@ -48,6 +57,8 @@ def near_pairs(boxes: DataFrame, reach: tuple[int, int] = (0, 0), extra: list[st
         a, b = (x.select(*at, *[F.col(c).alias(p + c) for c in ("box_id", *SIDES, *extra)]) for p, x in (("a_", of_a), ("b_", of_b)))
         return a.join(b, at).filter((F.col("a_box_id") < F.col("b_box_id")) & common & here).drop("level", "cx", "cy")
 
+    if len(used) == 1:
+        return met(cells, cells)
     # the larger box, or one of two of a grid, is at home; both may be in either place
     return met(cells, cells.filter("at_home")).unionByName(met(cells.filter("at_home"), cells.filter("NOT at_home")))
 
