@@ -12,9 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.geometry import APART, HOLDS, IN, Box, close, relation, relation_strict, union_box
+from .ranks import numbered
 
 #: Cells of the grids: 2**n a side; still larger boxes are on a last grid of one cell for each sign of a coordinate.
 LEVELS = (6, 8, 10, 12, 14, 16, 62)
@@ -158,7 +158,7 @@ def drop_bars(boxes: DataFrame, image_height: int, top: float = 0.045, bottom: f
 
 def number(boxes: DataFrame, order: list[str]) -> DataFrame:
     """Ids 1..n within an image in the given order."""
-    return boxes.withColumn("nth", F.row_number().over(Window.partitionBy("image_id").orderBy(*order)))
+    return numbered(boxes, ["image_id"], order, "nth")
 
 
 def drop_noise(boxes: DataFrame) -> DataFrame:
@@ -179,4 +179,4 @@ def sizes(boxes: DataFrame) -> DataFrame:
 
 def numbered_clippings(boxes: DataFrame) -> DataFrame:
     """With nth: a running index within (image_id, category), as clippings are named."""
-    return boxes.withColumn("nth", F.row_number().over(Window.partitionBy("image_id", "category").orderBy("box_id")))
+    return numbered(boxes, ["image_id", "category"], ["box_id"], "nth")

@@ -6,10 +6,18 @@ need no further exchange, as each image is whole in its partition.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import kernels
+
+#: Frames of up to so many pixels are taken pixel by pixel; larger ones by blocks or by histograms.
+SMALL = 5
+_PIXELS = pa.schema([(n, pa.int64()) for n in ("image_id", "y", "x", "v")])
+
 
 def along_row():
     return Window.partitionBy("image_id", "y").orderBy("x")
@@ -50,13 +58,36 @@ def close_gaps(pixels: DataFrame, kernel: tuple[int, int] = (2, 1)) -> DataFrame
     """Dilate, then erode, with a rows x columns kernel anchored at half its size; nothing outside the image counts."""
     x = by_image(pixels)
     for pick in (F.max, F.min):
-        for size, window in zip(kernel, (along_column(), along_row())):
-            if size > 1:
-                anchor = size // 2
+        for size, along in zip(kernel, ("y", "x")):
+            if size > SMALL:
+                x = _extremes_by_blocks(x, pick, size, along)
+            elif size > 1:
+                anchor, window = size // 2, along_column() if along == "y" else along_row()
                 x = x.withColumn("v", pick("v").over(window.rowsBetween(-anchor, size - 1 - anchor)))
     return x
 
 
+def _extremes_by_blocks(pixels: DataFrame, pick, size: int, along: str) -> DataFrame:
+    """v: the extreme of a frame of `size` pixels anchored at half of it, at a cost that doesn't grow with the size.
+
+    Lines are cut into blocks of `size`; a frame is the end of a block and the
+    beginning of the next, so running extremes from both ends of each block do.
+    """
+    anchor, line = size // 2, ["image_id", "x" if along == "y" else "y"]
+    whole = Window.partitionBy(*line).orderBy(along)
+    block = Window.partitionBy(*line, "block").rowsBetween(Window.unboundedPreceding, 0)
+    x = pixels.withColumn("nth", F.row_number().over(whole) - 1).withColumn("block", F.floor(F.col("nth") / size))
+    x = x.withColumn("ahead", pick("v").over(block.orderBy(along))).withColumn("back", pick("v").over(block.orderBy(F.desc(along))))
+    # the line's last pixel stands for those behind it, unless its block is the one that the frame begins in
+    last = Window.partitionBy(*line).orderBy(along).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = x.withColumn("end", F.last(F.struct("block", "ahead")).over(last))
+    first_block, begins = F.lag("block", anchor).over(whole), F.lag("back", anchor).over(whole)
+    ends = F.lead("ahead", size - 1 - anchor).over(whole)
+    ends = F.when(ends.isNotNull(), ends).when(first_block.isNull() | (F.col("end.block") > first_block), F.col("end.ahead"))
+    combined = F.greatest(begins, ends) if pick is F.max else F.least(begins, ends)
+    return x.withColumn("found", combined).withColumn("v", F.col("found")).select(*pixels.columns)
+
+
 def valid_rows(pixels: DataFrame, gap: int = 5, share: float = 0.95) -> DataFrame:
     """image_id, y, valid: set pixels on more than the share of the row, without an inner gap over the limit."""
     on = pixels.withColumn("on", F.when(F.col("v") > 0, F.col("x")))
@@ -149,8 +180,15 @@ def erase_lines_both(pixels: DataFrame, thickness: int = 8, share: float = 0.6)
     return x.select("image_id", "y", "x", F.when(gone, 0).otherwise(F.col("v")).alias("v"))
 
 
-def median(pixels: DataFrame, size: int = 3) -> DataFrame:
-    """The median of the size x size square around each pixel (size odd), the border repeated outwards."""
+def median(pixels: DataFrame, size: int = 3, tile: int = 512) -> DataFrame:
+    """The median of the size x size square around each pixel (size odd), the border repeated outwards.
+
+    Squares of up to SMALL are sorted in the JVM.  For larger ones a task takes
+    a tile of a whole, rectangular image with the pixels around it, and slides
+    histograms over it, so the cost hardly grows with the size.
+    """
+    if size > SMALL:
+        return _median_by_tiles(pixels, size, tile)
     reach = size // 2
     x = by_image(pixels).select("image_id", "y", "x", "v")
     for name, window in (("v", along_row()), ("across", along_column())):
@@ -161,6 +199,31 @@ def median(pixels: DataFrame, size: int = 3) -> DataFrame:
     return x.select("image_id", "y", "x", F.array_sort("square")[size * size // 2].alias("v"))
 
 
+def _median_by_tiles(pixels: DataFrame, size: int, tile: int) -> DataFrame:
+    reach = size // 2
+    x = pixels.select(*[F.col(c).cast("long").alias(c) for c in ("image_id", "y", "x", "v")])
+    for at, of in (("ty", "y"), ("tx", "x")):
+        x = x.withColumn(at, F.explode(F.sequence(F.floor((F.col(of) - reach) / tile), F.floor((F.col(of) + reach) / tile))))
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x, v = (table[c].to_numpy() for c in ("y", "x", "v"))
+        y0, x0, top, left = y.min(), x.min(), table["ty"][0].as_py() * tile, table["tx"][0].as_py() * tile
+        a = np.zeros((int(y.max() - y0) + 1, int(x.max() - x0) + 1), np.int64)
+        a[y - y0, x - x0] = v
+        # the tile's own rows and columns that the image has; what a square lacks there is beyond the image's border
+        own = [(max(lo, first), min(lo + tile, first + n)) for lo, first, n in ((top, int(y0), a.shape[0]), (left, int(x0), a.shape[1]))]
+        if any(lo >= hi for lo, hi in own):
+            return _PIXELS.empty_table()
+        lack = [(max(0, first - lo + reach), max(0, hi + reach - first - n)) for (lo, hi), first, n in zip(own, (int(y0), int(x0)), a.shape)]
+        from_row, from_col = (max(0, lo - reach - first) for (lo, _), first in zip(own, (int(y0), int(x0))))
+        found = kernels.inner_median(np.pad(a, lack, mode="edge")[from_row:, from_col:], size)
+        ys, xs = np.mgrid[own[0][0] : own[0][1], own[1][0] : own[1][1]]
+        found = found[: ys.shape[0], : ys.shape[1]]
+        return pa.table([pa.array(np.full(found.size, table["image_id"][0].as_py())), ys.ravel(), xs.ravel(), found.ravel()], schema=_PIXELS)
+
+    return x.groupBy("image_id", "ty", "tx").applyInArrow(run, "image_id long, y long, x long, v long")
+
+
 def clip(pixels: DataFrame, boxes: DataFrame, margin: int = 0) -> DataFrame:
     """The pixels of each box, grown by a margin; as slices go, the last row and column are not in it.
 

@@ -1,6 +1,6 @@
 """Connected regions of pixel tables, and what is measured on them.
 
-Labelling runs per image, or per tile of it, in Arrow batches; all measures are aggregations over (image_id, comp).
+Labelling runs per image, or per tile of it, in Arrow batches; all measures are aggregations over (image_id, comp), and borders are folds over arrays.
 """
 
 from __future__ import annotations
@@ -90,18 +90,46 @@ def seeded(labels: DataFrame, step_y: int = 5, step_x: int = 2) -> DataFrame:
     return first.select("image_id", "comp", F.col("s.y").alias("seed_y"), F.col("s.x").alias("seed_x"))
 
 
-def rectangles(labels: DataFrame, image_height: int, evenness: float = 0.7, dent: float = 0.25) -> DataFrame:
-    """image_id, comp, is_rectangle, by the scan of the four borders; a task takes one image at a time."""
-    schema = pa.schema([("image_id", pa.int64()), ("comp", pa.int64()), ("is_rectangle", pa.bool_())])
+def border_arrays(labels: DataFrame) -> DataFrame:
+    """image_id, comp, top, bottom, left, right: the borders of connected regions as arrays, by columns and by rows in order."""
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("at", "lo", "hi"))))
+    sides = boundary(labels).groupBy("image_id", "comp").agg(of("column").alias("c"), of("row").alias("r"))
+    return sides.select("image_id", "comp", F.col("c.lo").alias("top"), F.col("c.hi").alias("bottom"), F.col("r.lo").alias("left"), F.col("r.hi").alias("right"))
+
+
+def flat_points(border: Column, outwards: int, across: Column, dent: float) -> Column:
+    """kernels.flat_points as a fold along a border: the number of level points, null if it can't be a rectangle's."""
+    n = F.size(border)
+    start = (3 + n * 0.02).cast("int")
+    places = F.when(start <= n - 2, F.sequence(start, n - 2)).otherwise(F.array().cast("array<int>"))
+    zero = F.lit(0)
+    state = F.struct(F.get(border, start).alias("level"), zero.alias("far"), zero.alias("longest"), zero.alias("sunken"), zero.alias("flat"))
+
+    def step(s, i):
+        after = border[i + 1]
+        begins = (i / n < 0.08) & (outwards * (border[i] - after) / across > 0.5)
+        level = F.when(begins, after).otherwise(s["level"])
+        off = F.abs(level - after) / across
+        far = F.when(off > 0.3, s["far"] + 1).otherwise(0)
+        sunken = (off <= 0.3) & (off > 0.15) & (outwards * (level - after) < 0)
+        flat = (off <= 0.3) & ~sunken & (F.abs(level - after) < 1 + across * 0.015)
+        return F.struct(level.alias("level"), far.alias("far"), F.greatest(s["longest"], far).alias("longest"), (s["sunken"] + sunken.cast("int")).alias("sunken"), (s["flat"] + flat.cast("int")).alias("flat"))
+
+    return F.aggregate(places, state, step, lambda s: F.when((s["longest"] / n <= 0.1) & (s["sunken"] / n <= dent), s["flat"]))
 
-    def run(table: pa.Table) -> pa.Table:
-        y, x, comp = (table[c].to_numpy() for c in ("y", "x", "comp"))
-        order = np.argsort(comp, kind="stable")
-        names, first = np.unique(comp[order], return_index=True)
-        found = [kernels.Region(y[o], x[o]).is_rectangle(image_height, evenness, dent) for o in np.split(order, first[1:])]
-        return pa.table([pa.array(np.full(len(names), table["image_id"][0].as_py())), pa.array(names), pa.array(found, pa.bool_())], schema=schema)
 
-    return labels.groupBy("image_id").applyInArrow(run, "image_id long, comp long, is_rectangle boolean")
+def is_rectangle(within: Column, evenness: float = 0.7, dent: float = 0.25) -> Column:
+    """Are the borders of border_arrays() those of a rectangle, in a clip of height `within`: mostly flat, without long steps or wide dents?"""
+    width, height = F.size("top"), F.size("left")
+    scans = (("top", 1, height), ("bottom", -1, height), ("left", 1, width), ("right", -1, width))
+    flat = [flat_points(F.col(border), outwards, across, dent) for border, outwards, across in scans]
+    share = (flat[0] + flat[1] + flat[2] + flat[3]) / (2 * (width + height))
+    return F.coalesce(share >= F.when(height / within > 0.3, 0.85).otherwise(evenness), F.lit(False))
+
+
+def rectangles(labels: DataFrame, image_height: int, evenness: float = 0.7, dent: float = 0.25) -> DataFrame:
+    """image_id, comp, is_rectangle, by folds along the four borders; a region's borders are one row."""
+    return border_arrays(labels).select("image_id", "comp", is_rectangle(F.lit(image_height), evenness, dent).alias("is_rectangle"))
 
 
 def blocks(pixels: DataFrame, boxes: DataFrame, width: int | Column, height: int | Column, share: float = 0.15) -> DataFrame:
@@ -165,17 +193,9 @@ def in_order(labels: DataFrame, step_y: int, step_x: int) -> DataFrame:
 
 
 def rectangular(labels: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of chosen (image_id, comp, within) whose region is a rectangle in a clip of height `within`; a task holds the borders of a region."""
-    ends = outlines(labels.join(chosen.select("image_id", "comp", "within"), ["image_id", "comp"]).select("image_id", "comp", "y", "x"))
-    sides = ends.groupBy("image_id", "comp").agg(F.collect_list("y").alias("ys"), F.collect_list("x").alias("xs"))
-    rows = chosen.join(sides, ["image_id", "comp"]).select(*chosen.columns, "ys", "xs")
-
-    def run(batches):
-        for batch in batches:
-            found = [kernels.Region(np.array(y), np.array(x)).is_rectangle(h) for y, x, h in zip(*(batch[c].to_pylist() for c in ("ys", "xs", "within")))]
-            yield batch.filter(pa.array(found, pa.bool_())).drop_columns(["ys", "xs"])
-
-    return rows.mapInArrow(run, chosen.schema)
+    """The rows of chosen (image_id, comp, within) whose region is a rectangle in a clip of height `within`; a region's borders are one row."""
+    borders = border_arrays(labels.join(chosen.select("image_id", "comp"), ["image_id", "comp"], "left_semi"))
+    return chosen.join(borders, ["image_id", "comp"]).filter(is_rectangle(F.col("within"))).select(*chosen.columns)
 
 
 def rectangles_in_images(clips: DataFrame, min_area: int = 50, least: int = 20, share: float = 0.8, tile: int = 1024) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.vectors import doubles
+from ..operators.ranks import numbered
 
 #: Size of the images that boxes lie in; side of the rasters.
 WIDTH, HEIGHT, SIDE = 800, 600, 32
@@ -95,9 +95,8 @@ def images(spark: SparkSession, sf_dir: str, scale: int = 8) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label, pos (in the label, by vec_id), seq (the whole label), vec ARRAY<DOUBLE>."""
-    pos = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), doubles(F.col("embedding")).alias("vec"))
-    e = e.withColumn("pos", pos.cast("long"))
+    e = numbered(e, ["label"], ["vec_id"], "pos").withColumn("pos", F.col("pos") - 1)
     return e.withColumn("seq", F.col("label") * 1000000)
 
 

@@ -176,3 +176,20 @@ def test_merging_by_image(spark):
         out = greedy([r[2:] for r in own], lambda a, b, _: by_ratios(a, b) == 2)
         assert {k: b for k, b in got.items() if k[0] == i} == {(i, own[m[0]][1]): b for b, m in out}
     assert merging.merge_meeting(df.limit(0)).count() == 0
+
+
+def test_numbers_in_large_groups(spark):
+    from gridloom.operators.ranks import numbered
+
+    rng = random.Random(11)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3, None]), rng.randrange(40), k) for k in range(3000)] + [(9, None, 5000), (9, None, 5001), (9, 0, 4999)]
+    df = spark.createDataFrame(rows, "image_id long, y1 long, box_id long").repartition(5)
+    order = lambda v: (v is not None, v or 0)
+    want, last = {}, {}
+    for r in sorted(rows, key=lambda r: (order(r[0]), order(r[1]), r[2])):
+        want[r] = last[r[0]] = last.get(r[0], 0) + 1
+    for spread_from, ranges in ((10**6, None), (100, 7), (100, 40), (0, 1), (0, None)):
+        got = numbered(df, ["image_id"], ["y1", "box_id"], "nth", spread_from, ranges)
+        assert got.columns == ["image_id", "y1", "box_id", "nth"]
+        assert {tuple(r)[:3]: r.nth for r in got.collect()} == want
+    assert numbered(df.limit(0), ["image_id"], ["box_id"], "nth", 0).count() == 0

@@ -109,12 +109,12 @@ def test_resize(spark):
 def test_median(spark):
     rng = np.random.default_rng(3)
     a = rng.integers(0, 256, (9, 11)).astype(np.uint8)
-    for size in (1, 3, 5):
+    for size in (1, 3, 5, 7, 31):
         reach, h, w = size // 2, *a.shape
         want = [[sorted(int(a[min(max(y + i, 0), h - 1), min(max(x + j, 0), w - 1)]) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1))[size * size // 2] for x in range(w)] for y in range(h)]
         assert kernels.median(a, size).tolist() == want
         df = spark.createDataFrame([(1, y, x, int(a[y, x])) for y in range(h) for x in range(w)], "image_id long, y long, x long, v long")
-        got = {(r.y, r.x): r.v for r in pixels.median(df, size).collect()}
+        got = {(r.y, r.x): r.v for r in pixels.median(df, size, tile=4).collect()}
         assert got == {(y, x): want[y][x] for y in range(h) for x in range(w)}
 
 

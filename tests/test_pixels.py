@@ -69,7 +69,7 @@ def test_pixel_tables_are_the_kernels(spark):
         g = pixels.gradient(df, saturate)
         assert (raster(g, 1, a.shape) == kernels.gradient(a, saturate)).all()
     assert kernels.gradient(np.array([[0, 255], [255, 0]])).max() == 254  # 510 wraps
-    for kernel in ((2, 1), (3, 3), (1, 2)):
+    for kernel in ((2, 1), (3, 3), (1, 2), (6, 7), (19, 8), (41, 30)):
         c = pixels.close_gaps(df, kernel)
         assert (raster(c, 2, b.shape) == kernels.close_gaps(b > 0, kernel) * 255).all()
     assert (raster(pixels.erase_lines(df), 2, b.shape) > 0).tolist() == kernels.erase_lines(b > 0).tolist()
@@ -160,6 +160,28 @@ def test_rectangles_and_lines():
     assert made["bar"].is_line() and not made["solid"].is_line()
 
 
+def test_borders_as_folds(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for k in range(300):
+        h, w = int(rng.integers(1, 70)), int(rng.integers(1, 70))
+        a = np.ones((h, w), bool)
+        for _ in range(int(rng.integers(0, 4))):  # dents from above and from the left, that leave it in one piece
+            a[: int(rng.integers(0, h)), int(rng.integers(0, w)) : int(rng.integers(0, w))] = False
+        a[-1] = True
+        y, x = np.nonzero(a)
+        within = int(rng.integers(h, 8 * h + 1))
+        want[k] = kernels.Region(y, x).is_rectangle(within), within
+        rows += [(k, 7, int(i) + 3, int(j) + 5) for i, j in zip(y, x)]
+    labels = spark.createDataFrame(rows, "image_id long, comp long, y long, x long")
+    chosen = spark.createDataFrame([(k, 7, within) for k, (_, within) in want.items()], "image_id long, comp long, within long")
+    assert 20 < sum(ok for ok, _ in want.values()) < 280
+    assert {r.image_id for r in regions.rectangular(labels, chosen).collect()} == {k for k, (ok, _) in want.items() if ok}
+    plain = {k: kernels.Region(*np.array([(y, x) for i, _, y, x in rows if i == k]).T).is_rectangle(60) for k in range(40)}
+    got = {r.image_id: r.is_rectangle for r in regions.rectangles(labels.filter("image_id < 40"), 60).collect()}
+    assert got == plain
+
+
 def test_blocks(spark):
     a = np.zeros((32, 32), int)
     a[2:30, 2:30] = 255
