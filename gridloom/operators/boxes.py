@@ -158,7 +158,7 @@ def drop_bars(boxes: DataFrame, image_height: int, top: float = 0.045, bottom: f
 
 def number(boxes: DataFrame, order: list[str]) -> DataFrame:
     """Ids 1..n within an image in the given order."""
-    return numbered(boxes, ["image_id"], order, "nth")
+    return numbered(boxes, ["image_id"], order, "nth").withColumn("nth", F.col("nth").cast("int"))
 
 
 def drop_noise(boxes: DataFrame) -> DataFrame:
@@ -179,4 +179,4 @@ def sizes(boxes: DataFrame) -> DataFrame:
 
 def numbered_clippings(boxes: DataFrame) -> DataFrame:
     """With nth: a running index within (image_id, category), as clippings are named."""
-    return numbered(boxes, ["image_id", "category"], ["box_id"], "nth")
+    return numbered(boxes, ["image_id", "category"], ["box_id"], "nth").withColumn("nth", F.col("nth").cast("int"))

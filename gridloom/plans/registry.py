@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import boxes, drawing, kernels, merging, models, pixels, regions, tiled
 from ..operators import vectors as sequences
+from ..operators.ranks import numbered
 from ..sources import images, results
 from . import embed, spread
 from . import fixtures as fx
@@ -163,6 +164,13 @@ def box_clipping_index(spark, sf_dir):
     return boxes.numbered_clippings(fx.categorised(spark, sf_dir)).select("image_id", "box_id", "category", "nth")
 
 
+@query("SELECT category, image_id, box_id, row_number() OVER (PARTITION BY category ORDER BY image_id, box_id) AS nth FROM categorised")
+def box_category_rank(spark, sf_dir):
+    """Running numbers in few large groups, found range by range."""
+    b = fx.categorised(spark, sf_dir).select("category", "image_id", "box_id")
+    return numbered(b, ["category"], ["image_id", "box_id"], "nth", spread_from=1000)
+
+
 @query("SELECT image_id, box_id, category FROM categorised WHERE category <> 'Noise'")
 def box_drop_noise(spark, sf_dir):
     return boxes.drop_noise(fx.categorised(spark, sf_dir)).select("image_id", "box_id", "category")
@@ -302,6 +310,16 @@ def px_close(spark, sf_dir):
     return pixels.close_gaps(fx.stripes(spark, sf_dir))
 
 
+@query(
+    """SELECT image_id, y, x, MIN(v) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS v FROM (
+    SELECT image_id, y, x, MIN(v) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS v FROM (
+    SELECT image_id, y, x, MAX(v) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS v FROM (
+    SELECT image_id, y, x, MAX(v) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS v FROM raster)))""",
+)
+def px_close_wide(spark, sf_dir):
+    return pixels.close_gaps(fx.raster(spark, sf_dir), (10, 7))
+
+
 _VALID = """
 holes AS (
   SELECT image_id, y, x, v, CASE WHEN v > 0 THEN x - max(CASE WHEN v > 0 THEN x END) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 END AS hole FROM stripes),
@@ -859,4 +877,13 @@ def px_median(spark, sf_dir):
     return pixels.median(fx.raster(spark, sf_dir), 3)
 
 
+@query(
+    """SELECT image_id, y, x, list_sort(list(v))[25] AS v FROM (
+      SELECT p.image_id, p.y, p.x, q.v FROM raster p, range(-3, 4) dy, range(-3, 4) dx JOIN raster q
+        ON q.image_id = p.image_id AND q.y = greatest(0, least(31, p.y + dy.range)) AND q.x = greatest(0, least(31, p.x + dx.range))) GROUP BY ALL""",
+)
+def px_median_wide(spark, sf_dir):
+    return pixels.median(fx.raster(spark, sf_dir), 7, tile=20)
+
+
 __all__ = ["QUERIES", "ORACLE_SQL"]
