@@ -2,8 +2,8 @@
 
 Every step is an operator on tables: windows over pixels, labels by tiles,
 measures as aggregates, clips as joins of pixels and boxes over tiles.  Only
-the two merges take an image's boxes, and the scan of borders a region's, as
-one row.  Regions are known by their first seed, which orders them.
+the two merges take an image's boxes, and the folds along borders a region's,
+as one row.  Regions are known by their first seed, which orders them.
 """
 
 from __future__ import annotations
