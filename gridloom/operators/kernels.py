@@ -300,19 +300,19 @@ def median(image: np.ndarray, size: int) -> np.ndarray:
 def inner_median(padded: np.ndarray, size: int) -> np.ndarray:
     """The median of each size x size square that lies in the array.
 
-    Small squares are partitioned.  For large ones a histogram of each column
-    slides down the rows; sums of neighbouring columns, in 16 coarse classes and
+    Small squares, and those of arrays with very many levels, are partitioned.
+    For others a histogram of each column slides down the rows; sums of neighbouring columns, in 16 coarse classes and
     then in the fine ones of the median's class, take the same time for any size.
     """
     half, rows, columns = size * size // 2, padded.shape[0] - size + 1, padded.shape[1] - size + 1
     out = np.empty((rows, columns), padded.dtype)
-    if size <= 5:
+    values, ranks = np.unique(padded, return_inverse=True) if size > 5 else (None, None)
+    if size <= 5 or len(values) > 1024:
         step = max(1, 4_000_000 // (size * size * columns))
         for at in range(0, rows, step):  # some rows at a time
             view = np.lib.stride_tricks.sliding_window_view(padded[at : at + step + size - 1], (size, size))
             out[at : at + step] = np.partition(view.reshape(*view.shape[:2], -1), half, axis=-1)[..., half]
         return out
-    values, ranks = np.unique(padded, return_inverse=True)
     ranks = ranks.reshape(padded.shape)
     fine = -(-len(values) // 16)  # levels of a coarse class
     coarse_of, fine_of, each = ranks // fine, ranks % fine, np.arange(padded.shape[1])

@@ -118,6 +118,13 @@ def test_median(spark):
         assert got == {(y, x): want[y][x] for y in range(h) for x in range(w)}
 
 
+def test_medians_of_many_levels():
+    a = np.random.default_rng(4).permutation(50 * 60).reshape(50, 60)  # over 1024 levels, and the same folded to 250
+    for v in (a, a // 12):
+        padded = np.pad(v, 4, mode="edge")
+        assert all(kernels.median(v, 9)[y, x] == np.sort(padded[y : y + 9, x : x + 9].ravel())[40] for y in range(50) for x in range(60))
+
+
 def test_prepared_images(spark, folder):
     ready = images.read(spark, str(folder), resize_height=100, kernel_size=3).filter("width = 150").first()
     assert (ready.height, ready.width, len(ready.data)) == (100, 150, 100 * 150 * 3)
