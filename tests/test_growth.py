@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.operators import kernels, regions
+from gridloom.plans import detect, spread
 from gridloom.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.01"
@@ -30,3 +31,26 @@ def test_regions_of_a_tile_are_rows_with_borders(spark):
         borders = regions.united_borders(parts, regions.measured(parts)).collect()
         key = lambda *sides: tuple(tuple(int(x) for x in s) for s in sides)
         assert sorted(key(r.top, r.bottom, r.left, r.right) for r in borders) == sorted(key(r.top, r.bottom, r.left, r.right) for r in want.values())
+
+
+def test_nested_areas_and_rectangles_need_no_row_per_labelled_pixel(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("a row per pixel")
+
+    monkeypatch.setattr(regions, "label_tiles", refused)
+    v = np.full((60, 60), 255)
+    v[10:50, 10:45] = 0
+    rows = [(1, 1, 0, 0, 60, 60, y, x, int(v[y, x])) for y in range(60) for x in range(60)]
+    frame = spark.createDataFrame(rows, "image_id long, box_id long, x1 long, y1 long, x2 long, y2 long, y long, x long, v long")
+    assert [tuple(r)[2:] for r in regions.rectangles_in_images(frame, tile=16).collect()] == [(10, 10, 44, 49)]
+    found = regions.nested_areas(frame.select("image_id", "y", "x", "v"), tile=16).collect()
+    assert [(r.x1, r.y1, r.x2, r.y2) for r in found] == [(10, 10, 44, 49)]
+
+
+def test_the_detector_has_a_row_per_tile(spark):
+    v = np.zeros((70, 130, 1), np.uint8)
+    v[20:60, 30:100] = 200
+    images = spark.createDataFrame([(5, 70, 130, 1, bytearray(v.tobytes()))], "image_id long, height int, width int, channels int, data binary")
+    found = spread.tiles(images, tile=64).collect()
+    assert sorted((r.ty, r.tx, r.h, r.w, len(r.gray), len(r.bits)) for r in found) == [(ty, tx, h, w, h * w, -(-h * w // 8)) for ty, h in ((0, 64), (1, 6)) for tx, w in ((0, 64), (1, 64), (2, 2))]
+    assert sorted(map(tuple, spread.detect(images, tile=64).collect())) == sorted(map(tuple, detect.detect(images).collect()))
