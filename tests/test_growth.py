@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.operators import kernels, regions
+from gridloom.operators import kernels, regions, vectors
 from gridloom.plans import detect, spread
 from gridloom.plans import fixtures as fx
 
@@ -54,3 +54,9 @@ def test_the_detector_has_a_row_per_tile(spark):
     found = spread.tiles(images, tile=64).collect()
     assert sorted((r.ty, r.tx, r.h, r.w, len(r.gray), len(r.bits)) for r in found) == [(ty, tx, h, w, h * w, -(-h * w // 8)) for ty, h in ((0, 64), (1, 6)) for tx, w in ((0, 64), (1, 64), (2, 2))]
     assert sorted(map(tuple, spread.detect(images, tile=64).collect())) == sorted(map(tuple, detect.detect(images).collect()))
+
+
+def test_attention_sends_rows_a_bounded_number_of_times(spark):
+    rows = spark.range(800).selectExpr("1L seq", "id pos", "array(1.0d) vec", "799L last")
+    for of in vectors._panels(rows, False, 2, 5):
+        assert of.count() <= 800 * 8
