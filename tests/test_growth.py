@@ -1,9 +1,10 @@
 """Work that must not land in one task, or be sent to all, as tables grow."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridloom.operators import kernels, regions, vectors
+from gridloom.operators import kernels, merging, models, regions, vectors
 from gridloom.plans import detect, spread
 from gridloom.plans import fixtures as fx
 
@@ -60,3 +61,13 @@ def test_attention_sends_rows_a_bounded_number_of_times(spark):
     rows = spark.range(800).selectExpr("1L seq", "id pos", "array(1.0d) vec", "799L last")
     for of in vectors._panels(rows, False, 2, 5):
         assert of.count() <= 800 * 8
+
+
+def test_merges_and_batches_are_taken_in_parts(spark, monkeypatch):
+    rows = [(i, b, 10 * b, 0, 10 * b + 5 + i % 7, 9) for i in range(30) for b in range(i % 4 + 1)]
+    frame = spark.createDataFrame(rows, "image_id long, box_id long, x1 long, y1 long, x2 long, y2 long").coalesce(1)
+    want = sorted(map(tuple, merging.merge_close(frame).collect()))
+    monkeypatch.setattr(merging, "TOGETHER", 3)
+    assert sorted(map(tuple, merging.merge_close(frame).collect())) == want
+    parts = list(models._cut([pa.record_batch({"a": list(range(7))})], models.TOGETHER // 3))
+    assert [p.num_rows for p in parts] == [3, 3, 1]
