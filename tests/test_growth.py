@@ -1,12 +1,16 @@
 """Work that must not land in one task, or be sent to all, as tables grow."""
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import kernels, merging, models, regions, vectors
+from gridloom.operators import boxes, kernels, merging, models, regions, vectors
 from gridloom.plans import detect, spread
 from gridloom.plans import fixtures as fx
+from gridloom.plans import registry
 
 SF = "/root/testdata/sf0.01"
 
@@ -71,3 +75,43 @@ def test_merges_and_batches_are_taken_in_parts(spark, monkeypatch):
     assert sorted(map(tuple, merging.merge_close(frame).collect())) == want
     parts = list(models._cut([pa.record_batch({"a": list(range(7))})], models.TOGETHER // 3))
     assert [p.num_rows for p in parts] == [3, 3, 1]
+
+
+def executed(df):
+    """The plan as it ran, where an exchange that is used again is named by its first use."""
+    df.collect()
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).split("== Initial Plan ==")[0]
+
+
+def test_boxes_of_an_image_meet_without_a_row_per_cell(spark):
+    for name in ("box_drop_inside_images", "box_relation"):
+        plan = executed(registry.QUERIES[name](spark, SF))
+        assert "sequence(" not in plan and "hashpartitioning(image_id" in plan, name
+
+
+@pytest.mark.parametrize("most", (0, 20, 10**6))
+def test_images_of_any_size_have_the_same_pairs(spark, monkeypatch, most):
+    """Whole, over grids, or some this and some that way."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for image, n in ((1, 40), (2, 12), (3, 20), (4, 21), (5, 1)):
+        for k in range(n):
+            x, y, w, h = (int(v) for v in rng.integers((0, 0, 0, 0), (60, 60, 90, 30)))
+            rows.append((image, k, x, y, x + w, y + h, ("Block", "Image", "Compo")[int(rng.integers(3))]))
+    rows += [(image, 90 + k, *rows[0][2:6], "Block" if k == 1 else "Compo") for image in (1, 2) for k in range(3)]
+    frame = spark.createDataFrame(rows, "image_id long, box_id long, x1 long, y1 long, x2 long, y2 long, category string")
+    monkeypatch.setattr(boxes, "WHOLE", most)
+    pairs = [(a, b, kernels.relation(a[2:6], b[2:6])) for a, b in itertools.combinations(sorted(rows), 2) if a[0] == b[0]]
+    got = sorted((r.image_id, r.a_box_id, r.b_box_id, r.relation) for r in boxes.related_pairs(frame).collect())
+    assert got == sorted((a[0], a[1], b[1], r) for a, b, r in pairs if r)
+    want: dict = {}
+    gone = set()
+    for a, b, r in pairs:
+        outer, inner = (b, a) if r == -1 else (a, b)
+        if r in (-1, 1):
+            want.setdefault(outer[:2], []).append(inner[1])
+            gone |= {inner[:2]} if outer[6] != "Block" else set()
+    assert {(r.image_id, r.box_id): r.contain for r in boxes.containment(frame).collect()} == {k: sorted(v) for k, v in want.items()}
+    assert {(r.image_id, r.box_id) for r in boxes.drop_contained(frame).collect()} == {r[:2] for r in rows} - gone
+    near = sorted((r.image_id, r.a_box_id, r.b_box_id) for r in boxes.near_pairs(frame, (3, 1)).collect())
+    assert near == sorted((a[0], a[1], b[1]) for a, b, _ in pairs if max(a[2], b[2]) - 6 <= min(a[4], b[4]) and max(a[3], b[3]) - 2 <= min(a[5], b[5]))
