@@ -84,9 +84,10 @@ def executed(df):
 
 
 def test_boxes_of_an_image_meet_without_a_row_per_cell(spark):
-    for name in ("box_pairs_mixed", "box_drop_contained", "box_drop_inside_images", "box_relation"):
+    for name in ("box_pairs_mixed", "box_containment", "box_drop_contained", "box_drop_inside_images", "box_relation"):
         plan = executed(registry.QUERIES[name](spark, SF))
         assert "sequence(" not in plan and "hashpartitioning(image_id" in plan, name
+    assert executed(boxes.containment(fx.boxes(spark, SF))).count("+- Exchange ") == 1  # lines are dealt by image, nothing else moves
 
 
 @pytest.mark.parametrize("most", (0, 20, 10**6))
