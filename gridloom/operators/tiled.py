@@ -2,14 +2,16 @@
 
 A matrix is a table of tiles (name, o, k, data): rows o and columns k of a grid
 of `tile` x `tile` numbers.  Activations are in groups of some thousand rows,
-cut into tiles of `tile` columns: (grp, tile, n, data).  A product joins the
-tiles of both on k, multiplies pair by pair, and adds the parts of a group's
-output tile in the order of k.  What follows the sum happens there too: the
-division by a row's root mean square, of which the products bring their
-tile's share, a bias, the gate of a gated unit, the residual.  So a layer moves
-its activations once per product, every weight tile once, and no task holds
-more than a tile of weights and a group's tile of activations, or one group's
-heads of attention.
+cut into tiles of `tile` columns: (grp, tile, n, data).  A product's task takes
+a group's tiles, as many columns as TOGETHER allows, and the weights of as many
+output tiles, and adds what belongs to an output tile in the order of k.  Where
+the columns are more than a task takes, the sums of the parts are added in a
+second step.  What follows the sum happens in the same place: the division by a
+row's root mean square, a bias, the gate of a gated unit, the residual.  So a
+product moves its activations once for as many output tiles as a task takes,
+the weights once for each group, and no task holds more than about TOGETHER of
+activations and as much of weights and results, or one group's heads of
+attention.
 
 Between layers the activations are checkpointed: a lost executor costs a layer
 at most, and a plan never holds more than one.
@@ -17,6 +19,7 @@ at most, and a plan never holds more than one.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 
@@ -33,6 +36,11 @@ from .models import FuserConfig, Parameters, _flat, _lists, joined, split
 TILE, GROUP_ROWS = 1024, 4096
 _TILES = "name string, o int, k int, data binary"
 _ACTIVATIONS = "grp long, tile int, n int, data binary"
+_PARTS = "grp long, tile int, name string, k_part int, n int, part binary, squares binary"
+_ACTIVATION_FIELDS = pa.schema([("grp", pa.int64()), ("tile", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
+_PART_FIELDS = pa.schema([("grp", pa.int64()), ("tile", pa.int32()), ("name", pa.string()), ("k_part", pa.int32()), ("n", pa.int32()), ("part", pa.binary()), ("squares", pa.binary())])
+#: Bytes of a group's activations that a product's task takes, and of the weights and results that it has to do with.
+TOGETHER = 1 << 28
 
 
 def _matrix(data, rows: int) -> np.ndarray:
@@ -83,45 +91,73 @@ def tiles_of(table: DataFrame, tile: int = TILE) -> DataFrame:
 Finish = Callable[[dict[str, np.ndarray], "np.ndarray | None", int], np.ndarray]
 
 
-def multiply(x: DataFrame, tiles: DataFrame, names: list[str], finish: Finish, tile: int, norm: np.ndarray | None = None, eps: float | None = None, width: int = 0, residual: DataFrame | None = None) -> DataFrame:
-    """finish(x @ W.T for each name's W) of activations x, tile by tile.
+def multiply(x: DataFrame, tiles: DataFrame, names: list[str], finish: Finish, tile: int, shape: tuple[int, int], groups: tuple[int, int], norm: np.ndarray | None = None, eps: float | None = None, residual: DataFrame | None = None) -> DataFrame:
+    """finish(x @ W.T for each name's W, of the given shape) of activations x, tile by tile.
 
-    With eps, x (of `width` columns) is taken divided by its rows' root mean square and, if norm is
+    groups: how many groups there are (numbered from 0), and their rows, about.
+    With eps, x is taken divided by its rows' root mean square and, if norm is
     given, times it; the division is made after the sum, as it is the same for
     a whole row.
     """
-    weights = tiles.filter(F.col("name").isin(names)).select("name", "o", "k", F.col("data").alias("w"))
-    left = x.select("grp", F.col("tile").alias("k"), "n", "data")
-    pairs = left.join(weights, "k").select("grp", "name", "o", "k", "n", "data", "w")
+    n_out, n_in = (_n_tiles(side, tile) for side in shape)
+    n_groups, group_rows = groups
+    k_span = max(1, min(n_in, TOGETHER // (8 * tile * group_rows)))
+    o_span = max(1, min(n_out, TOGETHER // (8 * tile * len(names) * (group_rows + k_span * tile))))
+    n_parts, whole = -(-n_out // o_span), k_span == n_in
+    part_of = lambda c, span: F.floor(F.col(c) / span).cast("int")
+    every = lambda n, kind: F.explode(F.sequence(F.lit(0).cast(kind), F.lit(n - 1).cast(kind)))
+    none = F.lit(0)
+    left = x.select("grp", every(n_parts, "int").alias("part"), part_of("tile", k_span).alias("k_part"), F.lit("x").alias("kind"), F.lit("").alias("name"), none.alias("o"), F.col("tile").alias("k"), "n", "data")
+    right = tiles.filter(F.col("name").isin(names)).select(every(n_groups, "long").alias("grp"), part_of("o", o_span).alias("part"), part_of("k", k_span).alias("k_part"), F.lit("w").alias("kind"), "name", "o", "k", none.alias("n"), "data")
+    rows = left.unionByName(right)
+    if whole and residual is not None:
+        rows = rows.unionByName(residual.select("grp", part_of("tile", o_span).alias("part"), none.alias("k_part"), F.lit("residual").alias("kind"), F.lit("").alias("name"), F.col("tile").alias("o"), none.alias("k"), "n", "data"))
+
+    def divided(found: dict[str, np.ndarray], squares: np.ndarray) -> dict[str, np.ndarray]:
+        return found if eps is None else {name: y / np.sqrt(squares / shape[1] + eps)[:, None] for name, y in found.items()}
+
+    def products(table: pa.Table) -> pa.Table:
+        kinds, at = table["kind"].to_pylist(), {c: table[c].to_pylist() for c in ("name", "o", "k", "n")}
+        found = lambda kind: sorted((at["o"][r], at["name"][r], at["k"][r], r) for r, of in enumerate(kinds) if of == kind)
+        data = lambda r, n: _matrix(table["data"][r].as_buffer(), n)
+        n = max(at["n"])
+        a = {k: data(r, n) for _, _, k, r in found("x")}
+        if not a:  # no row has come to this group
+            return (_ACTIVATION_FIELDS if whole else _PART_FIELDS).empty_table()
+        squares = sum(((a[k] * a[k]).sum(axis=1) for k in sorted(a)), np.zeros(n)) if eps is not None else np.zeros(0)
+        if norm is not None:
+            a = {k: m * norm[k * tile : k * tile + m.shape[1]] for k, m in a.items()}
+        before = {o: r for o, _, _, r in found("residual")}
+        grp, k_part = table["grp"][0].as_py(), table["k_part"][0].as_py()
+        out = []
+        for o, of_tile in itertools.groupby(found("w"), lambda w: w[0]):
+            sums: dict[str, np.ndarray] = {}
+            for _, name, k, r in of_tile:
+                y = a[k] @ np.frombuffer(table["data"][r].as_buffer(), np.float64).reshape(-1, a[k].shape[1]).T
+                sums[name] = sums[name] + y if name in sums else y
+            if whole:
+                y = finish(divided(sums, squares), data(before[o], n) if o in before else None, o * tile)
+                out.append((grp, o, n, np.ascontiguousarray(y).tobytes()))
+            else:
+                out += [(grp, o, name, k_part, n, y.tobytes(), squares.tobytes()) for name, y in sums.items()]
+        schema = _ACTIVATION_FIELDS if whole else _PART_FIELDS
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    made = rows.groupBy("grp", "part", "k_part").applyInArrow(products, _ACTIVATIONS if whole else _PARTS)
+    if whole:
+        return made
 
-    def products(batches):
-        fields = ["grp", "name", "o", "k", "n", "part", "squares"]
-        for batch in batches:
-            for row in range(batch.num_rows):
-                k, n = batch["k"][row].as_py(), batch["n"][row].as_py()
-                a = _matrix(batch["data"][row].as_buffer(), n)
-                w = np.frombuffer(batch["w"][row].as_buffer(), np.float64).reshape(-1, a.shape[1])
-                squares = (a * a).sum(axis=1) if eps is not None else np.zeros(0)
-                part = (a if norm is None else a * norm[k * tile : k * tile + a.shape[1]]) @ w.T
-                out = [*(batch[c].slice(row, 1) for c in fields[:5]), pa.array([part.tobytes()], pa.binary()), pa.array([squares.tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, fields)
-
-    made = pairs.mapInArrow(products, "grp long, name string, o int, k int, n int, part binary, squares binary")
-    made = made.select("grp", F.col("o").alias("tile"), "name", "k", "n", "part", "squares")
     def summed(parts: pa.Table, kept: pa.Table | None) -> pa.Table:
-        found: dict[str, np.ndarray] = {}
-        squares: dict[str, np.ndarray] = {}
+        sums: dict[str, np.ndarray] = {}
+        squares: dict[int, np.ndarray] = {}
         n = parts["n"][0].as_py()
-        for row in parts.sort_by([("name", "ascending"), ("k", "ascending")]).to_pylist():
-            part, square = _matrix(row["part"], n), np.frombuffer(row["squares"], np.float64)
-            name = row["name"]
-            found[name] = found[name] + part if name in found else part
-            squares[name] = squares[name] + square if name in squares else square
-        if eps is not None:
-            found = {name: y / np.sqrt(squares[name] / width + eps)[:, None] for name, y in found.items()}
+        for row in parts.sort_by([("name", "ascending"), ("k_part", "ascending")]).to_pylist():
+            name, y = row["name"], _matrix(row["part"], n)
+            sums[name] = sums[name] + y if name in sums else y
+            squares[row["k_part"]] = np.frombuffer(row["squares"], np.float64)
         before = _matrix(kept["data"][0].as_buffer(), n) if kept is not None and kept.num_rows else None
-        at = parts["tile"][0].as_py()
-        out = np.ascontiguousarray(finish(found, before, at * tile))
+        o = parts["tile"][0].as_py()
+        out = np.ascontiguousarray(finish(divided(sums, sum(squares.values())), before, o * tile))
         return pa.table({"grp": parts["grp"].slice(0, 1), "tile": parts["tile"].slice(0, 1), "n": parts["n"].slice(0, 1), "data": pa.array([out.tobytes()], pa.binary())})
 
     by = made.groupBy("grp", "tile")
@@ -235,7 +271,7 @@ def fuse_triples(rows: DataFrame, c: FuserConfig = FuserConfig(), tiles: DataFra
         start = cut(own.select("grp", *names[:2], "vecs").groupBy("grp").applyInArrow(cut_up, _ACTIVATIONS + ", keys binary"))
         x = start.drop("keys")
         for d in range(c.layers):
-            x = cut(layer(x, tiles, d, c, slots, tile))
+            x = cut(layer(x, tiles, d, c, slots, tile, (n_groups, group_rows)))
         norm = c.parameters("norm.weight", c.dim)
 
         def last(keyed: pa.Table, parts: pa.Table) -> pa.Table:
@@ -249,17 +285,19 @@ def fuse_triples(rows: DataFrame, c: FuserConfig = FuserConfig(), tiles: DataFra
     return found
 
 
-def layer(x: DataFrame, tiles: DataFrame, d: int, c: FuserConfig, slots: int, tile: int) -> DataFrame:
+def layer(x: DataFrame, tiles: DataFrame, d: int, c: FuserConfig, slots: int, tile: int, groups: tuple[int, int]) -> DataFrame:
     """One decoder layer."""
     each, p = c.dim // c.heads, c.parameters
     name = lambda k: f"layers.{d}.{k}"
-    biases = {k: p(f"{k}.bias", shape[0]) for k, shape in shapes_of(c).items() if k.startswith(f"layers.{d}.")}
+    shapes = shapes_of(c)
+    biases = {k: p(f"{k}.bias", shape[0]) for k, shape in shapes.items() if k.startswith(f"layers.{d}.")}
     first, second = (p(f"{name(k)}.weight", c.dim) for k in ("input_layernorm", "post_attention_layernorm"))
-    q, k, v = (multiply(x, tiles, [name(f"self_attn.{t}_proj")], plain([name(f"self_attn.{t}_proj")], biases), tile, first, c.eps, c.dim) for t in "qkv")
+    product = lambda x, names, finish, *norm, residual=None: multiply(x, tiles, names, finish, tile, shapes[names[0]], groups, *norm, residual=residual)
+    q, k, v = (product(x, [one], plain([one], biases), first, c.eps) for one in (name(f"self_attn.{t}_proj") for t in "qkv"))
     mixed = attend(q, k, v, each, c.heads // c.kv_heads, slots, c.rope_base, c.mask_mode, tile)
     out = [name("self_attn.o_proj")]
-    x = cut(multiply(mixed, tiles, out, plain(out, biases), tile, residual=x))
+    x = cut(product(mixed, out, plain(out, biases), residual=x))
     gate, up = name("mlp.gate_proj"), name("mlp.up_proj")
-    hidden = multiply(x, tiles, [gate, up], gated(gate, up, biases), tile, second, c.eps, c.dim)
+    hidden = product(x, [gate, up], gated(gate, up, biases), second, c.eps)
     out = [name("mlp.down_proj")]
-    return multiply(hidden, tiles, out, plain(out, biases), tile, residual=x)
+    return product(hidden, out, plain(out, biases), residual=x)

@@ -39,6 +39,26 @@ def test_tiled_decoder(spark, tile, group_rows, mask_mode):
         np.testing.assert_allclose(got[k], vec, rtol=1e-9, atol=1e-9)
 
 
+@pytest.mark.parametrize("together", (1, 8 * 7 * 12 * 3, 8 * 7 * 30 * 4))
+def test_tiled_decoder_in_parts(spark, monkeypatch, together):
+    """Tasks that take one tile of columns, some, or some of columns and of output."""
+    rows = triples(spark)
+    config = models.FuserConfig(**{**CONFIG.__dict__, "layers": 1})
+    monkeypatch.setattr(tiled, "TOGETHER", together)
+    want, got = by_key(models.fuse_triples(rows, config)), by_key(tiled.fuse_triples(rows, config, tile=7, group_rows=12))
+    assert want.keys() == got.keys()
+    for k, vec in want.items():
+        np.testing.assert_allclose(got[k], vec, rtol=1e-9, atol=1e-9)
+
+
+def test_a_product_moves_activations_once(spark):
+    x = spark.createDataFrame([(g, t, 2, bytearray(np.full((2, 5), t + 1.0).tobytes())) for g in range(2) for t in range(3)], "grp long, tile int, n int, data binary")
+    w = spark.createDataFrame([("w", o, k, bytearray(np.full((5, 5), o + 1.0).tobytes())) for o in range(2) for k in range(3)], "name string, o int, k int, data binary")
+    y = tiled.multiply(x, w, ["w"], tiled.plain(["w"], {}), 5, (10, 15), (3, 2), residual=x.filter("tile < 2"))
+    assert {(r.grp, r.tile, tuple(np.frombuffer(r.data))) for r in y.collect()} == {(g, o, (30.0 * (o + 1) + o + 1,) * 10) for g in range(2) for o in range(2)}
+    assert str(y._jdf.queryExecution().executedPlan()).split("== Initial Plan ==")[0].count("+- Exchange ") == 1
+
+
 def test_tiles_of_a_stored_model(spark, tmp_path):
     config = models.FuserConfig(**{**CONFIG.__dict__, "layers": 1})
     shapes = tiled.shapes_of(config)
